@@ -64,29 +64,33 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def group_rank(df: DataFrame, keys: list[str], order: list[Column], salt: Column, out: str = "rank",
-               buckets: int = 1024) -> DataFrame:
-    """Gapless rank from 0 inside each group of ``keys`` without gathering a group in one task.
-
-    ``salt`` is a value in [0, 1); a group is cut into ``buckets`` slices of it and ranked slice by
-    slice: rank = rows of the group in earlier slices + row number in the slice. Rows are ordered by
-    (slice, order). The slice counts have at most groups x buckets rows and never more than the rows.
-    """
-    spark = df.sparkSession
-    cut = df.withColumn("_slice", F.floor(salt * buckets).cast("int"))
-    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slice").alias("_s"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    numbered = cut.withColumn("_rn", F.row_number().over(inner))
-    same = F.col("_slice") == F.col("_s")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    ranked = numbered.join(starts, same, "left")
-    del spark
-    return (ranked.withColumn(out, (F.col("_start") + F.col("_rn") - 1).cast("long"))
-            .drop("_slice", "_rn", "_start", "_s", *[f"_k_{k}" for k in keys]))
+def group_rank(df: DataFrame, group: Column, order: list[Column], salt: Column, out: str = "rank",
+               slices: int = 1024, extra: DataFrame | None = None) -> DataFrame:
+    """Gapless rank from 0 inside each group without gathering a group in one task.
+
+    ``group`` is a non-null value, ``salt`` one in [0, 1). A group is cut into ``slices`` slices by the
+    salt and ranked slice by slice: rows of the group in earlier slices + row number in the slice. The
+    slice counts never outnumber the rows. ``extra`` (column ``_g`` and others, one row for each group)
+    is joined to the counts, so that the rows themselves move once. ``out`` is added to the columns."""
+    cut = df.withColumn("_g", group).withColumn("_slice", F.floor(salt * slices).cast("int"))
+    counts = cut.groupBy("_g", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if extra is not None:
+        starts = starts.join(extra, "_g", "left")
+    numbered = cut.withColumn("_rn", F.row_number().over(Window.partitionBy("_g", "_slice").orderBy(*order)))
+    ranked = numbered.join(starts, ["_g", "_slice"])
+    return ranked.withColumn(out, (F.col("_start") + F.col("_rn") - 1).cast("long")).drop("_slice", "_rn", "_start", "_g")
+
+
+def ordered_rank(df: DataFrame, order: Column, out: str) -> DataFrame:
+    """Rank from 0 over the whole table, by range partitions: only one count for each partition is gathered."""
+    parts = saved(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return numbered.join(starts, "_part").withColumn(out, (F.col("_start") + F.col("_rn") - 1).cast("long")).drop("_part", "_rn", "_start")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -94,7 +98,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternates large-star and small-star rounds; each round is one job over the edges and is cut off
     by a written table. A vertex without an edge is not in the result."""
-    spark = edges.sparkSession
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
@@ -113,6 +116,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         last = tuple(mark)
     else:
         raise RuntimeError("components did not settle")
-    del spark
     stars = e.select(F.col("u").alias("v"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct())

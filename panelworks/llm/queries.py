@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import quality, sharding
+from panelworks.llm import mixing, quality, sharding, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,3 +31,33 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir), keep=["doc_id"])
     return judged.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@query
+def op5_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = pages(spark, sf_dir)
+    judged = urlfilter.judge(table, urlfilter.listed_urls(table), keep=["page_id"])
+    return judged.select("_row.page_id", "host", "path", "rule", "verdict", "listed")
+
+
+ORACLES["op5_bloom_url_filter"] = r"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+c AS (SELECT *, regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html)?/*$', '') AS canonical,
+             list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'cheap-pills', 'ads-track']) AS bad FROM u),
+l AS (SELECT DISTINCT canonical FROM c WHERE bad AND canonical <> ''),
+r AS (SELECT c.*, l.canonical IS NOT NULL AS listed,
+  CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+       WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+       WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+       WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM c LEFT JOIN l USING (canonical))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r
+""".replace("\\\\", "\\")
+
+
+@query
+def op9_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), keep=["doc_id"])
+    return mixed.select("_row.doc_id", "size", "source_size", "target", "taken")

@@ -42,6 +42,6 @@ def shard(docs: DataFrame, n_shards: int = 16, weights: Sequence[float] | None =
         F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"), rendezvous(F.col(key), weights, seed).alias("shard"),
         rendezvous(F.col(key), [*weights, 1.0], seed).alias("grown_shard"))
-    slotted = group_rank(placed, ["shard"], [F.col(key).asc_nulls_last(), F.col("text_crc32"), F.col("size")],
+    slotted = group_rank(placed, F.col("shard"), [F.col(key).asc_nulls_last(), F.col("text_crc32"), F.col("size")],
                          unit_hash(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("text_crc32"), F.lit(seed + 1)), "slot")
     return slotted.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
