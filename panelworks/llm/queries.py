@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import mixing, quality, sharding, urlfilter
+from panelworks.llm import decontam, mixing, quality, sharding, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -61,3 +61,25 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 def op9_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), keep=["doc_id"])
     return mixed.select("_row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op2_spaced_seed_decontamination"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS v FROM benchmark),
+ds AS (SELECT doc_id, pos, [w[pos+1], w[pos+2], w[pos+3], w[pos+4], w[pos+5], w[pos+6], w[pos+7], w[pos+8]] AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS pos FROM d)),
+bs AS (SELECT item_id, q, [v[q+1], v[q+2], v[q+3], v[q+4], v[q+5], v[q+6], v[q+7], v[q+8]] AS s FROM (SELECT item_id, v, unnest(range(0, len(v) - 7)) AS q FROM b)),
+h AS (
+  SELECT doc_id, item_id, pos - q AS diag FROM ds JOIN bs ON ds.s[1] = bs.s[1] AND ds.s[2] = bs.s[2] AND ds.s[3] = bs.s[3] AND ds.s[5] = bs.s[5] AND ds.s[6] = bs.s[6] AND ds.s[8] = bs.s[8]
+  UNION SELECT doc_id, item_id, pos - q FROM ds JOIN bs ON ds.s[1] = bs.s[1] AND ds.s[2] = bs.s[2] AND ds.s[4] = bs.s[4] AND ds.s[5] = bs.s[5] AND ds.s[7] = bs.s[7] AND ds.s[8] = bs.s[8]
+  UNION SELECT doc_id, item_id, pos - q FROM ds JOIN bs ON ds.s[1] = bs.s[1] AND ds.s[3] = bs.s[3] AND ds.s[4] = bs.s[4] AND ds.s[6] = bs.s[6] AND ds.s[7] = bs.s[7] AND ds.s[8] = bs.s[8]),
+p AS (SELECT doc_id, item_id, diag, len(v) AS n, [CASE WHEN v[i] = w[diag + i] THEN 1 ELSE 0 END FOR i IN range(greatest(-diag, 0) + 1, least(len(v), len(w) - diag) + 1)] AS same
+      FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+r AS (SELECT doc_id, item_id, diag, n, list_sum(same) AS n_agree, list_max([list_sum(same[i:i+12]) FOR i IN range(1, greatest(len(same) - 12, 1) + 1)]) AS n_best FROM p)
+SELECT doc_id, item_id, diag AS doc_start, n_best::BIGINT AS n_best, n_agree::BIGINT AS n_agree FROM r WHERE n_best >= ceil(least(13, n) * 0.8)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_best DESC, n_agree DESC, diag) = 1
+"""
