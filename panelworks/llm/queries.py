@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import decontam, mixing, quality, sharding, urlfilter
+from panelworks.llm import decontam, mixing, quality, sharding, sigtree, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -83,3 +83,22 @@ r AS (SELECT doc_id, item_id, diag, n, list_sum(same) AS n_agree, list_max([list
 SELECT doc_id, item_id, diag AS doc_start, n_best::BIGINT AS n_best, n_agree::BIGINT AS n_agree FROM r WHERE n_best >= ceil(least(13, n) * 0.8)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_best DESC, n_agree DESC, diag) = 1
 """
+
+
+@query
+def op8_signature_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.jaccard_components(documents(spark, sf_dir))
+
+
+ORACLES["op8_signature_tree_jaccard"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE [w[i:i+2] FOR i IN range(1, len(w) - 1)] END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v),
+m AS (SELECT v, min(c) AS component_id FROM r GROUP BY v),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.v = d.doc_id LEFT JOIN k ON k.a = d.doc_id
+"""
