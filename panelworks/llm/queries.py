@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import decontam, mixing, quality, sharding, sigtree, urlfilter
+from panelworks.llm import decontam, mixing, quality, recompress, sharding, sigtree, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -102,3 +102,22 @@ k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
 FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.v = d.doc_id LEFT JOIN k ON k.a = d.doc_id
 """
+
+
+@query
+def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op6_recompression_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS m FROM x),
+f AS (SELECT m, min(doc_id) AS first FROM h GROUP BY m),
+r AS (SELECT DISTINCT doc_id, i + k AS pos FROM h JOIN f USING (m), (SELECT unnest(range(0, 13)) AS k) WHERE first < doc_id),
+g AS (SELECT doc_id, list(pos) AS gone FROM r GROUP BY doc_id),
+o AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id)),
+z AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, w, gone FROM o),
+y AS (SELECT z.doc_id, string_agg(w[pos], ' ' ORDER BY pos) AS kept FROM z WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = z.doc_id AND r.pos = z.pos) GROUP BY z.doc_id)
+SELECT o.doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o LEFT JOIN y USING (doc_id)
+"""
