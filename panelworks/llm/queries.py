@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import decontam, mixing, quality, recompress, sharding, sigtree, urlfilter
+from panelworks.llm import ctw, decontam, mixing, quality, recompress, sharding, sigtree, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -121,3 +121,8 @@ z AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, w, gone FROM o),
 y AS (SELECT z.doc_id, string_agg(w[pos], ' ' ORDER BY pos) AS kept FROM z WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = z.doc_id AND r.pos = z.pos) GROUP BY z.doc_id)
 SELECT o.doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM o LEFT JOIN y USING (doc_id)
 """
+
+
+@query
+def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
