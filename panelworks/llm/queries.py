@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import ctw, decontam, mixing, quality, recompress, sharding, sigtree, urlfilter
+from panelworks.llm import ctw, decontam, langid, mixing, quality, recompress, sharding, sigtree, urlfilter, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -126,3 +126,13 @@ SELECT o.doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha2
 @query
 def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(documents(spark, sf_dir))
+
+
+@query
+def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
