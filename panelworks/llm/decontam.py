@@ -66,10 +66,10 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     near = near.select("_key", "_item", "_d", F.size("_v").alias("_n"), F.when(n > 0, F.zip_with(
         F.slice("_v", first + 1, n), F.slice("_w", F.col("_d") + first + 1, n), lambda x, y: (x == y).cast("int"))).alias("_same"))
     near = near.select("_key", "_item", "_d", "_n", best_window(F.col("_same"), length).alias("n_best"), F.aggregate("_same", F.lit(0), lambda a, x: a + x).alias("n_agree"))
-    need = F.ceil(F.least(F.lit(length), F.col("_n")) * F.lit(math.floor(share * 1000)) / 1000)
-    near = near.where(F.col("n_best") >= need)
-    best = near.groupBy("_key", "_item").agg(F.min_by(F.struct("_d", "n_best", "n_agree"), F.struct(-F.col("n_best"), -F.col("n_agree"), F.col("_d"))).alias("b"))
-    return best.select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("b._d").alias("doc_start"), "b.n_best", "b.n_agree")
+    # judged after the grouping: a filter before it would be pushed into the join and split each text for each window
+    best = near.groupBy("_key", "_item").agg(F.min_by(F.struct("_d", "_n", "n_best", "n_agree"), F.struct(-F.col("n_best"), -F.col("n_agree"), F.col("_d"))).alias("b"))
+    need = F.ceil(F.least(F.lit(length), F.col("b._n")) * F.lit(math.floor(share * 1000)) / 1000)
+    return best.where(F.col("b.n_best") >= need).select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("b._d").alias("doc_start"), "b.n_best", "b.n_agree")
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
