@@ -43,9 +43,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of stages that nothing refers to any more."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def words(text: Column) -> Column:

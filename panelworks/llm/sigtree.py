@@ -164,17 +164,17 @@ def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree:
-    """A signature tree over sets in size order. Level 0 are leaves of ``LEAF`` sets; a node has the OR of the
+    """A signature tree over sets in size order. Level 0 are leaves of ``leaf`` sets; a node has the OR of the
     token bitmaps below it, the size range, and the most tokens of a set that share a bit with another one."""
 
-    def __init__(self, ids: np.ndarray, edges: np.ndarray, bits: int):
+    def __init__(self, ids: np.ndarray, edges: np.ndarray, bits: int, leaf: int = LEAF):
         n = np.diff(edges)
-        count = -(-len(n) // LEAF)
-        lead = np.arange(count) * LEAF
-        leaf = np.repeat(np.arange(len(n)) // LEAF, n)
+        count = -(-len(n) // leaf)
+        lead = np.arange(count) * leaf
+        own = np.repeat(np.arange(len(n)) // leaf, n)
         places = (ids.astype(T.U) * T.U(0x9E3779B97F4A7C15) >> T.U(40)).astype(np.int64) % bits
         bitmap = np.zeros((count, bits), bool)
-        bitmap[leaf, places] = True
+        bitmap[own, places] = True
         doc = np.repeat(np.arange(len(n)), n)
         alone = np.bincount(np.unique(doc * bits + places) // bits, minlength=len(n))
         extra = np.maximum.reduceat(n - alone, lead)
@@ -228,7 +228,7 @@ def common_tokens(ids: np.ndarray, edges: np.ndarray, a: slice, b: slice) -> np.
     return out
 
 
-def link(tokens: list[np.ndarray], copies: np.ndarray, left: int | None = None, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+def link(tokens: list[np.ndarray], copies: np.ndarray, left: int | None = None, leaf: int = LEAF, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
     """(label, links) of sets in size order: the lowest index reachable, and how many documents each links with.
 
     ``left``: only pairs of one of the first ``left`` sets with one of the others (two trees), else all pairs."""
@@ -238,13 +238,13 @@ def link(tokens: list[np.ndarray], copies: np.ndarray, left: int | None = None,
     bits = 1 << int(np.clip(np.ceil(np.log2(4 * n.max() + 1)), 10, 16))
     label, links = np.arange(len(n)), np.zeros(len(n), np.int64)
     ranges = [(0, len(n))] if left is None else [(0, left), (left, len(n))]
-    trees = [Tree(ids[edges[a]:edges[b]], edges[a:b + 1] - edges[a], bits) for a, b in ranges]
+    trees = [Tree(ids[edges[a]:edges[b]], edges[a:b + 1] - edges[a], bits, leaf) for a, b in ranges]
     for p, q in leaf_pairs(trees[0], trees[-1]):
         if left is None and q < p:
             continue
         (s1, e1), (s2, e2) = ranges[0], ranges[-1]
-        a = slice(s1 + p * LEAF, min(s1 + (p + 1) * LEAF, e1))
-        b = slice(s2 + q * LEAF, min(s2 + (q + 1) * LEAF, e2))
+        a = slice(s1 + p * leaf, min(s1 + (p + 1) * leaf, e1))
+        b = slice(s2 + q * leaf, min(s2 + (q + 1) * leaf, e2))
         near = (num + den) * common_tokens(ids, edges, a, b) >= num * (n[a][:, None] + n[b][None, :])
         if left is None and p == q:
             near = np.triu(near, 1)
@@ -266,42 +266,47 @@ def _root(label: np.ndarray, x: int) -> int:
     return x
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (comp, one, two, n): links each group of rows and returns (v, root, links).
-
-    A group is one tree (one = two) or two trees whose rows are told apart by ``chunk``; it holds at most two
-    trees of ``TREE_TOKENS`` words, whatever the size of the candidate component."""
-    held: list[pa.RecordBatch] = []
-    now = None
-
-    def done() -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        order = np.lexsort((t["v"].to_numpy(), t["n"].to_numpy(), t["chunk"].to_numpy()))
-        t = t.take(pa.array(order))
-        v = t["v"].to_numpy()
-        first = np.ones(len(v), bool)
-        first[1:] = v[1:] != v[:-1]
-        t = t.filter(pa.array(first))
-        v, chunk = t["v"].to_numpy(), t["chunk"].to_numpy()
-        tokens = [np.frombuffer(x, T.U) for x in t["tokens"].to_pylist()]
-        left = None if t["one"][0].as_py() == t["two"][0].as_py() else int((chunk == chunk[0]).sum())
-        if len(v) < 2 or left == len(v):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["v", "root", "links"])
-        label, links = link(tokens, t["copies"].to_numpy(), left)
-        some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(v[label[some]]), pa.array(links[some])], names=["v", "root", "links"])
-
-    for batch in batches:
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)] if len(keys) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if now is not None and tuple(keys[a]) != now:
-                yield done()
-                held = []
-            now = tuple(keys[a])
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield done()
+def grouper(leaf: int):
+    """The map function that links each tree, or pair of trees."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (comp, one, two, n): links each group of rows and returns (v, root, links).
+
+        A group is one tree (one = two) or two trees whose rows are told apart by ``chunk``; it holds at most two
+        trees of ``TREE_TOKENS`` words, whatever the size of the candidate component."""
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            order = np.lexsort((t["v"].to_numpy(), t["n"].to_numpy(), t["chunk"].to_numpy()))
+            t = t.take(pa.array(order))
+            v = t["v"].to_numpy()
+            first = np.ones(len(v), bool)
+            first[1:] = v[1:] != v[:-1]
+            t = t.filter(pa.array(first))
+            v, chunk = t["v"].to_numpy(), t["chunk"].to_numpy()
+            tokens = [np.frombuffer(x, T.U) for x in t["tokens"].to_pylist()]
+            left = None if t["one"][0].as_py() == t["two"][0].as_py() else int((chunk == chunk[0]).sum())
+            if len(v) < 2 or left == len(v):
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["v", "root", "links"])
+            label, links = link(tokens, t["copies"].to_numpy(), left, leaf)
+            some = links > 0
+            return pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(v[label[some]]), pa.array(links[some])], names=["v", "root", "links"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)] if len(keys) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if now is not None and tuple(keys[a]) != now:
+                    yield done()
+                    held = []
+                now = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
+
+    return grouped
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,7 +342,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     tokens = tokens.select("comp", F.least("chunk", "_o").alias("one"), F.greatest("chunk", "_o").alias("two"), "v", "copies", "n", "chunk", "tokens")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     trees = tokens.repartition(n_parts, "comp", "one", "two").sortWithinPartitions("comp", "one", "two")
-    linked = saved(trees.mapInArrow(grouped, "v long, root long, links long"), "links")
+    linked = saved(trees.mapInArrow(grouper(LEAF), "v long, root long, links long"), "links")
     release(spark)
     roots = components(linked.select("v", "root"), "v", "root")
     degree = linked.groupBy("v").agg(F.sum("links").alias("links"))

@@ -1,0 +1,558 @@
+"""Small fixtures, brute force and round trips for the operators of the llm subpackage."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from panelworks.llm import common, ctw, decontam, langid, mixing, quality, recompress, sharding, sigtree, textops, urlfilter, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def lower(s):
+    return s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def corpus(n=120, seed=3, words=60, vocabulary=40):
+    """Rows with copies, near copies, runs, blanks, nulls, a repeated row and a very long text."""
+    rnd = random.Random(seed)
+    v = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 6))) for _ in range(vocabulary)]
+    texts = []
+    for _ in range(n):
+        kind = rnd.random()
+        if texts and kind < 0.15:
+            texts.append(rnd.choice(texts))
+        elif texts and kind < 0.35:
+            t = (rnd.choice(texts) or "x").split(" ")
+            for _ in range(rnd.randint(0, 2)):
+                t[rnd.randrange(len(t))] = rnd.choice(v)
+            texts.append(" ".join(t))
+        elif kind < 0.45:
+            texts.append(" ".join([rnd.choice(v)] * rnd.randint(1, 40) + rnd.choices(v, k=rnd.randint(0, 20))))
+        else:
+            texts.append(" ".join(rnd.choices(v, k=rnd.randint(1, words))))
+    texts += [None, "", "  \t\n", "A", "a b", "A B", "a\x0bb", " ".join(rnd.choices(v, k=5000)), "Über straße " * 30]
+    rows = [(i, t, rnd.choice(["en", "de", None]), rnd.choice(["s1", "s2", None, "hot", "hot", "hot"]), len(t or "")) for i, t in enumerate(texts)]
+    return rows + [rows[5]]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(5)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- shared pieces
+
+
+def test_words_and_hashes_match_the_regex(rows):
+    texts = [r[1] for r in rows]
+    for size in (50, 4 << 20):
+        seen = {}
+        for b in textops.blocks(pa.array(texts, pa.string()), block_bytes=size):
+            h = b.word_hashes()
+            for k in range(b.first, b.last):
+                a, z = b.edges[k - b.first], b.edges[k - b.first + 1]
+                got = [b.data[s:e].tobytes().decode() for s, e in zip(b.starts[a:z], b.ends[a:z])]
+                assert got == WORD.findall(texts[k] or "")
+                for w, x in zip(got, h[a:z]):
+                    assert seen.setdefault(w, x) == x
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_words_column(spark, docs, rows):
+    got = docs.select("doc_id", common.words(docs["text"]).alias("w")).collect()
+    want = {r[0]: WORD.findall(r[1] or "") for r in rows}
+    assert all(g["w"] == want[g["doc_id"]] for g in got)
+
+
+def test_components(spark):
+    rnd = random.Random(1)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 50)]
+    label = {x: x for e in edges for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            m = min(label[a], label[b])
+            moved |= label[a] != m or label[b] != m
+            label[a] = label[b] = m
+    got = {r["v"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: c for v, c in label.items() if sum(x == c for x in label.values()) > 1}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 1 sharding
+
+
+def test_sharding(spark, docs, rows):
+    out = sharding.shard(docs, 16).collect()
+    assert len(out) == len(rows)
+    text = {r[0]: r[1] or "" for r in rows}
+    slots = defaultdict(list)
+    for r in out:
+        assert r["size"] == len(text[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode())
+        assert r["law"] == "key" and 0 <= r["shard"] < 16 and r["grown_shard"] in (r["shard"], 16)
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    again = {r["doc_id"]: r["shard"] for r in sharding.shard(docs.repartition(2), 16).collect()}
+    assert all(again[r["doc_id"]] == r["shard"] for r in out)
+
+
+def test_sharding_moves_few_and_follows_weights(spark):
+    many = spark.range(20000).selectExpr("id as doc_id", "'x' as text")
+    out = sharding.shard(many, 10).collect()
+    moved = sum(r["shard"] != r["grown_shard"] for r in out)
+    assert abs(moved / 20000 - 1 / 11) < 0.02
+    c = Counter(r["shard"] for r in sharding.shard(many, 3, [1, 1, 2]).collect())
+    assert abs(c[2] / 20000 - 0.5) < 0.02
+    assert sharding.shard(empty(spark)).count() == 0
+    odd = spark.createDataFrame([(None, None, 1, 1), (None, "a", 2, 2), (7, "a", 3, 3), (7, "a", 3, 3)], "doc_id long, text string, shard int, slot int")
+    assert sharding.shard(odd, 4).count() == 4
+
+
+# --- 2 decontamination
+
+
+def agreeing(doc, item, length=13, share=0.8):
+    d, v, best = WORD.findall((doc or "").lower()), WORD.findall((item or "").lower()), None
+    if len(d) < 8 or len(v) < 8:
+        return None
+    for diag in range(-len(v) + 1, len(d)):
+        lo, hi = max(0, -diag), min(len(v), len(d) - diag)
+        same = [v[i] == d[diag + i] for i in range(lo, hi)]
+        hit = any(all(same[i - lo + j] for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for i in range(lo, hi - 7))
+        if hit:
+            n = max(sum(same[i:i + length]) for i in range(max(1, len(same) - length + 1)))
+            best = max(best or (0, 0, 0), (n, sum(same), -diag))
+    return best if best and best[0] >= math.ceil(min(length, len(v)) * share - 1e-9) else None
+
+
+def test_decontamination_matches_brute_force(spark, monkeypatch):
+    rnd = random.Random(5)
+    v = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rnd.choices(v, k=rnd.choice([5, 9, 14, 30])))) for i in range(12)] + [(99, None), (98, "")]
+    docs = []
+    for i in range(60):
+        words = rnd.choices(v, k=rnd.randint(0, 60))
+        if i % 3 == 0:
+            t = rnd.choice(items[:12])[1].split(" ")
+            for _ in range(rnd.randint(0, 4)):
+                t[rnd.randrange(len(t))] = rnd.choice(v)
+            words[len(words) // 2:len(words) // 2] = [x.upper() for x in t[rnd.randint(0, 2):]]
+        docs.append((i, " ".join(words)))
+    docs += [(100, None), (101, ""), (None, items[3][1] + " " + items[2][1])]
+    want = {(d, i): r for d, t in docs for i, s in items if (r := agreeing(t, s))}
+    assert any(d is None for d, _ in want) and len(want) > 8
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id"), spark.createDataFrame(items, "item_id long, text string")
+    for sent in (decontam.SENT_ROWS, 0):
+        monkeypatch.setattr(decontam, "SENT_ROWS", sent)
+        got = {(r["doc_id"], r["item_id"]): (r["n_best"], r["n_agree"], -r["doc_start"]) for r in decontam.overlaps(table.select("doc_id", "text"), bench).collect()}
+        assert got == want
+    kept = {r["doc_id"] for r in decontam.clean_rows(table, bench).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+    assert decontam.overlaps(empty(spark), bench).count() == 0
+
+
+# --- 3 language model
+
+
+def test_ctw_is_a_distribution_and_counts_are_exact(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(ctw, "HEAD_TOKENS", 20)
+    got = {r["doc_id"]: r for r in ctw.score(docs).collect()}
+    tokens = lambda t: [lower(w) for w in WORD.findall(t or "")] + [0]
+    c = Counter(x for r in rows if zlib.crc32(str(r[0]).encode()) % 10 for x in tokens(r[1]))
+    n, v = sum(c.values()), len(c)
+    for r in rows:
+        g, t = got[r[0]], tokens(r[1])
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(t), sum(c[x] > 0 for x in t), n)
+        assert g["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t))
+        assert g["score"] < 0
+    _, model = ctw.fit(docs)
+    for context in (b"\xff\xff\xff\xff\xff", b"abcde", b"zzzzz"):
+        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
+        assert (10 ** model.walk(keys)).sum() == pytest.approx(1, abs=1e-4)
+        assert np.allclose(model.walk(keys), model.log10(keys), atol=1e-4)
+    assert ctw.score(empty(spark)).count() == 0
+
+
+def test_ctw_weights_are_those_of_the_recursion():
+    data = b"abracadabra abracadabra"
+    keys, _ = ctw.gram_keys(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    tables = []
+    for d in range(ctw.DEPTH + 1):
+        tables.append(ctw._counted(keys & ((1 << 8 * (d + 1)) - 1)))
+    model = ctw.build(tables)
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def counts(context, prefix, bits):
+        d = len(context)
+        n = [0, 0]
+        for k in keys.tolist():
+            raw = k.to_bytes(6, "big")
+            s = raw[5]
+            if raw[5 - d:5] == context and ((1 << bits) | (s >> (8 - bits))) == prefix:
+                n[(s >> (7 - bits)) & 1] += 1
+        return n
+
+    def coded(context, prefix, bits):
+        a, b = counts(context, prefix, bits)
+        if len(context) == ctw.DEPTH:
+            return kt(a, b)
+        below = {k.to_bytes(6, "big")[5 - len(context) - 1:5] for k in keys.tolist()}
+        under = [coded(x, prefix, bits) for x in below if x[1:] == context and sum(counts(x, prefix, bits))]
+        return math.log(0.5) + np.logaddexp(kt(a, b), sum(under))
+
+    def one(context, prefix, bits, full):
+        a, b = counts(context, prefix, bits)
+        own = (b + 0.5) / (a + b + 1)
+        if len(context) == ctw.DEPTH:
+            return own
+        deeper = full[5 - len(context) - 1:5]
+        if not sum(counts(deeper, prefix, bits)):
+            return own
+        w = math.exp(math.log(0.5) + kt(a, b) - coded(context, prefix, bits))
+        return w * own + (1 - w) * one(deeper, prefix, bits, full)
+
+    for text in (b"\xff\xff\xff\xff\xffa", b"cadabr", b"xxxxab"):
+        p = 1.0
+        for bits in range(8):
+            prefix = (1 << bits) | (text[5] >> (8 - bits))
+            o = one(b"", prefix, bits, text)
+            p *= o if (text[5] >> (7 - bits)) & 1 else 1 - o
+        assert 10 ** model.walk(np.array([int.from_bytes(text, "big")]))[0] == pytest.approx(p, rel=1e-4)
+
+
+# --- 4 quality rules
+
+
+def test_quality_measures_match_brute_force(spark, docs, rows):
+    more = [(900, "a b c a b c x\n\nx\na b c\nx", None, None, 0), (901, "THE THE!! OF# $%& <x> |", None, None, 0), (902, "a a a a a a", None, None, 0)]
+    table = docs.unionByName(spark.createDataFrame(more, DOCS))
+    got = {r["_row"]["doc_id"]: r for r in quality.judge(table, keep=["doc_id"]).collect()}
+    for i, t, *_ in rows + more:
+        w, g = WORD.findall(t or ""), got[i]
+        at = defaultdict(list)
+        for k in range(len(w) - 2):
+            at[tuple(w[k:k + 3])].append(k)
+        repeat = len({k + j for x in at.values() if len(x) > 1 for k in x for j in range(3)})
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), repeat)
+        assert g["base_failed"] == (len(w) < 50 or 100 * repeat > 50 * len(w)) and not (g["base_failed"] and g["kept"])
+    assert quality.judge(empty(spark)).count() == 0
+
+
+def test_em_finds_the_better_rules(spark):
+    rnd = random.Random(2)
+    rules = [quality.Rule(f"r{i}", "", "") for i in range(4)]
+    votes, truth = Counter(), [0.95, 0.9, 0.85, 0.6]
+    for _ in range(20000):
+        good = rnd.random() < 0.75
+        votes[tuple((1 if good else -1) * (1 if rnd.random() < a else -1) if rnd.random() < 0.8 else 0 for a in truth)] += 1
+    table = spark.createDataFrame([(*k, n) for k, n in votes.items()], "v_r0 int, v_r1 int, v_r2 int, v_r3 int, n long")
+    model = quality.estimate(table, rules)
+    assert abs(model["prior"] - 0.75) < 0.03
+    assert all(abs(quality.accuracy(model, f"r{i}") - a) < 0.04 for i, a in enumerate(truth))
+
+
+# --- 5 URL filter
+
+
+def test_url_filter(spark, monkeypatch):
+    urls = ["http://WWW.Bad.net/x.html?q#f", "https://bad.net/x/", "https://ok.net/x", None, "nothing", "a://", "HTTP://m.Example.ORG/es/1", "http://example.org/en/12", "http://notexample.org/es/1", "x://de.com/fr/", "x://de.com/de/1?x", "x://com/de/", "x://a.bcom/de/", "http://x.net?/org/", "a://b#://org/"]
+    table = spark.createDataFrame([(i, u, 0, "z") for i, u in enumerate(urls)] + [(0, urls[0], 0, "z")], "page_id long, url string, listed int, canonical string")
+    listed = spark.createDataFrame([("bad.net/x",), ("bad.net/x",), (None,), ("",)], "canonical string")
+    for sent in (urlfilter.SENT_BLOCKS, 0):
+        monkeypatch.setattr(urlfilter, "SENT_BLOCKS", sent)
+        got = sorted((r["_row"]["page_id"], r["host"], r["path"], r["rule"], r["verdict"], r["listed"]) for r in urlfilter.judge(table, listed, ["page_id"]).collect())
+        assert len(got) == len(urls) + 1
+        want = {0: ("www.bad.net", "/x.html", None, "block", True), 1: ("bad.net", "/x/", None, "block", True), 2: ("ok.net", "/x", None, "allow", False), 3: ("", "", None, "allow", False), 4: ("", "", None, "allow", False), 5: ("", "", None, "allow", False),
+                6: ("m.example.org", "/es/1", "example.org/es/", "block", False), 7: ("example.org", "/en/12", "example.org/en/1", "block", False), 8: ("notexample.org", "/es/1", "org/", "allow", False), 9: ("de.com", "/fr/", "com/fr/", "allow", False),
+                10: ("de.com", "/de/1", "com/de/", "block", False), 11: ("com", "/de/", "com/de/", "block", False), 12: ("a.bcom", "/de/", None, "allow", False), 13: ("x.net", "", None, "allow", False), 14: ("b", "", None, "allow", False)}
+        assert all(want[g[0]] == g[1:] for g in got)
+    none = spark.createDataFrame([], "canonical string")
+    assert all(not r["listed"] for r in urlfilter.judge(table, none, ["page_id"]).collect())
+
+
+def test_bloom_passes_every_entry_and_few_others(spark):
+    listed = spark.range(2000).selectExpr("concat('u', id) as e")
+    rows = spark.range(4000).selectExpr("concat('u', id) as e")
+    out = urlfilter.match_listed(rows, "e", listed)
+    assert out.where("listed").count() == 2000 and out.count() == 4000
+    table = urlfilter.bloom(listed, "e", 125)
+    probe = rows.withColumn("b", urlfilter.block_of(rows["e"], 125)).join(table, table["block"] == F_col("b"))
+    may = None
+    for i, x in enumerate(urlfilter.bits(F_col("e"))):
+        ok = F_col(f"w{i}").bitwiseAND(x) == x
+        may = ok if may is None else may & ok
+    assert 2000 <= probe.where(may).count() < 2100
+
+
+def F_col(x):
+    from pyspark.sql import functions as F
+
+    return F.col(x)
+
+
+# --- 6 substring dedup
+
+
+def cut_brute(rows, width=13):
+    words = [(i, WORD.findall(t or "")) for i, t, *_ in rows]
+    least = {}
+    for i, w in words:
+        for k in range(len(w) - width + 1):
+            m = tuple(w[k:k + width])
+            if i is not None:
+                least[m] = min(least.get(m, i), i)
+    out = []
+    for i, w in words:
+        gone = set()
+        for k in range(len(w) - width + 1):
+            if i is not None and least[tuple(w[k:k + width])] < i:
+                gone |= set(range(k, k + width))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed,vocabulary,words", [(1, 2, 60), (2, 5, 90), (3, 300, 60)])
+def test_dedup_matches_brute_force(spark, seed, vocabulary, words):
+    rows = corpus(90, seed, words, vocabulary)
+    shared = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"{t or ''} {shared} {i}" if n % 7 == 0 else t, *r) for n, (i, t, *r) in enumerate(rows)] + [(None, shared, None, None, 0), (None, None, None, None, 0)]
+    table = spark.createDataFrame(rows, DOCS).repartition(6)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompress.dedup(table).collect()), key=str)
+    assert got == cut_brute(rows)
+
+
+def test_dedup_of_nothing(spark):
+    assert recompress.dedup(empty(spark)).count() == 0
+
+
+def test_supports_decide_symbols():
+    rnd = random.Random(9)
+    words = [f"v{rnd.randrange(4)}" for _ in range(400)]
+    for a in (10, 150, 300):
+        inner = words[a:a + 40]
+        found = []
+        for left, right in ((["l"] * 3, ["r"] * 4), (words[5:30], words[200:260])):
+            b = next(textops.blocks(pa.array([" ".join(left + inner + right)])))
+            s = recompress.Symbols(b.word_hashes(), b.of, b.edges)
+            for k in range(3):
+                s.runs(20 + 4 * k)
+                s.pairs(21 + 4 * k)
+            inside = (s.left >= len(left)) & (s.right <= len(left) + 40)
+            found.append({(int(n), int(x) - len(left), int(y) - len(left)) for n, x, y in zip(s.name[inside], s.left[inside], s.right[inside])})
+        assert found[0] == found[1] and found[0]
+
+
+# --- 7 WARC
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rnd = random.Random(4)
+    html = ["<p>" + "x" * rnd.randint(0, 400) + "é</p>" for _ in range(40)]
+    rows = [(i * 700, f"http://h/{i}\r\nX: y" if i % 9 == 0 else f"http://h/{i}", rnd.choice(html)) for i in range(150)] + [(900001, None, None), (900002, "u", ""), (None, "n", "only"), (5, "u", "a\r\n\r\nb"), (5, "u", "a\r\n\r\nb")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as shard", "'x' as kind").repartition(4)
+    digests = []
+    for k in range(2):
+        base = f"file://{tmp_path}/w{k}"
+        manifest = warc.write_warc(table.repartition(3 + k), base, shard_bytes=20_000, roll_bytes=3_000)
+        listed = {r["file"]: (r["bytes"], r["sha256"]) for r in manifest.collect()}
+        files = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in (tmp_path / f"w{k}").glob("*.gz")}
+        assert listed == files and len(files) > 3
+        digests.append(files)
+    assert digests[0] == digests[1]
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, base).collect()), key=str)
+    best = {}
+    for i, _, h in rows:
+        best[h or ""] = max(best.get(h or "", -1), -1 if i is None else i)
+    want, seen = [], set()
+    for i, _, h in rows:
+        p = (h or "").encode()
+        first = best[h or ""] == (-1 if i is None else i) and (i, h) not in seen
+        seen.add((i, h))
+        want.append((i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if first else "revisit", None if first else best[h or ""]))
+    assert got == sorted(want, key=str)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(none).count() == 0
+
+
+# --- 8 n-gram Jaccard join
+
+
+def jaccard_brute(rows):
+    sets = {}
+    for k, (i, t, *_) in enumerate(rows):
+        w = WORD.findall(lower(t or ""))
+        sets[k] = frozenset([tuple(w)] if 0 < len(w) < 3 else [tuple(w[j:j + 3]) for j in range(len(w) - 2)])
+    label, links = {k: k for k in sets}, Counter()
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        x, y = label[a], label[b]
+        for k in label:
+            if label[k] == y:
+                label[k] = x
+    least = defaultdict(list)
+    for k, c in label.items():
+        if rows[k][0] is not None:
+            least[c].append(rows[k][0])
+    return sorted(((rows[k][0], len(sets[k]), min(least[label[k]], default=None), links[k]) for k in sets), key=str)
+
+
+@pytest.mark.parametrize("leaf,tree,sent", [(128, 1 << 22, 1_000_000), (2, 4096, 0)])
+def test_jaccard_join_matches_brute_force(spark, monkeypatch, leaf, tree, sent):
+    monkeypatch.setattr(sigtree, "LEAF", leaf)
+    monkeypatch.setattr(sigtree, "TREE_TOKENS", tree)
+    monkeypatch.setattr(sigtree, "SENT_ROWS", sent)
+    rnd = random.Random(8)
+    rows = corpus(60, 11, 40, 500)
+    base = [f"b{k}" for k in range(120)]
+    for k in range(40):
+        t = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            t[rnd.randrange(120)] = f"e{rnd.randrange(9)}"
+        rows.append((1000 + k, " ".join(t), None, None, 0))
+    for k in range(8, 14):
+        rows += [(2000 + k, " ".join(f"q{j}" for j in range(k)), None, None, 0), (None, " ".join(f"q{j}" for j in range(k)), None, None, 0)]
+    table = spark.createDataFrame(rows, DOCS).repartition(6)
+    got = sigtree.jaccard_components(table)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got.collect()), key=str)
+    assert got == jaccard_brute(rows)
+
+
+def test_leaf_pairs_drop_only_what_cannot_link():
+    rnd = np.random.default_rng(1)
+    base = [rnd.integers(0, 1 << 60, 80).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([rnd.choice(base[rnd.integers(6)], 76, replace=False), rnd.integers(0, 1 << 60, rnd.integers(0, 30)).astype(np.uint64)])) for _ in range(70)]
+    sets.sort(key=len)
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    tree = sigtree.Tree(ids, edges, 1024, 1)
+    pairs = {tuple(sorted(p)) for p in sigtree.leaf_pairs(tree, tree).tolist()}
+    every = {(a, b) for a in range(70) for b in range(a, 70)}
+    links = {(a, b) for a, b in every if 190 * len(np.intersect1d(sets[a], sets[b])) >= 90 * (len(sets[a]) + len(sets[b]))}
+    assert links <= pairs and len(pairs) < len(every) // 2
+
+
+def test_signatures_of_linking_sets_meet():
+    rnd = np.random.default_rng(2)
+    for n in (8, 9, 10, 11, 19, 20, 40, 100, 700):
+        for _ in range(20):
+            a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
+            drop = rnd.integers(0, n // 10 + 1)
+            b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 1 << 62, rnd.integers(0, n // 10 + 1)).astype(np.uint64)]))
+            if 190 * len(np.intersect1d(a, b)) < 90 * (len(a) + len(b)) or len(a) == len(b) == len(np.intersect1d(a, b)):
+                continue
+            who, key = sigtree.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
+
+
+# --- 9 mixing
+
+
+def test_mixing(spark, docs, rows):
+    out = mixing.mix(docs, ["doc_id", "source"]).collect()
+    assert len(out) == len(rows)
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    total = sum(size[r[0]] for r in rows)
+    sources = Counter()
+    for r in rows:
+        sources[r[3]] += size[r[0]]
+    order = sorted((s for s in sources if s is not None)) + [None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, capped = {}, set()
+    while True:
+        free = [s for s in order if s not in capped]
+        rest = total - sum(3 * sources[s] for s in capped)
+        target = {s: 3 * sources[s] if s in capped else rest * weight[s] / sum(weight[x] for x in free) for s in order}
+        more = {s for s in free if target[s] > 3 * sources[s]}
+        if not more:
+            break
+        capped |= more
+    took = Counter()
+    for r in out:
+        s = r["_row"]["source"]
+        assert r["size"] == size[r["_row"]["doc_id"]] and r["source_size"] == sources[s] and r["target"] == pytest.approx(target[s])
+        assert r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        took[s] += r["taken"]
+    longest = {s: max(size[r[0]] for r in rows if r[3] == s) for s in order}
+    assert all(abs(took[s] - target[s]) <= longest[s] for s in order)
+    again = sorted((r["_row"]["doc_id"], r["copies"]) for r in mixing.mix(docs.repartition(2), ["doc_id"]).collect())
+    assert again == sorted((r["_row"]["doc_id"], r["copies"]) for r in out)
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in out)
+    assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_fill_reaches_the_budget():
+    rnd = random.Random(6)
+    for _ in range(200):
+        lengths = sorted(rnd.sample(range(1, 400), rnd.randint(1, 40)))
+        counts = [rnd.randint(1, 30) for _ in lengths]
+        size = sum(n * c for n, c in zip(lengths, counts))
+        budget = rnd.randint(0, size)
+        take = mixing.fill(lengths, counts, budget)
+        got = sum(n * t for n, t in zip(lengths, take))
+        assert all(0 <= t <= c for t, c in zip(take, counts)) and budget - lengths[-1] < got <= budget
+    assert mixing.fill([3, 5], [4, 4], 11) == [2, 1]
+
+
+# --- 10 language
+
+
+def test_parser_counts_longest_matches():
+    rnd = random.Random(7)
+    sample = bytes(rnd.choice(b"abcd ") for _ in range(300))
+    classes = langid.byte_classes([sample])
+    table = langid.parser(classes[np.frombuffer(sample, np.uint8)].tolist())
+    known = classes[np.frombuffer(sample, np.uint8)].tobytes()
+    for n in (0, 1, 40, 256, 700):
+        text = bytes(rnd.choice(b"abcdx 1") for _ in range(n))
+        want = 0
+        for at in range(0, n, langid.PIECE):
+            piece = classes[np.frombuffer(text[at:at + langid.PIECE], np.uint8)].tobytes()
+            k, want = 0, want + 1
+            for j in range(len(piece)):
+                if piece[k:j + 1] not in known:
+                    want, k = want + 1, j if piece[j:j + 1] in known else j + 1
+        got = langid.phrases(np.frombuffer(text, np.uint8), np.array([0, n]), classes, [table])
+        assert got[0, 0] == want
+
+
+def test_language(spark):
+    rnd = random.Random(1)
+    v = {"en": ["the", "thing", "with", "that", "and"], "de": ["der", "und", "nicht", "für", "sch"], "fr": ["le", "que", "eau", "été", "dans"]}
+    rows = [(i, " ".join(rnd.choices(v[k], k=30)), k, None, 0) for i, k in enumerate(rnd.choices(list(v), k=150))] + [(900, None, "en", None, 0), (901, "12 !!", "en", None, 0), (902, "", None, None, 0), (None, "the thing with that", "en", None, 0)]
+    got = langid.identify(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows)
+    lang = {r[0]: r[2] for r in rows}
+    assert all(g["lang_pred"] == (lang[g["doc_id"]] if g["doc_id"] not in (900, 901, 902) else "und") and 0 <= g["score"] <= 1 for g in got)
+    assert all(g["held_out"] == (g["doc_id"] is not None and zlib.crc32(str(g["doc_id"]).encode()) % 4 == 2) for g in got)
+    assert langid.identify(empty(spark)).count() == 0
+    unlabelled = spark.createDataFrame([(1, "the", None, None, 0)], DOCS)
+    assert langid.identify(unlabelled).first()["lang_pred"] == "und"
