@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -95,11 +96,33 @@ class Symbols:
         del after
 
 
-def anchors(h: np.ndarray, b: T.Block, width: int = WIDTH, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, window hashes, anchor key of each window, anchor's place): what each window is found by.
+@dataclass
+class Found:
+    """The windows of a block and what each is found by: ``best`` is the chosen symbol, or -1 for the window itself."""
 
-    The key is a hash of the words of the chosen symbol's support, or of the whole window if no symbol's
-    support lies in it; its place is the first word it covers. Both follow from the window's words alone."""
+    places: np.ndarray
+    window: np.ndarray
+    best: np.ndarray
+    left: np.ndarray
+    key: np.ndarray
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, key) of every chosen symbol, once, and of the windows without one."""
+        chosen = np.zeros(len(self.left), bool)
+        chosen[self.best[self.best >= 0]] = True
+        alone = self.best < 0
+        return np.concatenate([self.left[chosen], self.places[alone]]), np.concatenate([self.key[chosen], T.mix(self.window[alone], 41)])
+
+    def anchor_of_window(self) -> np.ndarray:
+        if not len(self.left):
+            return self.places
+        return np.where(self.best >= 0, self.left[self.best], self.places)
+
+
+def anchors(h: np.ndarray, b: T.Block, width: int = WIDTH, rounds: int = ROUNDS) -> Found:
+    """Every window with the symbol of lowest rank whose support lies in it.
+
+    A symbol's key is a hash of the words of its support. Choice and key follow from the window's words alone."""
     places, window = T.windows(h, b.edges, width)
     s = Symbols(h, b.of, b.edges)
     for k in range(rounds):
@@ -107,58 +130,43 @@ def anchors(h: np.ndarray, b: T.Block, width: int = WIDTH, rounds: int = ROUNDS)
         s.pairs(21 + 4 * k)
     inside = (s.left >= b.edges[s.of]) & (s.right <= b.edges[s.of + 1]) & (s.right - s.left <= width) if len(s.name) else np.zeros(0, bool)
     left, right = s.left[inside], s.right[inside]
-    order = np.lexsort((right, left))
-    left, right = left[order], right[order]
+    if len(left) and ((left[1:] < left[:-1]) | ((left[1:] == left[:-1]) & (right[1:] < right[:-1]))).any():
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
     key = T.slice_hashes(h, left, right)
     rank = T.mix(key, 40)
     best = np.full(len(places), -1, np.int64)
     lowest = np.full(len(places), np.iinfo(np.uint64).max, T.U)
-    first = np.searchsorted(left, places)
     live = np.arange(len(places))
-    step = 0
+    j = np.searchsorted(left, places)
     while len(live):
-        j = first[live] + step
         ok = j < len(left)
-        live, j = live[ok], j[ok]
-        ok = left[j] < places[live] + width
+        ok[ok] = left[j[ok]] < places[live[ok]] + width
         live, j = live[ok], j[ok]
         take = (right[j] <= places[live] + width) & (rank[j] < lowest[live])
-        lowest[live[take]] = rank[j[take]]
-        best[live[take]] = j[take]
-        step += 1
-    found = best >= 0
-    out_key, out_place = T.mix(window, 41), places.copy()
-    if len(left):
-        out_key[found] = key[best[found]]
-        out_place[found] = left[best[found]]
-    return places, window, out_key, out_place
-
+        at = live[take]
+        lowest[at] = rank[j[take]]
+        best[at] = j[take]
+        j = j + 1
+    return Found(places, window, best, left, key)
 
-ANCHORS = "key long, doc_id long, text long, place int, known boolean"
 
-
-def _batch(doc_ids: pa.Array, b: T.Block, of: np.ndarray) -> pa.Array:
-    return doc_ids.take(pa.array(b.first + of))
+ANCHORS = "key long, doc_id long, place int"
 
 
 def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, hash of the text) to one row for each anchor of a document.
+    """(doc_id, text) to a row for each anchor of a document.
 
-    Of a key that several documents of a block have, all places are known to be shared (``known``, under a
-    key of their own so that they spread) and one row only goes on under the key."""
+    Of a key that several documents of a block have, all places are known to be shared (they go on as -1 - place,
+    under a key of their own so that they spread) and one row only goes on under the key."""
     for batch in batches:
-        ids, codes = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-        doc = ids.to_numpy(zero_copy_only=False)
+        doc = batch.column(0).to_numpy(zero_copy_only=False)
         for b in T.blocks(batch.column(1)):
-            h = b.word_hashes()
-            places, _, key, place = anchors(h, b)
-            if not len(places):
+            place, key = anchors(b.word_hashes(), b).anchors()
+            if not len(place):
                 continue
-            at = np.unique(np.stack([place, T.as_long(key)], 1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
-            place, key = at[:, 0], at[:, 1]
             of = b.of[place]
-            local = place - b.edges[of]
-            row = b.first + of
+            local, row = (place - b.edges[of]).astype(np.int32), b.first + of
             order = np.lexsort((row, key))
             key, row, local = key[order], row[order], local[order]
             head = np.ones(len(key), bool)
@@ -166,51 +174,47 @@ def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.cumsum(head) - 1
             many = (np.bincount(group[np.append(False, (row[1:] != row[:-1]) & ~head[1:])], minlength=group[-1] + 1) > 0)[group]
             go = head | ~many
-            yield _anchor_rows(key[go], doc, codes, row[go], local[go], False)
-            yield _anchor_rows(T.as_long(T.mix(key[many].view(T.U) + row[many].astype(T.U), 3)), doc, codes, row[many], local[many], True)
+            spread = T.mix(key[many] + row[many].astype(T.U), 3)
+            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(np.concatenate([key[go], spread]))), pa.array(np.concatenate([doc[row[go]], doc[row[many]]]), pa.int64()),
+                                              pa.array(np.concatenate([local[go], -1 - local[many]]))], names=["key", "doc_id", "place"])
 
 
-def _anchor_rows(key, doc, codes, row, local, known) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[row], pa.int64()), pa.array(codes[row]), pa.array(local.astype(np.int32)), pa.array(np.full(len(key), known))],
-                                      names=["key", "doc_id", "text", "place", "known"])
-
-
-WINDOWS = "high long, low int, doc_id long, text long, place int, known boolean"
+WINDOWS = "high long, low int, doc_id long, spot long"
+KNOWN = 1 << 62
 
 
 def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, hash, shared places) to the windows whose anchor is at a shared place: (hash, doc_id, place).
+    """(doc_id, text, code, shared places) to the windows whose anchor is at a shared place.
 
-    Of equal windows of a block only the smallest document's goes on; the others are known to be repeats."""
+    ``spot`` packs the place, the text's code and whether the window is known to be a repeat: of equal windows of
+    a block only the smallest document's go on under the hash, the others spread."""
     for batch in batches:
         doc = batch.column(0).to_numpy(zero_copy_only=False)
-        codes = batch.column(2).to_numpy(zero_copy_only=False)
+        codes = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
         shared = batch.column(3)
         for b in T.blocks(batch.column(1)):
             h = b.word_hashes()
-            places, window, _, anchor = anchors(h, b)
+            found = anchors(h, b)
             marked = np.zeros(len(h) + 1, bool)
             for k in range(b.first, b.last):
                 spots = np.asarray(shared[k].values, np.int64)
+                spots = np.where(spots < 0, -1 - spots, spots)
                 spots = spots[spots < b.edges[k - b.first + 1] - b.edges[k - b.first]]
                 marked[b.edges[k - b.first] + spots] = True
-            go = marked[anchor]
-            places, window = places[go], window[go]
+            go = marked[found.anchor_of_window()]
+            places, window = found.places[go], found.window[go]
             if not len(places):
                 continue
             low = (T.slice_hashes(T.mix(h, 77), places, places + WIDTH) >> T.U(33)).astype(np.int32)
-            high, of = T.as_long(window), b.of[places]
+            of = b.of[places]
             row, local = b.first + of, places - b.edges[of]
-            order = np.lexsort((doc[row], low, high))
-            high, low, row, local = high[order], low[order], row[order], local[order]
-            head = np.ones(len(high), bool)
-            head[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-            least = doc[row][np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))]
-            known = doc[row] > least
-            # of equal windows of the smallest document every place goes on: each must be removed if a smaller document has it
-            spread = T.as_long(T.mix(high.view(T.U) + row.astype(T.U), 5))
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, spread, high)), pa.array(low), pa.array(doc[row], pa.int64()), pa.array(codes[row]), pa.array(local.astype(np.int32)), pa.array(known)],
-                                             names=["high", "low", "doc_id", "text", "place", "known"])
+            order = np.lexsort((doc[row], low, window))
+            window, low, row, local = window[order], low[order], row[order], local[order]
+            head = np.ones(len(window), bool)
+            head[1:] = (window[1:] != window[:-1]) | (low[1:] != low[:-1])
+            known = doc[row] > doc[row][np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))]
+            high = np.where(known, T.mix(window + row.astype(T.U), 5), window)
+            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(high)), pa.array(low), pa.array(doc[row], pa.int64()), pa.array(codes[row] << 32 | local | np.where(known, KNOWN, 0))], names=["high", "low", "doc_id", "spot"])
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
@@ -248,21 +252,22 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text hash, starts): the places of windows that a document with a smaller doc_id has as well."""
+    """(doc_id, code, starts): the places of windows that a document with a smaller doc_id has as well.
+
+    ``docs``: (doc_id, text, code). ``code`` tells rows of the same doc_id apart."""
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null and not whole").select("doc_id", "text", "code").mapInArrow(emit_anchors, ANCHORS)
+    rows = docs.select("doc_id", "text").mapInArrow(emit_anchors, ANCHORS)
     by = Window.partitionBy("key")
-    bounds = F.when(~F.col("known"), F.col("doc_id"))
-    shared = rows.withColumn("_lo", F.min(bounds).over(by)).withColumn("_hi", F.max(bounds).over(by)).where("known or _lo < _hi")
-    hits = saved(shared.groupBy("doc_id", "text").agg(F.collect_set("place").alias("places")), "anchors")
+    open_ = F.when(F.col("place") >= 0, F.col("doc_id"))
+    shared = rows.withColumn("_lo", F.min(open_).over(by)).withColumn("_hi", F.max(open_).over(by)).where("place < 0 or _lo < _hi")
+    hits = saved(shared.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "anchors")
     release(spark)
-    side = hits.withColumnRenamed("text", "code")
-    some = docs.withColumnRenamed("doc_id", "_id").withColumnRenamed("code", "_code").join(side, (F.col("_id") == F.col("doc_id")) & (F.col("_code") == F.col("code")))
-    some = some.select("doc_id", "text", "code", "places")
-    rows = some.mapInArrow(emit_windows, WINDOWS)
-    by = Window.partitionBy("high", "low")
-    repeats = rows.withColumn("_lo", F.min(F.when(~F.col("known"), F.col("doc_id"))).over(by)).where("known or _lo < doc_id")
-    out = saved(repeats.groupBy("doc_id", "text").agg(F.collect_set("place").alias("starts")), "repeats")
+    rows = docs.join(hits, "doc_id").select("doc_id", "text", "code", "places").mapInArrow(emit_windows, WINDOWS)
+    known = F.col("spot") >= KNOWN
+    low = F.min(F.when(~known, F.col("doc_id"))).over(Window.partitionBy("high", "low"))
+    repeats = rows.withColumn("_lo", low).where(known | (F.col("_lo") < F.col("doc_id")))
+    code, place = F.shiftright("spot", 32).bitwiseAND(F.lit(0x7FFF)).cast("int"), F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    out = saved(repeats.select("doc_id", code.alias("code"), place.alias("place")).groupBy("doc_id", "code").agg(F.collect_set("place").alias("starts")), "repeats")
     release(spark)
     return out
 
@@ -273,14 +278,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     A word goes if a window of 13 words over it also starts in a document with a smaller key. Texts of fewer
     than 13 words and null texts lose nothing. Rows of equal keys don't count as smaller than each other; a row
-    with a null key loses nothing and takes nothing. Copies of whole texts are found first and are cut whole; all their windows are in the smallest of them."""
+    with a null key loses nothing and takes nothing. Copies of whole texts are found first and are cut whole; all
+    their windows are in the smallest of them. Rows of one key with different texts are told apart by a 15-bit
+    code of the text."""
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    copies = own.where("doc_id is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("s")).groupBy("s").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    own = own.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text")})
+    copies = own.where("doc_id is not null").groupBy("_a", "_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     copies = saved(copies, "copies")
-    full = own.withColumn("code", F.xxhash64("text"))
     side = F.broadcast(copies) if copies.count() <= SENT_ROWS else copies
-    flagged = full.withColumn("s", F.unhex(F.sha2("text", 256))).join(side, "s", "left").select("doc_id", "text", "code", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)).alias("whole"))
-    starts = repeated_windows(flagged)
-    side = starts.select(F.col("doc_id").alias("_d"), F.col("text").alias("_c"), "starts")
-    joined = flagged.join(side, (F.col("doc_id") == F.col("_d")) & (F.col("code") == F.col("_c")), "left").select("doc_id", "text", "whole", "starts")
+    whole = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
+    flagged = own.join(side, ["_a", "_b"], "left").select("doc_id", "text", F.col("_b").bitwiseAND(F.lit(0x7FFF)).cast("int").alias("code"), whole.alias("whole"))
+    starts = repeated_windows(flagged.where("doc_id is not null and not whole").select("doc_id", "text", "code"))
+    joined = flagged.join(starts, ["doc_id", "code"], "left").select("doc_id", "text", "whole", "starts")
     return joined.mapInArrow(cut, RESULT).withColumnRenamed("doc_id", key)
