@@ -17,3 +17,25 @@ def session(app: str = "panelworks", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One parquet table under ``root``; any store that Spark reads."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where the setting is missing."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = getattr(spark.sparkContext, "_panelworks_dir", None)
+        if base is None:
+            base = "file://" + tempfile.mkdtemp(prefix="panelworks-")
+            spark.sparkContext._panelworks_dir = base
+    return base.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table in the shared folder: cuts the lineage and outlives lost executors."""
+    import uuid
+
+    path = f"{work_dir(df.sparkSession)}/panelworks/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
