@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from panelworks.session import saved
 
-X, Y = F.col("x"), F.col("y")
 
-
-def projection(x: Column = X, y: Column = Y, p: str = "") -> tuple[Column, Column]:
+def projection(x: Column | None = None, y: Column | None = None, p: str = "") -> tuple[Column, Column]:
     """(fraction along the segment, distance) of a point; a segment without length is its first end."""
+    x, y = F.col("x") if x is None else x, F.col("y") if y is None else y
     dx, dy = F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1")
     length2 = dx * dx + dy * dy
     f = F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col(f"{p}x1")) * dx + (y - F.col(f"{p}y1")) * dy) / length2))).otherwise(0.0)
@@ -23,8 +22,9 @@ def projection(x: Column = X, y: Column = Y, p: str = "") -> tuple[Column, Colum
     return f, F.sqrt(ex * ex + ey * ey)
 
 
-def side(x: Column = X, y: Column = Y, p: str = "") -> Column:
+def side(x: Column | None = None, y: Column | None = None, p: str = "") -> Column:
     """1 left, -1 right, 0 within a micrometre of the segment's line."""
+    x, y = F.col("x") if x is None else x, F.col("y") if y is None else y
     dx, dy = F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1")
     cross = (dx * (y - F.col(f"{p}y1")) - dy * (x - F.col(f"{p}x1"))) / F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
     return F.when(F.abs(cross) <= 1e-6, 0).otherwise(F.signum(cross).cast("int"))
@@ -64,7 +64,7 @@ def within(points: DataFrame, segments: DataFrame, radius: float, point_id: str,
     lo = [cell(F.least(a, b) - radius) for a, b in (("x1", "x2"), ("y1", "y2"))]
     hi = [cell(F.greatest(a, b) + radius) for a, b in (("x1", "x2"), ("y1", "y2"))]
     s = s.withColumn("_cx", F.explode(F.sequence(lo[0], hi[0]))).withColumn("_cy", F.explode(F.sequence(lo[1], hi[1])))
-    p = points.where(X.isNotNull() & Y.isNotNull()).select(F.col(point_id).alias("_point"), "x", "y", cell(X).alias("_cx"), cell(Y).alias("_cy"))
+    p = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(point_id).alias("_point"), "x", "y", cell(F.col("x")).alias("_cx"), cell(F.col("y")).alias("_cy"))
     hits = p.join(s, ["_cx", "_cy"]).withColumn("dist", projection()[1]).where(F.col("dist") <= radius)
     return hits.groupBy(F.col("_point").alias(point_id), F.col("_line").alias(line_id)).agg(F.min("dist").alias("dist"))
 
@@ -93,9 +93,9 @@ def in_polygon(points: DataFrame, edges: DataFrame, point_id: str, area_id: str,
     row = lambda c: F.floor(c / cell).cast("long")
     box = edges.groupBy(area_id).agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x1"))
     e = edges.join(box, area_id).withColumn("_r", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2")))))
-    p = points.select(point_id, "x", "y", row(Y).alias("_r"))
-    crosses = ((F.col("y1") > Y) != (F.col("y2") > Y)) & (X < (F.col("x2") - F.col("x1")) * (Y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    near = p.join(e, "_r").where(X.between(F.col("_x0"), F.col("_x1")) & (F.col("y1") != F.col("y2")))
+    p = points.select(point_id, "x", "y", row(F.col("y")).alias("_r"))
+    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    near = p.join(e, "_r").where(F.col("x").between(F.col("_x0"), F.col("_x1")) & (F.col("y1") != F.col("y2")))
     inside = near.groupBy(point_id, area_id).agg((F.count_if(crosses) % 2 == 1).alias("_in")).where("_in")
     return points.select(point_id).join(inside.groupBy(point_id).agg(F.min(area_id).alias(area_id)), point_id, "left")
 
@@ -120,8 +120,8 @@ def classify(pairs: DataFrame, margin: float = 50.0, most: float = 600.0, band:
 
     The position runs on past the ends; sign is the barrier's side (1, -1, 0 both, null unknown)."""
     tx, ty = tangent()
-    along = (X - F.col("x1")) * tx + (Y - F.col("y1")) * ty
-    lateral = F.abs((X - F.col("x1")) * ty - (Y - F.col("y1")) * tx)
+    along = (F.col("x") - F.col("x1")) * tx + (F.col("y") - F.col("y1")) * ty
+    lateral = F.abs((F.col("x") - F.col("x1")) * ty - (F.col("y") - F.col("y1")) * tx)
     off = F.greatest(F.lit(0.0), F.col("span_start") - along, along - F.col("span_end"))
     same = F.when(F.col("sign") == 0, True).otherwise(side() == F.col("sign"))
     beside = off <= margin

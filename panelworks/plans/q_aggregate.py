@@ -11,7 +11,8 @@ from panelworks.operators import joins as J
 from panelworks.plans.registry import query
 from panelworks.session import table as t
 
-Y = F.year("o_orderdate")
+def Y():  # noqa: N802
+    return F.year("o_orderdate")
 
 
 @query("a01_weighted_mean", "SELECT l_suppkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS wmean FROM lineitem GROUP BY 1")
@@ -35,8 +36,14 @@ def a03(spark, d):
     return t(spark, d, "customer").select("c_custkey").join(e, "c_custkey", "left").fillna({"n": 0, "any_urgent": False, "total": 0.0})
 
 
-QUAL = {"a": F.col("o_totalprice") > 100000, "b": (F.col("o_totalprice") > 100000) & (F.col("o_orderpriority") == "1-URGENT"), "c": (F.col("o_totalprice") > 300000) & (F.col("o_orderpriority") == "1-URGENT")}
-YEAR_OR_NULL = F.when(F.col("o_orderkey") % 5 != 0, Y)
+def QUAL():  # noqa: N802
+    return {"a": F.col("o_totalprice") > 100000, "b": (F.col("o_totalprice") > 100000) & (F.col("o_orderpriority") == "1-URGENT"), "c": (F.col("o_totalprice") > 300000) & (F.col("o_orderpriority") == "1-URGENT")}
+
+
+def YEAR_OR_NULL():  # noqa: N802
+    return F.when(F.col("o_orderkey") % 5 != 0, Y())
+
+
 SQL_Y = "CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate) END"
 
 
@@ -49,12 +56,12 @@ TIERS = {"a": "o_totalprice > 100000", "b": "(o_totalprice > 100000 AND o_orderp
 
 @query("a04_first_event", f"SELECT o_custkey, {_tier('b', TIERS['b'])} FROM orders GROUP BY 1")
 def a04(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg(*A.first_event(YEAR_OR_NULL, QUAL["b"], "b"))
+    return t(spark, d, "orders").groupBy("o_custkey").agg(*A.first_event(YEAR_OR_NULL(), QUAL()["b"], "b"))
 
 
 @query("a05_tiered_first_event", f"SELECT o_custkey, {', '.join(_tier(k, v) for k, v in TIERS.items())} FROM orders GROUP BY 1")
 def a05(spark, d):
-    return A.tiered_first_event(t(spark, d, "orders"), ["o_custkey"], YEAR_OR_NULL, QUAL)
+    return A.tiered_first_event(t(spark, d, "orders"), ["o_custkey"], YEAR_OR_NULL(), QUAL())
 
 
 @query("a06_buffer_dose", """SELECT l_suppkey, count(*) FILTER (WHERE l_quantity <= 5) AS n_5, count(*) FILTER (WHERE l_quantity <= 10) AS n_10, count(*) FILTER (WHERE l_quantity <= 25) AS n_25, sum(CASE WHEN l_quantity <= 10 THEN l_linenumber ELSE 0 END)::BIGINT AS len_10, bool_or(l_quantity <= 10) AS ever_10 FROM lineitem GROUP BY 1""")
@@ -66,7 +73,7 @@ def a06(spark, d):
 @query("a07_nearest_and_dating", f"""SELECT o_custkey, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS nearest, arg_min(o_orderkey, (coalesce({SQL_Y}, 9999), o_totalprice, o_orderkey)) AS dating FROM orders GROUP BY 1""")
 def a07(spark, d):
     k = F.col("o_orderkey")
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.min_by(k, F.struct("o_totalprice", k)).alias("nearest"), F.min_by(k, F.struct(F.coalesce(YEAR_OR_NULL, F.lit(9999)), F.col("o_totalprice"), k)).alias("dating"))
+    return t(spark, d, "orders").groupBy("o_custkey").agg(F.min_by(k, F.struct("o_totalprice", k)).alias("nearest"), F.min_by(k, F.struct(F.coalesce(YEAR_OR_NULL(), F.lit(9999)), F.col("o_totalprice"), k)).alias("dating"))
 
 
 @query("a08_pivot", """SELECT o_custkey, round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS "F", round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS "O", round(sum(o_totalprice) FILTER (WHERE o_orderstatus = 'X'), 2) AS "X" FROM orders GROUP BY 1""")
@@ -82,7 +89,7 @@ def a09(spark, d):
 
 @query("a10_last_in_period", "SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS last FROM orders WHERE o_totalprice > 50000 GROUP BY 1, 2")
 def a10(spark, d):
-    return t(spark, d, "orders").where("o_totalprice > 50000").groupBy("o_custkey", Y.alias("year")).agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("last"))
+    return t(spark, d, "orders").where("o_totalprice > 50000").groupBy("o_custkey", Y().alias("year")).agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("last"))
 
 
 @query("a11_conditional_totals", """WITH u AS (SELECT DISTINCT l_suppkey, l_partkey, l_returnflag FROM lineitem), n AS (SELECT l_suppkey, count(*) AS num FROM u WHERE l_returnflag = 'R' AND l_suppkey % 3 <> 0 GROUP BY 1), m AS (SELECT l_suppkey, count(*) AS total FROM u WHERE l_suppkey % 5 <> 0 GROUP BY 1)
@@ -121,7 +128,7 @@ def a15(spark, d):
 
 @query("a16_run_report", """SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_units, CAST(min(year(o_orderdate)) AS INTEGER) AS first, CAST(max(year(o_orderdate)) AS INTEGER) AS last, count(*) FILTER (WHERE o_totalprice > 300000) AS n_strict FROM orders""")
 def a16(spark, d):
-    return t(spark, d, "orders").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("n_units"), F.min(Y).alias("first"), F.max(Y).alias("last"), F.count_if(F.col("o_totalprice") > 300000).alias("n_strict"))
+    return t(spark, d, "orders").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("n_units"), F.min(Y()).alias("first"), F.max(Y()).alias("last"), F.count_if(F.col("o_totalprice") > 300000).alias("n_strict"))
 
 
 @query("a17_cross_tab", """SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) AS n FROM orders GROUP BY 1""")
@@ -132,7 +139,7 @@ def a17(spark, d):
 @query("a18_coverage", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, round(avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0 END), 9) AS covered FROM orders GROUP BY 1""")
 def a18(spark, d):
     v = F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice"))
-    return t(spark, d, "orders").groupBy(Y.alias("year")).agg(F.round(F.avg(v.isNotNull().cast("double")), 9).alias("covered"))
+    return t(spark, d, "orders").groupBy(Y().alias("year")).agg(F.round(F.avg(v.isNotNull().cast("double")), 9).alias("covered"))
 
 
 @query("a19_distribution", """SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, min(o_totalprice) AS lo, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS med, round(quantile_cont(o_totalprice, 0.9), 4) AS q9 FROM orders GROUP BY 1""")
@@ -159,7 +166,7 @@ def a21(spark, d):
 
 @query("a22_churn", """WITH u AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS y FROM orders), p AS (SELECT DISTINCT y FROM u) SELECT CAST(p.y AS INTEGER) AS year, count(*) FILTER (WHERE a.y IS NULL) AS entered, count(*) FILTER (WHERE b.y IS NULL) AS leaving FROM u p LEFT JOIN u a ON a.o_custkey = p.o_custkey AND a.y = p.y - 1 LEFT JOIN u b ON b.o_custkey = p.o_custkey AND b.y = p.y + 1 GROUP BY 1""")
 def a22(spark, d):
-    u = t(spark, d, "orders").select("o_custkey", Y.alias("year")).distinct()
+    u = t(spark, d, "orders").select("o_custkey", Y().alias("year")).distinct()
     w = Window.partitionBy("o_custkey").orderBy("year")
     e = u.withColumn("before", F.lag("year").over(w)).withColumn("after", F.lead("year").over(w))
     out = lambda c, k: F.count_if(F.col(c).isNull() | (F.abs(F.col(c) - F.col("year")) != k))
@@ -168,7 +175,7 @@ def a22(spark, d):
 
 @query("a23_transition_means", """SELECT o_orderpriority, round(avg(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997), 4) AS before, round(avg(o_totalprice) FILTER (WHERE year(o_orderdate) = 1999), 4) AS after, round(avg(o_totalprice) FILTER (WHERE year(o_orderdate) = 1999) - avg(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997), 4) AS change FROM orders GROUP BY 1""")
 def a23(spark, d):
-    m = lambda y: F.avg(F.when(Y == y, F.col("o_totalprice")))
+    m = lambda y: F.avg(F.when(Y() == y, F.col("o_totalprice")))
     return t(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(m(1997), 4).alias("before"), F.round(m(1999), 4).alias("after"), F.round(m(1999) - m(1997), 4).alias("change"))
 
 
@@ -177,13 +184,13 @@ FT = "SELECT o_custkey, min(year(o_orderdate)) AS g FROM orders WHERE o_orderpri
 
 def first_treat(spark, d):
     o = t(spark, d, "orders")
-    return o.where("o_orderpriority = '1-URGENT' AND o_totalprice > 200000").groupBy("o_custkey").agg(F.min(Y).alias("g"))
+    return o.where("o_orderpriority = '1-URGENT' AND o_totalprice > 200000").groupBy("o_custkey").agg(F.min(Y()).alias("g"))
 
 
 @query("a24_identifying_units", f"""SELECT o_custkey, CAST(min(year(o_orderdate)) AS INTEGER) AS first, CAST(max(year(o_orderdate)) AS INTEGER) AS last, count(*) FILTER (WHERE year(o_orderdate) >= g) AS n_post FROM orders JOIN ({FT}) USING (o_custkey) GROUP BY 1 HAVING bool_or(year(o_orderdate) < g) AND bool_or(year(o_orderdate) >= g)""")
 def a24(spark, d):
     o = t(spark, d, "orders").join(first_treat(spark, d), "o_custkey")
-    g = o.groupBy("o_custkey").agg(F.min(Y).alias("first"), F.max(Y).alias("last"), F.count_if(Y >= F.col("g")).alias("n_post"), F.bool_or(Y < F.col("g")).alias("pre"))
+    g = o.groupBy("o_custkey").agg(F.min(Y()).alias("first"), F.max(Y()).alias("last"), F.count_if(Y() >= F.col("g")).alias("n_post"), F.bool_or(Y() < F.col("g")).alias("pre"))
     return g.where("pre and n_post > 0").drop("pre")
 
 
@@ -191,7 +198,7 @@ def a24(spark, d):
   SELECT o_custkey, CAST(least(a, b) AS INTEGER) AS first FROM a WHERE NOT (unknown AND least(a, b) IS NULL)""")
 def a25(spark, d):
     p = F.col("o_totalprice")
-    a = t(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.when((F.col("o_orderpriority") == "1-URGENT") & (p > 300000), Y)).alias("a"), F.min(F.when((F.col("o_orderstatus") == "P") & (p > 400000), Y)).alias("b"), F.bool_or(F.col("o_orderkey") % 101 == 0).alias("unknown"))
+    a = t(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.when((F.col("o_orderpriority") == "1-URGENT") & (p > 300000), Y())).alias("a"), F.min(F.when((F.col("o_orderstatus") == "P") & (p > 400000), Y())).alias("b"), F.bool_or(F.col("o_orderkey") % 101 == 0).alias("unknown"))
     return a.withColumn("first", F.least("a", "b")).where("not (unknown and first is null)").select("o_custkey", "first")
 
 
@@ -203,13 +210,13 @@ def a26(spark, d):
 
 @query("a27_spanning_groups", "SELECT o_custkey, o_orderpriority FROM orders GROUP BY 1, 2 HAVING bool_or(year(o_orderdate) < 1998) AND bool_or(year(o_orderdate) >= 1998)")
 def a27(spark, d):
-    g = t(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.bool_or(Y < 1998).alias("pre"), F.bool_or(Y >= 1998).alias("post"))
+    g = t(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.bool_or(Y() < 1998).alias("pre"), F.bool_or(Y() >= 1998).alias("post"))
     return g.where("pre and post").select("o_custkey", "o_orderpriority")
 
 
 @query("w01_z_score", """SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER w) / stddev_samp(o_totalprice) OVER w, 6) AS z FROM orders WINDOW w AS (PARTITION BY year(o_orderdate), o_orderpriority)""")
 def w01(spark, d):
-    return A.z_within(t(spark, d, "orders").withColumn("year", Y), ["year", "o_orderpriority"], "o_totalprice", "z").select("o_orderkey", F.round("z", 6).alias("z"))
+    return A.z_within(t(spark, d, "orders").withColumn("year", Y()), ["year", "o_orderpriority"], "o_totalprice", "z").select("o_orderkey", F.round("z", 6).alias("z"))
 
 
 @query("w02_weighted_z", """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS x, CASE WHEN l_linenumber > 1 THEN l_quantity END AS w FROM lineitem), m AS (SELECT l_suppkey, sum(w * x) / sum(CASE WHEN w IS NOT NULL THEN w END) AS m FROM x GROUP BY 1), v AS (SELECT l_suppkey, sqrt(sum(w * pow(x - m, 2)) / sum(w)) AS s FROM x JOIN m USING (l_suppkey) GROUP BY 1)
@@ -223,7 +230,7 @@ def w02(spark, d):
   SELECT o_orderkey, year, era, 'z' AS series, round((v - avg(v) OVER w) / stddev_samp(v) OVER w, 6) AS value FROM x WINDOW w AS (PARTITION BY year, era) UNION ALL SELECT o_orderkey, year, era, 'raw', round(v, 4) FROM x""")
 def w03(spark, d):
     p = F.col("o_totalprice")
-    x = t(spark, d, "orders").select("o_orderkey", Y.alias("year"), F.when(Y < 1998, "old").otherwise("new").alias("era"), F.when(Y < 1998, p).otherwise(p / 10 + 3).alias("v"))
+    x = t(spark, d, "orders").select("o_orderkey", Y().alias("year"), F.when(Y() < 1998, "old").otherwise("new").alias("era"), F.when(Y() < 1998, p).otherwise(p / 10 + 3).alias("v"))
     z = A.z_within(x, ["year", "era"], "v", "z").select("o_orderkey", "year", "era", F.lit("z").alias("series"), F.round("z", 6).alias("value"))
     return z.unionByName(x.select("o_orderkey", "year", "era", F.lit("raw").alias("series"), F.round("v", 4).alias("value")))
 
@@ -256,7 +263,7 @@ def w08(spark, d):
 
 @query("w09_dense_ids", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority, year(o_orderdate)) AS INTEGER) AS cell_id FROM orders")
 def w09(spark, d):
-    return A.dense_ids(t(spark, d, "orders").select("o_orderkey", "o_orderpriority", Y.alias("year")), ["o_orderpriority", "year"], "cell_id").select("o_orderkey", "cell_id")
+    return A.dense_ids(t(spark, d, "orders").select("o_orderkey", "o_orderpriority", Y().alias("year")), ["o_orderpriority", "year"], "cell_id").select("o_orderkey", "cell_id")
 
 
 @query("w10_quantile_groups", """WITH c AS (SELECT quantile_cont(c_acctbal, [0.2, 0.4, 0.6, 0.8]) AS q FROM customer) SELECT c_custkey, CAST(CASE WHEN c_acctbal <= q[1] THEN 1 WHEN c_acctbal <= q[2] THEN 2 WHEN c_acctbal <= q[3] THEN 3 WHEN c_acctbal <= q[4] THEN 4 ELSE 5 END AS INTEGER) AS quintile FROM customer, c""")
@@ -277,8 +284,8 @@ def w11(spark, d):
 @query("w12_treatment_clock", f"""SELECT o_orderkey, coalesce(year(o_orderdate) >= g, false) AS post, coalesce(g <= min(year(o_orderdate)) OVER (PARTITION BY o_custkey), false) AS always FROM orders LEFT JOIN ({FT}) USING (o_custkey)""")
 def w12(spark, d):
     o = t(spark, d, "orders").join(first_treat(spark, d), "o_custkey", "left")
-    first = F.min(Y).over(Window.partitionBy("o_custkey"))
-    return o.select("o_orderkey", F.coalesce(Y >= F.col("g"), F.lit(False)).alias("post"), F.coalesce(F.col("g") <= first, F.lit(False)).alias("always"))
+    first = F.min(Y()).over(Window.partitionBy("o_custkey"))
+    return o.select("o_orderkey", F.coalesce(Y() >= F.col("g"), F.lit(False)).alias("post"), F.coalesce(F.col("g") <= first, F.lit(False)).alias("always"))
 
 
 @query("w13_permutation_rank")
@@ -319,7 +326,7 @@ def u02(spark, d):
 
 @query("u03_nesting", f"SELECT count(*) FILTER (WHERE c AND NOT b) AS strict_not_loose, count(*) FILTER (WHERE b AND NOT c) AS loose_not_strict FROM (SELECT o_custkey, bool_or({TIERS['b']}) AS b, bool_or({TIERS['c']}) AS c FROM orders GROUP BY 1)")
 def u03(spark, d):
-    tiers = A.tiered_first_event(t(spark, d, "orders"), ["o_custkey"], YEAR_OR_NULL, QUAL)
+    tiers = A.tiered_first_event(t(spark, d, "orders"), ["o_custkey"], YEAR_OR_NULL(), QUAL())
     return tiers.agg(F.count_if(F.col("ever_c") & ~F.col("ever_b")).alias("strict_not_loose"), F.count_if(F.col("ever_b") & ~F.col("ever_c")).alias("loose_not_strict"))
 
 
@@ -336,7 +343,7 @@ def u04(spark, d):
   QUALIFY row_number() OVER (PARTITION BY u.o_custkey, u.year ORDER BY abs(release - u.year), release) = 1""")
 def panel_mini(spark, d):
     """Unit-year outcomes with covariates, the nearest year's traffic and the treatment clock: one wide shuffle by unit, all else small."""
-    o = t(spark, d, "orders").groupBy("o_custkey", Y.alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("outcome"), F.count(F.lit(1)).alias("weight"))
+    o = t(spark, d, "orders").groupBy("o_custkey", Y().alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("outcome"), F.count(F.lit(1)).alias("weight"))
     c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left").join(t(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
     o = J.many_to_one(o, c.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "n_name", "r_name"), ["o_custkey"])
     s = t(spark, d, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("release")).agg(F.count(F.lit(1)).alias("traffic")).where("release % 2 = 0")
