@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql.types import DoubleType
 
 from panelworks.session import saved
 
@@ -113,8 +111,10 @@ def chains(lines: DataFrame, line: str, join_m: float = 5.0, max_turn_cos: float
     return out.unionByName(alone)
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
+def _greedy(pairs):
     """Joins ends in order of (gap, turn, ids) unless an end is taken or a loop would close; then numbers each chain."""
+    import pandas as pd
+
     top: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -151,11 +151,3 @@ def side_votes(stubs: DataFrame, decided: DataFrame, group: str, near: Column) -
     """A stub's side from decided records of its group near it, if they all agree."""
     v = stubs.join(decided, group).where(near).groupBy("stub").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi"), F.count(F.lit(1)).alias("n_votes"))
     return v.select("stub", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("sign"), "n_votes")
-
-
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two strings; null if either is. Use it on blocked candidates only."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -162,3 +162,40 @@ def transverse_mercator(lon: Column, lat: Column, central: float, scale: float =
         north = north + c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
         easting = easting + c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
     return F.lit(east) + scale * a * easting, scale * a * north
+
+
+def along(segments: DataFrame, line_id: str, step: float) -> DataFrame:
+    """(line_id, i, n, x, y): points every ``step`` metres or closer along each segment, both ends included."""
+    n = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / step), F.lit(1)).cast("int")
+    p = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / F.col("n")
+    return p.select(line_id, "i", "n", at("x1", "x2").alias("x"), at("y1", "y2").alias("y"))
+
+
+def beside(lines: DataFrame, others: DataFrame, line_id: str, other_id: str, reach: float, step: float = 5.0, min_cos: float = 0.8) -> DataFrame:
+    """(line, other, sign, share, dist): other lines that run along a line within ``reach`` and stay on one side of it.
+
+    Sampled every ``step`` metres; share is the part of the other line inside the reach."""
+    p = along(others.select(F.col(other_id).alias("_o"), "x1", "y1", "x2", "y2"), "_o", step).withColumn("_pid", F.concat_ws("/", "_o", "i"))
+    near = within(p, lines, reach, "_pid", line_id).join(p, "_pid").join(lines, line_id)
+    s = near.withColumn("_side", side()).groupBy(line_id, "_o").agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"), (F.count(F.lit(1)) / (F.max("n") + 1)).alias("share"), F.avg("dist").alias("dist"))
+    (ax, ay), (bx, by) = tangent("a"), tangent("b")
+    rename = lambda df, p_, key, new: df.select(F.col(key).alias(new), *[F.col(c).alias(f"{p_}{c}") for c in ("x1", "y1", "x2", "y2")])
+    s = s.where("_lo = _hi and _lo <> 0").join(rename(lines, "a", line_id, line_id), line_id).join(rename(others, "b", other_id, "_o"), "_o").where(F.abs(ax * bx + ay * by) >= min_cos)
+    return s.select(line_id, F.col("_o").alias(other_id), F.col("_lo").alias("sign"), "share", "dist")
+
+
+def decided_side(evidence: list[tuple[str, Column]]) -> tuple[Column, Column]:
+    """(sign, method) by the first evidence that has one; 'unknown' where none has."""
+    sign = F.coalesce(*[c for _, c in evidence])
+    method = None
+    for name, c in evidence:
+        method = F.when(c.isNotNull(), name) if method is None else method.when(c.isNotNull(), name)
+    return sign, method.otherwise("unknown")
+
+
+def longest_part(parts: DataFrame, line_id: str, part: str) -> DataFrame:
+    """The longest part of each multi-part line, the lowest number on ties; parts are rows of segments."""
+    n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    g = parts.groupBy(line_id, part).agg(F.sum(n).alias("length_m"))
+    return g.groupBy(line_id).agg(F.min_by(F.struct(part, "length_m"), F.struct(-F.col("length_m"), F.col(part))).alias("b")).select(line_id, "b.*")

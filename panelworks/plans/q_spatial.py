@@ -207,3 +207,57 @@ def g27(spark, d):
 def g29(spark, d):
     e, n = S.transverse_mercator(F.lit(15.0) + F.col("x") / 100, F.lit(60.0) + F.col("y") / 100, 15.0)
     return points(spark, d).select("vec_id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+
+
+@query("g16_side_decision")
+def g16(spark, d):
+    """Manual sign, then a wall on one side, then a parallel neighbour, else unknown."""
+    a = lines(spark, d).where("line_id % 2 = 0")
+    walls, roads = lines(spark, d).where("line_id % 4 = 1"), lines(spark, d).where("line_id % 4 = 3")
+    one = lambda df, name: df.groupBy("line_id").agg(F.when(F.min("sign") == F.max("sign"), F.min("sign")).otherwise(0).alias(name))
+    wall = one(S.beside(a, walls.withColumnRenamed("line_id", "o"), "line_id", "o", 60.0).where("share >= 0.5"), "wall")
+    road = one(S.beside(a, roads.withColumnRenamed("line_id", "o"), "line_id", "o", 80.0), "road")
+    e = a.join(wall, "line_id", "left").join(road, "line_id", "left")
+    sign, method = S.decided_side([("manual", F.when(F.col("line_id") % 11 == 0, 1)), ("wall", F.col("wall")), ("road", -F.col("road"))])
+    return e.select("line_id", sign.alias("sign"), method.alias("method"))
+
+
+@query("g17_wall_beside")
+def g17(spark, d):
+    a, walls = lines(spark, d).where("line_id % 2 = 0"), lines(spark, d).where("line_id % 2 = 1").withColumnRenamed("line_id", "wall")
+    b = S.beside(a, walls, "line_id", "wall", 40.0).where("share >= 0.25")
+    best = b.groupBy("line_id", "sign").agg(F.min_by("wall", F.struct(-F.col("share"), F.col("dist"), F.col("wall"))).alias("wall"))
+    return best.groupBy("line_id").agg(F.when(F.count(F.lit(1)) > 1, 0).otherwise(F.max("sign")).alias("sign"), F.min("wall").alias("wall"))
+
+
+@query("g18_parallel_neighbours")
+def g18(spark, d):
+    a = lines(spark, d)
+    b = S.beside(a, a.withColumnRenamed("line_id", "other"), "line_id", "other", 80.0, 10.0).where("line_id <> other and share >= 0.5")
+    return b.groupBy("line_id", "sign").agg(F.min_by("other", F.struct("dist", "other")).alias("other"))
+
+
+@query("g23_zone_agreement")
+def g23(spark, d):
+    """Cells of the protected zone against the point test at points that are not cell centres."""
+    s = lines(spark, d).where("line_id < 60")
+    pts = S.corridor_cells(s, 60.0, 10).select("cell_id", (F.col("easting") + 7.0).alias("x"), (F.col("northing") + 4.0).alias("y"), (F.col("easting") + 5.0).alias("cx"), (F.col("northing") + 5.0).alias("cy"))
+    span = {"sign": F.lit(1), "span_start": F.lit(0.0), "span_end": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))}
+    near = S.within(pts, s, 60.0, "cell_id", "line_id").select("cell_id", "line_id").join(pts, "cell_id").join(s, "line_id").withColumns(span)
+    test = S.classify(near, margin=10.0, most=40.0, band=60.0).select("cell_id", "line_id", "cx", "cy", *[c for c in s.columns if c != "line_id"], *span, F.col("protected").alias("by_point"))
+    zone = S.classify(test.withColumnsRenamed({"cx": "x", "cy": "y"}), margin=10.0, most=40.0, band=60.0)
+    return zone.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("protected") == F.col("by_point")).cast("double")), 6).alias("agree"))
+
+
+@query("g25_longest_part", f"WITH p AS ({PT}), s AS (SELECT a.vec_id // 20 AS line, (a.vec_id % 20) // 5 AS part, sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS len FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 GROUP BY 1, 2) SELECT line, arg_min(part, (-len, part)) AS part, round(max(len), 3) AS length_m FROM s GROUP BY 1")
+def g25(spark, d):
+    p = points(spark, d)
+    nxt = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    seg = p.join(nxt, "vec_id").select(F.floor(F.col("vec_id") / 20).alias("line"), F.floor(F.col("vec_id") % 20 / 5).alias("part"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+    return S.longest_part(seg, "line", "part").withColumn("length_m", F.round("length_m", 3))
+
+
+@query("g28_context_lines", f"SELECT vec_id AS center, line_id FROM ({PT}) p, ({SG}) s WHERE vec_id % 25 = 0 AND line_id <> vec_id AND {DIST} <= 60")
+def g28(spark, d):
+    c = points(spark, d).where("vec_id % 25 = 0").select(F.col("vec_id").alias("center"), "x", "y")
+    return S.within(c, lines(spark, d), 60.0, "center", "line_id").where("center <> line_id").select("center", "line_id")
