@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from panelworks.session import saved
+
 
 def weighted_mean(x: Column, w: Column) -> Column:
     """Sum of w*x over sum of w, over rows that have both."""
@@ -60,10 +62,23 @@ def holm(df: DataFrame, family: list[str], p: str, out: str) -> DataFrame:
     return df.withColumn("_s", step).withColumn(out, F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
 
 
+def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
+    """The sum of ``value`` over all earlier rows of the whole table in ``order``, by range partitions.
+
+    Only one sum for each partition meets in one place. ``order`` should tell all rows apart."""
+    parts = saved(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_v", value), "ranges")
+    sums = parts.groupBy("_p").agg(F.sum("_v").alias("_s"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
+    return own.join(starts, "_p").withColumn(out, F.col("_base") + F.col("_in")).drop("_p", "_v", "_base", "_in")
+
+
 def dense_ids(df: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Dense ids from 1 over the distinct keys, which are ranked on their own and joined back."""
-    ids = df.select(*keys).distinct().withColumn(out, F.row_number().over(Window.orderBy(*keys)))
-    return df.join(ids, keys)
+    """Dense ids from 1 over the distinct keys, which are numbered on their own and joined back."""
+    ids = running_total(df.select(*keys).distinct(), [F.col(k) for k in keys], F.lit(1), out)
+    return df.join(ids.withColumn(out, (F.col(out) + 1).cast("int")), keys)
 
 
 def permutation_rank(units: DataFrame, draws: int, seed: int, unit: str) -> DataFrame:
