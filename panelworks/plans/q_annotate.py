@@ -12,7 +12,7 @@ from panelworks.session import table as t
 
 ANS = """SELECT l_partkey AS task, l_suppkey % 4 AS reviewer, l_orderkey * 10 + l_linenumber AS tm, CASE WHEN l_linenumber <= 5 THEN 'aligned' ELSE 'skipped' END AS status, CASE WHEN l_linenumber <= 5 THEN l_quantity - 25 END AS lat_m, CASE WHEN l_tax > 0.07 THEN 1.0 END AS other, CASE WHEN l_returnflag <> 'N' THEN 'occluded' END AS reason FROM lineitem"""
 CAT = "CASE WHEN status = 'aligned' THEN CASE WHEN other IS NOT NULL THEN 'both' WHEN lat_m >= 2 THEN 'left' WHEN lat_m <= -2 THEN 'right' ELSE 'centre' END ELSE coalesce(reason, 'unsure') END"
-LAST = f"(SELECT task, reviewer, arg_max({CAT}, tm) AS category, arg_max(coalesce(lat_m, 1e9), tm) AS lat_m FROM ({ANS}) GROUP BY 1, 2)"
+LAST = f"(SELECT task, reviewer, arg_max(category, (tm, category, coalesce(lat_m, 1e9))) AS category, arg_max(coalesce(lat_m, 1e9), (tm, category, coalesce(lat_m, 1e9))) AS lat_m FROM (SELECT *, {CAT} AS category FROM ({ANS})) GROUP BY 1, 2)"
 
 
 def answers(spark, d):
@@ -23,7 +23,7 @@ def answers(spark, d):
 
 
 def latest(spark, d):
-    return answers(spark, d).groupBy("task", "reviewer").agg(F.max_by(F.struct("category", "lat_m"), "at").alias("a")).select("task", "reviewer", "a.*")
+    return answers(spark, d).groupBy("task", "reviewer").agg(F.max_by(F.struct("category", "lat_m"), F.struct("at", "category", F.coalesce("lat_m", F.lit(1e9)))).alias("a")).select("task", "reviewer", "a.*")
 
 
 @query("b01_stratified_sample")

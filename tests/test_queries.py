@@ -10,7 +10,7 @@ from panelworks.plans import catalog
 ROOT = os.environ.get("PANELWORKS_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no tables here")
 #: Too few rows on the smallest tables for the query to return any.
-MAY_BE_EMPTY = {"a26_mixed_cohorts", "j24_referential_integrity"}
+MAY_BE_EMPTY = {"a26_mixed_cohorts", "j24_referential_integrity", "j27_two_hop_values"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
