@@ -1,45 +1,24 @@
-"""Shared pieces: the shared work folder, saved tables, word columns, seeded ranks
-and connected components."""
+"""Shared pieces: work paths, word columns and seeded ranks."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from panelworks.operators.network import components  # noqa: F401
+from panelworks.session import saved, work_dir  # noqa: F401
+
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is missing (tests, a laptop) a local folder is used."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_panelworks_dir", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="panelworks-")
-            spark.sparkContext._panelworks_dir = base
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/panelworks/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table in the shared folder: cuts the lineage, and survives
-    lost executors because nothing of it stays on one machine."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of stages that nothing refers to any more."""
     import gc
@@ -94,30 +73,3 @@ def ordered_rank(df: DataFrame, order: Column, out: str) -> DataFrame:
     starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     return numbered.join(starts, "_part").withColumn(out, (F.col("_start") + F.col("_rn") - 1).cast("long")).drop("_part", "_rn", "_start")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge table: (v, root), root the smallest vertex.
-
-    Alternates large-star and small-star rounds; each round is one job over the edges and is cut off
-    by a written table. A vertex without an edge is not in the result."""
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    last = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.select("u", "v", low.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
-        small = (down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-        e = saved(small, "edges")
-        mark = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if tuple(mark) == last:
-            break
-        last = tuple(mark)
-    else:
-        raise RuntimeError("components did not settle")
-    stars = e.select(F.col("u").alias("v"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct())
