@@ -30,7 +30,7 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir), keep=["doc_id"])
-    return judged.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+    return judged.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query
@@ -136,3 +136,39 @@ def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
+
+
+ORACLES["op7_warc_writer"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+d AS (SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1) FOR i IN range(0, 32)], '') AS b FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM d
+"""
+
+
+def _quality_sql() -> str:
+    """The same rules and the same EM, 25 rounds of it, in SQL."""
+    rules = quality.RULES
+    at = [(r, x) for r in range(len(rules)) for x in (-1, 0, 1)]
+    votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in rules)
+    start = {k: "[" + ", ".join(f"{quality.START[k][x]}::DOUBLE" for _, x in at) + "]" for k in ("good", "bad")}
+    odds = " + ".join(f"ln(good[{3 * r + 2} + v[{r + 1}]] / bad[{3 * r + 2} + v[{r + 1}]])" for r in range(len(rules)))
+    sums = {k: "[" + ", ".join(f"(sum(CASE WHEN v[{r + 1}] = {x} THEN n * {w} ELSE 0 END) + 0.5) / (sum(n * {w}) + 1.5)" for r, x in at) + "]" for k, w in (("good", "q"), ("bad", "(1 - q)"))}
+    stops = ", ".join(f"'{x}'" for x in quality.STOPS)
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT row, unnest(range(1, len(w) - 1)) AS i, w FROM (SELECT row_number() OVER () AS row, w FROM (SELECT DISTINCT w FROM t)) WHERE len(w) >= 3),
+k AS (SELECT w, i, count(*) OVER (PARTITION BY row, w[i], w[i+1], w[i+2]) AS c FROM g),
+rep AS (SELECT w, count(DISTINCT i + j) AS n_repeat_words FROM k, (SELECT unnest([0, 1, 2]) AS j) WHERE c > 1 GROUP BY w),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
+  len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '!')) AS n_shouts, len(list_filter(w, lambda x: NOT regexp_matches(x, '[\pL\pN.,;:?)"'']$'))) AS n_odd_ends, len(list_intersect(list_distinct(w), [{stops}])) AS n_stops FROM t LEFT JOIN rep USING (w)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{votes}] AS v FROM m),
+p AS (SELECT v, count(*) AS n FROM f WHERE NOT base_failed GROUP BY v),
+em AS (SELECT 0 AS round, 0.8::DOUBLE AS prior, {start["good"]} AS good, {start["bad"]} AS bad UNION ALL
+  SELECT round + 1, (sum(n * q) + 1) / (sum(n) + 2), {sums["good"]}, {sums["bad"]} FROM (SELECT round, v, n, 1 / (1 + exp(-(ln(prior / (1 - prior)) + {odds}))) AS q FROM em, p WHERE round < 25) GROUP BY round)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND 1 / (1 + exp(-(ln(prior / (1 - prior)) + {odds}))) >= 0.5 AS kept FROM f, (SELECT * FROM em ORDER BY round DESC LIMIT 1)
+"""
+
+
+ORACLES["op4_weak_supervision"] = _quality_sql()

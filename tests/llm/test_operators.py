@@ -556,3 +556,23 @@ def test_language(spark):
     assert langid.identify(empty(spark)).count() == 0
     unlabelled = spark.createDataFrame([(1, "the", None, None, 0)], DOCS)
     assert langid.identify(unlabelled).first()["lang_pred"] == "und"
+
+
+# --- all: extra columns whose names the operators use themselves
+
+
+def test_clashing_column_names_do_no_harm(spark):
+    from pyspark.sql import functions as F
+
+    rows = corpus(20, 5)[:22]
+    plain = spark.createDataFrame(rows, DOCS)
+    names = ["size", "shard", "slot", "law", "v", "w", "key", "n", "comp", "seed", "at", "item_id", "code", "whole", "place", "_rank", "taken", "copies", "letter", "held_out", "score", "kept", "p_good", "n_words", "_m", "r"]
+    odd = plain.select("*", *[F.lit("x").alias(c) for c in names])
+    items = spark.createDataFrame([(1, rows[3][1] or "a b c d e f g h i j")], "item_id long, text string")
+    got = lambda df: sorted(map(str, df.collect()))
+    for run in (sharding.shard, sigtree.jaccard_components, recompress.dedup, langid.identify, lambda d: mixing.mix(d, ["doc_id"])):
+        assert run(odd).count() == len(rows)
+    assert got(decontam.overlaps(odd, items)) == got(decontam.overlaps(plain, items))
+    for run in (quality.kept_rows, lambda d: decontam.clean_rows(d, items), mixing.mixed_rows):
+        out = run(odd)
+        assert out.columns == odd.columns and got(out.select(*plain.columns)) == got(run(plain))
