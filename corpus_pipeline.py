@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: that with the smallest doc_id."""
-    return sigtree.one_of_each(docs)
+    """One document of each group of documents that share 80% of their 5-word shingles: that with the smallest doc_id."""
+    return sigtree.one_of_each(docs, shingle=5, num=80, den=100)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

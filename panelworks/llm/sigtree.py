@@ -1,6 +1,6 @@
 """N-gram Jaccard join by signature trees.
 
-A document is the set of its word 3-shingles; two link when their Jaccard similarity reaches the
+A document is the set of its word shingles; two link when their Jaccard similarity reaches the
 threshold. Equal sets are one vertex. Vertices that could link are brought together by partition
 signatures (a pigeonhole argument, so nothing is missed), which gives forests of bounded trees: in each,
 nodes hold OR-combined token bitmaps and size ranges, and a dual traversal drops node pairs whose largest
@@ -20,7 +20,7 @@ from pyspark.sql import Window
 from panelworks.llm import textops as T
 from panelworks.llm.common import components, release, saved
 
-#: The threshold as a ratio of integers, so that no rounding decides.
+#: Defaults: words of a shingle, and the threshold as a ratio of integers, so that no rounding decides.
 NUM, DEN = 90, 100
 SHINGLE = 3
 #: Up to this many rows are sent to every task, else both sides of the join are shuffled.
@@ -28,17 +28,30 @@ SENT_ROWS = 1_000_000
 #: Words of a tree's tokens; larger groups are cut into such trees and joined tree by tree. A vertex counts as 1024 at least.
 TREE_TOKENS = 1 << 22
 LEAF = 128
+#: With fewer tokens to a part than this, signatures tell little, and sets that can't link are put aside before.
+WIDE = 8
 FANOUT = 8
 #: A part with so few tokens doesn't tell documents apart; two of them together do.
 LOW = 2
+#: Small parts are keys in pairs inside blocks of about so many parts, so the keys grow as the tokens do.
+BLOCK = 16
+#: How often tokens are dealt anew for a set with two empty parts in a block, before such a pair is a key.
+DEALS = 3
+#: Keys that a task holds before it links what shares one.
+KEYS = 1 << 20
 
 
-def size_classes(top: int) -> list[int]:
-    """Upper ends of the size classes; sets of up to 9 link only with a set of the next class or with their equal."""
-    ends = [9]
+def size_classes(top: int, num: int = NUM, den: int = DEN) -> list[int]:
+    """Upper ends of the size classes; sets of the first class link only with a set of the next one or with their equal.
+
+    At 90/100 the first ends at 9. Each is a fifth wider than the one before, or more, so that no set links beyond the next class."""
+    def wider(end: int) -> int:
+        return max(end * 6 // 5, end * den // num) + 1
+
+    ends = [-(-den // (den - num)) - 1]
     while ends[-1] < top:
-        ends.append(ends[-1] * 6 // 5 + 1)
-    return [*ends, ends[-1] * 6 // 5 + 1]
+        ends.append(wider(ends[-1]))
+    return [*ends, wider(ends[-1])]
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -77,12 +90,14 @@ def signatures(tokens: np.ndarray, edges: np.ndarray, num: int = NUM, den: int =
     """(document, key) such that documents that link have a key in common.
 
     Sets of sizes up to u that link differ in d = 2u(1-t)/(1+t) tokens at most. Tokens are dealt by hash to
-    d + 2 parts, so at least two parts are the same in both. A part of more than ``LOW`` tokens is a key;
-    smaller ones are keys in pairs. A set belongs to its own size class and to the next if it can link into it."""
+    d + 1 + m parts in m blocks, so in some block at least two parts are the same in both. A part of more than
+    ``LOW`` tokens is a key; smaller ones are keys in pairs inside a block. Two empty parts tell nothing: a set
+    that has them is dealt anew, and so is any that it could meet by them alone; they are a key in the last deal
+    only. A set belongs to its own size class and to the next if it can link into it."""
     n = np.diff(edges)
     if not len(n) or not n.max():
         return np.zeros(0, np.int64), np.zeros(0, T.U)
-    ends = np.array(size_classes(int(n.max())))
+    ends = np.array(size_classes(int(n.max()), num, den))
     own = np.searchsorted(ends, n)
     docs = np.arange(len(n))
     up = (n > 0) & (den * n >= num * (ends[own] + 1))
@@ -90,77 +105,142 @@ def signatures(tokens: np.ndarray, edges: np.ndarray, num: int = NUM, den: int =
     level = np.concatenate([own[(n > 0) & (own > 0)], own[up] + 1])
     order = np.argsort(member, kind="stable")
     member, level = member[order], level[order]
-    if not len(member):
-        return np.zeros(0, np.int64), np.zeros(0, T.U)
-    parts = 2 * ends[level] * (den - num) // (den + num) + 2
+    who, key = [np.zeros(0, np.int64)], [np.zeros(0, T.U)]
+    for deal in range(DEALS):
+        if not len(member):
+            break
+        more, keys, again = _dealt(tokens, edges, member, level, 2 * ends[level] * (den - num) // (den + num), deal)
+        who.append(more)
+        key.append(keys)
+        member, level = member[again], level[again]
+    return np.concatenate(who), np.concatenate(key)
+
+
+def _dealt(tokens: np.ndarray, edges: np.ndarray, member: np.ndarray, level: np.ndarray, differ: np.ndarray, deal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key) of one deal, and which members have two empty parts in a block."""
+    blocks = 1 + (differ + 1) // (BLOCK - 1)
+    parts = differ + 1 + blocks
     base = np.concatenate([[0], np.cumsum(parts)])
-    size = n[member]
+    size = np.diff(edges)[member]
     which = np.repeat(np.arange(len(member)), size)
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(edges[member], size)
     token = tokens[at]
-    part = base[which] + (((token >> T.U(32)) * parts[which].astype(T.U)) >> T.U(32)).astype(np.int64)
+    place = T.mix(token, 100 + deal) if deal else token
+    part = base[which] + (((place >> T.U(32)) * parts[which].astype(T.U)) >> T.U(32)).astype(np.int64)
     held = np.bincount(part, minlength=base[-1])
-    sums = _sums(T.mix(token, 5), np.concatenate([[0], np.cumsum(held)]))
+    order = np.argsort(part, kind="stable") if deal else slice(None)
+    sums = _sums(T.mix(token, 5)[order], np.concatenate([[0], np.cumsum(held)]))
     owner = np.repeat(np.arange(len(member)), parts)
     number = np.arange(base[-1]) - base[owner]
-    sig = T.mix(sums + held.astype(T.U), 6) + T.mix(level[owner].astype(T.U) * T.U(1 << 32) + number.astype(T.U), 7)
+    sig = T.mix(sums + held.astype(T.U), 6) + T.mix(level[owner].astype(T.U) * T.U(1 << 32) + T.U(deal << 28) + number.astype(T.U), 7)
     low = held <= LOW
     who, key = [member[owner[~low]]], [T.mix(sig[~low], 8)]
     few = np.flatnonzero(low)
-    cuts = np.searchsorted(owner[few], np.arange(len(member) + 1))
-    for k in np.flatnonzero(np.diff(cuts) > 1):
-        s = sig[few[cuts[k]:cuts[k + 1]]]
-        a, b = np.triu_indices(len(s), 1)
-        who.append(np.full(len(a), member[k]))
-        key.append(T.mix(s[a] + s[b], 9))
-    return np.concatenate(who), np.concatenate(key)
+    block = (np.concatenate([[0], np.cumsum(blocks)])[owner] + number * blocks[owner] // parts[owner])[few]
+    cuts = np.flatnonzero(np.diff(np.concatenate([[-1], block, [-1]])))
+    count = np.diff(cuts)
+    again = np.zeros(len(member), bool)
+    for c in np.unique(count[count > 1]) if len(few) else []:
+        a, b = np.triu_indices(c, 1)
+        group = few[cuts[:-1][count == c][:, None] + np.arange(c)]
+        one, two = group[:, a].ravel(), group[:, b].ravel()
+        tell = held[one] + held[two] > 0
+        again[owner[one[~tell]]] = True
+        if deal == DEALS - 1:
+            tell[:] = True
+        who.append(member[owner[one[tell]]])
+        key.append(T.mix(sig[one[tell]] + sig[two[tell]], 9))
+    return np.concatenate(who), np.concatenate(key), again
 
 
 ROWS = "key long, v long, w long, doc_id long, n long"
 
 
-def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Three kinds of rows: (v, doc_id, n) of each document, with w null and n set; (key, v) of signatures; (v, w) edges.
-
-    Vertices of a batch that share a key are linked here to the smallest of them, and only that one goes on
-    under the key: a key that every document has leaves one row for each batch."""
-    for batch in batches:
-        ids = batch.column(0)
-        seen_key, seen_v = [], []
-        for first, last, tokens, edges in shingle_sets(batch.column(1)):
-            v, n = vertices(tokens, edges), np.diff(edges)
-            who, key = signatures(tokens, edges)
-            seen_key.append(key)
-            seen_v.append(T.as_long(v)[who])
-            none = n == 0
-            vs = pa.array(T.as_long(v), mask=none)
-            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(v)), vs, pa.nulls(len(n), pa.int64()), ids[first:last].cast(pa.int64()), pa.array(n.astype(np.int64))], names=["key", "v", "w", "doc_id", "n"])
-        if not seen_key:
-            continue
-        key, v = T.as_long(np.concatenate(seen_key)), np.concatenate(seen_v)
-        order = np.lexsort((v, key))
-        key, v = key[order], v[order]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        other = ~head
-        other[1:] &= v[1:] != v[:-1]
-        lead = v[np.maximum.accumulate(np.where(head, np.arange(len(v)), 0))]
-        pairs = np.unique(np.stack([lead[other], v[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-        none = pa.nulls(int(head.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(v[head]), none, none, none], names=["key", "v", "w", "doc_id", "n"])
-        none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(T.as_long(T.mix(pairs[:, 1].view(T.U)))), pa.array(pairs[:, 1]), pa.array(pairs[:, 0]), none, none], names=["key", "v", "w", "doc_id", "n"])
-
-
-def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, v, comp, copies) to (comp, v, copies, n, tokens); rows whose text has another set than v are dropped."""
-    for batch in batches:
-        want = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, last, tokens, edges in shingle_sets(batch.column(0)):
-            right = np.flatnonzero(T.as_long(vertices(tokens, edges)) == want[first:last])
-            part = batch.slice(first, last - first).take(pa.array(right))
-            data = [tokens[edges[i]:edges[i + 1]].tobytes() for i in right]
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), part.column(3), pa.array(np.diff(edges)[right].astype(np.int64)), T.binary(data)], names=["comp", "v", "copies", "n", "tokens"])
+def emitter(shingle: int, num: int, den: int):
+    """The map function from texts to signatures."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Three kinds of rows: (v, doc_id, n) of each document, with w null and n set; (key, v) of signatures; (v, w) edges.
+
+        Vertices of a batch (or of ``KEYS`` keys) that share a key are linked here to the smallest of them, and only that one goes on
+        under the key: a key that every document has leaves one row for each batch."""
+        def met() -> Iterator[pa.RecordBatch]:
+            key, v = T.as_long(np.concatenate(seen_key)), np.concatenate(seen_v)
+            seen_key.clear()
+            seen_v.clear()
+            order = np.lexsort((v, key))
+            key, v = key[order], v[order]
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            other = ~head
+            other[1:] &= v[1:] != v[:-1]
+            lead = v[np.maximum.accumulate(np.where(head, np.arange(len(v)), 0))]
+            pairs = np.unique(np.stack([lead[other], v[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+            none = pa.nulls(int(head.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(v[head]), none, none, none], names=["key", "v", "w", "doc_id", "n"])
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(T.mix(pairs[:, 1].view(T.U)))), pa.array(pairs[:, 1]), pa.array(pairs[:, 0]), none, none], names=["key", "v", "w", "doc_id", "n"])
+
+        seen_key: list[np.ndarray] = []
+        seen_v: list[np.ndarray] = []
+        for batch in batches:
+            ids = batch.column(0)
+            for first, last, tokens, edges in shingle_sets(batch.column(1), shingle):
+                v, n = vertices(tokens, edges), np.diff(edges)
+                who, key = signatures(tokens, edges, num, den)
+                seen_key.append(key)
+                seen_v.append(T.as_long(v)[who])
+                none = n == 0
+                vs = pa.array(T.as_long(v), mask=none)
+                yield pa.RecordBatch.from_arrays([pa.array(T.as_long(v)), vs, pa.nulls(len(n), pa.int64()), ids[first:last].cast(pa.int64()), pa.array(n.astype(np.int64))], names=["key", "v", "w", "doc_id", "n"])
+                if sum(len(k) for k in seen_key) > KEYS:
+                    yield from met()
+            if seen_key:
+                yield from met()
+
+    return emit
+
+
+def sampler(shingle: int, share: float | None):
+    """The map function from (doc_id, text) to (token, v, n) of a share of each set's tokens, picked by hash; without
+    a share to (doc_id, v, n)."""
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, tokens, edges in shingle_sets(batch.column(1), shingle):
+                v, n = T.as_long(vertices(tokens, edges)), np.diff(edges)
+                if share is None:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[first:last].cast(pa.int64()), pa.array(v, mask=n == 0), pa.array(n.astype(np.int64))], names=["doc_id", "v", "n"])
+                    continue
+                some = (T.mix(tokens, 11) >> T.U(40)) < T.U(int(share * (1 << 24)))
+                yield pa.RecordBatch.from_arrays([pa.array(T.as_long(tokens)[some]), pa.array(np.repeat(v, n)[some]), pa.array(np.repeat(n, n)[some].astype(np.int64))], names=["token", "v", "n"])
+
+    return sampled
+
+
+def lonely(own: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(v) of sets that can't link: more than 1 - t of their tokens are in no other set. Counted on twice as many
+    tokens as that takes, so some are overlooked, but none is taken wrongly."""
+    tokens = own.mapInArrow(sampler(shingle, min(1.0, 2 * (den - num) / den)), "token long, v long, n long")
+    tokens = tokens.groupBy("token").agg(F.min("v").alias("v"), F.max("v").alias("other"), F.max("n").alias("n"))
+    alone = tokens.where("v = other").groupBy("v").agg(F.count(F.lit(1)).alias("alone"), F.max("n").alias("n"))
+    return alone.where(den * F.col("alone") > (den - num) * F.col("n")).select("v")
+
+
+def tokeniser(shingle: int):
+    """The map function from texts to their sets."""
+
+    def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, v, comp, copies) to (comp, v, copies, n, tokens); rows whose text has another set than v are dropped."""
+        for batch in batches:
+            want = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, last, tokens, edges in shingle_sets(batch.column(0), shingle):
+                right = np.flatnonzero(T.as_long(vertices(tokens, edges)) == want[first:last])
+                part = batch.slice(first, last - first).take(pa.array(right))
+                data = [tokens[edges[i]:edges[i + 1]].tobytes() for i in right]
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), part.column(3), pa.array(np.diff(edges)[right].astype(np.int64)), T.binary(data)], names=["comp", "v", "copies", "n", "tokens"])
+
+    return token_rows
 
 
 class Tree:
@@ -266,7 +346,7 @@ def _root(label: np.ndarray, x: int) -> int:
     return x
 
 
-def grouper(leaf: int):
+def grouper(leaf: int, num: int = NUM, den: int = DEN):
     """The map function that links each tree, or pair of trees."""
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +370,7 @@ def grouper(leaf: int):
             left = None if t["one"][0].as_py() == t["two"][0].as_py() else int((chunk == chunk[0]).sum())
             if len(v) < 2 or left == len(v):
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["v", "root", "links"])
-            label, links = link(tokens, t["copies"].to_numpy(), left, leaf)
+            label, links = link(tokens, t["copies"].to_numpy(), left, leaf, num, den)
             some = links > 0
             return pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(v[label[some]]), pa.array(links[some])], names=["v", "root", "links"])
 
@@ -309,15 +389,23 @@ def grouper(leaf: int):
     return grouped
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key reachable by
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Links sets of word ``shingle``-grams whose Jaccard similarity is ``num`` / ``den`` or more (below 1). One row for each row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key reachable by
     links, its own included) and ``n_links`` (rows it links with).
 
     Keys are longs. A text without words, or null, has an empty set: no links, its own component. Rows with
     equal sets link. Rows with a null key take part; their component is the smallest key reachable, or null."""
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = own.mapInArrow(emit, ROWS)
+    if num + den < WIDE * 2 * (den - num):
+        every = saved(own.mapInArrow(sampler(shingle, None), "doc_id long, v long, n long"), "vertices")
+        live = saved(every.where("v is not null").join(lonely(own, shingle, num, den), "v", "left_anti").select(F.col("doc_id").alias("_d")).distinct(), "live")
+        release(spark)
+        some = own.join(F.broadcast(live) if live.count() <= SENT_ROWS else live, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+        rows = some.mapInArrow(emitter(shingle, num, den), ROWS).where("n is null")
+        rows = rows.unionByName(every.select(F.coalesce("v", F.xxhash64("doc_id")).alias("key"), "v", F.lit(None).cast("long").alias("w"), "doc_id", "n"))
+    else:
+        rows = own.mapInArrow(emitter(shingle, num, den), ROWS)
     low = F.min(F.when(F.col("n").isNull() & F.col("w").isNull(), F.col("v"))).over(Window.partitionBy("key"))
     rows = rows.withColumn("low", low)
     w = F.when(F.col("n").isNull(), F.coalesce("w", "low"))
@@ -333,7 +421,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     side = placed.select(F.col("doc_id").alias("_d"), "v", "comp", "copies")
     side = F.broadcast(side) if side.count() <= SENT_ROWS else side
     texts = own.join(side, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "v", "comp", "copies")
-    tokens = texts.mapInArrow(token_rows, "comp long, v long, copies long, n long, tokens binary")
+    tokens = texts.mapInArrow(tokeniser(shingle), "comp long, v long, copies long, n long, tokens binary")
     chunks = placed.groupBy("comp").agg((F.max("chunk") + 1).alias("chunks"))
     split = placed.join(chunks.where("chunks > 1"), "comp").select("comp", "v", "chunk", "chunks")
     tokens = tokens.join(F.broadcast(split) if split.count() <= SENT_ROWS else split, ["comp", "v"], "left").fillna({"chunk": 0, "chunks": 1})
@@ -342,7 +430,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     tokens = tokens.select("comp", F.least("chunk", "_o").alias("one"), F.greatest("chunk", "_o").alias("two"), "v", "copies", "n", "chunk", "tokens")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     trees = tokens.repartition(n_parts, "comp", "one", "two").sortWithinPartitions("comp", "one", "two")
-    linked = saved(trees.mapInArrow(grouper(LEAF), "v long, root long, links long"), "links")
+    linked = saved(trees.mapInArrow(grouper(LEAF, num, den), "v long, root long, links long"), "links")
     release(spark)
     roots = components(linked.select("v", "root"), "v", "root")
     degree = linked.groupBy("v").agg(F.sum("links").alias("links"))
@@ -353,9 +441,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of ``docs``: that with the smallest key (of repeated keys, one). Rows with a null key stay."""
-    out = saved(jaccard_components(docs, key, text).where(f"component_id <> {key}").select(F.col(key).alias("_gone")).distinct(), "dropped")
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """One row of each component of ``docs`` (as of ``jaccard_components``): that with the smallest key (of repeated keys, one). Rows with a null key stay."""
+    out = saved(jaccard_components(docs, key, text, shingle, num, den).where(f"component_id <> {key}").select(F.col(key).alias("_gone")).distinct(), "dropped")
     side = F.broadcast(out) if out.count() <= SENT_ROWS else out
     left = docs.join(side, docs[key] == F.col("_gone"), "left_anti")
     repeated = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(f"_n > 1 and {key} is not null")

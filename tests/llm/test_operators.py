@@ -472,6 +472,61 @@ def test_signatures_of_linking_sets_meet():
             assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
 
 
+@pytest.mark.parametrize("shingle,num", [(3, 90), (5, 80), (2, 55)])
+def test_signatures_meet_at_any_threshold(shingle, num):
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 50, 120, 600):
+        for _ in range(30):
+            a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
+            most = n * (100 - num) // 100 + 1
+            b = np.unique(np.concatenate([a[rnd.integers(0, min(n, most) + 1):], rnd.integers(0, 1 << 62, rnd.integers(0, most + 1)).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if not len(b) or 100 * common < num * (len(a) + len(b) - common) or len(a) == len(b) == common:
+                continue
+            who, key = sigtree.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, 100)
+            assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
+
+
+def linked_by(a, b, shingle, num):
+    x, y = ({tuple(w[j:j + shingle]) for j in range(max(1, len(w) - shingle + 1))} if w else set() for w in (WORD.findall(lower(t or "")) for t in (a, b)))
+    return bool(x and y) and 100 * len(x & y) >= num * len(x | y)
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    stops = quality.STOPS[:10]
+    texts, items = [], [(i, " ".join(f"leak{i}x{j}" for j in range(14))) for i in range(3)]
+    for k in range(25):
+        base = [rnd.choice(stops) if rnd.random() < 0.3 else f"word{rnd.randrange(900)}" for _ in range(rnd.choice([100, 60, 250]))]
+        texts.append(list(base))
+        for n in range(rnd.randrange(5)):
+            near = list(base)
+            for at in rnd.sample(range(10, len(base) - 10, 6), n):
+                near[at] = f"new{k}"
+            texts.append(near)
+        if k % 6 == 0:
+            texts.append([f"only{k}x{j}" if j % 3 else rnd.choice(stops) for j in range(70)] + items[k // 6 % 3][1].split(" ") + ["the", "end"])
+        if k % 8 == 0:
+            texts.append(base[:30])
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t), "en", "one", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {i: t for i, t, *_ in rows if len(t.split(" ")) >= 50}
+    pairs = [(a, b) for a in left for b in left if a < b and linked_by(left[a], left[b], 5, 80)]
+    assert any(not linked_by(left[a], left[b], 3, 90) for a, b in pairs)
+    label = {i: i for i in left}
+    for _ in left:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    left = {i: t for i, t in left.items() if label[i] == i}
+    leaks = {i for i, t in left.items() if any(agreeing(t, s) for _, s in items)}
+    got = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert leaks and got == sorted(set(left) - leaks)
+
+
 # --- 9 mixing
 
 
