@@ -49,27 +49,31 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     Columns: key, item, ``doc_start`` (word of the document at which the item would begin; the best alignment,
     ties to the first), ``n_best`` (agreeing words in the best window) and ``n_agree`` (in the whole overlap).
     An item shorter than ``length`` must agree in the same share of its own words. Documents and items of
-    fewer than 8 words, or without a text, have no pairs. Equal keys are judged row by row and reported once;
+    fewer than 8 words, or without a text, have no pairs. Texts that share an item, a null one too, are judged
+    each and reported once, by the best alignment that passes. Equal keys are judged row by row and reported once;
     a null key is kept as such."""
     d = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    b = saved(items.select(F.col(item).alias("_item"), _words(F.col(text)).alias("_v")).distinct(), "items")
-    index = seeds(b, ["_item"], "_v").withColumnRenamed("at", "_q").distinct()
+    b = items.select(F.col(item).alias("_item"), _words(F.col(text)).alias("_v")).distinct()
+    # items are told apart by a number of their own: an id may be null or stand for several texts
+    b = saved(b.withColumn("_no", F.monotonically_increasing_id()), "items")
+    index = seeds(b, ["_no"], "_v").withColumnRenamed("at", "_q").distinct()
     index = saved(index, "seeds")
     side = F.broadcast(index) if index.count() <= SENT_ROWS else index
     found = seeds(d.select("_key", _words(F.col("_text")).alias("_w")), ["_key"], "_w").join(side, "seed")
-    hits = saved(found.select("_key", "_item", (F.col("at") - F.col("_q")).alias("_d")).distinct(), "hits")
+    hits = saved(found.select("_key", "_no", (F.col("at") - F.col("_q")).alias("_d")).distinct(), "hits")
     side = F.broadcast(hits) if hits.count() <= SENT_ROWS else hits
     near = d.join(side.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k"))).drop("_k")
-    near = near.join(F.broadcast(b) if b.count() <= SENT_ROWS // 20 else b, "_item").select("_key", "_item", "_d", "_v", _words(F.col("_text")).alias("_w"))
+    near = near.join(F.broadcast(b) if b.count() <= SENT_ROWS // 20 else b, "_no").select("_key", "_item", "_d", "_v", _words(F.col("_text")).alias("_w"))
     first = F.greatest(-F.col("_d"), F.lit(0))
     n = F.least(F.size("_v"), F.size("_w") - F.col("_d")) - first
     near = near.select("_key", "_item", "_d", F.size("_v").alias("_n"), F.when(n > 0, F.zip_with(
         F.slice("_v", first + 1, n), F.slice("_w", F.col("_d") + first + 1, n), lambda x, y: (x == y).cast("int"))).alias("_same"))
     near = near.select("_key", "_item", "_d", "_n", best_window(F.col("_same"), length).alias("n_best"), F.aggregate("_same", F.lit(0), lambda a, x: a + x).alias("n_agree"))
-    # judged after the grouping: a filter before it would be pushed into the join and split each text for each window
-    best = near.groupBy("_key", "_item").agg(F.min_by(F.struct("_d", "_n", "n_best", "n_agree"), F.struct(-F.col("n_best"), -F.col("n_agree"), F.col("_d"))).alias("b"))
-    need = F.ceil(F.least(F.lit(length), F.col("b._n")) * F.lit(math.floor(share * 1000)) / 1000)
-    return best.where(F.col("b.n_best") >= need).select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("b._d").alias("doc_start"), "b.n_best", "b.n_agree")
+    need = F.ceil(F.least(F.lit(length), F.col("_n")) * F.lit(math.floor(share * 1000)) / 1000)
+    # judged in the grouping, passing alignments first: a filter before it would be pushed into the join and split each text for each window
+    fails = F.when(F.col("n_best") >= need, 0).otherwise(1)
+    best = near.groupBy("_key", "_item").agg(F.min_by(F.struct("_d", fails.alias("fails"), "n_best", "n_agree"), F.struct(fails, -F.col("n_best"), -F.col("n_agree"), F.col("_d"))).alias("b"))
+    return best.where("b.fails = 0").select(F.col("_key").alias(key), F.col("_item").alias(item), F.col("b._d").alias("doc_start"), "b.n_best", "b.n_agree")
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:

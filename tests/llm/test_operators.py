@@ -173,6 +173,18 @@ def test_decontamination_matches_brute_force(spark, monkeypatch):
     assert decontam.overlaps(empty(spark), bench).count() == 0
 
 
+def test_decontamination_of_null_and_repeated_items(spark):
+    v = [f"w{i}" for i in range(60)]
+    short, long, lost = v[:8], v[8:28], v[30:44]
+    doc = short[:5] + ["x"] + short[6:] + ["a", "b", "c"] + long[:8] + ["y"] * 12
+    docs = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(lost)), (3, "nothing of it " * 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(short)), (7, " ".join(long)), (None, " ".join(lost)), (None, " ".join(v[44:58]))], "item_id long, text string")
+    assert agreeing(" ".join(doc), " ".join(short))[0] == 7 and agreeing(" ".join(doc), " ".join(long)) is None
+    got = sorted(((r["doc_id"], r["item_id"], r["n_best"]) for r in decontam.overlaps(docs, items).collect()))
+    assert got == [(1, 7, 7), (2, None, 13)]
+    assert [r["doc_id"] for r in decontam.clean_rows(docs, items).collect()] == [3]
+
+
 # --- 3 language model
 
 
