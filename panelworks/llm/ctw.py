@@ -2,8 +2,12 @@
 
 A byte is eight binary decisions. Every decision has a tree of contexts, the 0 to DEPTH bytes before; each
 node has the counts of both outcomes and a Krichevsky-Trofimov estimate, and weighs its own estimate
-against its children's by how well either coded the training text. The tree is filled by Spark from all
-training documents; the part sent to the tasks that score has a bounded number of n-grams.
+against its children's by how well either coded the training text. All n-grams of all training documents
+are in the tree; none is dropped at any size.
+
+The tree is a Spark table. Subtrees below the last ``SPLIT`` bytes of a context are weighed by tasks, each
+a range of whole subtrees; what is above them is bounded by the alphabet. A text's n-grams are looked up
+in a broadcast head of the most frequent ones, and all others by a join with the table.
 """
 
 from __future__ import annotations
@@ -17,14 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm import textops as T
-from panelworks.llm.common import release, saved
+from panelworks.llm.common import saved
 
 DEPTH = 5
 #: Ends a text and stands before its first byte; no UTF-8 text has it.
 END = 0xFF
-#: Bounds of what is sent to every task: n-grams of all depths (about 60 bytes each), and tokens (12 bytes each).
-MODEL_GRAMS = 1_500_000
-HEAD_TOKENS = 500_000
+#: Subtrees are told apart by so many last bytes of the context; two, where the nodes above three are more than TOP_NODES (24 bytes each).
+SPLIT, TOP_NODES = 3, 2_000_000
+#: What is sent to every task as a shortcut: the most frequent n-grams and tokens (16 bytes each). All others are joined.
+HEAD_GRAMS, HEAD_TOKENS = 1_000_000, 500_000
+#: n-grams of whole subtrees that a task weighs at a time.
+TASK_GRAMS = 1 << 19
 #: Bytes of text that a task counts or scores at a time.
 SCORE_BYTES = 1 << 20
 END_TOKEN = int(T.as_long(T.mix(np.array([0xE0D], T.U), 99))[0])
@@ -109,56 +116,9 @@ def _ln_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-@dataclass
-class Model:
-    """``nodes``: for each depth the sorted keys (context << 8 | bits so far with a leading 1) and the chance of a 1
-    when that node is the deepest one on the path; ``grams``/``logs``: the n-grams of full depth and their log10."""
-
-    nodes: list[tuple[np.ndarray, np.ndarray]]
-    grams: np.ndarray
-    logs: np.ndarray
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 P(last byte | bytes before) of distinct sorted keys."""
-        out = np.zeros(len(keys))
-        known = np.zeros(len(keys), bool)
-        if len(self.grams):
-            at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
-            known = self.grams[at] == keys
-            out[known] = self.logs[at[known]]
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            out[rest] = self.walk(keys[rest])
-        return out
-
-    def walk(self, keys: np.ndarray) -> np.ndarray:
-        """The same through the tree, one bit at a time: the deepest known node of each decision has the whole mixture."""
-        symbol = keys & 0xFF
-        deep = np.full(len(keys), DEPTH)
-        total = np.zeros(len(keys))
-        for bit in range(8):
-            prefix = (1 << bit) | (symbol >> (8 - bit))
-            one = np.full(len(keys), 0.5)
-            left = np.arange(len(keys))
-            for d in range(DEPTH, -1, -1):
-                now = left[deep[left] >= d]
-                node, p = self.nodes[d]
-                if len(now) and len(node):
-                    want = ((keys[now] >> 8 & ((1 << 8 * d) - 1)) << 8) | prefix[now]
-                    at = np.minimum(np.searchsorted(node, want), len(node) - 1)
-                    hit = node[at] == want
-                    one[now[hit]] = p[at[hit]]
-                    deep[now[hit]] = d
-                    left = np.setdiff1d(left, now[hit], assume_unique=True)
-                if not len(left):
-                    break
-            deep[left] = -1
-            took = (symbol >> (7 - bit)) & 1
-            total += np.log10(np.where(took == 1, one, 1 - one))
-        return total
-
-
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: For each depth: sorted nodes (context << 8 | bits so far with a leading 1), the chance of a 1 where the node is the deepest one, and what its parents and itself have spent and pass on.
+Layer = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def level(keys: np.ndarray, n: np.ndarray) -> Level:
@@ -179,139 +139,181 @@ def level(keys: np.ndarray, n: np.ndarray) -> Level:
     return node, total - n1, n1
 
 
-def mixed(own: np.ndarray, children: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of the node's own estimate, ln Pw) from ln KT and the sum of the children's ln Pw, where there are some."""
-    weight = np.where(some, 1 / (1 + np.exp(np.clip(children - own, -500, 500))), 1.0)
-    return weight, np.where(some, np.logaddexp(own, children) - np.log(2), own)
-
-
-def weigh(levels: list[Level], depth: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """From the leaves up over ``levels`` (the first has ``depth`` bytes of context): weights, each node's parent, ln Pw on top.
-
-    What a node has and its known children have not counts as one more child."""
-    weights, parents, coded = [], [], None
-    for d in range(len(levels) - 1, -1, -1):
-        node, n0, n1 = levels[d]
-        own = _ln_kt(n0, n1)
-        if coded is None:
-            weights.insert(0, np.ones(len(node)))
-            coded = own
-            continue
-        lower, c0, c1 = levels[d + 1]
-        parent = np.searchsorted(node, ((lower >> 8 & ((1 << 8 * (d + depth)) - 1)) << 8) | (lower & 0xFF))
-        sums = [np.bincount(parent, x, minlength=len(node)) for x in (coded, c0, c1)]
-        children = sums[0] + _ln_kt(np.maximum(n0 - sums[1], 0), np.maximum(n1 - sums[2], 0))
-        w, coded = mixed(own, children, sums[1] + sums[2] > 0)
-        weights.insert(0, w)
-        parents.insert(0, parent)
-    return weights, parents, coded
-
+def up_one(node: np.ndarray, depth: int) -> np.ndarray:
+    """The node one byte of context above, for nodes with ``depth`` bytes of it."""
+    return ((node >> 8 & ((1 << 8 * (depth - 1)) - 1)) << 8) | (node & 0xFF)
 
-def subtree(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bits so far, ln Pw, zeros, ones) of the nodes right under the root, for the tables of depths 1 to DEPTH of one last byte."""
-    levels = [level(*x) for x in tables]
-    coded = weigh(levels, 1)[2]
-    return levels[0][0] & 0xFF, coded, levels[0][1], levels[0][2]
 
+def mixed(own: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of the node's own estimate, ln Pw) from ln KT and the sum of the children's ln Pw."""
+    return 1 / (1 + np.exp(np.clip(children - own, -700, 700))), np.logaddexp(own, children) - np.log(2)
 
-def root(table: tuple[np.ndarray, np.ndarray], children: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The root's nodes with their chance of a 1, and for each bit prefix (256) what is spent and what is passed on to the children."""
-    node, n0, n1 = level(*table)
-    rest = _ln_kt(np.maximum(n0 - c0[node], 0), np.maximum(n1 - c1[node], 0))
-    weight, _ = mixed(_ln_kt(n0, n1), children[node] + rest, (c0 + c1)[node] > 0)
-    kt = (n1 + 0.5) / (n0 + n1 + 1)
-    spent, passed = np.zeros(256), np.ones(256)
-    spent[node], passed[node] = weight * kt, 1 - weight
-    return node, kt, spent, passed
 
+def weigh(levels: list[Level], depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """From the leaves up over ``levels`` (the first has ``depth`` bytes of context, the last DEPTH): weights, and ln Pw of the first."""
+    node, n0, n1 = levels[-1]
+    weights, coded = [np.ones(len(node))], _ln_kt(n0, n1)
+    for d in range(len(levels) - 2, -1, -1):
+        parent = np.searchsorted(levels[d][0], up_one(levels[d + 1][0], d + 1 + depth))
+        children = np.bincount(parent, coded, minlength=len(levels[d][0]))
+        w, coded = mixed(_ln_kt(*levels[d][1:]), children)
+        weights.insert(0, w)
+    return weights, coded
 
-def descend(tables: list[tuple[np.ndarray, np.ndarray]], spent: np.ndarray, passed: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """From the root down: the nodes of depths 1 to DEPTH with the chance of a 1 when the node is the deepest one, and the n-grams with their log10.
 
-    A context that isn't in the tree leaves the decision to its parent."""
-    levels = [level(*x) for x in tables]
-    weights, parents, _ = weigh(levels, 1)
-    nodes = []
-    for d, (node, n0, n1) in enumerate(levels):
+def descend(levels: list[Level], weights: list[np.ndarray], depth: int, above: Layer | None) -> list[Layer]:
+    """From the top down: what each node adds to the mixture. ``above``: the layer over the first level; None at the root."""
+    out = []
+    for (node, n0, n1), w in zip(levels, weights, strict=True):
         kt = (n1 + 0.5) / (n0 + n1 + 1)
-        at = node & 0xFF if d == 0 else parents[d - 1]
-        before, left = spent[at], passed[at]
-        nodes.append((node, np.clip(before + left * kt, 1e-7, 1 - 1e-7).astype(np.float32)))
-        spent, passed = before + left * weights[d] * kt, left * (1 - weights[d])
-    grams, logs = tables[-1][0], np.zeros(len(tables[-1][0]))
-    node, one = nodes[-1]
-    for bit in range(8):
-        symbol = grams & 0xFF
-        p = one[np.searchsorted(node, (grams >> 8 << 8) | (1 << bit) | (symbol >> (8 - bit)))].astype(float) if len(grams) else logs
-        logs += np.log10(np.where((symbol >> (7 - bit)) & 1 == 1, p, 1 - p))
-    return nodes, grams, logs.astype(np.float32)
+        if above is None:
+            spent, left = np.zeros(len(node)), np.ones(len(node))
+        else:
+            at = np.searchsorted(above[0], up_one(node, depth))
+            spent, left = above[2][at], above[3][at]
+        above = (node, spent + left * kt, spent + left * w * kt, left * (1 - w))
+        out.append(above)
+        depth += 1
+    return out
 
 
-def joined(top: tuple[np.ndarray, np.ndarray], parts: list[tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]) -> Model:
-    def one(pieces, kind):
-        k, v = (np.concatenate([x[i] for x in pieces]) if pieces else np.zeros(0, t) for i, t in ((0, np.int64), (1, kind)))
-        order = np.argsort(k)
-        return k[order], v[order]
+def tables(keys: np.ndarray, n: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The counts of full depth and of the ones above, down to ``depth`` bytes of context (that first)."""
+    out = [_counted(keys, n)]
+    for d in range(DEPTH - 1, depth - 1, -1):
+        k, c = out[0]
+        out.insert(0, _counted(k & ((1 << 8 * (d + 1)) - 1), c))
+    return out
 
-    nodes = [(top[0], np.clip(top[1], 1e-7, 1 - 1e-7).astype(np.float32))] + [one([p[0][d] for p in parts], np.float32) for d in range(DEPTH)]
-    return Model(nodes, *one([(p[1], p[2]) for p in parts], np.float32))
 
+def walk(layers: list[Layer], keys: np.ndarray) -> np.ndarray:
+    """log10 P(last byte | bytes before): for each decision the deepest known node has the whole mixture; 1/2 where there is none."""
+    symbol, total = keys & 0xFF, np.zeros(len(keys))
+    deep = np.full(len(keys), DEPTH)
+    for bit in range(8):
+        prefix = (1 << bit) | (symbol >> (8 - bit))
+        one, left = np.full(len(keys), 0.5), np.arange(len(keys))
+        for d in range(DEPTH, -1, -1):
+            now = left[deep[left] >= d]
+            node, p = layers[d][:2]
+            if len(now) and len(node):
+                want = ((keys[now] >> 8 & ((1 << 8 * d) - 1)) << 8) | prefix[now]
+                at = np.minimum(np.searchsorted(node, want), len(node) - 1)
+                hit = node[at] == want
+                one[now[hit]] = p[at[hit]]
+                deep[now[hit]] = d
+                left = np.setdiff1d(left, now[hit], assume_unique=True)
+            if not len(left):
+                break
+        deep[left] = -1
+        total += np.log10(np.where((symbol >> (7 - bit)) & 1 == 1, one, 1 - one))
+    return total
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by their first one, cut at changes of it into runs of about ``rows`` rows."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if size >= rows and len(cols[0]):
+            change = np.flatnonzero(cols[0] != held[-1][0][-1])
+            at = int(change[0]) if len(change) else len(cols[0])
+            held.append([c[:at] for c in cols])
+            size += at
+            if len(change):
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size, cols = [], 0, [c[at:] for c in cols]
+            else:
+                continue
+        if len(cols[0]):
+            held.append(cols)
+            size += len(cols[0])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def up_task(split: int):
+    """The map function from (group, key, n), sorted by group, to the subtrees' tops: (node, coded, n0, n1)."""
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, n in whole_groups(batches, TASK_GRAMS):
+            levels = [level(*t) for t in tables(keys, n, split)]
+            coded = weigh(levels, split)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (levels[0][0], coded, *levels[0][1:])], names=["node", "coded", "n0", "n1"])
+
+    return up
+
+
+def down_task(top, split: int, known: bool):
+    """The map function from (group, key, n), sorted by group, to (key, n, log): log10 of the chance of the last byte.
+    ``known``: of the rows with a count; else of those without."""
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = top.value
+        for _, keys, n in whole_groups(batches, TASK_GRAMS):
+            seen = n > 0
+            levels = [level(*t) for t in tables(keys[seen], n[seen], split)]
+            layers = upper + descend(levels, weigh(levels, split)[0], split, upper[-1])
+            out = seen if known else ~seen
+            order = np.argsort(keys[out])
+            keys, n = keys[out][order], n[out][order]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(walk(layers, keys))], names=["key", "n", "log"])
 
-def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The weighted tree of n-gram counts in one place: ``tables[d]`` has sorted keys of d bytes before and one byte, and counts.
+    return down
 
-    ``fit`` does the same with a Spark task for each last byte of the context."""
-    groups = [[(k[m], n[m]) for k, n in tables[1:] for m in [(k >> 8 & 0xFF) == last]] for last in np.unique(tables[1][0] >> 8 & 0xFF)]
-    sums = np.zeros((3, 256))
-    for g in groups:
-        prefix, *values = subtree(g)
-        for row, v in zip(sums, values, strict=True):
-            row[prefix] += v
-    node, kt, spent, passed = root(tables[0], *sums)
-    return joined((node, kt), [descend(g, spent, passed) for g in groups])
 
+def upper_layers(node: np.ndarray, children: np.ndarray, n0: np.ndarray, n1: np.ndarray, split: int) -> list[Layer]:
+    """The layers of depths 0 to split - 1 from the nodes of depth split - 1 and the sums of their children's ln Pw."""
+    levels: list[Level] = []
+    weights: list[np.ndarray] = []
+    for d in range(split - 1, -1, -1):
+        order = np.argsort(node)
+        node, children, n0, n1 = node[order], children[order], n0[order], n1[order]
+        w, coded = mixed(_ln_kt(n0, n1), children)
+        levels.insert(0, (node, n0, n1))
+        weights.insert(0, w)
+        if d:
+            node, at = np.unique(up_one(node, d), return_inverse=True)
+            children, n0, n1 = (np.bincount(at, x, minlength=len(node)) for x in (coded, n0, n1))
+    return descend(levels, weights, 0, None)
 
-def _tables(g: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    depth, key, n = (g[c].to_numpy() for c in ("depth", "key", "n"))
-    out = []
-    for d in range(1, DEPTH + 1):
-        m = depth == d
-        order = np.argsort(key[m])
-        out.append((key[m][order], n[m][order]))
-    return out
 
+@dataclass
+class Fitted:
+    """``tokens``: (key, n); ``grams``: (key, n) of full depth; ``top``: the layers above the subtrees; ``split``: their depth."""
 
-def _up(g: pa.Table) -> pa.Table:
-    prefix, coded, c0, c1 = subtree(_tables(g))
-    return pa.table({"prefix": pa.array(prefix, pa.int64()), "coded": coded, "c0": c0, "c1": c1})
+    tokens: DataFrame
+    grams: DataFrame
+    top: list[Layer]
+    split: int
 
+    def logs(self, more: DataFrame | None = None) -> DataFrame:
+        """(key, n, log) of all n-grams of the tree, or of ``more`` (key) ones that are not in it."""
+        rows = self.grams if more is None else self.grams.unionByName(more.select("key", F.lit(0).cast("long").alias("n")))
+        top = rows.sparkSession.sparkContext.broadcast(self.top)
+        return _grouped(rows, self.split).mapInArrow(down_task(top, self.split, more is None), "key long, n long, log double")
 
-def _down(spent: np.ndarray, passed: np.ndarray):
-    def down(g: pa.Table) -> pa.Table:
-        nodes, grams, logs = descend(_tables(g), spent, passed)
-        parts = [*nodes, (grams, logs)]
-        return pa.table({"depth": pa.array(range(1, DEPTH + 2), pa.int32()), "k": pa.array([x[0].astype(np.int64).tobytes() for x in parts], pa.binary()), "v": pa.array([x[1].tobytes() for x in parts], pa.binary())})
 
-    return down
+def _grouped(grams: DataFrame, split: int) -> DataFrame:
+    group = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * split) - 1))
+    return grams.select(group.alias("group"), "key", "n").repartition("group").sortWithinPartitions("group")
 
 
-def grow(grams: DataFrame) -> Model:
-    """``build`` by Spark: subtrees of one last byte up, the root's at most 255 nodes here, subtrees down again."""
-    under = grams.where("depth > 0").withColumn("last", F.shiftright("key", 8).bitwiseAND(F.lit(0xFF)))
-    up = under.groupBy("last").applyInArrow(lambda g: _up(g), "prefix long, coded double, c0 double, c1 double")
-    sums = np.zeros((3, 256))
-    for r in up.groupBy("prefix").agg(F.sum("coded"), F.sum("c0"), F.sum("c1")).collect():
-        sums[:, r[0]] = r[1:]
-    top = grams.where("depth = 0").select("key", "n").toArrow()
-    order = np.argsort(top["key"].to_numpy())
-    node, kt, spent, passed = root((top["key"].to_numpy()[order], top["n"].to_numpy()[order]), *sums)
-    down = _down(spent, passed)
-    got = under.groupBy("last").applyInArrow(lambda g: down(g), "depth int, k binary, v binary").toArrow()
-    parts: dict[int, list] = {d: [] for d in range(1, DEPTH + 2)}
-    for d, k, v in zip(got["depth"].to_pylist(), got["k"], got["v"], strict=True):
-        parts[d].append((np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(v.as_buffer(), np.float32)))
-    n = len(parts[1])
-    return joined((node, kt), [([parts[d][i] for d in range(1, DEPTH + 1)], *parts[DEPTH + 1][i]) for i in range(n)])
+def fit(train: DataFrame, text: str = "text") -> Fitted:
+    """Tokens and the weighted tree of every training document."""
+    counts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "kind int, key long, n long")
+    counts = saved(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    grams = counts.where("kind = 1").select("key", "n")
+    for split in (SPLIT, 2):
+        tops = saved(_grouped(grams, split).mapInArrow(up_task(split), "node long, coded double, n0 double, n1 double"), "tops")
+        mask = (1 << 8 * (split - 1)) - 1
+        above = F.shiftleft(F.shiftright("node", 8).bitwiseAND(F.lit(mask)), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFF)))
+        over = saved(tops.groupBy(above.alias("node")).agg(*[F.sum(c).alias(c) for c in ("coded", "n0", "n1")]), "top")
+        if split == 2 or over.count() <= TOP_NODES:
+            break
+    got = over.toArrow()
+    return Fitted(counts.where("kind = 0").select("key", "n"), grams, upper_layers(*[got[c].to_numpy() for c in ("node", "coded", "n0", "n1")], split), split)
 
 
 def least_count(table: DataFrame, most: int) -> int:
@@ -330,86 +332,93 @@ def least_count(table: DataFrame, most: int) -> int:
     return least if least is not None else (1 << 62)
 
 
-def scorer(model, head, n_tokens: int, n_types: int):
-    """The map function that scores a batch: (doc_id, text, held_out) to the columns of ``PARTS``."""
+def _head(table: DataFrame, most: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the highest counts, at most ``most``: sorted keys and their values."""
+    got = table.where(F.col("n") >= least_count(table, most)).select("key", value).toArrow()
+    order = np.argsort(got["key"].to_numpy())
+    return got["key"].to_numpy()[order], got[value].to_numpy()[order]
+
+
+def _looked_up(keys: np.ndarray, of: np.ndarray, docs: int, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(key's text, its value) for what the head has, and for each text the rest as a list of (key, c)."""
+    order = np.argsort(keys, kind="stable")
+    keys, of = keys[order], of[order]
+    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    which, distinct = np.cumsum(new) - 1, keys[new]
+    at = np.minimum(np.searchsorted(head[0], distinct), max(len(head[0]) - 1, 0))
+    known = head[0][at] == distinct if len(head[0]) else np.zeros(len(distinct), bool)
+    value = np.where(known, head[1][at], 0) if len(head[0]) else np.zeros(len(distinct))
+    hit = known[which]
+    rest, owner = keys[~hit], of[~hit]
+    order = np.lexsort((rest, owner))
+    rest, owner = rest[order], owner[order]
+    first = np.append(True, (rest[1:] != rest[:-1]) | (owner[1:] != owner[:-1])) if len(rest) else np.zeros(0, bool)
+    n = np.diff(np.append(np.flatnonzero(first), len(rest)))
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=docs))]).astype(np.int32)
+    tail = pa.StructArray.from_arrays([pa.array(rest[first]), pa.array(n.astype(np.int64))], names=["key", "c"])
+    return of[hit], value[which[hit]], pa.ListArray.from_arrays(pa.array(cuts), tail)
+
+
+TAIL = "array<struct<key:bigint,c:bigint>>"
+PARTS = f"held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, tokens {TAIL}, grams {TAIL}"
+
+
+def scorer(heads, n_tokens: int, n_types: int):
+    """The map function that scores a batch: (key, text, held_out) to the key and the columns of ``PARTS``."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (heads, counts) = model.value, head.value
+        tokens, grams = heads.value
         floor = n_tokens + 0.1 * (n_types + 1)
         for batch in batches:
-            base, known, size, tails, logs = [], [], [], [], []
+            if not batch.num_rows:
+                continue
+            base, known, size, n_bytes, logs, tails = [], [], [], [], [], ([], [])
             for b in T.blocks(batch.column(1), lower=True, block_bytes=SCORE_BYTES):
                 docs = b.last - b.first
-                h, of = T.as_long(b.word_hashes()), b.of
-                h, of = np.concatenate([h, np.full(docs, END_TOKEN)]), np.concatenate([of, np.arange(docs)])
-                at = np.minimum(np.searchsorted(heads, h), max(len(heads) - 1, 0))
-                hit = heads[at] == h if len(heads) else np.zeros(len(h), bool)
-                c = counts[at[hit]] if len(heads) else np.zeros(0)
-                base.append(np.bincount(of[hit], np.log10((c + 0.1) / floor), minlength=docs))
-                known.append(np.bincount(of[hit], minlength=docs))
+                of, c, tail = _looked_up(np.concatenate([T.as_long(b.word_hashes()), np.full(docs, END_TOKEN)]), np.concatenate([b.of, np.arange(docs)]), docs, tokens)
+                base.append(np.bincount(of, np.log10((c + 0.1) / floor), minlength=docs))
+                known.append(np.bincount(of, minlength=docs))
                 size.append(np.diff(b.edges) + 1)
-                rest = h[~hit]
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(of[~hit], minlength=docs))])
-                order = np.argsort(of[~hit], kind="stable")
-                tails.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rest[order])))
+                n_bytes.append(np.diff(b.bounds))
+                tails[0].append(tail)
             for first, last, data, bounds in T.raw_blocks(batch.column(1), SCORE_BYTES):
-                keys, of = gram_keys(data, bounds)
-                order = np.argsort(keys)
-                keys, of = keys[order], of[order]
-                new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-                value = m.log10(keys[new])
-                logs.append(np.bincount(of, value[np.cumsum(new) - 1], minlength=last - first))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(np.concatenate(size).astype(np.int64)), pa.array(np.concatenate(known).astype(np.int64)),
-                                              pa.array(np.concatenate(base)), pa.array(np.concatenate(logs)), pa.concat_arrays(tails)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"]) if batch.num_rows else batch.slice(0, 0)
+                of, log, tail = _looked_up(*gram_keys(data, bounds), last - first, grams)
+                logs.append(np.bincount(of, log, minlength=last - first))
+                tails[1].append(tail)
+            longs = [pa.array(np.concatenate(x).astype(np.int64)) for x in (n_bytes, size, known)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(np.concatenate(base).astype(float)), pa.array(np.concatenate(logs).astype(float)), *[pa.concat_arrays(x) for x in tails]],
+                                             names=["key", "held_out", "n_bytes", "n_tokens", "n_known", "base_score", "score", "tokens", "grams"])
 
     return score
 
 
-PARTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<bigint>"
-
-
-def fit(train: DataFrame, text: str = "text") -> tuple[DataFrame, Model]:
-    """(tokens: key, n; model) from every training document."""
-    counts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "kind int, key long, n long")
-    counts = saved(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    release(train.sparkSession)
-    tokens = counts.where("kind = 0").select("key", "n")
-    level = counts.where("kind = 1").select("key", "n")
-    levels = [level.withColumn("depth", F.lit(DEPTH))]
-    for d in range(DEPTH - 1, -1, -1):
-        level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        levels.append(level.withColumn("depth", F.lit(d)))
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    grams = saved(every, "grams")
-    kept = saved(grams.where(F.col("n") >= least_count(grams, MODEL_GRAMS)), "kept")
-    return tokens, grow(kept)
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "crc32(cast({key} as string)) % 10 = 0") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "crc32(cast(`{key}` as string)) % 10 = 0") -> DataFrame:
     """Every row of ``docs`` scored: key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``
-    (log10 of the text's probability, its end included), ``n_bytes`` and ``bits_per_byte``.
+    (log10 of the text's probability, its end included), ``n_bytes`` and ``bits_per_byte`` (code length by bytes and the end).
 
     The model learns from the rows that are not held out (a null key is not). Null texts are empty: only their
-    end is scored. Repeated rows are learnt and scored as often as they come. Tokens beyond the sent head are
-    looked up by a join, so every token counts exactly."""
+    end is scored. Repeated rows are learnt and scored as often as they come. Very long texts are worked on
+    1 MB at a time. The key may have any type; other columns are ignored, so none can clash. An empty table
+    gives an empty result, and where nothing could be learnt every decision costs one bit. Tokens and n-grams
+    beyond the sent heads are looked up by a join, so the scores do not depend on the heads' size."""
     spark = docs.sparkSession
     held = F.coalesce(F.expr(held_out.format(key=key)), F.lit(False))
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held_out"))
-    tokens, model = fit(own.where("not held_out"))
-    n_tokens, n_types = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = tokens.where(F.col("n") >= least_count(tokens, HEAD_TOKENS)).toArrow()
-    order = np.argsort(head["key"].to_numpy())
-    heads = (head["key"].to_numpy()[order], head["n"].to_numpy()[order])
-    sent = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(heads)
-    parts = own.mapInArrow(scorer(*sent, n_tokens, n_types), PARTS)
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held.alias("held_out"))
+    model = fit(own.where("not held_out"))
+    n_tokens, n_types = model.tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    logs = saved(model.logs(), "logs")
+    heads = spark.sparkContext.broadcast((_head(model.tokens, HEAD_TOKENS, "n"), _head(logs, HEAD_GRAMS, "log")))
+    parts = own.mapInArrow(scorer(heads, n_tokens, n_types), f"key {own.schema['key'].dataType.simpleString()}, {PARTS}")
     parts = saved(parts.withColumn("row", F.monotonically_increasing_id()), "scored")
-    for b in sent:
-        b.destroy()
-    tail = parts.select("row", F.explode("tail").alias("key")).join(tokens, "key", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    tail = tail.groupBy("row").agg(F.sum(F.log10((c + 0.1) / F.lit(n_tokens + 0.1 * (n_types + 1)))).alias("more"), F.sum((c > 0).cast("long")).alias("also"))
-    out = parts.drop("tail").join(tail, "row", "left")
-    return out.select(F.col("doc_id").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-                      (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    heads.destroy()
+    none, c = F.lit(0.0), F.coalesce(F.col("n"), F.lit(0))
+    tokens = parts.select("row", F.inline("tokens")).withColumnRenamed("c", "times").join(model.tokens, "key", "left")
+    tokens = tokens.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(n_tokens + 0.1 * (n_types + 1)))).alias("base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"), none.cast("double").alias("more"))
+    grams = parts.select("row", F.inline("grams"))
+    new = saved(model.logs(grams.select("key").distinct().join(logs, "key", "left_anti")), "new-logs")
+    grams = grams.join(logs.select("key", "log").unionByName(new.select("key", "log")), "key").groupBy("row").agg(none.alias("base"), F.lit(0).cast("long").alias("known"), F.sum(F.col("c") * F.col("log")).alias("more"))
+    tail = tokens.unionByName(grams).groupBy("row").agg(F.sum("base").alias("base"), F.sum("known").alias("known"), F.sum("more").alias("more"))
+    out = parts.drop("tokens", "grams").join(tail, "row", "left")
+    whole = F.col("score") + F.coalesce("more", none)
+    return out.select(F.col("key").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
+                      (F.col("base_score") + F.coalesce("base", none)).alias("base_score"), whole.alias("score"), "n_bytes", (-whole * F.log2(F.lit(10.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))

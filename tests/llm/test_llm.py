@@ -188,72 +188,97 @@ def test_decontamination_of_null_and_repeated_items(spark):
 # --- 3 language model
 
 
-def test_ctw_is_a_distribution_and_counts_are_exact(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(ctw, "HEAD_TOKENS", 20)
-    got = {r["doc_id"]: r for r in ctw.score(docs).collect()}
-    tokens = lambda t: [lower(w) for w in WORD.findall(t or "")] + [0]
-    c = Counter(x for r in rows if zlib.crc32(str(r[0]).encode()) % 10 for x in tokens(r[1]))
-    n, v = sum(c.values()), len(c)
-    for r in rows:
-        g, t = got[r[0]], tokens(r[1])
-        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(t), sum(c[x] > 0 for x in t), n)
-        assert g["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t))
-        assert g["score"] < 0
-    _, model = ctw.fit(docs)
-    for context in (b"\xff\xff\xff\xff\xff", b"abcde", b"zzzzz"):
-        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)])
-        assert (10 ** model.walk(keys)).sum() == pytest.approx(1, abs=1e-4)
-        assert np.allclose(model.walk(keys), model.log10(keys), atol=1e-4)
-    assert ctw.score(empty(spark)).count() == 0
-
-
-def test_ctw_weights_are_those_of_the_recursion():
-    data = b"abracadabra abracadabra"
-    keys, _ = ctw.gram_keys(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    tables = []
-    for d in range(ctw.DEPTH + 1):
-        tables.append(ctw._counted(keys & ((1 << 8 * (d + 1)) - 1)))
-    model = ctw.build(tables)
-
-    def kt(a, b):
+class BruteTree:
+    """The weighted tree by its recursive definition, over dictionaries."""
+
+    def __init__(self, texts):
+        self.counts, self.below, self.memo = {}, defaultdict(set), {}
+        for t in texts:
+            line = b"\xff" * ctw.DEPTH + t + b"\xff"
+            for at in range(ctw.DEPTH, len(line)):
+                for d in range(ctw.DEPTH + 1):
+                    for bit in range(8):
+                        prefix = (1 << bit) | (line[at] >> (8 - bit))
+                        self.counts.setdefault((line[at - d:at], prefix), [0, 0])[line[at] >> (7 - bit) & 1] += 1
+                        if d:
+                            self.below[line[at - d + 1:at], prefix].add(line[at - d:at])
+
+    def kt(self, node):
+        a, b = self.counts[node]
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    def counts(context, prefix, bits):
-        d = len(context)
-        n = [0, 0]
-        for k in keys.tolist():
-            raw = k.to_bytes(6, "big")
-            s = raw[5]
-            if raw[5 - d:5] == context and ((1 << bits) | (s >> (8 - bits))) == prefix:
-                n[(s >> (7 - bits)) & 1] += 1
-        return n
-
-    def coded(context, prefix, bits):
-        a, b = counts(context, prefix, bits)
-        if len(context) == ctw.DEPTH:
-            return kt(a, b)
-        below = {k.to_bytes(6, "big")[5 - len(context) - 1:5] for k in keys.tolist()}
-        under = [coded(x, prefix, bits) for x in below if x[1:] == context and sum(counts(x, prefix, bits))]
-        return math.log(0.5) + np.logaddexp(kt(a, b), sum(under))
-
-    def one(context, prefix, bits, full):
-        a, b = counts(context, prefix, bits)
+    def coded(self, node):
+        if node not in self.memo:
+            own = self.kt(node)
+            self.memo[node] = own if len(node[0]) == ctw.DEPTH else math.log(0.5) + np.logaddexp(own, sum(self.coded((c, node[1])) for c in self.below[node]))
+        return self.memo[node]
+
+    def one(self, line, at, prefix, d=0):
+        node = (line[at - d:at], prefix)
+        if node not in self.counts:
+            return None
+        a, b = self.counts[node]
         own = (b + 0.5) / (a + b + 1)
-        if len(context) == ctw.DEPTH:
-            return own
-        deeper = full[5 - len(context) - 1:5]
-        if not sum(counts(deeper, prefix, bits)):
+        deeper = self.one(line, at, prefix, d + 1) if d < ctw.DEPTH else None
+        if deeper is None:
             return own
-        w = math.exp(math.log(0.5) + kt(a, b) - coded(context, prefix, bits))
-        return w * own + (1 - w) * one(deeper, prefix, bits, full)
-
-    for text in (b"\xff\xff\xff\xff\xffa", b"cadabr", b"xxxxab"):
-        p = 1.0
-        for bits in range(8):
-            prefix = (1 << bits) | (text[5] >> (8 - bits))
-            o = one(b"", prefix, bits, text)
-            p *= o if (text[5] >> (7 - bits)) & 1 else 1 - o
-        assert 10 ** model.walk(np.array([int.from_bytes(text, "big")]))[0] == pytest.approx(p, rel=1e-4)
+        w = math.exp(math.log(0.5) + self.kt(node) - self.coded(node))
+        return w * own + (1 - w) * deeper
+
+    def log10(self, text):
+        line, total = b"\xff" * ctw.DEPTH + text + b"\xff", 0.0
+        for at in range(ctw.DEPTH, len(line)):
+            for bit in range(8):
+                p = self.one(line, at, (1 << bit) | (line[at] >> (8 - bit)))
+                p = 0.5 if p is None else p
+                total += math.log10(p if line[at] >> (7 - bit) & 1 else 1 - p)
+        return total
+
+
+@pytest.mark.parametrize("head,top,rows_at_once", [(1_000_000, 2_000_000, 1 << 19), (20, 0, 50), (0, 2_000_000, 1)])
+def test_ctw_matches_the_recursion(spark, monkeypatch, head, top, rows_at_once):
+    monkeypatch.setattr(ctw, "HEAD_TOKENS", head)
+    monkeypatch.setattr(ctw, "HEAD_GRAMS", head)
+    monkeypatch.setattr(ctw, "TOP_NODES", top)
+    monkeypatch.setattr(ctw, "TASK_GRAMS", rows_at_once)
+    rows = corpus(30, 3, 25)
+    rows += [(500 + k, f"qé{k} zz{k}", None, None, 0) for k in range(30)]
+    got = defaultdict(list)
+    odd = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as key", "2 as row", "3 as n_tokens", "4 as held_out").repartition(5)
+    for r in ctw.score(odd).collect():
+        got[r["doc_id"]].append(r)
+    tokens = lambda t: [lower(w) for w in WORD.findall(t or "")] + [0]
+    training = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
+    assert len(training) < len(rows)
+    c = Counter(x for r in training for x in tokens(r[1]))
+    tree = BruteTree([(r[1] or "").encode() for r in training])
+    n, v = sum(c.values()), len(c)
+    assert sum(map(len, got.values())) == len(rows)
+    for i, text, *_ in rows:
+        t, raw = tokens(text), (text or "").encode()
+        for g in got[i]:
+            assert (g["n_tokens"], g["n_known"], g["train_tokens"], g["n_bytes"]) == (len(t), sum(c[x] > 0 for x in t), n, len(raw))
+            assert g["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t))
+            assert g["score"] == pytest.approx(tree.log10(raw), rel=1e-7)
+            assert g["bits_per_byte"] == pytest.approx(-g["score"] * math.log2(10) / (len(raw) + 1))
+
+
+def test_ctw_is_a_distribution(spark, docs):
+    model = ctw.fit(docs)
+    keys = [int.from_bytes(x + bytes([b]), "big") for x in (b"\xff\xff\xff\xff\xff", b"abcde", b"zzzzz", b"zz ab") for b in range(256)]
+    new = spark.createDataFrame([(k,) for k in keys], "key long").join(model.grams.select("key"), "key", "left_anti")
+    logs = {r["key"]: r["log"] for r in model.logs().collect()} | {r["key"]: r["log"] for r in model.logs(new).collect()}
+    for at in range(0, len(keys), 256):
+        assert sum(10 ** logs[k] for k in keys[at:at + 256]) == pytest.approx(1, abs=1e-9)
+
+
+def test_ctw_of_little(spark):
+    assert ctw.score(empty(spark)).count() == 0
+    alone = spark.createDataFrame([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0), "ab")], "doc_id long, text string")
+    r = ctw.score(alone).first()  # held out, so nothing is learnt
+    assert r["train_tokens"] == r["n_known"] == 0 and r["bits_per_byte"] == pytest.approx(8)
+    named = spark.createDataFrame([("x", "ab"), (None, None)], "doc_id string, text string")
+    assert sorted(map(str, (r["doc_id"] for r in ctw.score(named).collect()))) == ["None", "x"]
 
 
 # --- 4 quality rules
