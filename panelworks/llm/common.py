@@ -19,17 +19,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/panelworks/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of stages that nothing refers to any more."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; an empty array for null or blank texts."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,14 @@ from pyspark.sql import Window
 
 from panelworks.llm import textops as T
 
-#: The bounded sample that a language is learnt from: rows, and bytes of all of them.
+#: The bounded sample that a language is learnt from: rows, and bytes of all of them together.
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 32768
-#: Texts are parsed in pieces of this many bytes, all of them; a phrase ends with its piece.
+#: Texts are cut into pieces of this many bytes that step side by side; where a piece would have started in another state it is done again.
 PIECE = 256
-#: Byte classes: 0 for bytes that no sample has, 1 for ASCII other than letters, the last for padding.
-CLASSES = 64
 ONE = np.int32(1)
+#: What a parser reads: A-Z as a-z, and all ASCII other than letters as one symbol. Every other byte is a symbol of its own.
+SYMBOL = T._LOWER.copy()
+SYMBOL[[c for c in range(128) if not chr(c).isalpha()]] = 0x20
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -57,78 +59,120 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def parser(codes: list[int]) -> np.ndarray:
-    """The automaton as a flat table: entry state * CLASSES + class is (next state * CLASSES) << 1 | whether a phrase ends here.
+@dataclass
+class Parser:
+    """The automaton of a language as a flat table.
 
-    Where the automaton has no transition, the phrase ends and the next one starts with this byte."""
-    step = automaton(codes)
-    table = np.empty((len(step), CLASSES), np.int32)
-    start = np.zeros(CLASSES, np.int32)
+    ``column``: the table's column of each byte; 0 for bytes that the sample lacks, which all act alike. ``table``: entry
+    state * width + column is (next state * width) << 1 | whether a phrase ends here. Where the automaton has no transition,
+    the phrase ends and the next one starts with this byte. The last column, ``over``, leaves the state as it is.
+    ``size``: bytes of the sample."""
+
+    column: np.ndarray
+    table: np.ndarray
+    over: int
+    size: int
+
+
+def parser(sample: bytes) -> Parser:
+    symbols = SYMBOL[np.frombuffer(sample, np.uint8)]
+    own = np.unique(symbols)
+    column = np.zeros(256, np.int32)
+    column[own] = np.arange(1, len(own) + 1)
+    step, width = automaton(column[symbols].tolist()), len(own) + 2
+    start = np.zeros(width, np.int32)
     for c, to in step[0].items():
-        start[c] = to * CLASSES
+        start[c] = to * width
+    table = np.empty((len(step), width), np.int32)
     table[:] = start << 1 | ONE
     for s, moves in enumerate(step):
         for c, to in moves.items():
-            table[s, c] = to * CLASSES << 1
-    table[:, CLASSES - 1] = np.arange(len(step), dtype=np.int32) * CLASSES << 1
-    return table.ravel()
-
-
-def byte_classes(samples: list[bytes]) -> np.ndarray:
-    """A class for each byte: one for all ASCII that isn't a letter, own ones for the most frequent others."""
-    seen = np.bincount(T._LOWER[np.frombuffer(b"".join(samples), np.uint8)], minlength=256)
-    out = np.zeros(256, np.uint8)
-    other = [c for c in range(128) if not chr(c).isalpha()]
-    out[other] = 1
-    seen[other] = 0
-    frequent = sorted((c for c in range(256) if seen[c]), key=lambda c: (-seen[c], c))[:CLASSES - 3]
-    for k, c in enumerate(frequent):
-        out[c] = k + 2
-    return out[T._LOWER]
-
-
-def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 41) -> tuple[np.ndarray, list[tuple[str, np.ndarray, int]]]:
-    """(byte classes, [(language, parser, sample length)]) from SAMPLE_ROWS rows of each language, the first by a seeded hash.
-
-    Rows without a text or a language are not used. Only the sample comes to the driver."""
-    rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key), F.xxhash64(text))
-    some = rows.select(key, F.col(lang).alias("lang"), F.col(text).alias("text"), F.row_number().over(order).alias("r")).where(f"r <= {SAMPLE_ROWS}")
-    got = some.select("lang", "r", F.substring("text", 1, SAMPLE_BYTES).alias("text")).toPandas().sort_values(["lang", "r"])
-    samples = {k: b"\n".join(x.encode() for x in g["text"])[:SAMPLE_BYTES] for k, g in got.groupby("lang")} if len(got) else {}
-    classes = byte_classes(list(samples.values()))
-    return classes, [(k, parser(classes[np.frombuffer(v, np.uint8)].tolist()), len(v)) for k, v in sorted(samples.items())]
-
-
-def phrases(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray, parsers: list[np.ndarray]) -> np.ndarray:
-    """(texts, languages) numbers of phrases; all pieces of a block step through the automata side by side."""
+            table[s, c] = to * width << 1
+    table[:, width - 1] = np.arange(len(step), dtype=np.int32) * width << 1
+    return Parser(column[SYMBOL], table.ravel(), width - 1, len(sample))
+
+
+def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", seed: int = 41, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[str, Parser]]:
+    """[(language, parser)] from at most ``rows`` rows and ``size`` bytes of each language: the first rows by a seeded hash,
+    each with an equal share of the bytes (what short rows leave goes to the others), from a hashed place in its text.
+
+    Rows without a letter or a language are not used. Only the sample comes to the driver, so memory follows the number of languages."""
+    labelled = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    chance = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    some = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), chance.alias("h"))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= rows)
+    place = F.pmod("h", F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
+    got = some.select("lang", "r", F.substring("text", place, F.lit(size)).alias("text")).toPandas().sort_values(["lang", "r"])
+    return [(k, parser(shared([x.encode() for x in g["text"]], size))) for k, g in got.groupby("lang")] if len(got) else []
+
+
+def shared(texts: list[bytes], size: int) -> bytes:
+    """The texts in one, ``size`` bytes at most: equal shares, and what short ones leave goes to the longer ones."""
+    order, left, most = sorted(len(x) + 1 for x in texts), size, 0
+    for k, n in enumerate(order):
+        most = left // (len(order) - k)
+        if n > most:
+            break
+        left, most = left - n, size
+    return b"\n".join(x[:max(most - 1, 0)] for x in texts)[:size]
+
+
+def run(state: np.ndarray, codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(states, ends) after every step of lanes that start in ``state``; codes: (steps, lanes)."""
+    states, ends = np.empty(codes.shape, np.int32), np.empty(codes.shape, bool)
+    for t in range(len(codes)):
+        got = table[state + codes[t]]
+        ends[t] = got & ONE
+        state = got >> ONE
+        states[t] = state
+    return states, ends
+
+
+def phrases(data: np.ndarray, bounds: np.ndarray, parsers: list[Parser]) -> np.ndarray:
+    """(texts, languages) numbers of phrases.
+
+    All pieces of a block step through an automaton side by side, each as if a phrase began with it. A piece whose
+    predecessor left another state steps again from that one until both ways meet, which takes a phrase or two;
+    what it leaves itself may then be new, and so on until nothing changes: the phrases of the whole text."""
     n = np.diff(bounds)
     pieces = -(-n // PIECE)
     of = np.repeat(np.arange(len(n)), pieces)
     out = np.zeros((len(n), len(parsers)), np.int64)
     if not len(of):
         return out
-    within = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-    start = bounds[of] + within
-    place = start[None, :] + np.arange(PIECE)[:, None]
-    inside = place < bounds[of + 1][None, :]
-    codes = np.where(inside, classes[data[np.minimum(place, len(data) - 1)]], CLASSES - 1).astype(np.int32)
-    for k, table in enumerate(parsers):
-        state = np.zeros(len(of), np.int32)
-        ends = np.ones(len(of), np.int32)
-        for t in range(PIECE):
-            got = table[state + codes[t]]
-            ends += got & ONE
-            state = got >> ONE
-        out[:, k] = np.bincount(of, ends, minlength=len(n)).astype(np.int64)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    place = (bounds[of] + number * PIECE)[None, :] + np.arange(PIECE)[:, None]
+    outside = place >= bounds[of + 1][None, :]
+    raw = data[np.minimum(place, len(data) - 1)]
+    for k, p in enumerate(parsers):
+        codes = p.column[raw]
+        codes[outside] = p.over
+        states, ends = run(np.zeros(len(of), np.int32), codes, p.table)
+        began = np.zeros(len(of), np.int32)
+        while True:
+            want = np.where(number > 0, np.concatenate([[0], states[-1, :-1]]), 0).astype(np.int32)
+            lanes = np.flatnonzero(want != began)
+            if not len(lanes):
+                break
+            began[lanes] = state = want[lanes]
+            for t in range(PIECE):
+                got = p.table[state + codes[t, lanes]]
+                state = got >> ONE
+                ends[t, lanes] = got & ONE
+                apart = state != states[t, lanes]
+                states[t, lanes] = state
+                lanes, state = lanes[apart], state[apart]
+                if not len(lanes):
+                    break
+        out[:, k] = np.bincount(of, ends.sum(0), minlength=len(n)).astype(np.int64) + (n > 0)
     return out
 
 
 def predictor(model):
-    """The map function: (doc_id, text, held_out, letter) to (doc_id, held_out, lang_pred, score)."""
+    """The map function: (key, text, held_out, letter) to (key, held_out, lang_pred, score)."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, languages = model.value
+        languages = model.value
         names = np.array([x[0] for x in languages] + ["und"], object)
         for batch in batches:
             if not batch.num_rows:
@@ -138,7 +182,7 @@ def predictor(model):
             for first, last, data, bounds in T.raw_blocks(batch.column(1), 1 << 20):
                 if not languages:
                     break
-                cost = phrases(data, bounds, classes, [x[1] for x in languages]) * np.array([math.log2(x[2] + 1) for x in languages])
+                cost = phrases(data, bounds, [x[1] for x in languages]) * np.array([math.log2(x[1].size + 1) for x in languages])
                 order = np.argsort(cost, axis=1, kind="stable")
                 at = np.arange(last - first)
                 one = cost[at, order[:, 0]]
@@ -146,17 +190,20 @@ def predictor(model):
                 live = letter[first:last]
                 best[first:last] = np.where(live, order[:, 0], len(languages))
                 score[first:last] = np.where(live, 1 - one / np.maximum(two, 1e-9), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], names=["key", "held_out", "lang_pred", "score"])
 
     return predict
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: str = "crc32(cast({key} as string)) % 4 = 2") -> DataFrame:
-    """Every row of ``docs``: key (long), ``held_out``, ``lang_pred`` and ``score`` (0 to 1: how much fewer phrases than the next language).
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: str = "crc32(cast(`{key}` as string)) % 4 = 2") -> DataFrame:
+    """Every row of ``docs``: key, ``held_out``, ``lang_pred`` and ``score`` (0 to 1: how much fewer phrases than the next language).
 
     Learns from rows that are not held out and have a text and a language. A text that is null or has no letter
-    is ``und`` with score 0, and so is any if nothing could be learnt. Ties go to the first language in order."""
+    is ``und`` with score 0, and so is any if nothing could be learnt. Ties go to the first language in order.
+    Repeated rows are judged alike. Very long texts are parsed whole, in one pass of phrases. The key may have any
+    type; other columns are ignored, so none can clash. An empty table gives an empty result."""
     held = F.coalesce(F.expr(held_out.format(key=key)), F.lit(False))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held), key, text, lang))
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held_out"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return own.mapInArrow(predictor(model), "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", key)
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), held.alias("held_out"))
+    model = docs.sparkSession.sparkContext.broadcast(fit(own.where("not held_out"), "key"))
+    own = own.select("key", "text", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    return own.mapInArrow(predictor(model), f"key {own.schema['key'].dataType.simpleString()}, held_out boolean, lang_pred string, score double").withColumnRenamed("key", key)

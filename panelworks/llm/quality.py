@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import SPACES, release, saved, words
+from panelworks.llm.common import SPACES, saved, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_odd_ends", "n_stops"]
 
@@ -38,15 +38,16 @@ class Rule:
     bad: str
 
 
-#: Rules on damage vote bad or abstain, rules on form vote either way; no rule reads a label.
+#: Rules on damage vote bad or abstain, rules on form vote either way; no rule reads a label. Each can vary among the rows that
+#: pass the base test, which are the ones that it judges.
 RULES = [
-    Rule("length", "n_words >= 50", "n_words < 20"),
+    Rule("line_length", "n_words >= 8 * n_lines", "n_words < 3 * n_lines"),
     Rule("function_words", "n_stops >= 3", "n_stops < 2"),
     Rule("word_length", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
     Rule("clean_ends", "n_odd_ends * 50 <= n_words", "n_odd_ends * 5 > n_words"),
     Rule("symbols", "false", "n_symbols * 10 > n_words"),
     Rule("repeated_lines", "false", "n_dup_lines * 3 > n_lines"),
-    Rule("repeated_words", "false", "n_repeat_words * 2 > n_words"),
+    Rule("repeated_words", "n_repeat_words * 20 <= n_words", "n_repeat_words * 3 > n_words"),
     Rule("capitals", "false", "n_upper * 2 > word_chars"),
     Rule("shouting", "false", "n_shouts * 10 > n_words"),
 ]
@@ -56,26 +57,29 @@ def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     """The columns ``keep`` of ``docs`` (all of them by default) as a struct ``_row``, and the measures.
 
     A null or blank text measures as zeros. ``n_repeat_words``: the words in a 3-word window that the text
-    holds at least twice, first ones included. For it the windows are sorted inside the row and equal
-    neighbours compared, so no row leaves its task and the work is n log n in the words of a text."""
+    holds at least twice, first ones included. Windows are hashed to longs, and only texts in which two hashes
+    meet go on: theirs are sorted inside the row, by hash and then by the words themselves, and equal neighbours
+    compared. So no row leaves its task, the work is n log n in the words of a text, and words decide."""
     keep = docs.columns if keep is None else keep
     body = F.coalesce(F.col(text), F.lit(""))
     n = F.size("_w")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), body.alias("_text"))
     rows = rows.select("*", words(F.col("_text")).alias("_w"),
                        F.filter(F.split(F.col("_text"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("_l"))
-    windows = F.arrays_zip(F.slice("_w", 1, n - 2).alias("a"), F.slice("_w", 2, n - 2).alias("b"), F.slice("_w", 3, n - 2).alias("c"),
+    word = lambda p: F.get("_w", p)
+    rows = rows.select("*", F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda p: F.xxhash64(word(p), word(p + 1), word(p + 2)))).alias("_h"))
+    windows = F.arrays_zip(F.col("_h").alias("h"), F.slice("_w", 1, n - 2).alias("a"), F.slice("_w", 2, n - 2).alias("b"), F.slice("_w", 3, n - 2).alias("c"),
                            F.sequence(F.lit(0), n - 3).alias("p"))
-    rows = rows.select("_row", "_text", "_w", "_l", F.when(n >= 4, F.sort_array(windows)).alias("_o"))
+    rows = rows.select("_row", "_text", "_w", "_l", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(windows)).alias("_o"))
     pairs = F.arrays_zip(F.slice("_o", 1, n - 3).alias("x"), F.slice("_o", 2, n - 3).alias("y"))
-    same = F.filter(pairs, lambda r: (r["x"]["a"] == r["y"]["a"]) & (r["x"]["b"] == r["y"]["b"]) & (r["x"]["c"] == r["y"]["c"]))
+    same = F.filter(pairs, lambda r: (r["x"]["h"] == r["y"]["h"]) & (r["x"]["a"] == r["y"]["a"]) & (r["x"]["b"] == r["y"]["b"]) & (r["x"]["c"] == r["y"]["c"]))
     rows = rows.select("_row", "_text", "_w", "_l", F.transform(same, lambda r: F.array(r["x"]["p"], r["y"]["p"])).alias("_s"))
     spots = F.array_distinct(F.flatten("_s"))
     rows = rows.select("_row", "_text", "_w", "_l", spots.alias("_s"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_s", lambda p: F.array(p, p + 1, p + 2)))))
     named = {
         "n_words": n, "word_chars": F.length(F.array_join("_w", "")), "n_symbols": found(F.col("_text"), r"[#*$%&|<>]"),
-        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": F.when(n >= 4, covered).otherwise(0),
+        "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")), "n_repeat_words": F.coalesce(F.when(F.col("_s").isNotNull(), covered), F.lit(0)),
         "n_lines": F.size("_l"), "n_upper": F.length("_text") - F.length(F.regexp_replace("_text", "[A-Z]+", "")),
         "n_shouts": found(F.col("_text"), "!"), "n_odd_ends": found(F.col("_text"), r"[^\p{L}\p{N}.,;:?)\"'\x20\x09-\x0D](?=[\x20\x09-\x0D]|$)"),
         "n_stops": F.size(F.array_intersect(F.col("_w"), F.array(*[F.lit(x) for x in STOPS])))}
@@ -141,13 +145,13 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ru
     ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated windows. ``kept``: not that,
-    and p_good >= threshold; EM learns from the rows that do not fail. Null and blank texts fail; repeated rows are judged alike; no column name of
-    ``docs`` can clash because they stay inside ``_row``. The measures are taken once and written to the
+    and p_good >= threshold; EM learns from the rows that do not fail. Null and blank texts fail; repeated rows
+    are judged alike; very long texts are measured whole; an empty table gives an empty result. No column name
+    of ``docs`` can clash because they stay inside ``_row``. The measures are taken once and written to the
     shared folder; EM and the verdicts read them there."""
     rules = RULES if rules is None else rules
     flat = measured(docs, text, keep)
     flat = saved(flat.select("*", *[vote(r).alias(f"v_{r.name}") for r in rules]), "measures")
-    release(docs.sparkSession)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     patterns = flat.where(~failed).groupBy(*[f"v_{r.name}" for r in rules]).agg(F.count(F.lit(1)).alias("n"))
     model = estimate(saved(patterns, "patterns"), rules)

@@ -41,11 +41,12 @@ def op5_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_bloom_url_filter"] = r"""
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 c AS (SELECT *, regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html)?/*$', '') AS canonical,
              list_has_any(string_split(host, '.'), ['casino-win', 'free-bets', 'cheap-pills', 'ads-track']) AS bad FROM u),
-l AS (SELECT DISTINCT canonical FROM c WHERE bad AND canonical <> ''),
+t AS (SELECT host, path FROM c WHERE bad UNION ALL SELECT host, regexp_extract(x, '(?s)^([^?#]*)', 1) FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)"', 1)) AS x FROM c WHERE bad) WHERE starts_with(x, '/')),
+l AS (SELECT DISTINCT canonical FROM (SELECT regexp_replace(host, '^(www|m|blog)\.', '') || regexp_replace(path, '(\.html)?/*$', '') AS canonical FROM t) WHERE canonical <> ''),
 r AS (SELECT c.*, l.canonical IS NOT NULL AS listed,
   CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
        WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
@@ -71,16 +72,13 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 ORACLES["op2_spaced_seed_decontamination"] = r"""
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS v FROM benchmark),
-ds AS (SELECT doc_id, pos, [w[pos+1], w[pos+2], w[pos+3], w[pos+4], w[pos+5], w[pos+6], w[pos+7], w[pos+8]] AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS pos FROM d)),
-bs AS (SELECT item_id, q, [v[q+1], v[q+2], v[q+3], v[q+4], v[q+5], v[q+6], v[q+7], v[q+8]] AS s FROM (SELECT item_id, v, unnest(range(0, len(v) - 7)) AS q FROM b)),
-h AS (
-  SELECT doc_id, item_id, pos - q AS diag FROM ds JOIN bs ON ds.s[1] = bs.s[1] AND ds.s[2] = bs.s[2] AND ds.s[3] = bs.s[3] AND ds.s[5] = bs.s[5] AND ds.s[6] = bs.s[6] AND ds.s[8] = bs.s[8]
-  UNION SELECT doc_id, item_id, pos - q FROM ds JOIN bs ON ds.s[1] = bs.s[1] AND ds.s[2] = bs.s[2] AND ds.s[4] = bs.s[4] AND ds.s[5] = bs.s[5] AND ds.s[7] = bs.s[7] AND ds.s[8] = bs.s[8]
-  UNION SELECT doc_id, item_id, pos - q FROM ds JOIN bs ON ds.s[1] = bs.s[1] AND ds.s[3] = bs.s[3] AND ds.s[4] = bs.s[4] AND ds.s[6] = bs.s[6] AND ds.s[7] = bs.s[7] AND ds.s[8] = bs.s[8]),
+ds AS (SELECT doc_id, pos, w[pos+1] AS x, w[pos+2] AS y FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS pos FROM d)),
+bs AS (SELECT item_id, q, v[q+1] AS x, v[q+2] AS y FROM (SELECT item_id, v, unnest(range(0, len(v) - 1)) AS q FROM b)),
+h AS (SELECT DISTINCT doc_id, item_id, pos - q AS diag FROM ds JOIN bs USING (x, y)),
 p AS (SELECT doc_id, item_id, diag, len(v) AS n, [CASE WHEN v[i] = w[diag + i] THEN 1 ELSE 0 END FOR i IN range(greatest(-diag, 0) + 1, least(len(v), len(w) - diag) + 1)] AS same
       FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
 r AS (SELECT doc_id, item_id, diag, n, list_sum(same) AS n_agree, list_max([list_sum(same[i:i+12]) FOR i IN range(1, greatest(len(same) - 12, 1) + 1)]) AS n_best FROM p)
-SELECT doc_id, item_id, diag AS doc_start, n_best::BIGINT AS n_best, n_agree::BIGINT AS n_agree FROM r WHERE n_best >= ceil(least(13, n) * 0.8)
+SELECT doc_id, item_id, diag AS doc_start, n_best::BIGINT AS n_best, n_agree::BIGINT AS n_agree FROM r WHERE n_best >= CASE WHEN n < 8 THEN n ELSE ceil(least(13, n) * 0.8) END
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_best DESC, n_agree DESC, diag) = 1
 """
 

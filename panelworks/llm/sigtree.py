@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from panelworks.llm import textops as T
-from panelworks.llm.common import components, release, saved
+from panelworks.llm.common import components, saved
 
 #: Defaults: words of a shingle, and the threshold as a ratio of integers, so that no rounding decides.
 NUM, DEN = 90, 100
@@ -319,7 +319,7 @@ def link(tokens: list[np.ndarray], copies: np.ndarray, left: int | None = None,
     label, links = np.arange(len(n)), np.zeros(len(n), np.int64)
     ranges = [(0, len(n))] if left is None else [(0, left), (left, len(n))]
     trees = [Tree(ids[edges[a]:edges[b]], edges[a:b + 1] - edges[a], bits, leaf) for a, b in ranges]
-    for p, q in leaf_pairs(trees[0], trees[-1]):
+    for p, q in leaf_pairs(trees[0], trees[-1], num, den):
         if left is None and q < p:
             continue
         (s1, e1), (s2, e2) = ranges[0], ranges[-1]
@@ -389,18 +389,35 @@ def grouper(leaf: int, num: int = NUM, den: int = DEN):
     return grouped
 
 
+def chunked(sets: DataFrame) -> DataFrame:
+    """``sets`` (comp, v, n, ...) with ``chunk``: components of more than TREE_TOKENS are cut into chunks of about so many, in size order.
+
+    Only counts for (component, size, slice) are put in order, and a slice holds about a quarter of a tree, so no
+    component is sorted by one task."""
+    cost = F.sum(F.greatest("n", F.lit(1024))).alias("cost")
+    big = sets.groupBy("comp").agg(cost).where(F.col("cost") > TREE_TOKENS).select("comp")
+    rows = sets.join(F.broadcast(big), "comp")  # each has 4 million tokens or more, so they are few
+    parts = rows.groupBy("comp", "n").agg(cost).select("comp", "n", F.ceil(F.col("cost") / (TREE_TOKENS // 4)).cast("int").alias("parts"))
+    rows = saved(rows.join(parts, ["comp", "n"]).withColumn("slice", F.pmod(F.xxhash64("v", F.lit(12)), F.col("parts")).cast("int")).drop("parts"), "large")
+    before = Window.partitionBy("comp").orderBy("n", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("comp", "n", "slice").agg(cost).select("comp", "n", "slice", F.floor(F.coalesce(F.sum("cost").over(before), F.lit(0)) / TREE_TOKENS).cast("long").alias("chunk"))
+    rows = rows.join(cells, ["comp", "n", "slice"]).drop("slice")
+    return sets.join(F.broadcast(big), "comp", "left_anti").withColumn("chunk", F.lit(0).cast("long")).unionByName(rows)
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Links sets of word ``shingle``-grams whose Jaccard similarity is ``num`` / ``den`` or more (below 1). One row for each row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key reachable by
-    links, its own included) and ``n_links`` (rows it links with).
+    """Links sets of word ``shingle``-grams whose Jaccard similarity is ``num`` / ``den`` or more (below 1).
 
-    Keys are longs. A text without words, or null, has an empty set: no links, its own component. Rows with
-    equal sets link. Rows with a null key take part; their component is the smallest key reachable, or null."""
+    One row for each row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key reachable by links,
+    its own included) and ``n_links`` (rows it links with). Keys are longs. A text without words, or null, has an
+    empty set: no links, its own component. Rows with equal sets, so also repeated rows, link. Rows with a null key
+    take part; their component is the smallest key reachable, or null. Very long texts are one set like any other.
+    Other columns are ignored, so none can clash. An empty table gives an empty result."""
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if num + den < WIDE * 2 * (den - num):
         every = saved(own.mapInArrow(sampler(shingle, None), "doc_id long, v long, n long"), "vertices")
         live = saved(every.where("v is not null").join(lonely(own, shingle, num, den), "v", "left_anti").select(F.col("doc_id").alias("_d")).distinct(), "live")
-        release(spark)
         some = own.join(F.broadcast(live) if live.count() <= SENT_ROWS else live, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
         rows = some.mapInArrow(emitter(shingle, num, den), ROWS).where("n is null")
         rows = rows.unionByName(every.select(F.coalesce("v", F.xxhash64("doc_id")).alias("key"), "v", F.lit(None).cast("long").alias("w"), "doc_id", "n"))
@@ -410,28 +427,28 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = rows.withColumn("low", low)
     w = F.when(F.col("n").isNull(), F.coalesce("w", "low"))
     table = saved(rows.select(w.alias("w"), "v", "doc_id", "n").where("n is not null or w <> v"), "signatures")
-    release(spark)
     all_docs = table.where("n is not null").select("doc_id", "v", "n")
     near = components(table.where("n is null").select("v", "w").distinct(), "v", "w").withColumnRenamed("root", "comp")
     sets = all_docs.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     sets = saved(sets, "sets")
-    work = Window.partitionBy("comp").orderBy("n", "v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sets.join(near, "v").withColumn("chunk", F.floor(F.coalesce(F.sum(F.greatest("n", F.lit(1024))).over(work), F.lit(0)) / TREE_TOKENS).cast("long"))
-    placed = saved(placed, "candidates")
+    placed = saved(chunked(sets.join(near, "v")), "candidates")
     side = placed.select(F.col("doc_id").alias("_d"), "v", "comp", "copies")
     side = F.broadcast(side) if side.count() <= SENT_ROWS else side
     texts = own.join(side, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "v", "comp", "copies")
     tokens = texts.mapInArrow(tokeniser(shingle), "comp long, v long, copies long, n long, tokens binary")
-    chunks = placed.groupBy("comp").agg((F.max("chunk") + 1).alias("chunks"))
-    split = placed.join(chunks.where("chunks > 1"), "comp").select("comp", "v", "chunk", "chunks")
-    tokens = tokens.join(F.broadcast(split) if split.count() <= SENT_ROWS else split, ["comp", "v"], "left").fillna({"chunk": 0, "chunks": 1})
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    tokens = tokens.select("comp", "v", "copies", "n", "tokens", "chunk", other.alias("_o"))
-    tokens = tokens.select("comp", F.least("chunk", "_o").alias("one"), F.greatest("chunk", "_o").alias("two"), "v", "copies", "n", "chunk", "tokens")
+    chunks = placed.groupBy("comp", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # chunks are in size order, so only those whose sizes can be near enough meet
+    meet = chunks.select("comp", F.col("chunk").alias("one"), F.col("hi").alias("_hi")).join(chunks.select("comp", F.col("chunk").alias("two"), F.col("lo").alias("_lo")), "comp").where((F.col("one") <= F.col("two")) & (den * F.col("_hi") >= num * F.col("_lo")))
+    meet = meet.select("comp", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("chunk")).where("one <> 0 or two <> 0")
+    split = saved(placed.where("chunk > 0").select("comp").distinct().join(placed, "comp").join(meet, ["comp", "chunk"]).select("comp", "v", "chunk", "one", "two"), "split")
+    split = F.broadcast(split) if split.count() <= SENT_ROWS else split
+    alone = tokens.select("*", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("two"))
+    first = placed.where("chunk > 0").select("comp", "v")
+    alone = alone.join(F.broadcast(first) if first.count() <= SENT_ROWS else first, ["comp", "v"], "left_anti")
+    tokens = alone.unionByName(tokens.join(split, ["comp", "v"])).select("comp", "one", "two", "v", "copies", "n", "chunk", "tokens")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     trees = tokens.repartition(n_parts, "comp", "one", "two").sortWithinPartitions("comp", "one", "two")
     linked = saved(trees.mapInArrow(grouper(LEAF, num, den), "v long, root long, links long"), "links")
-    release(spark)
     roots = components(linked.select("v", "root"), "v", "root")
     degree = linked.groupBy("v").agg(F.sum("links").alias("links"))
     by_set = sets.join(roots, "v", "left").join(degree, "v", "left").withColumn("root", F.coalesce("root", "v"))
@@ -442,13 +459,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row of each component of ``docs`` (as of ``jaccard_components``): that with the smallest key (of repeated keys, one). Rows with a null key stay."""
-    out = saved(jaccard_components(docs, key, text, shingle, num, den).where(f"component_id <> {key}").select(F.col(key).alias("_gone")).distinct(), "dropped")
-    side = F.broadcast(out) if out.count() <= SENT_ROWS else out
-    left = docs.join(side, docs[key] == F.col("_gone"), "left_anti")
-    repeated = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(f"_n > 1 and {key} is not null")
-    if repeated.isEmpty():
-        return left
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), F.col(text)))
-    again = left.join(repeated.drop("_n"), key, "left_semi").withColumn("_r", first).where("_r = 1").drop("_r")
-    return left.join(repeated.drop("_n"), key, "left_anti").unionByName(again.select(*left.columns))
+    """One row of each group of linked texts (as of ``jaccard_components``), with the columns of ``docs``.
+
+    Rows are told apart by key and text (128 bits of hashes), so rows of one key with unlike texts are judged
+    each. Of a group the row with the smallest key stays, of one key that with the smallest hash, of rows alike
+    in both any one; null keys come last. Texts without words, null ones too, link with nothing and all stay.
+    Extra columns may have any names. An empty table stays empty."""
+    ids = [F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), F.col(text)).alias("_b")]
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), *ids)
+    classes = jaccard_components(docs.select(ids[0], F.col(text).alias("text")), "_a", "text", shingle, num, den).where("n_links > 0")
+    classes = saved(classes.select("_a", F.col("component_id").alias("_c")).distinct(), "classes")
+    send = F.broadcast if classes.count() <= SENT_ROWS else lambda x: x
+    own = F.struct(F.col("_key").isNull().alias("null"), F.col("_key").alias("key"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    linked = rows.drop("_row").join(send(classes), "_a").groupBy("_key", "_a", "_b", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    linked = saved(linked.join(linked.groupBy("_c").agg(F.min(own).alias("_first")), "_c").withColumn("_stays", own == F.col("_first")).select("_key", "_a", "_b", "_n", "_stays"), "linked")
+    same = lambda side: (F.col("_key").eqNullSafe(side["k"])) & (F.col("_a") == side["a"]) & (F.col("_b") == side["b"])
+    named = linked.select(F.col("_key").alias("k"), F.col("_a").alias("a"), F.col("_b").alias("b"), "_n", "_stays")
+    moved = named.where("not _stays or _n > 1")
+    left = rows.join(F.broadcast(moved) if moved.count() <= SENT_ROWS else moved, same(moved), "left_anti").select("_row.*")
+    again = named.where("_stays and _n > 1")
+    once = rows.join(F.broadcast(again) if again.count() <= SENT_ROWS else again, same(again), "left_semi").dropDuplicates(["_key", "_a", "_b"])
+    return left.unionByName(once.select("_row.*")) if len(set(docs.columns)) == len(docs.columns) else left.union(once.select("_row.*"))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelworks.llm.common import saved
+
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8  # 32-bit words of a block, one bit set in each for every entry
@@ -73,11 +75,9 @@ def bloom(listed: DataFrame, entry: str, n_blocks: int) -> DataFrame:
     return own.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
-def match_listed(rows: DataFrame, entry: str, listed: DataFrame, bits_per_entry: int = 16) -> DataFrame:
-    """``rows`` with boolean ``listed``: whether column ``entry`` is among ``listed`` (a table with that column).
-
-    Empty and null entries are never listed; repeated entries of the list count once; an empty list lists nothing."""
-    listed = listed.select(entry).where(F.col(entry).isNotNull() & (F.col(entry) != "")).distinct()
+def passed(rows: DataFrame, entry: str, listed: DataFrame, bits_per_entry: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with boolean ``_may``, false where the Bloom filter rules the entry out; the distinct list, column ``_listed``)."""
+    listed = saved(listed.select(entry).where(F.col(entry).isNotNull() & (F.col(entry) != "")).distinct(), "listed")
     n = listed.count()
     n_blocks = max(1, -(-n * bits_per_entry // (32 * WORDS)))
     table = bloom(listed, entry, n_blocks)
@@ -87,30 +87,46 @@ def match_listed(rows: DataFrame, entry: str, listed: DataFrame, bits_per_entry:
     may = F.lit(True)
     for i, b in enumerate(bits(F.col(entry))):
         may = may & (F.coalesce(F.col(f"w{i}"), F.lit(0).cast("long")).bitwiseAND(b) == b)
-    probe = probe.withColumn("_may", may & (F.col(entry) != ""))
-    sure = probe.where(F.col("_may")).select(*rows.columns).join(listed.withColumn("listed", F.lit(True)), entry, "left")
-    sure = sure.select(*rows.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
-    rest = probe.where(~F.coalesce(F.col("_may"), F.lit(False))).select(*rows.columns, F.lit(False).alias("listed"))
-    return sure.unionByName(rest)
+    probe = probe.select(*rows.columns, F.coalesce(may & (F.col(entry) != ""), F.lit(False)).alias("_may"))
+    return probe, listed.select(F.col(entry).alias("_listed"))
+
+
+def match_listed(rows: DataFrame, entry: str, listed: DataFrame, bits_per_entry: int = 16) -> DataFrame:
+    """``rows`` with boolean ``listed``: whether column ``entry`` is among ``listed`` (a table with that column).
+
+    Empty and null entries are never listed; repeated entries of the list count once; an empty list lists nothing,
+    and an empty table stays empty. Very long entries are hashed and compared whole."""
+    probe, listed = passed(rows, entry, listed, bits_per_entry)
+    # what did not pass looks for the empty entry, which no list has, in many places so that it spreads
+    spread = F.when(F.col("_may"), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).cast("int")
+    probe = probe.withColumns({"_entry": F.when(F.col("_may"), F.col(entry)).otherwise(""), "_at": spread})
+    listed = listed.withColumn("_zero", F.lit(0))
+    return probe.join(listed, (F.col("_entry") == F.col("_listed")) & (F.col("_at") == F.col("_zero")), "left").select(*rows.columns, F.col("_listed").isNotNull().alias("listed"))
 
 
 #: Host labels of the kind a public blocklist names.
 BAD_LABELS = ["casino-win", "free-bets", "cheap-pills", "ads-track"]
+HREF = r'<a href="([^"]*)"'
 
 
-def listed_urls(pages: DataFrame, labels: list[str] | None = None, url: str = "url") -> DataFrame:
-    """A list of canonical URLs out of a table of pages: those whose host has one of the labels."""
+def listed_urls(pages: DataFrame, labels: list[str] | None = None, url: str = "url", html: str = "html") -> DataFrame:
+    """A list of canonical URLs of bad neighbourhoods: pages whose host has one of the labels, and all that they link to
+    on their hosts, whether or not it is among ``pages``. Any other table with the column ``canonical`` will do as well."""
     labels = BAD_LABELS if labels is None else labels
     h = host(F.col(url))
-    known = pages.where(F.arrays_overlap(F.split(h, r"\."), F.array(*[F.lit(x) for x in labels])))
-    return known.select(canonical(h, path(F.col(url))).alias("canonical")).distinct()
+    bad = pages.where(F.arrays_overlap(F.split(h, r"\."), F.array(*[F.lit(x) for x in labels])))
+    links = F.filter(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(HREF), F.lit(1)), lambda x: x.startswith("/"))
+    paths = F.transform(links, lambda x: F.regexp_extract(x, r"(?s)^([^?#]*)", 1))
+    return bad.select(canonical(h, F.explode(F.concat(F.array(path(F.col(url))), paths))).alias("canonical")).distinct()
 
 
 def judge(pages: DataFrame, listed: DataFrame, keep: list[str], rules: list[Rule] | None = None, url: str = "url") -> DataFrame:
     """The columns ``keep`` with ``host``, ``path``, ``canonical``, ``listed``, ``rule`` and ``verdict``.
 
-    A rule decides where one fits; elsewhere a listed URL is blocked and any other allowed. A null or
-    malformed url has an empty host and path, fits no rule and is allowed. Rows are kept as often as they come."""
+    A rule decides where one fits, the longest one and of two equally long ones the first in the list; elsewhere a
+    listed URL is blocked and any other allowed. A null or malformed url has an empty host and path, fits no rule
+    and is allowed. Rows are kept as often as they come, very long urls are judged whole, and an empty table gives
+    an empty result. The kept columns stay inside ``_row``, so none can clash."""
     rules = RULES if rules is None else rules
     own = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     own = own.withColumn("canonical", canonical(F.col("host"), F.col("path")))

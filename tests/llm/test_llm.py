@@ -134,25 +134,46 @@ def test_sharding_moves_few_and_follows_weights(spark):
 
 
 def agreeing(doc, item, length=13, share=0.8):
+    """The best passing overlap over all alignments; no masks."""
     d, v, best = WORD.findall((doc or "").lower()), WORD.findall((item or "").lower()), None
-    if len(d) < 8 or len(v) < 8:
-        return None
+    need = len(v) if len(v) < 8 else math.ceil(min(length, len(v)) * share - 1e-9)
     for diag in range(-len(v) + 1, len(d)):
         lo, hi = max(0, -diag), min(len(v), len(d) - diag)
         same = [v[i] == d[diag + i] for i in range(lo, hi)]
-        hit = any(all(same[i - lo + j] for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for i in range(lo, hi - 7))
-        if hit:
-            n = max(sum(same[i:i + length]) for i in range(max(1, len(same) - length + 1)))
-            best = max(best or (0, 0, 0), (n, sum(same), -diag))
-    return best if best and best[0] >= math.ceil(min(length, len(v)) * share - 1e-9) else None
+        n = max(sum(same[i:i + length]) for i in range(max(1, len(same) - length + 1)))
+        best = max(best or (0, 0, 0), (n, sum(same), -diag))
+    return best if v and best and best[0] >= need else None
+
+
+def test_masks_see_every_passing_pattern():
+    from itertools import combinations
+
+    for n in range(8, 14):
+        most = n - math.ceil(n * 0.8 - 1e-9)
+        for bad in combinations(range(n), most):
+            assert any(all(s + j not in bad for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for s in range(n - len(m) + 1)), (n, bad)
+
+
+def test_decontamination_at_every_place_of_two_changes(spark):
+    from itertools import combinations
+
+    v = [f"w{i}" for i in range(13)]
+    docs = [(k, " ".join("x" if j in bad else w for j, w in enumerate(v))) for k, bad in enumerate([*combinations(range(13), 2), *combinations(range(13), 3)])]
+    docs.append((9999, " ".join(["the"] * 50_000 + v + ["end"] * 50_000)))
+    table, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(v)), (2, "w3 W4"), (3, "end")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.overlaps(table, items).collect()}
+    assert {d for d, i in got if i == 1} == {*range(78), 9999} and got[9999, 1]["doc_start"] == 50_000
+    assert {d for d, i in got if i == 2} == {d for d, t in docs if "w3 w4" in t} and {d for d, i in got if i == 3} == {9999}
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.overlaps(table, none).count() == 0 and decontam.clean_rows(table, none).count() == len(docs)
 
 
 def test_decontamination_matches_brute_force(spark, monkeypatch):
     rnd = random.Random(5)
     v = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rnd.choices(v, k=rnd.choice([5, 9, 14, 30])))) for i in range(12)] + [(99, None), (98, "")]
+    items = [(i, " ".join(rnd.choices(v, k=rnd.choice([2, 5, 9, 14, 30])))) for i in range(12)] + [(99, None), (98, "")]
     docs = []
-    for i in range(60):
+    for i in range(150):
         words = rnd.choices(v, k=rnd.randint(0, 60))
         if i % 3 == 0:
             t = rnd.choice(items[:12])[1].split(" ")
@@ -168,6 +189,10 @@ def test_decontamination_matches_brute_force(spark, monkeypatch):
         monkeypatch.setattr(decontam, "SENT_ROWS", sent)
         got = {(r["doc_id"], r["item_id"]): (r["n_best"], r["n_agree"], -r["doc_start"]) for r in decontam.overlaps(table.select("doc_id", "text"), bench).collect()}
         assert got == want
+    same_ids = spark.createDataFrame([(7, t) for _, t in docs] + [(7, t) for _, t in docs], "doc_id long, text string").selectExpr("*", "1 as _bad", "2 as _a", "3 as _row")
+    kept = decontam.clean_rows(same_ids, bench)
+    assert kept.columns == same_ids.columns
+    assert Counter(r["text"] for r in kept.collect()) == Counter(2 * [t for d, t in docs if not any(agreeing(t, s) for _, s in items)])
     kept = {r["doc_id"] for r in decontam.clean_rows(table, bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     assert decontam.overlaps(empty(spark), bench).count() == 0
@@ -617,23 +642,55 @@ def test_fill_reaches_the_budget():
 # --- 10 language
 
 
+def folded(data):
+    return bytes(langid.SYMBOL[np.frombuffer(data, np.uint8)])
+
+
 def test_parser_counts_longest_matches():
     rnd = random.Random(7)
-    sample = bytes(rnd.choice(b"abcd ") for _ in range(300))
-    classes = langid.byte_classes([sample])
-    table = langid.parser(classes[np.frombuffer(sample, np.uint8)].tolist())
-    known = classes[np.frombuffer(sample, np.uint8)].tobytes()
-    for n in (0, 1, 40, 256, 700):
-        text = bytes(rnd.choice(b"abcdx 1") for _ in range(n))
-        want = 0
-        for at in range(0, n, langid.PIECE):
-            piece = classes[np.frombuffer(text[at:at + langid.PIECE], np.uint8)].tobytes()
-            k, want = 0, want + 1
-            for j in range(len(piece)):
-                if piece[k:j + 1] not in known:
-                    want, k = want + 1, j if piece[j:j + 1] in known else j + 1
-        got = langid.phrases(np.frombuffer(text, np.uint8), np.array([0, n]), classes, [table])
-        assert got[0, 0] == want
+    for alphabet, other in ((b"abcd ", b"abcdx 1"), (b"ab", b"abc"), (bytes(range(0x80, 0xF0)) + b"ab ", bytes(range(0x70, 0xF5)))):
+        sample = bytes(rnd.choice(alphabet) for _ in range(300))
+        p = langid.parser(sample)
+        texts = [bytes(rnd.choice(other) for _ in range(n)) for n in (0, 1, 40, 255, 256, 257, 700, 3000)] + [sample[:290] * 4, b"ab" * 900]
+        data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        got = langid.phrases(data, bounds, [p])[:, 0]
+        for t, g in zip(texts, got.tolist()):
+            want, k, sy, sa = (1 if t else 0), 0, folded(t), folded(sample)
+            for j in range(len(t)):
+                if sy[k:j + 1] not in sa:
+                    want, k = want + 1, j if sy[j:j + 1] in sa else j + 1
+            assert g == want
+
+
+def test_language_matches_brute_force(spark):
+    rnd = random.Random(12)
+    v = {"en": ["the", "thing", "with", "that", "and"], "de": ["der", "und", "nicht", "für", "sch"], "ру": ["это", "не", "так", "что"]}
+    rows = [(i, " ".join(rnd.choices(v[k], k=rnd.randint(1, 30)) + rnd.choices(sum(v.values(), []), k=5)), k, None, 0) for i, k in enumerate(rnd.choices(list(v), k=60))]
+    rows += [(700, " ".join(rnd.choices(v["de"], k=40_000)), None, None, 0), (701, "it " * 3000, None, None, 0)]
+    table = spark.createDataFrame(rows, DOCS)
+    model = dict(langid.fit(table.where("crc32(cast(doc_id as string)) % 4 <> 2")))
+    assert sorted(model) == sorted(v)
+    sample = {k: b"\n".join(sorted((t.encode() for i, t, g, *_ in rows if g == k and zlib.crc32(str(i).encode()) % 4 != 2))) for k in v}
+    for k in v:  # the sample is small enough to be whole
+        assert model[k].size == len(sample[k])
+    order = {r["text"]: r["h"] for r in table.selectExpr("text", "xxhash64(41, doc_id, text) as h").collect()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(table.select("*").withColumnsRenamed({"n_chars": "letter"})).collect()}
+    for i, t, *_ in rows[::5] + rows[-2:]:
+        cost = {}
+        for k in sorted(v):
+            text = folded(b"\n".join(x.encode() for x in sorted((x for j, x, g, *_ in rows if g == k and zlib.crc32(str(j).encode()) % 4 != 2), key=order.get)))
+            sy, n, at = folded(t.encode()), 1, 0
+            for j in range(len(sy)):
+                if sy[at:j + 1] not in text:
+                    n, at = n + 1, j if sy[j:j + 1] in text else j + 1
+            cost[k] = n * math.log2(len(text) + 1)
+        best = sorted(cost, key=lambda k: (cost[k], k))
+        assert got[i][0] == best[0] and got[i][1] == pytest.approx(1 - cost[best[0]] / cost[best[1]])
+
+
+def test_samples_share_the_bytes():
+    assert langid.shared([b"a" * 9, b"b" * 3, b"c" * 90], 40) == b"a" * 9 + b"\n" + b"bbb" + b"\n" + b"c" * 25
+    assert langid.shared([b"x" * 50] * 4, 20) == b"\n".join([b"xxxx"] * 4) and langid.shared([b"ab", b"c"], 99) == b"ab\nc"
 
 
 def test_language(spark):
