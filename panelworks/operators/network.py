@@ -69,14 +69,17 @@ def through_line(ends: DataFrame, seeds: DataFrame, budget: float, min_cos: floa
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(v, root): connected components, root the smallest vertex. Large-star and small-star rounds; hubs are spread by the stars."""
+    """(v, root): connected components, root the smallest vertex, by large-star and small-star rounds.
+
+    A vertex's smallest neighbour is aggregated with partial sums and joined back, so a hub is never gathered in one task."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.select("u", "v", F.least("u", F.min("v").over(Window.partitionBy("u"))).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         e = saved(small, "edges")
         mark = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
