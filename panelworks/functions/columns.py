@@ -79,15 +79,27 @@ def norm_place(name: Column, aliases: dict[str, str] | None = None) -> Column:
     return decode(plain, aliases, keep_unknown=True) if aliases else plain
 
 
-def norm_entity(name: Column, vocabulary: tuple[str, ...] = ()) -> Column:
-    """Lower case, without grade ranges, unit numbers, digits, the vocabulary, punctuation and stand-alone h/l/m."""
+#: What special schools are called before and after a reform of terms.
+SPECIAL_TERMS = (r"grundsärskol\w*", r"gymnasiesärskol\w*", r"anpassad\s+grundskol\w*", r"anpassad\s+gymnasieskol\w*", r"särskol\w*")
+
+
+def norm_entity(name: Column, vocabulary: tuple[str, ...] = SPECIAL_TERMS) -> Column:
+    """Lower case, without grade ranges, numbered units, the vocabulary, digits, punctuation and words of one to three of h, l, m.
+
+    So names that differ in these only are equal; a unit that is named rather than numbered stays."""
+    grades = r"(?U)\b(f|ak|åk|arskurs|årskurs)?\s*\d+\s*[-–]\s*\d+\b"
     x = F.lower(name)
-    steps = [r"(?U)\b(f|åk)?\s*-?\d\s*-\s*\d\b", r"(?U)\benhet\s+\w+\b", r"\d+", *[rf"(?U)\b{v}\b" for v in vocabulary], r"(?U)[^\w\s]", r"(?U)\b[hlm]\b"]
-    for pattern in steps:
+    for pattern in [grades, r"(?U)\benhet\s*\d+\b", *[rf"(?U)\b{v}\b" for v in vocabulary], r"\d+", r"(?U)[^\w\s]", r"(?U)\b[hlm]{1,3}\b"]:
         x = F.regexp_replace(x, pattern, " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+def numbered_twins(a: Column, b: Column) -> Column:
+    """Whether two different names are the same but for a closing number: siblings, not one unit renamed."""
+    stem = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s*\d+\s*$", ""))
+    return (a != b) & (stem(a) == stem(b))
+
+
 def range_set(code: Column, names: dict[str, int] | None = None) -> Column:
     """'PK, 3-5' to [-1, 3, 4, 5]: comma-separated numbers, names and ranges; unreadable parts are left out."""
     names = names or {"PK": -1, "KG": 0}
@@ -120,20 +132,22 @@ def row_sum(cols: list[Column]) -> Column:
 
 
 def distance_bin(d: Column, radii: list[int]) -> Column:
-    """Right-closed bins between 0 and the radii, the lowest edge included, and 'beyond_<last>'."""
+    """Right-closed bins between 0 and the radii, the lowest edge included: '0-100m', '100-200m', ..., 'beyond_<last>m'."""
     out, lo = None, 0
     for r in radii:
-        cond, name = (d <= r) & (d >= 0), F.lit(f"{lo}_{r}")
+        cond, name = (d <= r) & (d >= 0), F.lit(f"{lo}-{r}m")
         out = F.when(cond, name) if out is None else out.when(cond, name)
         lo = r
-    return out.when(d > radii[-1], f"beyond_{radii[-1]}")
+    return out.when(d > radii[-1], f"beyond_{radii[-1]}m")
+
 
+def loudness_reduction_pct(d: Column, reduction_db: float = 7.0, ref_m: float = 25.0, ref_db: float = 76.0) -> Column:
+    """Drop in perceived loudness at distance d, where 100 is the loudness at ``ref_m``.
 
-def loudness_reduction_pct(d: Column, reduction_db: float = 10.0, ref_m: float = 50.0, ref_db: float = 65.0) -> Column:
-    """Percent less loudness at distance d: level falls 6 dB a doubling from ref_m, loudness is 2^(dB/10)."""
+    The level falls 6 dB a doubling from ``ref_m``, and 10 dB less are half as loud. Nearer than ``ref_m`` counts as there."""
     level = F.lit(ref_db) - 6 * F.log2(F.greatest(d, F.lit(ref_m)) / ref_m)
-    before, after = F.pow(F.lit(2.0), level / 10), F.pow(F.lit(2.0), F.greatest(level - reduction_db, F.lit(0.0)) / 10)
-    return 100 * (before - after) / before
+    loud = lambda x: 100 * F.pow(F.lit(2.0), (x - ref_db) / 10)
+    return loud(level) - loud(level - reduction_db)
 
 
 def minutes_between(later: Column, earlier: Column) -> Column:

@@ -43,6 +43,17 @@ def weighted_z_within(df: DataFrame, cell: list[str], x: str, w: str, out: str)
     return centred.join(var, cell, "left").withColumn(out, (xc - F.col("_m")) / F.nullif(F.sqrt("_v"), F.lit(0.0))).drop("_m", "_w", "_v")
 
 
+def stitched(df: DataFrame, era: str, x: str, w: str, name: str, keep: list[str]) -> DataFrame:
+    """One series across a break of scale: the columns ``keep``, ``outcome`` and ``value``.
+
+    Every era is standardised by itself, over all its years: as ``<name>_z`` with rows alike, as ``<name>_zw`` weighted by ``w``
+    over the rows with a positive weight. Rows without a value, and eras without spread, give no rows."""
+    known = df.where(F.col(x).isNotNull())
+    plain = z_within(known, [era], x, "value").select(*keep, F.lit(f"{name}_z").alias("outcome"), "value")
+    heavy = weighted_z_within(known.where(F.col(w) > 0), [era], x, w, "value").select(*keep, F.lit(f"{name}_zw").alias("outcome"), "value")
+    return plain.unionByName(heavy).where(F.col("value").isNotNull())
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the last in ``order``."""
     rest = [c for c in df.columns if c not in keys]

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+#: Rows of one key that are put in order together; a longer history is cut into blocks of time.
+BLOCK_ROWS = 100_000
+
+
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` unchanged; the query fails when a key comes twice. The check runs inside the plan."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
@@ -36,15 +40,34 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], year: str,
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, valid_from: str, valid_to: str, values: list[str]) -> DataFrame:
-    """The latest right window that starts at or before ``at``; its values only while ``at`` < valid_to.
-
-    Both tables are laid in one order for each key and the last window is carried on: one shuffle and one sort, no pairs."""
-    l = left.withColumn("_row", F.struct(*left.columns)).select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), "_row", F.lit(None).cast(right.select(F.struct(valid_from, valid_to, *values)).schema[0].dataType).alias("_w"))
-    r = right.select(*keys, F.col(valid_from).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.struct(valid_from, valid_to, *values).alias("_w"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_side", *[F.col(f"_w.{c}") for c in (valid_to, *values)]).rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l).withColumn("_last", F.last("_w", ignorenulls=True).over(order)).where("_side = 1")
+    """The latest right window that starts at or before ``at``; its values only while ``at`` < valid_to. A null key or ``at`` has none.
+
+    A window serves until the next one of its key starts, so a left row's window starts in the last block of times that
+    holds a start at or before it. Both sides are laid in one order for each (key, block), and what a block hands on to the
+    next ones is the last start before it, a row for each block: a key with a long history is cut into blocks of
+    BLOCK_ROWS rows and never sorted by one task."""
+    usable = F.lit(True)
+    for k in [*keys, at]:
+        usable = usable & F.col(k).isNotNull()
+    own = F.struct(*[F.col(c) for c in left.columns])
+    window = F.struct(valid_from, valid_to, *values)
+    w = right.select(window.alias("w")).schema["w"].dataType
+    l = left.where(usable).select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), own.alias("_row"), F.lit(None).cast(w).alias("_w"))
+    r = right.where(F.col(valid_from).isNotNull()).select(*keys, F.col(valid_from).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), window.alias("_w"))
+    both = r.dropna(subset=keys).unionByName(l)
+    size = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where(F.col("_n") > BLOCK_ROWS)
+    number = lambda c: F.col(c).cast("double") if dict(both.dtypes)["_t"] not in ("date", "timestamp") else F.unix_seconds(F.col(c).cast("timestamp")).cast("double")
+    place = F.floor((number("_t") - number("_lo")) / F.greatest(number("_hi") - number("_lo"), F.lit(1e-9)) * F.ceil(F.col("_n") / BLOCK_ROWS))
+    both = both.join(size, keys, "left").withColumn("_block", F.coalesce(place, F.lit(0))).drop("_n", "_lo", "_hi")
+    order = [F.col("_t"), F.col("_side"), *[F.col(f"_w.{c}") for c in (valid_to, *values)]]
+    last = both.where("_side = 0").groupBy(*keys, "_block").agg(F.max_by("_w", F.struct(F.col("_t"), *[F.col(f"_w.{c}") for c in (valid_to, *values)])).alias("_in"))
+    blocks = both.select(*keys, "_block").distinct().join(last, [*keys, "_block"], "left")
+    blocks = blocks.withColumn("_in", F.last("_in", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
+    inner = F.last("_w", ignorenulls=True).over(Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_last", inner).where("_side = 1").join(blocks, [*keys, "_block"]).withColumn("_last", F.coalesce("_last", "_in"))
     live = F.col("_t") < F.col(f"_last.{valid_to}")
-    return both.select("_row.*", *[F.when(live, F.col(f"_last.{v}")).alias(v) for v in values])
+    none = left.where(~usable).select(*left.columns, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
+    return found.select("_row.*", *[F.when(live, F.col(f"_last.{v}")).alias(v) for v in values]).unionByName(none)
 
 
 def covering(left: DataFrame, windows: DataFrame, keys: list[str], at: Column, valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:

@@ -226,13 +226,15 @@ def w02(spark, d):
     return A.weighted_z_within(x, ["l_suppkey"], "l_extendedprice", "w", "z").select("l_orderkey", "l_linenumber", "l_partkey", F.round("z", 6).alias("z"))
 
 
-@query("w03_stitched_series", """WITH x AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN year(o_orderdate) < 1998 THEN 'old' ELSE 'new' END AS era, CASE WHEN year(o_orderdate) < 1998 THEN o_totalprice ELSE o_totalprice / 10 + 3 END AS v FROM orders)
-  SELECT o_orderkey, year, era, 'z' AS series, round((v - avg(v) OVER w) / stddev_samp(v) OVER w, 6) AS value FROM x WINDOW w AS (PARTITION BY year, era) UNION ALL SELECT o_orderkey, year, era, 'raw', round(v, 4) FROM x""")
+@query("w03_stitched_series", """WITH x AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN year(o_orderdate) < 1998 THEN 'old' ELSE 'new' END AS era, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN year(o_orderdate) < 1998 THEN o_totalprice ELSE o_totalprice / 10 + 3 END AS v, o_orderkey % 4 AS w FROM orders),
+  m AS (SELECT era, sum(w * v) / sum(w) AS m, sum(w) AS n FROM x WHERE v IS NOT NULL AND w > 0 GROUP BY 1), s AS (SELECT era, m, sqrt(sum(w * pow(v - m, 2)) / n) AS s FROM x JOIN m USING (era) WHERE v IS NOT NULL AND w > 0 GROUP BY era, m, n)
+  SELECT o_orderkey, year, era, 'price_z' AS outcome, round((v - avg(v) OVER (PARTITION BY era)) / stddev_samp(v) OVER (PARTITION BY era), 6) AS value FROM x WHERE v IS NOT NULL
+  UNION ALL SELECT o_orderkey, year, era, 'price_zw', round((v - m) / s, 6) FROM x JOIN s USING (era) WHERE v IS NOT NULL AND w > 0""")
 def w03(spark, d):
     p = F.col("o_totalprice")
-    x = t(spark, d, "orders").select("o_orderkey", Y().alias("year"), F.when(Y() < 1998, "old").otherwise("new").alias("era"), F.when(Y() < 1998, p).otherwise(p / 10 + 3).alias("v"))
-    z = A.z_within(x, ["year", "era"], "v", "z").select("o_orderkey", "year", "era", F.lit("z").alias("series"), F.round("z", 6).alias("value"))
-    return z.unionByName(x.select("o_orderkey", "year", "era", F.lit("raw").alias("series"), F.round("v", 4).alias("value")))
+    v = F.when(F.col("o_orderkey") % 7 != 0, F.when(Y() < 1998, p).otherwise(p / 10 + 3))
+    x = t(spark, d, "orders").select("o_orderkey", Y().alias("year"), F.when(Y() < 1998, "old").otherwise("new").alias("era"), v.alias("v"), (F.col("o_orderkey") % 4).alias("w"))
+    return A.stitched(x, "era", "v", "w", "price", ["o_orderkey", "year", "era"]).withColumn("value", F.round("value", 6))
 
 
 @query("w04_baseline", "SELECT o_custkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS base FROM orders WHERE o_totalprice > 100000 GROUP BY 1")

@@ -11,7 +11,7 @@ from panelworks.plans.registry import query
 from panelworks.session import table as t
 
 ANS = """SELECT l_partkey AS task, l_suppkey % 4 AS reviewer, l_orderkey * 10 + l_linenumber AS tm, CASE WHEN l_linenumber <= 5 THEN 'aligned' ELSE 'skipped' END AS status, CASE WHEN l_linenumber <= 5 THEN l_quantity - 25 END AS lat_m, CASE WHEN l_tax > 0.07 THEN 1.0 END AS other, CASE WHEN l_returnflag <> 'N' THEN 'occluded' END AS reason FROM lineitem"""
-CAT = "CASE WHEN status = 'aligned' THEN CASE WHEN other IS NOT NULL THEN 'both' WHEN lat_m >= 2 THEN 'left' WHEN lat_m <= -2 THEN 'right' ELSE 'centre' END ELSE coalesce(reason, 'unsure') END"
+CAT = "CASE WHEN status = 'aligned' THEN CASE WHEN other IS NOT NULL THEN 'both_sides' WHEN lat_m >= 2 THEN 'left' WHEN lat_m <= -2 THEN 'right' ELSE 'centre' END ELSE coalesce(reason, 'unsure') END"
 LAST = f"(SELECT task, reviewer, arg_max(category, (tm, category, coalesce(lat_m, 1e9))) AS category, arg_max(coalesce(lat_m, 1e9), (tm, category, coalesce(lat_m, 1e9))) AS lat_m FROM (SELECT *, {CAT} AS category FROM ({ANS})) GROUP BY 1, 2)"
 
 
@@ -56,9 +56,13 @@ def b05(spark, d):
     return answers(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b06_consensus", f"""WITH l AS (SELECT task, reviewer, category, CASE WHEN lat_m < 1e9 THEN lat_m END AS lat_m FROM {LAST}), g AS (SELECT task, count(*) FILTER (WHERE reviewer <> 3) AS n_reviewers, list_sort(list(DISTINCT category) FILTER (WHERE reviewer <> 3 AND category IN ('left', 'right', 'centre', 'both'))) AS s,
-  max(category) FILTER (WHERE reviewer = 3 AND category IN ('left', 'right', 'centre', 'both')) AS adj, avg(lat_m) FILTER (WHERE reviewer <> 3 AND category IN ('left', 'right', 'centre', 'both')) AS lat FROM l GROUP BY 1)
-  SELECT task, n_reviewers, coalesce(array_to_string(s, ','), '') AS sides, coalesce(adj, CASE WHEN len(s) = 1 THEN s[1] WHEN len(s) > 1 THEN 'conflict' ELSE 'unsure' END) AS decision, adj IS NOT NULL AS adjudicated, round(lat, 6) AS lat_m FROM g""")
+@query("b06_consensus", f"""WITH l AS (SELECT task, reviewer, a.category AS category, a.lat_m AS lat_m, a.other AS other, a.category IN ('left', 'right', 'centre', 'both_sides') AS votes FROM
+  (SELECT task, reviewer, arg_max({{'category': category, 'lat_m': lat_m, 'other': other}}, (tm, category, coalesce(lat_m, 1e9), coalesce(other, 1e9))) AS a FROM (SELECT *, {CAT} AS category FROM ({ANS})) GROUP BY 1, 2)),
+  g AS (SELECT task, count(*) AS n_reviewers, list_sort(list(DISTINCT category) FILTER (WHERE votes)) AS s, max(category) FILTER (WHERE reviewer = 3 AND votes) AS adj FROM l GROUP BY 1),
+  k AS (SELECT *, coalesce(len(s), 0) > 1 AND adj IS NOT NULL AS adjudicated, CASE WHEN len(s) > 1 THEN adj WHEN len(s) = 1 THEN s[1] END AS category FROM g),
+  m AS (SELECT k.task, avg(l.lat_m) AS lat_m, avg(l.other) AS other FROM k JOIN l ON l.task = k.task AND l.category = k.category AND (NOT adjudicated OR reviewer = 3) GROUP BY 1)
+  SELECT task, n_reviewers, coalesce(array_to_string(s, ','), '') AS sides, CASE WHEN coalesce(len(s), 0) = 0 THEN 'unsure' WHEN category IS NULL THEN 'conflict' WHEN category IN ('left', 'right') THEN 'side' ELSE category END AS decision, category, adjudicated,
+  CASE WHEN category <> 'centre' THEN round(lat_m, 6) END AS lat_m, CASE WHEN category = 'both_sides' THEN round(other, 6) END AS lat_other_m FROM k LEFT JOIN m USING (task)""")
 def b06(spark, d):
     return B.consensus(answers(spark, d).withColumn("reviewer", F.col("reviewer").cast("string")), "task", "3")
 

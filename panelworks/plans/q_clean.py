@@ -121,10 +121,11 @@ def p18(spark, d):
     return t(spark, d, "nation").select("n_nationkey", C.norm_place(raw, {"NATION_1": "FIRST"}).alias("place"))
 
 
-@query("p19_entity_name", "SELECT p_partkey, p_name || ' brand' AS name FROM part")
+@query("p19_entity_name", "SELECT p_partkey, p_name || ' brand f' || CASE WHEN p_size % 2 = 0 THEN ' enhet nord' ELSE '' END AS name FROM part")
 def p19(spark, d):
-    raw = F.concat(F.initcap("p_name"), F.lit(" F-9, Enhet 2 "), F.regexp_replace("p_brand", "#", " H ("), F.lit(")"))
-    return t(spark, d, "part").select("p_partkey", C.norm_entity(raw, ("f",)).alias("name"))
+    kind = F.when(F.col("p_size") % 2 == 0, " Enhet Nord").otherwise(" anpassad grundskola, Enhet 12")
+    raw = F.concat(F.initcap("p_name"), F.lit(" åk 4-9 "), F.regexp_replace("p_brand", "#", " LM ("), F.lit(") F-3"), kind)
+    return t(spark, d, "part").select("p_partkey", C.norm_entity(raw).alias("name"))
 
 
 @query("p20_range_set", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN -1 ELSE p_size % 7 END AS low, CAST(p_size % 7 + 3 AS INTEGER) AS high, CAST(CASE WHEN p_size % 2 = 0 THEN 5 ELSE 4 END AS INTEGER) AS n, p_size % 7 <= 5 AS is_tested FROM part""")
@@ -164,14 +165,14 @@ def p24(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(y < 1998, F.col("l_discount") + F.col("l_tax")).when(y < 2000, F.col("l_discount")).otherwise(F.col("l_tax")).alias("rate"))
 
 
-@query("p25_distance_bin", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity <= 10 THEN '0_10' WHEN l_quantity <= 20 THEN '10_20' WHEN l_quantity <= 40 THEN '20_40' ELSE 'beyond_40' END AS dist_bin FROM lineitem""")
+@query("p25_distance_bin", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity <= 10 THEN '0-10m' WHEN l_quantity <= 20 THEN '10-20m' WHEN l_quantity <= 40 THEN '20-40m' ELSE 'beyond_40m' END AS dist_bin FROM lineitem""")
 def p25(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.distance_bin(F.col("l_quantity"), [10, 20, 40]).alias("dist_bin"))
 
 
-@query("p26_loudness", """SELECT p_partkey, round(100 * (pow(2, l / 10) - pow(2, greatest(l - 10, 0) / 10)) / pow(2, l / 10), 6) AS reduction_pct FROM (SELECT p_partkey, 65 - 6 * log2(greatest(p_size * 30.0::DOUBLE, 50.0) / 50) AS l FROM part)""")
+@query("p26_loudness", """SELECT p_partkey, round(100 * pow(greatest(p_size * 10.0::DOUBLE, 25.0) / 25.0, -0.6) * (1 - pow(2.0, -0.7)), 6) AS reduction_pct FROM part""")
 def p26(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.round(C.loudness_reduction_pct(F.col("p_size") * 30.0), 6).alias("reduction_pct"))
+    return t(spark, d, "part").select("p_partkey", F.round(C.loudness_reduction_pct(F.col("p_size") * 10.0), 6).alias("reduction_pct"))
 
 
 @query("p27_delay_columns", """SELECT event_id, (epoch_us(ts) - epoch_us(prev)) / 60e6 AS delay_min, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS hour, event_type = 'click' AS is_click

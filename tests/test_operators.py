@@ -67,7 +67,7 @@ def test_columns(spark):
     L = F.lit
     r = one(spark, a=C.parse_number(L("~1 234,5")), b=C.parse_number(L("..")), c=C.range_set(L("PK, 3-5")), d=C.range_set(L(None).cast("string")), e=C.scaled(L(0.25), 1, 1), f=C.fixed_key([(L(3), 2), (L("17"), 4)]),
             g=C.fixed_key([(L(0), 2), (L("17"), 4)]), h=C.release_tag(L("jul26"))[0], i=C.release_tag(L("jul26"))[1], j=C.release_tag(L("xyz26"))[0], k=C.position_km(L("66+280")), m=C.distance_bin(L(100), [100, 200]), n=C.distance_bin(L(0), [100, 200]))
-    assert (r["a"], r["b"], r["c"], r["d"], r["e"], r["f"], r["g"], r["h"], r["i"], r["j"], r["k"], r["m"], r["n"]) == (1234.5, None, [-1, 3, 4, 5], [], 0.2, "030017", None, 2026, 7, None, 66280, "0_100", "0_100")
+    assert (r["a"], r["b"], r["c"], r["d"], r["e"], r["f"], r["g"], r["h"], r["i"], r["j"], r["k"], r["m"], r["n"]) == (1234.5, None, [-1, 3, 4, 5], [], 0.2, "030017", None, 2026, 7, None, 66280, "0-100m", "0-100m")
 
 
 def test_within_and_nearest_match_brute_force(spark):
@@ -124,13 +124,6 @@ def test_components(spark):
     assert rows(N.components(e)) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
 
 
-def test_consensus(spark):
-    a = spark.createDataFrame([("t", "a", "left", 4.0, 1), ("t", "b", "left", 6.0, 1), ("t", "c", "occluded", None, 1), ("u", "a", "left", 3.0, 1), ("u", "b", "right", -3.0, 1), ("u", "z", "right", -3.0, 1),
-                               ("v", "a", "left", 3.0, 1), ("v", "a", "unsure", None, 2), ("w", "a", "left", 3.0, 1), ("w", "b", "right", -3.0, 1)], "task string, reviewer string, category string, lat_m double, at int")
-    got = {r["task"]: (r["decision"], r["adjudicated"]) for r in B.consensus(a, "task", "z").collect()}
-    assert got == {"t": ("left", False), "u": ("right", True), "v": ("unsure", False), "w": ("conflict", False)}
-
-
 def panel(spark, data):
     return spark.createDataFrame(data, "u int, year int, y double, first int")
 
@@ -159,3 +152,59 @@ def test_draws_do_not_depend_on_partitions(spark):
     u = spark.range(50).select(F.col("id").alias("u"), F.when(F.col("id") < 9, F.col("id")).alias("first"))
     a, b = (rows(E.permuted_first(u.repartition(k), "u", "first", 3, 1)) for k in (2, 8))
     assert a == b and len(a) == 150
+
+
+def test_loudness_falls_from_the_reference_distance(spark):
+    d = [1.0, 25.0, 50.0, 100.0, 800.0, 50_000.0]
+    got = [r["x"] for r in spark.createDataFrame([(k, v) for k, v in enumerate(d)], "k int, d double").select("k", C.loudness_reduction_pct(F.col("d")).alias("x")).orderBy("k").collect()]
+    assert got[0] == pytest.approx(got[1]) and 0 <= max(got) <= 40
+    assert all(a > b > 0 for a, b in zip(got[1:], got[2:]))
+    assert (got[1], got[3], got[4]) == pytest.approx((38.4, 16.7, 4.8), abs=0.05)
+
+
+def test_distance_bins(spark):
+    df = spark.createDataFrame([(50.0,), (150.0,), (450.0,), (750.0,), (5000.0,)], "d double")
+    assert [r["b"] for r in df.select("d", C.distance_bin(F.col("d"), [100, 200, 500, 1000]).alias("b")).orderBy("d").collect()] == ["0-100m", "100-200m", "200-500m", "500-1000m", "beyond_1000m"]
+
+
+def test_entity_names(spark):
+    same = [("Älvegårdsskolan 4-9", "Älvegårdsskolan 1-9"), ("Hallernaskolan 7-9 enhet 2", "Hallernaskolan enhet 1"), ("RONNASKOLAN H", "Ronnaskolan"), ("Sånnaskolan LM", "Sånnaskolan M"),
+            ("Spängerskolan MH", "Spängerskolan LMH"), ("Vegalyckan särskola", "Vegalyckan"), ("Hagalundskolan Särskola", "Hagalundskolan"), ("Rydsbergsskolan grundsärskola", "Rydsbergsskolan"),
+            ("Herrgårdsgymnasiet", "Herrgårdsgymnasiet anpassad gymnasieskola")]
+    got = spark.createDataFrame([(*p,) for p in same], "a string, b string").select(C.norm_entity(F.col("a")).alias("a"), C.norm_entity(F.col("b")).alias("b")).collect()
+    assert all(r["a"] == r["b"] and r["a"] for r in got)
+    r = one(spark, m=C.norm_entity(F.lit("Malmö skola")), u=C.norm_entity(F.lit("Enhet Nord")), t=C.numbered_twins(F.lit("Vasaskolan 1"), F.lit("Vasaskolan 2")), f=C.numbered_twins(F.lit("Skolan 4-9"), F.lit("Skolan 1-9 B")))
+    assert (r["m"], r["u"], r["t"], r["f"]) == ("malmö skola", "enhet nord", True, False)
+
+
+def test_stitched_series_standardises_each_side_of_the_break(spark):
+    df = spark.createDataFrame([("s1", 2010, "old", 200.0, 10.0), ("s2", 2011, "old", 220.0, 30.0), ("s1", 2016, "new", 260.0, None), ("s2", 2017, "new", 280.0, 0.0), ("s3", 2017, "new", None, 5.0)], "s string, year int, era string, v double, w double")
+    got = {(r["outcome"], r["year"]): r["value"] for r in A.stitched(df, "era", "v", "w", "m", ["s", "year", "era"]).collect()}
+    assert set(got) == {("m_z", 2010), ("m_z", 2011), ("m_z", 2016), ("m_z", 2017), ("m_zw", 2010), ("m_zw", 2011)}
+    assert got["m_z", 2010] == pytest.approx(-math.sqrt(0.5)) == -got["m_z", 2011] and got["m_z", 2016] < 0 < got["m_z", 2017]
+    assert got["m_zw", 2010] == pytest.approx(-15 / math.sqrt(75)) and got["m_zw", 2011] == pytest.approx(5 / math.sqrt(75))
+
+
+def test_adjudicator_decides_conflicts_alone(spark):
+    a = [("t1", "one", 1, "right", -6.8, None), ("t1", "boss", 2, "both_sides", 12.2, -7.0), ("t2", "one", 1, "left", 3.0, None), ("t2", "two", 1, "left", 3.0, None), ("t2", "boss", 2, "right", -3.0, None),
+         ("t3", "one", 1, "right", -6.8, None), ("t3", "boss", 2, "occluded", None, None), ("t4", "one", 1, "left", 3.0, None), ("t4", "one", 2, "left", 5.0, None), ("t4", "boss", 2, "left", 7.0, None),
+         ("t5", "one", 1, "left", 3.0, None), ("t5", "two", 1, "right", -4.0, None), ("t6", "one", 1, "unsure", None, None), ("t7", "one", 1, "centre", 0.5, None)]
+    got = {r["t"]: (r["decision"], r["adjudicated"], r["lat_m"], r["lat_other_m"]) for r in B.consensus(spark.createDataFrame(a, "t string, reviewer string, at int, category string, lat_m double, other double"), "t", "boss").collect()}
+    assert got == {"t1": ("both_sides", True, 12.2, -7.0), "t2": ("side", True, -3.0, None), "t3": ("side", False, -6.8, None), "t4": ("side", False, 6.0, None), "t5": ("conflict", False, None, None), "t6": ("unsure", False, None, None), "t7": ("centre", False, None, None)}
+
+
+def test_asof_backward_over_blocks_and_nulls(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    windows = [(k, s, s + rnd.randint(1, 30), float(i)) for i, (k, s) in enumerate(sorted({(rnd.choice("ab"), rnd.randrange(1000)) for _ in range(120)}))] + [(None, 1, 2000, -1.0), ("a", None, 5, -2.0)]
+    left = [(i, rnd.choice(["a", "b", "c", None]), rnd.choice([None, *range(0, 1100, 7)])) for i in range(300)]
+    want = {}
+    for i, k, at in left:
+        held = [w for w in windows if k is not None and at is not None and w[0] == k and w[1] is not None and w[1] <= at]
+        best = max(held, key=lambda w: w[1], default=None)
+        want[i] = best[3] if best and at < best[2] else None
+    for rows_at_once in (100_000, 10):
+        monkeypatch.setattr(J, "BLOCK_ROWS", rows_at_once)
+        got = J.asof_backward(spark.createDataFrame(left, "i int, k string, at int"), spark.createDataFrame(windows, "k string, f int, u int, v double"), ["k"], "at", "f", "u", ["v"])
+        assert {r["i"]: r["v"] for r in got.collect()} == want
