@@ -589,6 +589,41 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert leaks and got == sorted(set(left) - leaks)
 
 
+def test_one_of_each_judges_rows(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    near = base.replace("w20 ", "x ")
+    other = " ".join(f"z{k}" for k in range(40))
+    rows = [(1, base), (1, other), (2, near), (1, base), (3, other), (None, base), (None, "alone in the world of words"), (None, None), (4, None), (4, " "), (5, "t " * 20_000), (6, "t " * 30_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _gone", "2 as _n", "3 as _r", "4 as _a", "5 as _row", "6 as _c", "7 as v").repartition(3)
+    kept = sigtree.one_of_each(table, shingle=5, num=80, den=100)
+    assert kept.columns == table.columns
+    want = [(1, base), (1, other), (None, "alone in the world of words"), (None, None), (4, None), (4, " "), (5, "t " * 20_000)]
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+    assert sigtree.one_of_each(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "near_duplicates", "benchmark_leaks", "mixed_sources", "shards"])
+def test_stages_take_anything(spark, tmp_path, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([(None, None), (None, "seven words that no document has here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = " ".join(f"{a} {b}" for a, b in zip(quality.STOPS * 3, (f"word{k}" for k in range(90))))
+    rows = [(1, clean, "en", "a", 1), (1, clean, "en", "a", 1), (None, clean + " more", None, None, None), (2, None, None, None, None), (3, "", "en", "a", 0), (4, clean + " and " + " ".join(f"long{k}" for k in range(30_000)), "en", "b", 9)]
+    table = spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' as _row", "'y' as _key", "'z' as size", "'u' as shard", "'v' as kept")
+    out = stage(spark, table, str(tmp_path))
+    got = out.collect()
+    if name == "shards":
+        assert len(got) == len(rows) and sorted(r["doc_id"] or 0 for r in got) == [0, 1, 1, 2, 3, 4]
+    else:
+        assert out.columns == table.columns and {r["text"] for r in got} <= {r[1] for r in rows}
+    if name == "benchmark_leaks":
+        assert len(got) == len(rows)
+    if name == "near_duplicates":
+        assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted((r[0], r[1] or "") for r in [rows[0], *rows[3:]])
+    assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
 # --- 9 mixing
 
 
