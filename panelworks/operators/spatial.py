@@ -115,22 +115,6 @@ def cell_id(easting: Column, northing: Column) -> Column:
     return F.concat(F.lpad(easting.cast("string"), 6, "0"), F.lpad(northing.cast("string"), 7, "0"))
 
 
-def classify(pairs: DataFrame, margin: float = 50.0, most: float = 600.0, band: float = 1500.0) -> DataFrame:
-    """Points against straight barriers: pairs (x, y, x1..y2, sign, span_start, span_end) to lateral_m, along_m, offset_m and flags.
-
-    The position runs on past the ends; sign is the barrier's side (1, -1, 0 both, null unknown)."""
-    tx, ty = tangent()
-    along = (F.col("x") - F.col("x1")) * tx + (F.col("y") - F.col("y1")) * ty
-    lateral = F.abs((F.col("x") - F.col("x1")) * ty - (F.col("y") - F.col("y1")) * tx)
-    off = F.greatest(F.lit(0.0), F.col("span_start") - along, along - F.col("span_end"))
-    same = F.when(F.col("sign") == 0, True).otherwise(side() == F.col("sign"))
-    beside = off <= margin
-    out = pairs.withColumns({"along_m": along, "lateral_m": lateral, "offset_m": off, "same_side": same})
-    lat = F.col("lateral_m")
-    return out.withColumns({"protected": F.coalesce(F.col("same_side"), F.lit(False)) & beside & (lat <= most), "protected_unknown": F.col("sign").isNull() & beside & (lat <= most),
-                            "control_band": F.coalesce(F.col("same_side"), F.lit(False)) & beside & (lat > most) & (lat <= band)})
-
-
 def compass_sign(label: Column) -> tuple[Column, Column]:
     """Unit vector of a compass label, nulls for others."""
     east = {"E": 1.0, "NE": 0.70710678, "SE": 0.70710678, "W": -1.0, "NW": -0.70710678, "SW": -0.70710678, "N": 0.0, "S": 0.0}

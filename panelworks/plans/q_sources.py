@@ -118,9 +118,9 @@ def s12(spark, d):
     return R.features(pages, "features", "code")
 
 
-@query("s13_record_lists", "SELECT conv_id, string_agg(role, ' | ' ORDER BY turn) AS route, count(*) AS n FROM conversations WHERE turn < 20 GROUP BY 1")
+@query("s13_record_lists", "SELECT conv_id, string_agg(role, ' | ' ORDER BY turn) AS route, count(*) AS n FROM conversations GROUP BY 1")
 def s13(spark, d):
-    c = t(spark, d, "conversations").where("turn < 20").groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("turn", "role")).alias("items"))).alias("js"))
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("turn", "role")).alias("items"))).alias("js"))
     r = c.select("conv_id", F.from_json("js", "items array<struct<turn:long,role:string>>").alias("r"))
     ordered = F.sort_array("r.items")
     return r.select("conv_id", F.array_join(F.transform(ordered, lambda x: x["role"]), " | ").alias("route"), F.size("r.items").cast("long").alias("n"))

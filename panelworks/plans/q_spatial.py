@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from panelworks.functions import columns as C
+from panelworks.operators import protection as P
 from panelworks.operators import spatial as S
 from panelworks.plans.registry import query
+from panelworks.session import saved
 from panelworks.session import table as t
 
 PT = "SELECT vec_id, 1000.0 * CAST(embedding[1] AS DOUBLE) AS x, 1000.0 * CAST(embedding[2] AS DOUBLE) AS y, label FROM embeddings"
@@ -71,34 +73,45 @@ def g07(spark, d):
     return S.within(points(spark, d), lines(spark, d), 12.0, "vec_id", "line_id").withColumn("dist", F.round("dist", 4))
 
 
-@query("g08_nearest_line", f"""SELECT vec_id, CASE WHEN dist <= 20 THEN line_id END AS line_id, CASE WHEN dist <= 20 THEN round(dist, 4) END AS dist FROM (SELECT vec_id, line_id, {DIST} AS dist FROM ({PT}) p, ({SG}) s WHERE line_id > 100 OR p.vec_id < 0) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, line_id) = 1""")
+@query("g08_nearest_line", f"""SELECT vec_id, CASE WHEN dist <= 20 THEN line_id END AS line_id, CASE WHEN dist <= 20 THEN round(dist, 4) END AS dist FROM (SELECT vec_id, line_id, {DIST} AS dist FROM ({PT}) p, ({SG}) s) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, line_id) = 1""")
 def g08(spark, d):
-    return S.nearest(points(spark, d), lines(spark, d).where("line_id > 100"), 5.0, 20.0, "vec_id", "line_id").withColumn("dist", F.round("dist", 4))
+    return S.nearest(points(spark, d), lines(spark, d), 5.0, 20.0, "vec_id", "line_id").withColumn("dist", F.round("dist", 4))
 
 
 def areas(spark, d):
     """Directed sides of triangles: three consecutive points."""
-    p = points(spark, d).where("vec_id < 60").withColumn("area_id", F.floor(F.col("vec_id") / 3))
+    p = points(spark, d).withColumn("area_id", F.floor(F.col("vec_id") / 3))
     w = Window.partitionBy("area_id").orderBy("vec_id")
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return p.select("area_id", F.col("x").alias("x1"), F.col("y").alias("y1"), nxt("x").alias("x2"), nxt("y").alias("y2"))
 
 
-TRI = f"(SELECT a.vec_id // 3 AS area_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy FROM ({PT}) a JOIN ({PT}) b ON b.vec_id = a.vec_id + 1 JOIN ({PT}) c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 3 = 0 AND a.vec_id < 60)"
+def houses(spark, d):
+    """Points that are no corner of a triangle."""
+    return points(spark, d).select("vec_id", (F.col("x") + 0.37).alias("x"), (F.col("y") - 0.21).alias("y"))
+
+
+HOUSE = f"(SELECT vec_id, x + 0.37::DOUBLE AS x, y - 0.21::DOUBLE AS y FROM ({PT}))"
+TRI = f"(SELECT a.vec_id // 3 AS area_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy FROM ({PT}) a JOIN ({PT}) b ON b.vec_id = a.vec_id + 1 JOIN ({PT}) c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 3 = 0)"
+TRI_SIDES = f"(SELECT area_id, ax AS x1, ay AS y1, bx AS x2, by_ AS y2 FROM {TRI} UNION ALL SELECT area_id, bx, by_, cx, cy FROM {TRI} UNION ALL SELECT area_id, cx, cy, ax, ay FROM {TRI})"
 INSIDE = "(((bx - ax) * (y - ay) - (by_ - ay) * (x - ax) > 0) = ((cx - bx) * (y - by_) - (cy - by_) * (x - bx) > 0)) AND (((cx - bx) * (y - by_) - (cy - by_) * (x - bx) > 0) = ((ax - cx) * (y - cy) - (ay - cy) * (x - cx) > 0))"
+IN = f"(SELECT vec_id, min(area_id) AS area_id FROM {HOUSE} p LEFT JOIN {TRI} t ON {INSIDE} GROUP BY 1)"
 
 
-@query("g09_point_in_polygon", f"SELECT vec_id, min(area_id) AS area_id FROM ({PT}) p LEFT JOIN {TRI} t ON {INSIDE} WHERE vec_id >= 60 GROUP BY 1")
+@query("g09_point_in_polygon", f"SELECT * FROM {IN}")
 def g09(spark, d):
-    return S.in_polygon(points(spark, d).where("vec_id >= 60"), areas(spark, d), "vec_id", "area_id", 50.0)
+    return S.in_polygon(houses(spark, d), areas(spark, d), "vec_id", "area_id", 50.0)
 
 
-@query("g10_within_then_nearest")
+@query("g10_within_then_nearest", f"""WITH i AS MATERIALIZED {IN}, n AS (SELECT vec_id, area_id, min({DIST}) AS dist FROM {HOUSE} p, {TRI_SIDES} s WHERE vec_id IN (SELECT vec_id FROM i WHERE area_id IS NULL) GROUP BY 1, 2)
+  SELECT vec_id, area_id FROM i WHERE area_id IS NOT NULL UNION ALL SELECT i.vec_id, (SELECT arg_min(n.area_id, (n.dist, n.area_id)) FROM n WHERE n.vec_id = i.vec_id AND n.dist <= 80) FROM i WHERE area_id IS NULL""")
 def g10(spark, d):
-    p = points(spark, d).where("vec_id >= 60")
+    p = houses(spark, d)
     inside = S.in_polygon(p, areas(spark, d), "vec_id", "area_id", 50.0)
+    inside = saved(inside, "inside")
     rest = p.join(inside.where("area_id is null").select("vec_id"), "vec_id")
-    near = S.nearest(rest, areas(spark, d), 160.0, 640.0, "vec_id", "area_id").select("vec_id", "area_id")
+    whole = areas(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("area_id"))).where("n = 3").drop("n")
+    near = S.nearest(rest, whole, 20.0, 80.0, "vec_id", "area_id").select("vec_id", "area_id")
     return inside.where("area_id is not null").unionByName(near)
 
 
@@ -108,9 +121,9 @@ def g11(spark, d):
     return p.where("x is not null and y is not null").select("vec_id")
 
 
-@query("g12_corridor_grid", f"""WITH c AS (SELECT i * 20 AS easting, j * 20 AS northing FROM (SELECT unnest(range(-40, 40)) AS i), (SELECT unnest(range(-40, 40)) AS j)) SELECT DISTINCT CAST(easting AS BIGINT) AS easting, CAST(northing AS BIGINT) AS northing FROM (SELECT easting, northing, easting + 10.0::DOUBLE AS x, northing + 10.0::DOUBLE AS y FROM c) p, ({SG}) s WHERE s.line_id < 100 AND {DIST} <= 30""")
+@query("g12_corridor_grid", f"""WITH c AS (SELECT i * 20 AS easting, j * 20 AS northing FROM (SELECT unnest(range(-60, 60)) AS i), (SELECT unnest(range(-60, 60)) AS j)) SELECT DISTINCT CAST(easting AS BIGINT) AS easting, CAST(northing AS BIGINT) AS northing FROM (SELECT easting, northing, easting + 10.0::DOUBLE AS x, northing + 10.0::DOUBLE AS y FROM c) p, ({SG}) s WHERE {DIST} <= 30""")
 def g12(spark, d):
-    return S.corridor_cells(lines(spark, d).where("line_id < 100"), 30.0, 20).select("easting", "northing")
+    return S.corridor_cells(lines(spark, d), 30.0, 20).select("easting", "northing")
 
 
 @query("g13_cell_of_point", f"SELECT vec_id, lpad(CAST(CAST(floor((x + 5000) / 100) * 100 AS BIGINT) AS VARCHAR), 6, '0') || lpad(CAST(CAST(floor((y + 5000) / 100) * 100 AS BIGINT) AS VARCHAR), 7, '0') AS cell_id FROM ({PT})")
@@ -137,47 +150,70 @@ def g15(spark, d):
     return lines(spark, d).select("line_id", S.label_side(label).alias("side"))
 
 
-PAIRS = f"(SELECT p.vec_id, p.x * 8 AS x, p.y * 8 AS y, s.*, {LEN} AS len, CASE s.line_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 0 END AS sign FROM ({PT}) p, ({SG}) s WHERE s.line_id < 60)"
+#: Distances of these queries: beside the stretch, protected, control band.
+MARGIN, MOST, BAND = 5.0, 12.0, 30.0
+SIGNED = f"(SELECT *, {LEN} AS len, CASE line_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 0 END AS sign FROM ({SG}))"
 ALONG = f"((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / {LEN}"
-LAT = f"abs((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)) / {LEN}"
-OFF = f"greatest(0.0::DOUBLE, -({ALONG}), {ALONG} - len)"
-
-
-def pairs(spark, d):
-    """Points (spread out) near barriers: the candidate pairs of a distance join."""
-    p = points(spark, d).select("vec_id", (F.col("x") * 8).alias("x"), (F.col("y") * 8).alias("y"))
-    s = lines(spark, d).where("line_id < 60")
+LAT = DIST
+OFF = f"greatest(0.0::DOUBLE, 0.1 * len - ({ALONG}), {ALONG} - 0.9 * len)"
+BEYOND = f"({ALONG} <= 0 OR {ALONG} >= len)"
+ROUTE = 20.0
+PAIRS_OF = f"""(SELECT @IDS, line_id, x, y, {LAT} AS lat, {OFF} AS off, CASE WHEN sign IS NULL OR {BEYOND} THEN NULL ELSE sign = 0 OR sign = {SIDE} END AS same_side, {DIST} <= {ROUTE} AS same_route FROM @POINTS p, {SIGNED} s WHERE {DIST} <= {BAND})"""
+PAIRS = PAIRS_OF.replace("@IDS", "vec_id").replace("@POINTS", HOUSE)
+PROT = f"(same_side AND same_route AND off <= {MARGIN} AND lat <= {MOST})"
+RING = f"(off <= {MARGIN} AND lat > {MOST} AND lat <= {BAND})"
+
+
+def pairs(spark, d, p=None):
+    """Points near barriers, judged: the candidate pairs of a distance join. A barrier's stretch is the middle 80% of its line."""
+    s = lines(spark, d)
+    n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     sign = F.when(F.col("line_id") % 4 == 0, 1).when(F.col("line_id") % 4 == 1, -1).when(F.col("line_id") % 4 == 2, 0)
-    near = S.within(p, s, 1551.0, "vec_id", "line_id").select("vec_id", "line_id").join(p, "vec_id").join(s, "line_id")
-    return near.withColumns({"sign": sign, "span_start": F.lit(0.0), "span_end": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))})
+    barriers = s.select("line_id", sign.alias("sign"), (n * 0.1).alias("span_start"), (n * 0.9).alias("span_end"))
+    refs = s.select("line_id", F.lit(0).alias("seq"), "x1", "y1", "x2", "y2")
+    return P.classify_points(houses(spark, d) if p is None else p, barriers, refs, refs, "vec_id", "line_id", MARGIN, MOST, BAND, ROUTE)
 
 
-@query("g19_classification", f"SELECT vec_id, line_id, round({LAT}, 3) AS lateral_m, round({OFF}, 3) AS offset_m, sign IS NULL AS protected_unknown FROM {PAIRS} WHERE {LAT} <= 600 AND {OFF} <= 50 AND (sign IS NULL OR sign = 0 OR sign = {SIDE})")
+@query("g19_classification", f"SELECT vec_id, line_id, same_route, CASE WHEN same_route THEN coalesce(same_side, false) END AS same_side, CASE WHEN same_route THEN same_side IS NULL END AS same_side_unknown, round(lat, 3) AS lateral_m, round(off, 3) AS along_offset_m, coalesce({PROT}, false) AS protected, same_side IS NULL AND same_route AND off <= {MARGIN} AND lat <= {MOST} AS protected_unknown FROM {PAIRS}")
 def g19(spark, d):
-    c = S.classify(pairs(spark, d)).where("protected or protected_unknown")
-    return c.select("vec_id", "line_id", F.round("lateral_m", 3).alias("lateral_m"), F.round("offset_m", 3).alias("offset_m"), "protected_unknown")
+    c = pairs(spark, d)
+    return c.select("vec_id", "line_id", "same_route", "same_side", "same_side_unknown", F.round("lateral_m", 3).alias("lateral_m"), F.round("along_offset_m", 3).alias("along_offset_m"), "protected", "protected_unknown")
 
 
-@query("g20_control_band", f"SELECT vec_id, count(*) AS n_band, round(min({LAT}), 3) AS nearest FROM {PAIRS} WHERE {LAT} > 600 AND {LAT} <= 1500 AND {OFF} <= 50 AND (sign = 0 OR sign = {SIDE}) GROUP BY 1")
+@query("g20_control_band", f"""SELECT vec_id, bool_or({RING} AND coalesce(same_side, false)) AND NOT bool_or(coalesce({PROT}, false)) AS control_band, bool_or({RING} AND same_side IS NULL) AND NOT bool_or({RING} AND coalesce(same_side, false)) AND NOT bool_or(coalesce({PROT}, false)) AS control_band_unknown,
+  bool_or(coalesce({PROT}, false)) AS protected FROM {PAIRS} GROUP BY 1""")
 def g20(spark, d):
-    return S.classify(pairs(spark, d)).where("control_band").groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_band"), F.round(F.min("lateral_m"), 3).alias("nearest"))
+    return P.banded_units(pairs(spark, d), "vec_id")
+
 
+CELL = "CAST(floor(x / 20) AS BIGINT) AS cx, CAST(floor(y / 20) AS BIGINT) AS cy"
 
-@query("g21_cell_rollup", f"SELECT CAST(floor(x / 100) AS BIGINT) AS cx, CAST(floor(y / 100) AS BIGINT) AS cy, count(*) AS n_protecting, CAST(min(1990 + line_id % 30) FILTER (WHERE line_id % 7 <> 0) AS BIGINT) AS first_year, bool_or(line_id % 7 = 0) AS undated FROM {PAIRS} WHERE {LAT} <= 600 AND {OFF} <= 50 AND (sign = 0 OR sign = {SIDE}) GROUP BY 1, 2")
+
+@query("g21_cell_rollup", f"""WITH p AS (SELECT *, coalesce({PROT}, false) AS prot, {RING} AND coalesce(same_side, false) AS ring, CASE WHEN line_id % 7 <> 0 THEN 1990 + line_id % 30 END AS yr, {CELL} FROM {PAIRS})
+  SELECT cx, cy, count(*) FILTER (WHERE prot) AS n_protecting, arg_min(line_id, (lat, line_id)) FILTER (WHERE prot) AS nearest, round(min(lat) FILTER (WHERE prot), 3) AS nearest_m, min(yr) FILTER (WHERE prot) AS first_year, coalesce(bool_or(yr IS NULL) FILTER (WHERE prot), false) AS undated,
+  CASE WHEN NOT bool_or(prot) THEN min(yr) FILTER (WHERE ring) END AS band_year FROM p GROUP BY 1, 2 HAVING bool_or(prot OR ring)""")
 def g21(spark, d):
-    c = S.classify(pairs(spark, d)).where("protected")
-    dated = F.col("line_id") % 7 != 0
-    return c.groupBy(F.floor(F.col("x") / 100).alias("cx"), F.floor(F.col("y") / 100).alias("cy")).agg(F.count(F.lit(1)).alias("n_protecting"), F.min(F.when(dated, 1990 + F.col("line_id") % 30)).alias("first_year"), F.bool_or(~dated).alias("undated"))
+    c = pairs(spark, d).join(houses(spark, d), "vec_id").withColumns({"cx": F.floor(F.col("x") / 20), "cy": F.floor(F.col("y") / 20)})
+    year = F.when(F.col("line_id") % 7 != 0, 1990 + F.col("line_id") % 30)
+    return P.protection_rollup(c, ["cx", "cy"], "line_id", year).withColumn("nearest_m", F.round("nearest_m", 3))
+
+
+GRID = f"(SELECT DISTINCT i * 6 + 3.0::DOUBLE AS x, j * 6 + 3.0::DOUBLE AS y, i, j FROM (SELECT unnest(range(-150, 150)) AS i), (SELECT unnest(range(-150, 150)) AS j))"
+ON_GRID = PAIRS_OF.replace("@IDS", "i, j").replace("@POINTS", GRID)
+
+
+def zone_points(spark, d, dx=0.0, dy=0.0):
+    """Centres (moved by dx, dy) of all cells of 6 m near a barrier."""
+    return S.corridor_cells(lines(spark, d), BAND + 10.0, 6).select(F.col("cell_id").alias("vec_id"), (F.col("easting") + 3.0 + dx).alias("x"), (F.col("northing") + 3.0 + dy).alias("y"))
 
 
-@query("g22_zone_cells")
+@query("g22_zone_cells", f"""WITH p AS (SELECT i, j, line_id, CASE WHEN {PROT} THEN 'protected' WHEN {RING} AND same_side THEN 'control_band' END AS status FROM {ON_GRID}) SELECT line_id, status, count(*) * 36 AS area_m2 FROM p WHERE status IS NOT NULL GROUP BY 1, 2
+  UNION ALL SELECT CAST(-1 AS BIGINT), status, count(DISTINCT (i, j)) * 36 FROM p WHERE status IS NOT NULL GROUP BY 2""")
 def g22(spark, d):
-    """The protected zone of each barrier as fine cells, with its area."""
-    s = lines(spark, d).where("line_id < 60")
-    cells = S.corridor_cells(s, 60.0, 10).select("cell_id", (F.col("easting") + 5.0).alias("x"), (F.col("northing") + 5.0).alias("y"))
-    near = S.within(cells, s, 60.0, "cell_id", "line_id").select("cell_id", "line_id").join(cells, "cell_id").join(s, "line_id")
-    near = near.withColumns({"sign": F.lit(1), "span_start": F.lit(0.0), "span_end": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))})
-    return S.classify(near, margin=10.0, most=40.0, band=60.0).where("protected").groupBy("line_id").agg((F.count_distinct("cell_id") * 100).alias("area_m2"))
+    """The protected zone and the band of each barrier as cells with their areas, and (as -1) those of all barriers dissolved."""
+    z = saved(P.zone_cells(pairs(spark, d, zone_points(spark, d)), "vec_id", "line_id"), "zones")
+    own = z.groupBy("line_id", "status").agg((F.count(F.lit(1)) * 36).alias("area_m2"))
+    return own.unionByName(z.groupBy("status").agg((F.count_distinct("vec_id") * 36).alias("area_m2")).select(F.lit(-1).cast("long").alias("line_id"), "status", "area_m2"))
 
 
 @query("g24_co_located")
@@ -191,9 +227,9 @@ def g24(spark, d):
     return share.where("share >= 0.3").select(F.least("a", "line_id").alias("a"), F.greatest("a", "line_id").alias("b")).distinct()
 
 
-@query("g26_area_rates", f"SELECT area_id // 5 AS parent, count(*) AS n FROM (SELECT vec_id, min(area_id) AS area_id FROM ({PT}) p JOIN {TRI} t ON {INSIDE} WHERE vec_id >= 60 GROUP BY 1) GROUP BY 1")
+@query("g26_area_rates", f"SELECT area_id // 5 AS parent, count(*) AS n FROM {IN} WHERE area_id IS NOT NULL GROUP BY 1")
 def g26(spark, d):
-    inside = S.in_polygon(points(spark, d).where("vec_id >= 60"), areas(spark, d), "vec_id", "area_id", 50.0)
+    inside = S.in_polygon(houses(spark, d), areas(spark, d), "vec_id", "area_id", 50.0)
     return inside.where("area_id is not null").groupBy(F.floor(F.col("area_id") / 5).alias("parent")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -237,16 +273,15 @@ def g18(spark, d):
     return b.groupBy("line_id", "sign").agg(F.min_by("other", F.struct("dist", "other")).alias("other"))
 
 
-@query("g23_zone_agreement")
+@query("g23_zone_agreement", f"""WITH p AS (SELECT i, j, line_id, coalesce({PROT}, false) AS p FROM {ON_GRID}), q AS (SELECT i, j, line_id, coalesce({PROT}, false) AS q FROM {ON_GRID.replace("i * 6 + 3.0::DOUBLE", "i * 6 + 4.3::DOUBLE").replace("j * 6 + 3.0::DOUBLE", "j * 6 + 2.1::DOUBLE")})
+  SELECT line_id, count(*) AS n, round(avg(CASE WHEN coalesce(p, false) = coalesce(q, false) THEN 1.0 ELSE 0.0 END), 6) AS agree FROM p FULL JOIN q USING (i, j, line_id) GROUP BY 1""")
 def g23(spark, d):
     """Cells of the protected zone against the point test at points that are not cell centres."""
-    s = lines(spark, d).where("line_id < 60")
-    pts = S.corridor_cells(s, 60.0, 10).select("cell_id", (F.col("easting") + 7.0).alias("x"), (F.col("northing") + 4.0).alias("y"), (F.col("easting") + 5.0).alias("cx"), (F.col("northing") + 5.0).alias("cy"))
-    span = {"sign": F.lit(1), "span_start": F.lit(0.0), "span_end": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))}
-    near = S.within(pts, s, 60.0, "cell_id", "line_id").select("cell_id", "line_id").join(pts, "cell_id").join(s, "line_id").withColumns(span)
-    test = S.classify(near, margin=10.0, most=40.0, band=60.0).select("cell_id", "line_id", "cx", "cy", *[c for c in s.columns if c != "line_id"], *span, F.col("protected").alias("by_point"))
-    zone = S.classify(test.withColumnsRenamed({"cx": "x", "cy": "y"}), margin=10.0, most=40.0, band=60.0)
-    return zone.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("protected") == F.col("by_point")).cast("double")), 6).alias("agree"))
+    zone = pairs(spark, d, zone_points(spark, d)).select("vec_id", "line_id", F.col("protected").alias("p"))
+    test = pairs(spark, d, zone_points(spark, d, 1.3, -0.9)).select("vec_id", "line_id", F.col("protected").alias("q"))
+    both = zone.join(test, ["vec_id", "line_id"], "full")
+    same = F.coalesce("p", F.lit(False)) == F.coalesce("q", F.lit(False))
+    return both.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(same.cast("double")), 6).alias("agree"))
 
 
 @query("g25_longest_part", f"WITH p AS ({PT}), s AS (SELECT a.vec_id // 20 AS line, (a.vec_id % 20) // 5 AS part, sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS len FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 GROUP BY 1, 2) SELECT line, arg_min(part, (-len, part)) AS part, round(max(len), 3) AS length_m FROM s GROUP BY 1")
@@ -257,7 +292,7 @@ def g25(spark, d):
     return S.longest_part(seg, "line", "part").withColumn("length_m", F.round("length_m", 3))
 
 
-@query("g28_context_lines", f"SELECT vec_id AS center, line_id FROM ({PT}) p, ({SG}) s WHERE vec_id % 25 = 0 AND line_id <> vec_id AND {DIST} <= 60")
+@query("g28_context_lines", f"SELECT vec_id AS center, line_id FROM ({PT}) p, ({SG}) s WHERE line_id <> vec_id AND {DIST} <= 20")
 def g28(spark, d):
-    c = points(spark, d).where("vec_id % 25 = 0").select(F.col("vec_id").alias("center"), "x", "y")
-    return S.within(c, lines(spark, d), 60.0, "center", "line_id").where("center <> line_id").select("center", "line_id")
+    c = points(spark, d).select(F.col("vec_id").alias("center"), "x", "y")
+    return S.within(c, lines(spark, d), 20.0, "center", "line_id").where("center <> line_id").select("center", "line_id")

@@ -92,12 +92,6 @@ def test_within_and_nearest_match_brute_force(spark):
         assert best[p[0]] == (l if d <= 20 else None)
 
 
-def test_protection_fixture(spark):
-    pairs = spark.createDataFrame([(150.0 + 2000, 300.0), (2150.0, 1000.0), (2150.0, -300.0)], "x double, y double").withColumns({"x1": F.lit(0.0), "y1": F.lit(0.0), "x2": F.lit(4000.0), "y2": F.lit(0.0), "sign": F.lit(1), "span_start": F.lit(2000.0), "span_end": F.lit(2300.0)})
-    got = {r["y"]: (r["protected"], r["control_band"], r["lateral_m"], r["offset_m"]) for r in S.classify(pairs).collect()}
-    assert got == {300.0: (True, False, 300.0, 0.0), 1000.0: (False, True, 1000.0, 0.0), -300.0: (False, False, 300.0, 0.0)}
-
-
 def test_transverse_mercator_known_point(spark):
     e, n = S.transverse_mercator(F.lit(15.0), F.lit(60.0), 15.0)
     r = one(spark, e=e, n=n)
