@@ -1,16 +1,21 @@
 """Substring dedup by recompression.
 
-Each round gives a new name to every maximal run of one symbol and then to every pair (left, right) whose
-symbols fall in the left and the right half of the alphabet. A name is a hash of what it stands for, so all
-tasks name alike without asking each other, and equal substrings get equal symbols in their interior. With
-each symbol goes its support, the words that determine it; a symbol whose support lies inside a repeated
-window is there in every copy of it. Windows look for each other through the smallest such symbol they hold
-and through their own hash where they hold none, so no repeat is missed; the hash of the whole window decides.
+Words get names, and each level gives a new name to every maximal run of one symbol and then to every pair (left, right)
+whose symbols fall in the left and the right half of the alphabet. A name is a hash of what it stands for, so all tasks
+name alike, and equal substrings get equal symbols in their interior. With each symbol goes its support, the words that
+determine it; a symbol whose support lies inside a repeated window is there in every copy of it.
+
+Every Spark round takes one level. Its tasks parse the texts to that level, and each window that is still in the running
+picks the symbol of lowest rank in it; a shared table of the names so picked tells which are in several documents, and
+only windows whose symbol is shared go on. At the last level, where supports outgrow the window, the window itself is
+the symbol. The words of every repeat are then compared with those of its source; should two unlike windows have got one
+name, everything is done again with other names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from panelworks.llm import textops as T
-from panelworks.llm.common import saved
+from panelworks.llm.common import new_path, saved
 
 WIDTH = 13
-ROUNDS = 2
+#: Levels before the window itself. Two: supports of the third are mostly longer than a window.
+LEVELS = 2
+#: Names that a task holds before it merges and sends them.
+HELD = 1 << 21
+#: Bits of a window's name, for each attempt (the last one stays).
+NAME_BITS = (64,)
 #: Up to this many rows of hits are sent to every task, else both sides are shuffled.
 SENT_ROWS = 200_000
 
@@ -106,26 +116,28 @@ class Found:
     left: np.ndarray
     key: np.ndarray
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """(place, key) of every chosen symbol, once, and of the windows without one."""
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, name) of every chosen symbol, once, and of the windows without one."""
         chosen = np.zeros(len(self.left), bool)
         chosen[self.best[self.best >= 0]] = True
         alone = self.best < 0
         return np.concatenate([self.left[chosen], self.places[alone]]), np.concatenate([self.key[chosen], T.mix(self.window[alone], 41)])
 
-    def anchor_of_window(self) -> np.ndarray:
+    def place_of_window(self) -> np.ndarray:
         if not len(self.left):
             return self.places
         return np.where(self.best >= 0, self.left[self.best], self.places)
 
 
-def anchors(h: np.ndarray, b: T.Block, width: int = WIDTH, rounds: int = ROUNDS) -> Found:
-    """Every window with the symbol of lowest rank whose support lies in it.
+def parsed(h: np.ndarray, b: T.Block, level: int, width: int = WIDTH, live: np.ndarray | None = None) -> Found:
+    """Every window (or the ``live`` ones) with the symbol of lowest rank of this level whose support lies in it.
 
-    A symbol's key is a hash of the words of its support. Choice and key follow from the window's words alone."""
+    A symbol's name is a hash of the words of its support. Choice and name follow from the window's words alone."""
     places, window = T.windows(h, b.edges, width)
+    if live is not None:
+        places, window = places[live], window[live]
     s = Symbols(h, b.of, b.edges)
-    for k in range(rounds):
+    for k in range(level):
         s.runs(20 + 4 * k)
         s.pairs(21 + 4 * k)
     inside = (s.left >= b.edges[s.of]) & (s.right <= b.edges[s.of + 1]) & (s.right - s.left <= width) if len(s.name) else np.zeros(0, bool)
@@ -133,97 +145,110 @@ def anchors(h: np.ndarray, b: T.Block, width: int = WIDTH, rounds: int = ROUNDS)
     if len(left) and ((left[1:] < left[:-1]) | ((left[1:] == left[:-1]) & (right[1:] < right[:-1]))).any():
         order = np.lexsort((right, left))
         left, right = left[order], right[order]
-    key = T.slice_hashes(h, left, right)
+    key = T.mix(T.slice_hashes(h, left, right), 50 + level)
     rank = T.mix(key, 40)
     best = np.full(len(places), -1, np.int64)
     lowest = np.full(len(places), np.iinfo(np.uint64).max, T.U)
-    live = np.arange(len(places))
+    going = np.arange(len(places))
     j = np.searchsorted(left, places)
-    while len(live):
+    while len(going):
         ok = j < len(left)
-        ok[ok] = left[j[ok]] < places[live[ok]] + width
-        live, j = live[ok], j[ok]
-        take = (right[j] <= places[live] + width) & (rank[j] < lowest[live])
-        at = live[take]
+        ok[ok] = left[j[ok]] < places[going[ok]] + width
+        going, j = going[ok], j[ok]
+        take = (right[j] <= places[going] + width) & (rank[j] < lowest[going])
+        at = going[take]
         lowest[at] = rank[j[take]]
         best[at] = j[take]
         j = j + 1
     return Found(places, window, best, left, key)
 
 
-ANCHORS = "key long, doc_id long, place int"
-
+def _marked(shared: pa.Array, b: T.Block) -> np.ndarray:
+    """For each word of a block whether a shared symbol was picked there. ``shared``: lists of places of each text."""
+    out = np.zeros(len(b.starts) + 1, bool)
+    for k in range(b.first, b.last):
+        spots = np.asarray(shared[k].values, np.int64)
+        out[b.edges[k - b.first] + spots[spots < b.edges[k - b.first + 1] - b.edges[k - b.first]]] = True
+    return out
 
-def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to a row for each anchor of a document.
 
-    Of a key that several documents of a block have, all places are known to be shared (they go on as -1 - place,
-    under a key of their own so that they spread) and one row only goes on under the key."""
-    for batch in batches:
-        doc = batch.column(0).to_numpy(zero_copy_only=False)
-        for b in T.blocks(batch.column(1)):
-            place, key = anchors(b.word_hashes(), b).anchors()
-            if not len(place):
-                continue
-            of = b.of[place]
-            local, row = (place - b.edges[of]).astype(np.int32), b.first + of
-            order = np.lexsort((row, key))
-            key, row, local = key[order], row[order], local[order]
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            group = np.cumsum(head) - 1
-            many = (np.bincount(group[np.append(False, (row[1:] != row[:-1]) & ~head[1:])], minlength=group[-1] + 1) > 0)[group]
-            go = head | ~many
-            spread = T.mix(key[many] + row[many].astype(T.U), 3)
-            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(np.concatenate([key[go], spread]))), pa.array(np.concatenate([doc[row[go]], doc[row[many]]]), pa.int64()),
-                                              pa.array(np.concatenate([local[go], -1 - local[many]]))], names=["key", "doc_id", "place"])
-
-
-WINDOWS = "high long, low int, doc_id long, spot long"
-KNOWN = 1 << 62
-
-
-def emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, code, shared places) to the windows whose anchor is at a shared place.
-
-    ``spot`` packs the place, the text's code and whether the window is known to be a repeat: of equal windows of
-    a block only the smallest document's go on under the hash, the others spread."""
-    for batch in batches:
-        doc = batch.column(0).to_numpy(zero_copy_only=False)
-        codes = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-        shared = batch.column(3)
-        for b in T.blocks(batch.column(1)):
-            h = b.word_hashes()
-            found = anchors(h, b)
-            marked = np.zeros(len(h) + 1, bool)
-            for k in range(b.first, b.last):
-                spots = np.asarray(shared[k].values, np.int64)
-                spots = np.where(spots < 0, -1 - spots, spots)
-                spots = spots[spots < b.edges[k - b.first + 1] - b.edges[k - b.first]]
-                marked[b.edges[k - b.first] + spots] = True
-            go = marked[found.anchor_of_window()]
-            places, window = found.places[go], found.window[go]
-            if not len(places):
-                continue
-            low = (T.slice_hashes(T.mix(h, 77), places, places + WIDTH) >> T.U(33)).astype(np.int32)
-            of = b.of[places]
-            row, local = b.first + of, places - b.edges[of]
-            order = np.lexsort((doc[row], low, window))
-            window, low, row, local = window[order], low[order], row[order], local[order]
-            head = np.ones(len(window), bool)
-            head[1:] = (window[1:] != window[:-1]) | (low[1:] != low[:-1])
-            known = doc[row] > doc[row][np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))]
-            high = np.where(known, T.mix(window + row.astype(T.U), 5), window)
-            yield pa.RecordBatch.from_arrays([pa.array(T.as_long(high)), pa.array(low), pa.array(doc[row], pa.int64()), pa.array(codes[row] << 32 | local | np.where(known, KNOWN, 0))], names=["high", "low", "doc_id", "spot"])
+class Held:
+    """Names of a task with (doc, row, place), merged whenever many wait.
+
+    Of a name that several documents of a task have, the rows of all but the smallest document are known to be repeats:
+    they go on under names of their own, so that they spread. Under the name itself only the smallest document's rows go
+    on, and one of the largest document, so a name that every document has leaves few rows for each merge."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def merged(self) -> pa.RecordBatch:
+        """(name, doc, row, place, src_row, src_place): src is set for what is known: where the smallest document has it."""
+        name, doc, row, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.lexsort((place, row, doc, name))
+        name, doc, row, place = name[order], doc[order], row[order], place[order]
+        new = np.append(True, name[1:] != name[:-1])
+        at = np.flatnonzero(new)
+        lead = np.repeat(at, np.diff(np.append(at, len(name))))
+        last = np.repeat(np.append(at[1:], len(name)) - 1, np.diff(np.append(at, len(name))))
+        index = np.arange(len(name))
+        known = doc > doc[lead]
+        under = np.flatnonzero(~known | (index == last))
+        pick = np.concatenate([under, np.flatnonzero(known)])
+        spread = np.arange(len(pick)) >= len(under)
+        own = np.where(spread, T.mix(name[pick] + row[pick].astype(T.U) * T.U(31) + place[pick].astype(T.U), 3), name[pick])
+        src = np.where(spread, lead[pick], -1)
+        null = src < 0
+        return pa.RecordBatch.from_arrays([pa.array(T.as_long(own)), pa.array(doc[pick]), pa.array(row[pick]), pa.array(place[pick].astype(np.int32)),
+                                           pa.array(row[np.maximum(src, 0)], mask=null), pa.array(place[np.maximum(src, 0)].astype(np.int32), mask=null)], names=["name", "doc", "row", "place", "src_row", "src_place"])
+
+
+NAMES = "name long, doc long, row long, place int, src_row long, src_place int"
+
+
+def namer(level: int, seed: int, bits: int = 64):
+    """The map function of a round: (row, doc, text[, places shared in the round before]) to ``NAMES`` of this level.
+
+    The last level's names are those of windows."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+        for batch in batches:
+            row, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for b in T.blocks(batch.column(2)):
+                h = b.word_hashes() if not seed else T.slice_hashes(T.mix(np.arange(256, dtype=T.U), seed)[b.data], b.starts, b.ends)
+                live = None
+                if level > 1:
+                    before = parsed(h, b, level - 1)
+                    live = _marked(batch.column(3), b)[before.place_of_window()]
+                if level > LEVELS:
+                    place, key = before.places[live], T.mix(before.window[live], 60 + seed) & T.U((1 << bits) - 1)
+                else:
+                    place, key = parsed(h, b, level, live=live).names()
+                if len(place):
+                    of = b.first + b.of[place]
+                    held.add(key, doc[of], row[of], place - b.edges[b.of[place]])
+                if held.size > HELD:
+                    yield held.merged()
+        if held.size:
+            yield held.merged()
+
+    return name
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, whole, places of repeated windows) to the result rows. ``whole``: the text is a copy of a smaller document's."""
+    """(doc_id, text, whole, [(start, words)]) to the result rows. ``whole``: the text is a copy of a smaller document's."""
     for batch in batches:
-        whole, starts = batch.column(2).to_pylist(), batch.column(3)
+        whole, repeats = batch.column(2).to_pylist(), batch.column(3)
         n_words, n_removed, digests, spans = [], [], [], []
         for b in T.blocks(batch.column(1)):
             gone = np.zeros(len(b.starts) + 1, np.int64)
@@ -232,10 +257,10 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if whole[k] and z - a >= WIDTH:
                     gone[a] += 1
                     gone[z] -= 1
-                elif starts[k].is_valid:
-                    at = np.unique(np.asarray(starts[k].values, np.int64)) + a
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + WIDTH, -1)
+                elif repeats[k].is_valid:
+                    start, words = (np.asarray(repeats[k].values.field(i), np.int64) for i in range(2))
+                    np.add.at(gone, a + start, 1)
+                    np.add.at(gone, a + start + words, -1)
             gone = np.cumsum(gone[:-1]) > 0
             text = b.data.tobytes()
             for k in range(b.first, b.last):
@@ -251,23 +276,84 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, code, starts): the places of windows that a document with a smaller doc_id has as well.
-
-    ``docs``: (doc_id, text, code). ``code`` tells rows of the same doc_id apart."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").mapInArrow(emit_anchors, ANCHORS)
-    by = Window.partitionBy("key")
-    open_ = F.when(F.col("place") >= 0, F.col("doc_id"))
-    shared = rows.withColumn("_lo", F.min(open_).over(by)).withColumn("_hi", F.max(open_).over(by)).where("place < 0 or _lo < _hi")
-    hits = saved(shared.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "anchors")
-    rows = docs.join(hits, "doc_id").select("doc_id", "text", "code", "places").mapInArrow(emit_windows, WINDOWS)
-    known = F.col("spot") >= KNOWN
-    low = F.min(F.when(~known, F.col("doc_id"))).over(Window.partitionBy("high", "low"))
-    repeats = rows.withColumn("_lo", low).where(known | (F.col("_lo") < F.col("doc_id")))
-    code, place = F.shiftright("spot", 32).bitwiseAND(F.lit(0x7FFF)).cast("int"), F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    out = saved(repeats.select("doc_id", code.alias("code"), place.alias("place")).groupBy("doc_id", "code").agg(F.collect_set("place").alias("starts")), "repeats")
-    return out
+SPANS = "row long, start int, words int, src_row long, src_start int"
+
+
+def joined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, [(place, src_row, src_place)]) to spans: consecutive windows whose sources are consecutive too are one."""
+    for batch in batches:
+        lists = batch.column(1)
+        if not batch.num_rows:
+            continue
+        of = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+        place, src, at = (lists.flatten().field(k).to_numpy() for k in range(3))
+        order = np.lexsort((place, of))
+        of, place, src, at = of[order], place[order].astype(np.int64), src[order], at[order].astype(np.int64)
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1) | (src[1:] != src[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(of)))
+        yield pa.RecordBatch.from_arrays([pa.array(of[first]), pa.array(place[first].astype(np.int32)), pa.array((n + WIDTH - 1).astype(np.int32)), pa.array(src[first]), pa.array(at[first].astype(np.int32))], names=["row", "start", "words", "src_row", "src_start"])
+
+
+def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text, [(start, words)]) to (row, start, words, said): the words there, joined by one space."""
+    for batch in batches:
+        asked = batch.column(2)
+        row = batch.column(0).to_numpy(zero_copy_only=False)
+        for b in T.blocks(batch.column(1)):
+            text, out = b.data.tobytes(), ([], [], [], [])
+            for k in range(b.first, b.last):
+                a = b.edges[k - b.first]
+                for x in asked[k].as_py():
+                    at = slice(a + x["start"], a + x["start"] + x["words"])
+                    for column, value in zip(out, (row[k], x["start"], x["words"], b" ".join([text[s:e] for s, e in zip(b.starts[at].tolist(), b.ends[at].tolist())]))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["row", "start", "words", "said"])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with a unique ``row``, written once in buckets by it: what later comes by row is brought to the texts, which stay."""
+    spark = rows.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"panelworks_texts_{uuid.uuid4().hex[:12]}"
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    numbered.repartition(n, "row").write.bucketBy(n, "row").option("path", new_path(spark, "texts")).saveAsTable(name)
+    return spark.table(name)
+
+
+def shared_places(names: DataFrame) -> DataFrame:
+    """(row, places) of the names that several documents have."""
+    by = Window.partitionBy("name")
+    known = F.col("src_row").isNotNull()
+    both = names.withColumns({"_lo": F.min("doc").over(by), "_hi": F.max("doc").over(by)}).where(known | (F.col("_lo") < F.col("_hi")))
+    return saved(both.groupBy("row").agg(F.collect_set("place").alias("places")), "shared")
+
+
+def repeated_spans(texts: DataFrame, seed: int, bits: int) -> DataFrame:
+    """``SPANS``: runs of windows that a document with a smaller doc has as well, each with a place where it has them."""
+    rows = texts.select("row", "doc", "text")
+    shared = shared_places(rows.mapInArrow(namer(1, seed), NAMES))
+    for level in range(2, LEVELS + 1):
+        shared = shared_places(rows.join(shared.hint("shuffle_hash"), "row").select("row", "doc", "text", "places").mapInArrow(namer(level, seed), NAMES))
+    names = rows.join(shared.hint("shuffle_hash"), "row").select("row", "doc", "text", "places").mapInArrow(namer(LEVELS + 1, seed, bits), NAMES)
+    least = F.min(F.when(F.col("src_row").isNull(), F.struct("doc", "row", "place"))).over(Window.partitionBy("name"))
+    known = F.col("src_row").isNotNull()
+    names = names.withColumn("_lo", least).where(known | (F.col("_lo.doc") < F.col("doc")))
+    found = F.struct("place", F.coalesce("src_row", "_lo.row").alias("src_row"), F.coalesce("src_place", "_lo.place").alias("src_place"))
+    # a window may come as known and under its name; one source is enough
+    found = names.groupBy("row", "place").agg(F.min(found).alias("f")).groupBy("row").agg(F.collect_list("f").alias("found"))
+    return saved(found.mapInArrow(joined_windows, SPANS), "spans")
+
+
+def unlike(texts: DataFrame, spans: DataFrame) -> int:
+    """How many spans have other words than their sources. Each side's words are read where the texts lie."""
+    ask = spans.select("row", "start", "words").unionByName(spans.select(F.col("src_row").alias("row"), F.col("src_start").alias("start"), "words")).distinct()
+    ask = ask.groupBy("row").agg(F.collect_list(F.struct("start", "words")).alias("asked"))
+    said = texts.select("row", "text").join(ask.hint("shuffle_hash"), "row").select("row", "text", "asked").mapInArrow(read_words, "row long, start int, words int, said binary")
+    said = saved(said, "words")
+    own = spans.join(said.withColumnRenamed("said", "mine"), ["row", "start", "words"])
+    theirs = said.select(F.col("row").alias("src_row"), F.col("start").alias("src_start"), "words", F.col("said").alias("theirs"))
+    return own.join(theirs, ["src_row", "src_start", "words"]).where("mine <> theirs").count()
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -275,17 +361,24 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     ``spans`` (word ranges removed).
 
     A word goes if a window of 13 words over it also starts in a document with a smaller key. Texts of fewer
-    than 13 words and null texts lose nothing. Rows of equal keys don't count as smaller than each other; a row
-    with a null key loses nothing and takes nothing. Copies of whole texts are found first and are cut whole; all
-    their windows are in the smallest of them. Rows of one key with different texts are told apart by a 15-bit
-    code of the text."""
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text")})
-    copies = own.where("doc_id is not null").groupBy("_a", "_b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    copies = saved(copies, "copies")
-    side = F.broadcast(copies) if copies.count() <= SENT_ROWS else copies
-    whole = F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False))
-    flagged = own.join(side, ["_a", "_b"], "left").select("doc_id", "text", F.col("_b").bitwiseAND(F.lit(0x7FFF)).cast("int").alias("code"), whole.alias("whole"))
-    starts = repeated_windows(flagged.where("doc_id is not null and not whole").select("doc_id", "text", "code"))
-    joined = flagged.join(starts, ["doc_id", "code"], "left").select("doc_id", "text", "whole", "starts")
+    than 13 words and null texts lose nothing. Rows of equal keys don't count as smaller than each other, and each is
+    judged by its own text; a row with a null key loses nothing and takes nothing. Copies of whole texts (by 128 bits of
+    hashes) are found first and are cut whole; all their windows are in the smallest of them. All other repeats are
+    compared word by word. Very long texts are parsed whole, 2 MB of texts at a time; other columns are ignored, so
+    none can clash; an empty table gives an empty result."""
+    own = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = dealt(own.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text")}))
+    narrow = own.where("doc is not null").select("row", "doc", "_a", "_b")
+    copies = saved(narrow.groupBy("_a", "_b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "copies")
+    whole = saved(narrow.join(F.broadcast(copies) if copies.count() <= SENT_ROWS else copies, ["_a", "_b"]).where("least < doc").select("row"), "whole")
+    left = own.where("doc is not null").join(whole.hint("shuffle_hash"), "row", "left_anti")
+    for seed in range(8):
+        spans = repeated_spans(left, seed, NAME_BITS[min(seed, len(NAME_BITS) - 1)])
+        if not unlike(own, spans):
+            break
+    else:
+        raise RuntimeError("unlike windows keep getting one name")
+    cuts = spans.groupBy("row").agg(F.collect_list(F.struct("start", "words")).alias("cuts"))
+    joined = own.select("row", "doc", "text").join(whole.withColumn("whole", F.lit(True)).hint("shuffle_hash"), "row", "left").join(cuts.hint("shuffle_hash"), "row", "left")
+    joined = joined.select(F.col("doc").alias("doc_id"), "text", F.coalesce("whole", F.lit(False)).alias("whole"), "cuts")
     return joined.mapInArrow(cut, RESULT).withColumnRenamed("doc_id", key)

@@ -357,6 +357,16 @@ def test_url_filter(spark, monkeypatch):
     assert all(not r["listed"] for r in urlfilter.judge(table, none, ["page_id"]).collect())
 
 
+def test_listed_urls_hold_links_that_are_no_pages(spark):
+    pages = spark.createDataFrame([(1, "http://www.free-bets.net/a.html?x", '<a href="/b/?q"><a href="http://else.net/z"><a href="#top">'), (2, "http://ok.net/b", '<a href="/c">'), (3, None, None), (4, "http://blog.cheap-pills.com", None)], "page_id long, url string, html string")
+    listed = urlfilter.listed_urls(pages)
+    assert {r[0] for r in listed.collect()} == {"free-bets.net/a", "free-bets.net/b", "cheap-pills.com"}
+    more = spark.createDataFrame([(9, "https://free-bets.net/b/#x", "z" * 9), (10, "https://free-bets.net/" + "b" * 50_000, None)], "page_id long, url string, html string")
+    got = {r["_row"]["page_id"]: r["verdict"] for r in urlfilter.judge(pages.unionByName(more), listed, ["page_id"]).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block", 9: "block", 10: "allow"}
+    assert urlfilter.judge(pages.limit(0), listed, ["page_id"]).count() == 0
+
+
 def test_bloom_passes_every_entry_and_few_others(spark):
     listed = spark.range(2000).selectExpr("concat('u', id) as e")
     rows = spark.range(4000).selectExpr("concat('u', id) as e")
@@ -409,6 +419,20 @@ def test_dedup_matches_brute_force(spark, seed, vocabulary, words):
     assert got == cut_brute(rows)
 
 
+def test_dedup_compares_words_and_rows_of_one_key(spark, monkeypatch):
+    rnd = random.Random(17)
+    a, b, c = ([f"{x}{k}" for k in range(40)] for x in "abc")
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[5:30] + c[:5] + b[20:36])), (3, " ".join(c[:20] + a[20:40])), (2, " ".join(c)), (4, "x " * 500 + " ".join(c)), (None, " ".join(a)), (5, "x " * 400)]
+    rows += [(10 + k, " ".join(rnd.choices(["p", "q"], k=60))) for k in range(12)]
+    table = [(i, t, None, None, 0) for i, t in rows]
+    docs = spark.createDataFrame(table, DOCS).selectExpr("*", "1 as row", "2 as place", "3 as whole", "4 as doc").repartition(4)
+    for held, bits in ((1 << 21, (64,)), (60, (5, 64))):
+        monkeypatch.setattr(recompress, "HELD", held)
+        monkeypatch.setattr(recompress, "NAME_BITS", bits)
+        got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompress.dedup(docs).collect()), key=str)
+        assert got == cut_brute(table)
+
+
 def test_dedup_of_nothing(spark):
     assert recompress.dedup(empty(spark)).count() == 0
 
