@@ -117,7 +117,8 @@ def listed_urls(pages: DataFrame, labels: list[str] | None = None, url: str = "u
     bad = pages.where(F.arrays_overlap(F.split(h, r"\."), F.array(*[F.lit(x) for x in labels])))
     links = F.filter(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(HREF), F.lit(1)), lambda x: x.startswith("/"))
     paths = F.transform(links, lambda x: F.regexp_extract(x, r"(?s)^([^?#]*)", 1))
-    return bad.select(canonical(h, F.explode(F.concat(F.array(path(F.col(url))), paths))).alias("canonical")).distinct()
+    every = bad.select(h.alias("host"), F.explode(F.concat(F.array(path(F.col(url))), paths)).alias("path"))
+    return every.select(canonical(F.col("host"), F.col("path")).alias("canonical")).distinct()
 
 
 def judge(pages: DataFrame, listed: DataFrame, keep: list[str], rules: list[Rule] | None = None, url: str = "url") -> DataFrame:
