@@ -92,22 +92,26 @@ def dense_ids(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return df.join(ids.withColumn(out, (F.col(out) + 1).cast("int")), keys)
 
 
-def permutation_rank(units: DataFrame, draws: int, seed: int, unit: str) -> DataFrame:
-    """(draw, unit, rank): each draw shuffles the units by a hash, the same at any partitioning."""
-    every = units.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = Window.partitionBy("draw").orderBy(F.xxhash64(F.lit(seed), F.col("draw"), F.col(unit)), F.col(unit))
-    return every.withColumn("rank", F.row_number().over(order))
+def permutation_rank(units: DataFrame, draws: int, seed: int, unit: str, top: int | None = None) -> DataFrame:
+    """(draw, unit, rank[, chosen]): each draw shuffles the units by a hash, the same at any partitioning.
 
+    Ranks are the running count over (draw, hash) by range partitions, so no draw is sorted by one task; ``chosen``: the
+    first ``top`` of a draw."""
+    every = units.select(unit).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_h", F.xxhash64(F.lit(seed), F.col("draw"), F.col(unit)))
+    at = running_total(every, [F.col("draw"), F.col("_h"), F.col(unit)], F.lit(1), "_at")
+    first = at.groupBy("draw").agg(F.min("_at").alias("_first"))
+    out = at.join(first, "draw").select("draw", unit, (F.col("_at") - F.col("_first") + 1).cast("int").alias("rank"))
+    return out if top is None else out.withColumn("chosen", F.col("rank") <= top)
 
-def mutual_best(pairs: DataFrame, a: str, b: str, score: str) -> DataFrame:
-    """Pairs that are each other's best, without a tie on either side."""
+
+def mutual_best(pairs: DataFrame, a: str, b: str, score: str, tie: float = 1e-9) -> DataFrame:
+    """Pairs that are each other's best, without a tie on either side. Bests are aggregated and joined back."""
     top = pairs
     for side in (a, b):
-        w = Window.partitionBy(side)
-        top = top.withColumn(f"_r_{side}", F.rank().over(w.orderBy(F.col(score).desc())))
-        top = top.withColumn(f"_t_{side}", F.count_if(F.col(f"_r_{side}") == 1).over(w))
-    ok = (F.col(f"_r_{a}") == 1) & (F.col(f"_r_{b}") == 1) & (F.col(f"_t_{a}") == 1) & (F.col(f"_t_{b}") == 1)
-    return top.where(ok).select(*pairs.columns)
+        best = pairs.groupBy(side).agg(F.max(score).alias("_m"))
+        n = pairs.join(best, side).where(F.col(score) >= F.col("_m") - tie).groupBy(side).agg(F.max("_m").alias("_m"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+        top = top.join(n, side).where(F.col(score) >= F.col("_m") - tie).drop("_m")
+    return top.select(*pairs.columns)
 
 
 def exact_cuts(df: DataFrame, x: str, at: list[float]) -> DataFrame:

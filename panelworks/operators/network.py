@@ -1,11 +1,11 @@
-"""Graphs and road networks as iterated DataFrame joins. Every round is cut off by a written table."""
+"""Graphs of junctions and components as iterated DataFrame joins. Every round is cut off by a written table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from panelworks.operators import spatial as S
 from panelworks.session import saved
 
 
@@ -25,49 +25,6 @@ def adjacent(ends: DataFrame) -> DataFrame:
     return x.join(y, "node").where("a < b").select("a", "b").distinct()
 
 
-def corridor(ends: DataFrame, seeds: DataFrame, budget: float, most_rounds: int = 50) -> DataFrame:
-    """(seed, seg, remaining): segments reached from a seed segment within ``budget`` metres of path; the largest rest on entering.
-
-    The frontier keeps the best rest for each (seed, node) and goes on only from nodes that improved."""
-    start = seeds.select(F.col("seg").alias("seed")).join(ends, F.col("seed") == F.col("seg")).select("seed", "node", F.lit(float(budget)).alias("left"))
-    best = saved(start.groupBy("seed", "node").agg(F.max("left").alias("left")), "reach")
-    front, reached = best, seeds.select(F.col("seg").alias("seed"), "seg", F.lit(float(budget)).alias("remaining"))
-    for _ in range(most_rounds):
-        step = front.join(ends, "node")
-        found = step.groupBy("seed", "seg").agg(F.max("left").alias("remaining"))
-        reached = saved(reached.unionByName(found).groupBy("seed", "seg").agg(F.max("remaining").alias("remaining")), "reached")
-        nxt = step.select("seed", F.col("other").alias("node"), (F.col("left") - F.col("len")).alias("left")).where("left > 0").groupBy("seed", "node").agg(F.max("left").alias("left"))
-        old = best.select("seed", "node", F.col("left").alias("_old"))
-        front = saved(nxt.join(old, ["seed", "node"], "left").where("_old is null or left > _old").drop("_old"), "front")
-        if front.isEmpty():
-            return reached
-        best = saved(best.unionByName(front).groupBy("seed", "node").agg(F.max("left").alias("left")), "reach")
-    raise RuntimeError("the corridor did not end")
-
-
-def through_line(ends: DataFrame, seeds: DataFrame, budget: float, min_cos: float = 0.7, most_rounds: int = 50) -> DataFrame:
-    """(seed, segs): the road through each seed, followed both ways at each junction along the segment that turns least.
-
-    Never turns by more than ``min_cos`` allows, never against the seed's own heading, never twice over a segment."""
-    s = seeds.select(F.col("seg").alias("seed")).join(ends, F.col("seed") == F.col("seg"))
-    walk = s.select("seed", F.concat_ws("|", "seed", "node").alias("way"), "node", (-F.col("dx")).alias("hx"), (-F.col("dy")).alias("hy"), (-F.col("dx")).alias("sx"), (-F.col("dy")).alias("sy"), F.lit(float(budget)).alias("left"), F.array("seed").alias("path"))
-    done = None
-    for _ in range(most_rounds):
-        walk = saved(walk, "walk")
-        near = walk.join(ends.select("node", "seg", "other", "len", "dx", "dy"), "node").where(~F.array_contains("path", F.col("seg")))
-        cos = F.col("hx") * F.col("dx") + F.col("hy") * F.col("dy")
-        near = near.where((cos > min_cos) & (F.col("sx") * F.col("dx") + F.col("sy") * F.col("dy") > 0) & (F.col("left") > 0)).withColumn("_cos", cos)
-        best = near.withColumn("_r", F.row_number().over(Window.partitionBy("way").orderBy(F.desc("_cos"), "seg", "other"))).where("_r = 1")
-        step = best.select("seed", "way", F.col("other").alias("node"), F.col("dx").alias("hx"), F.col("dy").alias("hy"), "sx", "sy", (F.col("left") - F.col("len")).alias("left"), F.concat("path", F.array("seg")).alias("path"))
-        step = saved(step, "walk")
-        ended = walk.join(step.select("way"), "way", "left_anti").select("seed", "path")
-        done = saved(ended if done is None else done.unionByName(ended), "walked")
-        if step.isEmpty():
-            break
-        walk = step
-    return done.select("seed", F.explode("path").alias("seg")).groupBy("seed").agg(F.array_sort(F.collect_set("seg")).alias("segs"))
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(v, root): connected components, root the smallest vertex, by large-star and small-star rounds.
 
@@ -90,67 +47,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     raise RuntimeError("components did not settle")
 
 
-def chains(lines: DataFrame, line: str, join_m: float = 5.0, max_turn_cos: float = 0.866) -> DataFrame:
-    """(line, chain, position): pieces joined end to end, each end once, best first (gap, turn), no loops.
-
-    Candidate pairs of ends come from a grid join and their components from ``components``; the greedy choice only
-    matters inside a component, so each is ordered by one task."""
-    e = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(-1).alias("s")), F.struct(F.lit(1).alias("end"), F.col("x2").alias("x"), F.col("y2").alias("y"), F.lit(1).alias("s"))))
-    n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    ends = lines.where(n > 0).select(F.col(line).alias("line"), e.alias("e"), ((F.col("x2") - F.col("x1")) / n).alias("tx"), ((F.col("y2") - F.col("y1")) / n).alias("ty"))
-    ends = ends.select("line", "e.end", "e.x", "e.y", (F.col("tx") * F.col("e.s")).alias("ox"), (F.col("ty") * F.col("e.s")).alias("oy"))
-    cell = lambda c: F.floor(F.col(c) / join_m)
-    a = ends.withColumns({"cx": cell("x"), "cy": cell("y")})
-    b = ends.select(*[F.col(c).alias(f"{c}2") for c in ends.columns]).withColumns({"cx": F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: k + F.floor(F.col("x2") / join_m)))})
-    b = b.withColumn("cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: k + F.floor(F.col("y2") / join_m))))
-    gap = F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
-    turn = -(F.col("ox") * F.col("ox2") + F.col("oy") * F.col("oy2"))
-    pairs = a.join(b, ["cx", "cy"]).where("line < line2").withColumns({"gap": gap, "turn": turn}).where((F.col("gap") <= join_m) & (F.col("turn") >= max_turn_cos))
-    pairs = saved(pairs.select("line", "end", F.col("line2").alias("other"), F.col("end2").alias("other_end"), "gap", "turn"), "chain-pairs")
-    roots = components(pairs, "line", "other")
-    joined = pairs.join(roots, pairs["line"] == roots["v"]).drop("v")
-    out = joined.groupBy("root").applyInPandas(_greedy, "line long, chain long, position long")
-    alone = lines.select(F.col(line).alias("line")).join(out.select("line"), "line", "left_anti").select("line", F.col("line").alias("chain"), F.lit(0).cast("long").alias("position"))
-    return out.unionByName(alone)
-
-
-def _greedy(pairs):
-    """Joins ends in order of (gap, turn, ids) unless an end is taken or a loop would close; then numbers each chain."""
-    import pandas as pd
-
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while top.setdefault(x, x) != x:
-            x = top[x]
-        return x
-
-    used, links = set(), {}
-    order = pairs.assign(t=-pairs["turn"].round(6), g=pairs["gap"].round(6)).sort_values(["g", "t", "line", "other", "end", "other_end"])
-    for r in order.itertuples():
-        p, q = (r.line, r.end), (r.other, r.other_end)
-        if p in used or q in used or root(r.line) == root(r.other):
-            continue
-        used |= {p, q}
-        top[root(r.line)] = root(r.other)
-        links[p], links[q] = q, p
-    rows, seen = [], set()
-    members = sorted(set(pairs["line"]) | set(pairs["other"]))
-    for x in sorted(members, key=lambda m: ((m, 0) in links and (m, 1) in links, m)):
-        if x in seen:
-            continue
-        at, into, chain, k = x, 0 if (x, 0) not in links else 1, x, 0
-        while True:
-            seen.add(at)
-            rows.append((at, chain, k))
-            leave = links.get((at, 1 - into))
-            if leave is None or leave[0] in seen:
-                break
-            at, into, k = leave[0], leave[1], k + 1
-    return pd.DataFrame(rows, columns=["line", "chain", "position"])
-
+def side_votes(stubs: DataFrame, decided: DataFrame, group: str, reach: float) -> DataFrame:
+    """(stub, sign, n_votes): a stub's side from decided records of its group within ``reach``, if they all agree, else null.
 
-def side_votes(stubs: DataFrame, decided: DataFrame, group: str, near: Column) -> DataFrame:
-    """A stub's side from decided records of its group near it, if they all agree."""
-    v = stubs.join(decided, group).where(near).groupBy("stub").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi"), F.count(F.lit(1)).alias("n_votes"))
+    ``stubs``: (stub, group, x, y), ``decided``: (sibling, group, sign, x, y). Pairs come from a grid join, so a group as large
+    as the table costs no more than its near pairs."""
+    at = decided.select("sibling", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = S.within(stubs, at, reach, "stub", "sibling").join(stubs.select("stub", F.col(group).alias("_g")), "stub").join(decided.select("sibling", F.col(group).alias("_h"), "sign"), "sibling").where("_g = _h")
+    v = near.groupBy("stub").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi"), F.count(F.lit(1)).alias("n_votes"))
     return v.select("stub", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("sign"), "n_votes")

@@ -86,17 +86,31 @@ def nearest(points: DataFrame, segments: DataFrame, radius: float, most: float,
     return points.select(point_id).join(out, point_id, "left")
 
 
+def reference_line(walls: DataFrame, roads: DataFrame, wall: str, line_id: str, reach: float, min_cos: float = 0.8) -> DataFrame:
+    """(wall, line): the nearest line within ``reach`` that runs parallel to the wall (wall, x, y, wx, wy: its direction), else the nearest at all."""
+    near = within(walls, roads, reach, wall, line_id).join(walls.select(wall, "wx", "wy"), wall).join(roads.select(line_id, "x1", "y1", "x2", "y2"), line_id)
+    tx, ty = tangent()
+    near = near.where(F.abs(F.col("wx") * tx + F.col("wy") * ty) >= min_cos)
+    best = saved(near.groupBy(wall).agg(F.min_by(line_id, F.struct("dist", line_id)).alias(line_id)), "parallel")
+    rest = walls.join(best.select(wall), wall, "left_anti")
+    box = roads.agg(F.max(F.greatest(F.abs("x1"), F.abs("x2"), F.abs("y1"), F.abs("y2")))).first()[0] or 0.0
+    far = walls.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0.0
+    return best.unionByName(nearest(rest, roads, reach, max(reach, 3 * (box + far)), wall, line_id).select(wall, line_id))
+
+
 def in_polygon(points: DataFrame, edges: DataFrame, point_id: str, area_id: str, cell: float) -> DataFrame:
     """(point, area): even-odd test; ``edges`` are the directed sides of each area. The smallest area on overlap, null outside all.
 
-    An edge is dealt to the rows of cells it spans; a point asks only edges in its row, and only areas whose box reaches it."""
-    row = lambda c: F.floor(c / cell).cast("long")
-    box = edges.groupBy(area_id).agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x1"))
-    e = edges.join(box, area_id).withColumn("_r", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2")))))
-    p = points.select(point_id, "x", "y", row(F.col("y")).alias("_r"))
+    Areas are dealt to the grid cells that their boxes reach, and a point asks only areas whose box holds it; of those it
+    meets the sides in its own row of cells, so neither areas elsewhere on the map nor an outline's other rows are asked."""
+    row, col = lambda c: F.floor(c / cell).cast("long"), lambda c: F.floor(c / cell).cast("long")
+    box = edges.groupBy(area_id).agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x1"), F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y1"))
+    cells = box.withColumn("_r", F.explode(F.sequence(row(F.col("_y0")), row(F.col("_y1"))))).withColumn("_c", F.explode(F.sequence(col(F.col("_x0")), col(F.col("_x1")))))
+    p = points.select(point_id, "x", "y", row(F.col("y")).alias("_r"), col(F.col("x")).alias("_c"))
+    near = p.join(cells, ["_r", "_c"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))).select(point_id, area_id, "x", "y", "_r")
+    e = edges.where("y1 <> y2").withColumn("_r", F.explode(F.sequence(row(F.least("y1", "y2")), row(F.greatest("y1", "y2")))))
     crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    near = p.join(e, "_r").where(F.col("x").between(F.col("_x0"), F.col("_x1")) & (F.col("y1") != F.col("y2")))
-    inside = near.groupBy(point_id, area_id).agg((F.count_if(crosses) % 2 == 1).alias("_in")).where("_in")
+    inside = near.join(e, [area_id, "_r"]).groupBy(point_id, area_id).agg((F.count_if(crosses) % 2 == 1).alias("_in")).where("_in")
     return points.select(point_id).join(inside.groupBy(point_id).agg(F.min(area_id).alias(area_id)), point_id, "left")
 
 
@@ -148,36 +162,6 @@ def transverse_mercator(lon: Column, lat: Column, central: float, scale: float =
     return F.lit(east) + scale * a * easting, scale * a * north
 
 
-def along(segments: DataFrame, line_id: str, step: float) -> DataFrame:
-    """(line_id, i, n, x, y): points every ``step`` metres or closer along each segment, both ends included."""
-    n = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / step), F.lit(1)).cast("int")
-    p = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / F.col("n")
-    return p.select(line_id, "i", "n", at("x1", "x2").alias("x"), at("y1", "y2").alias("y"))
-
-
-def beside(lines: DataFrame, others: DataFrame, line_id: str, other_id: str, reach: float, step: float = 5.0, min_cos: float = 0.8) -> DataFrame:
-    """(line, other, sign, share, dist): other lines that run along a line within ``reach`` and stay on one side of it.
-
-    Sampled every ``step`` metres; share is the part of the other line inside the reach."""
-    p = along(others.select(F.col(other_id).alias("_o"), "x1", "y1", "x2", "y2"), "_o", step).withColumn("_pid", F.concat_ws("/", "_o", "i"))
-    near = within(p, lines, reach, "_pid", line_id).join(p, "_pid").join(lines, line_id)
-    s = near.withColumn("_side", side()).groupBy(line_id, "_o").agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"), (F.count(F.lit(1)) / (F.max("n") + 1)).alias("share"), F.avg("dist").alias("dist"))
-    (ax, ay), (bx, by) = tangent("a"), tangent("b")
-    rename = lambda df, p_, key, new: df.select(F.col(key).alias(new), *[F.col(c).alias(f"{p_}{c}") for c in ("x1", "y1", "x2", "y2")])
-    s = s.where("_lo = _hi and _lo <> 0").join(rename(lines, "a", line_id, line_id), line_id).join(rename(others, "b", other_id, "_o"), "_o").where(F.abs(ax * bx + ay * by) >= min_cos)
-    return s.select(line_id, F.col("_o").alias(other_id), F.col("_lo").alias("sign"), "share", "dist")
-
-
-def decided_side(evidence: list[tuple[str, Column]]) -> tuple[Column, Column]:
-    """(sign, method) by the first evidence that has one; 'unknown' where none has."""
-    sign = F.coalesce(*[c for _, c in evidence])
-    method = None
-    for name, c in evidence:
-        method = F.when(c.isNotNull(), name) if method is None else method.when(c.isNotNull(), name)
-    return sign, method.otherwise("unknown")
-
-
 def longest_part(parts: DataFrame, line_id: str, part: str) -> DataFrame:
     """The longest part of each multi-part line, the lowest number on ties; parts are rows of segments."""
     n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))

@@ -292,7 +292,7 @@ def w12(spark, d):
 
 @query("w13_permutation_rank")
 def w13(spark, d):
-    return A.permutation_rank(t(spark, d, "customer").select("c_custkey"), 20, 7, "c_custkey")
+    return A.permutation_rank(t(spark, d, "customer"), 20, 7, "c_custkey", top=10)
 
 
 @query("t01_ordered_output", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance FROM customer ORDER BY balance NULLS LAST, c_custkey")

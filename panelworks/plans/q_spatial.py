@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from panelworks.functions import columns as C
 from panelworks.operators import protection as P
+from panelworks.operators import roads as R
 from panelworks.operators import spatial as S
 from panelworks.plans.registry import query
 from panelworks.session import saved
@@ -62,10 +63,18 @@ def g05(spark, d):
     return points(spark, d).select("vec_id", C.haversine_m(F.lit(40.0), F.lit(-80.0), F.col("y") / 10, F.col("x") / 10).alias("metres"))
 
 
-@query("g06_length_midpoint", f"WITH p AS ({PT}), l AS (SELECT vec_id // 10 AS line_id, sum(sqrt(pow(x - px, 2) + pow(y - py, 2))) AS len FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM p WINDOW w AS (PARTITION BY vec_id // 10 ORDER BY vec_id)) WHERE px IS NOT NULL GROUP BY 1) SELECT line_id, round(len, 3) AS length_m FROM l")
+@query("g06_length_midpoint", f"""WITH s AS (SELECT vec_id // 10 AS line_id, vec_id AS seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ({PT}) WINDOW w AS (PARTITION BY vec_id // 10 ORDER BY vec_id)),
+  m AS (SELECT *, {LEN} AS len, coalesce(sum({LEN}) OVER (PARTITION BY line_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum, sum({LEN}) OVER (PARTITION BY line_id) AS total FROM s WHERE x2 IS NOT NULL)
+  SELECT line_id, round(max(total), 3) AS length_m, round(arg_min(x1 + (x2 - x1) * (total / 2 - cum) / len, seq) FILTER (WHERE total / 2 BETWEEN cum AND cum + len), 3) AS mid_x, round(arg_min(y1 + (y2 - y1) * (total / 2 - cum) / len, seq) FILTER (WHERE total / 2 BETWEEN cum AND cum + len), 3) AS mid_y,
+  count(*) FILTER (WHERE cum + len > 0.25 * total AND cum < 0.6 * total) AS n_part, round(sum(greatest(0, least(cum + len, 0.6 * total) - greatest(cum, 0.25 * total))), 3) AS part_m FROM m GROUP BY 1""")
 def g06(spark, d):
-    p = points(spark, d).groupBy(F.floor(F.col("vec_id") / 10).alias("line_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y"))).alias("coords"))
-    return S.segments_of(p, "line_id").groupBy("line_id").agg(F.round(F.sum("seg_len"), 3).alias("length_m"))
+    p = points(spark, d)
+    line, nxt = F.floor(F.col("vec_id") / 10), p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    s = p.where("vec_id % 10 <> 9").join(nxt, "vec_id").select(line.alias("line_id"), F.col("vec_id").alias("seq"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+    size = F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    part = P.substring(s, "line_id", F.col("total") * 0.25, F.col("total") * 0.6).groupBy("line_id").agg(F.count(F.lit(1)).alias("n_part"), F.round(size, 3).alias("part_m"))
+    mid = P.point_at(s, "line_id", 0.5).select("line_id", F.round("x", 3).alias("mid_x"), F.round("y", 3).alias("mid_y"))
+    return s.groupBy("line_id").agg(F.round(size, 3).alias("length_m")).join(mid, "line_id").join(part, "line_id")
 
 
 @query("g07_within_distance", f"SELECT vec_id, line_id, round({DIST}, 4) AS dist FROM ({PT}) p, ({SG}) s WHERE {DIST} <= 12")
@@ -132,15 +141,15 @@ def g13(spark, d):
     return points(spark, d).select("vec_id", S.cell_id(at("x"), at("y")).alias("cell_id"))
 
 
-@query("g14_reference_line")
+WALLS = f"(SELECT line_id AS wall, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, (x2 - x1) / {LEN} AS wx, (y2 - y1) / {LEN} AS wy FROM ({SG}) WHERE line_id % 2 = 1)"
+
+
+@query("g14_reference_line", f"""SELECT wall, arg_min(line_id, (CASE WHEN dist <= 8 AND cos >= 0.8 THEN 0 ELSE 1 END, dist, line_id)) AS road FROM (SELECT wall, line_id, {DIST} AS dist, abs(wx * (x2 - x1) / {LEN} + wy * (y2 - y1) / {LEN}) AS cos FROM {WALLS} p, (SELECT * FROM ({SG}) WHERE line_id % 2 = 0) s) GROUP BY 1""")
 def g14(spark, d):
-    """The nearest line that runs parallel within 100 m of each wall, else the nearest at all."""
-    walls = lines(spark, d).where("line_id % 2 = 1").select(F.col("line_id").alias("wall"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), *[t.alias(n) for n, t in zip(("wx", "wy"), S.tangent())])
-    roads = lines(spark, d).where("line_id % 2 = 0")
-    near = S.within(walls, roads, 100.0, "wall", "line_id").join(walls, "wall").join(roads, "line_id")
-    tx, ty = S.tangent()
-    cos = F.abs(F.col("wx") * tx + F.col("wy") * ty)
-    return near.groupBy("wall").agg(F.min_by("line_id", F.struct((cos < 0.8).alias("far"), F.col("dist"), F.col("line_id"))).alias("road"))
+    """The nearest line that runs parallel within 8 m of each wall, else the nearest at all."""
+    s = lines(spark, d)
+    walls = s.where("line_id % 2 = 1").select(F.col("line_id").alias("wall"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), *[v.alias(n) for n, v in zip(("wx", "wy"), S.tangent())])
+    return S.reference_line(walls, s.where("line_id % 2 = 0"), "wall", "line_id", 8.0).select("wall", F.col("line_id").alias("road"))
 
 
 @query("g15_compass_side", f"""WITH l AS (SELECT *, CASE line_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE -1.0 END AS e, CASE line_id % 4 WHEN 0 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END AS n FROM ({SG}))
@@ -216,15 +225,19 @@ def g22(spark, d):
     return own.unionByName(z.groupBy("status").agg((F.count_distinct("vec_id") * 36).alias("area_m2")).select(F.lit(-1).cast("long").alias("line_id"), "status", "area_m2"))
 
 
-@query("g24_co_located")
+def pieces(spark, d, scale):
+    """The lines as (line, seq, ...), scaled."""
+    return lines(spark, d).select(F.col("line_id").alias("line"), F.lit(0).alias("seq"), *[(F.col(c) * scale).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+SMALL = f"(SELECT line_id, x1 * 0.2 AS x1, y1 * 0.2 AS y1, x2 * 0.2 AS x2, y2 * 0.2 AS y2 FROM ({SG}))"
+
+
+@query("g24_co_located", f"""WITH l AS (SELECT *, {LEN} AS len FROM {SMALL}), q AS (SELECT line_id AS b, len, ceil(len) AS n, unnest(range(0, CAST(ceil(len) AS BIGINT))) AS i, x1 AS a1, y1 AS b1, x2 AS a2, y2 AS b2 FROM l WHERE len >= 1),
+  p AS (SELECT b, len AS blen, len / n AS piece, a1 + (a2 - a1) * (i + 0.5) / n AS x, b1 + (b2 - b1) * (i + 0.5) / n AS y FROM q)
+  SELECT s.line_id AS a, b FROM p JOIN l s ON s.line_id < b AND s.len >= 1 AND {DIST} <= 5 GROUP BY 1, 2, s.len, blen HAVING sum(piece) >= 0.5 * least(s.len, blen)""")
 def g24(spark, d):
-    """Pairs of lines within 5 m of each other over half of the shorter one, by points every metre along it."""
-    s = lines(spark, d)
-    n = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), F.lit(1)).cast("int")
-    p = s.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).select(F.col("line_id").alias("a"), "n", F.concat_ws("/", "line_id", "i").alias("pid"), (F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("i") / F.col("n")).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("i") / F.col("n")).alias("y"))
-    hits = S.within(p, s, 5.0, "pid", "line_id").join(p.select("pid", "a", "n"), "pid").where("a <> line_id")
-    share = hits.groupBy("a", "line_id").agg((F.count(F.lit(1)) / (F.max("n") + 1)).alias("share"))
-    return share.where("share >= 0.3").select(F.least("a", "line_id").alias("a"), F.greatest("a", "line_id").alias("b")).distinct()
+    return R.co_located(pieces(spark, d, 0.2), within_m=5.0, step=1.0)
 
 
 @query("g26_area_rates", f"SELECT area_id // 5 AS parent, count(*) AS n FROM {IN} WHERE area_id IS NOT NULL GROUP BY 1")
@@ -239,38 +252,57 @@ def g27(spark, d):
     return t(spark, d, "part").select("p_partkey", C.position_km(text).alias("metres"))
 
 
-@query("g29_metric_plane")
+KRUEGER = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 if k == 1 else 13 * n**2 / 48 - 3 * n**3 / 5 if k == 2 else 61 * n**3 / 240 for n in [1 / (2 * 298.257222101 - 1)] for k in (1, 2, 3)]
+FLAT = 1 / 298.257222101
+RADIUS = 6378137.0 / (1 + 1 / (2 * 298.257222101 - 1)) * (1 + (1 / (2 * 298.257222101 - 1)) ** 2 / 4 + (1 / (2 * 298.257222101 - 1)) ** 4 / 64)
+ECC = (2 * FLAT - FLAT * FLAT) ** 0.5
+
+
+@query("g29_metric_plane", f"""WITH r AS (SELECT vec_id, radians(60 + y / 100) AS phi, radians(x / 100) AS lam FROM ({PT})), t AS (SELECT *, sinh(atanh(sin(phi)) - {ECC!r} * atanh({ECC!r} * sin(phi))) AS t FROM r), u AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+  SELECT vec_id, round(500000.0 + 0.9996::DOUBLE * {RADIUS!r}::DOUBLE * (eta + {" + ".join(f"{c!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, c in enumerate(KRUEGER, 1))}), 3) AS easting, round(0.9996::DOUBLE * {RADIUS!r}::DOUBLE * (xi + {" + ".join(f"{c!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, c in enumerate(KRUEGER, 1))}), 3) AS northing FROM u""")
 def g29(spark, d):
     e, n = S.transverse_mercator(F.lit(15.0) + F.col("x") / 100, F.lit(60.0) + F.col("y") / 100, 15.0)
     return points(spark, d).select("vec_id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
 
 
+def beside_roads(spark, d):
+    """(roads, barriers, attributes): a barrier beside the middle of every second road, on the line or a few metres off it."""
+    roads = pieces(spark, d, 20.0)
+    own = roads.where("line % 2 = 0").withColumns(dict(zip(("tx", "ty"), S.tangent())))
+    off = (F.col("line") % 3) * 2.0
+    at = lambda a, b, k, n: F.col(a) + (F.col(b) - F.col(a)) * k + n * off
+    barriers = own.select(F.col("line").alias("seed"), "seq", at("x1", "x2", 0.45, -F.col("ty")).alias("x1"), at("y1", "y2", 0.45, F.col("tx")).alias("y1"), at("x1", "x2", 0.55, -F.col("ty")).alias("x2"), at("y1", "y2", 0.55, F.col("tx")).alias("y2"))
+    mid = lambda a, b, n: F.when(F.col("line") % 11 == 0, (F.col(a) + F.col(b)) / 2 + n * 9.0)
+    attributes = own.select(F.col("line").alias("seed"), "line", mid("x1", "x2", F.col("ty")).alias("manual_x"), mid("y1", "y2", -F.col("tx")).alias("manual_y"), (F.col("line") % 13 == 0).alias("manual_both"), (F.col("line") % 7 == 0).alias("both_sides"),
+                            F.lit(None).cast("double").alias("recorded_m"), F.lit(None).cast("string").alias("group"))
+    return roads, barriers, attributes
+
+
 @query("g16_side_decision")
 def g16(spark, d):
-    """Manual sign, then a wall on one side, then a parallel neighbour, else unknown."""
-    a = lines(spark, d).where("line_id % 2 = 0")
-    walls, roads = lines(spark, d).where("line_id % 4 = 1"), lines(spark, d).where("line_id % 4 = 3")
-    one = lambda df, name: df.groupBy("line_id").agg(F.when(F.min("sign") == F.max("sign"), F.min("sign")).otherwise(0).alias(name))
-    wall = one(S.beside(a, walls.withColumnRenamed("line_id", "o"), "line_id", "o", 60.0).where("share >= 0.5"), "wall")
-    road = one(S.beside(a, roads.withColumnRenamed("line_id", "o"), "line_id", "o", 80.0), "road")
-    e = a.join(wall, "line_id", "left").join(road, "line_id", "left")
-    sign, method = S.decided_side([("manual", F.when(F.col("line_id") % 11 == 0, 1)), ("wall", F.col("wall")), ("road", -F.col("road"))])
-    return e.select("line_id", sign.alias("sign"), method.alias("method"))
+    """Every evidence in order, walls included: reference line, stretch and side of each barrier."""
+    roads, barriers, attributes = beside_roads(spark, d)
+    walls = barriers.where("seed % 5 = 0 and seed % 4 = 0").select(F.col("seed").alias("wall"), "seq", *[(F.col(c) + 6.0).alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(0).alias("rank"))
+    refs, _ = R.side_references(barriers, attributes, roads, "road", walls)
+    return refs.withColumns({"span_start": F.round("span_start", 3), "span_end": F.round("span_end", 3)})
 
 
 @query("g17_wall_beside")
 def g17(spark, d):
-    a, walls = lines(spark, d).where("line_id % 2 = 0"), lines(spark, d).where("line_id % 2 = 1").withColumnRenamed("line_id", "wall")
-    b = S.beside(a, walls, "line_id", "wall", 40.0).where("share >= 0.25")
-    best = b.groupBy("line_id", "sign").agg(F.min_by("wall", F.struct(-F.col("share"), F.col("dist"), F.col("wall"))).alias("wall"))
-    return best.groupBy("line_id").agg(F.when(F.count(F.lit(1)) > 1, 0).otherwise(F.max("sign")).alias("sign"), F.min("wall").alias("wall"))
+    roads, barriers, _ = beside_roads(spark, d)
+    walls = barriers.select(F.col("seed").alias("wall"), "seq", *[(F.col(c) + 6.0).alias(c) for c in ("x1", "y1", "x2", "y2")], (F.col("seed") % 3).alias("rank"))
+    own = roads.where("line % 2 = 0").withColumnRenamed("line", "seed")
+    return R.walls_beside(barriers, walls, own, P.point_at(barriers, "seed", 0.5))
 
 
 @query("g18_parallel_neighbours")
 def g18(spark, d):
-    a = lines(spark, d)
-    b = S.beside(a, a.withColumnRenamed("line_id", "other"), "line_id", "other", 80.0, 10.0).where("line_id <> other and share >= 0.5")
-    return b.groupBy("line_id", "sign").agg(F.min_by("other", F.struct("dist", "other")).alias("other"))
+    """Roads that run alongside each road, for its middle."""
+    roads = pieces(spark, d, 20.0)
+    twin = roads.where("line % 10 = 0").withColumns({"line": -1 - F.col("line"), **{c: F.col(c) + 25.0 for c in ("x1", "y1", "x2", "y2")}})
+    net = roads.unionByName(twin.select(*roads.columns))
+    own = roads.withColumnRenamed("line", "seed")
+    return R.parallel_neighbours(net, P.point_at(own, "seed", 0.5), own, roads.select(F.col("line").alias("seed"), "line")).select("seed", "line", F.round("lateral_m", 3).alias("lateral_m"), "sign")
 
 
 @query("g23_zone_agreement", f"""WITH p AS (SELECT i, j, line_id, coalesce({PROT}, false) AS p FROM {ON_GRID}), q AS (SELECT i, j, line_id, coalesce({PROT}, false) AS q FROM {ON_GRID.replace("i * 6 + 3.0::DOUBLE", "i * 6 + 4.3::DOUBLE").replace("j * 6 + 3.0::DOUBLE", "j * 6 + 2.1::DOUBLE")})

@@ -98,21 +98,6 @@ def test_transverse_mercator_known_point(spark):
     assert abs(r["e"] - 500000) < 1e-6 and abs(r["n"] - 6651411.190) < 0.01
 
 
-def test_through_line_takes_the_straight_way(spark):
-    seg = [(1, 0.0, 0.0, 100.0, 0.0), (2, 100.0, 0.0, 200.0, 5.0), (3, 100.0, 0.0, 100.0, 90.0), (4, 200.0, 5.0, 300.0, 0.0)]
-    ends = N.junctions(spark.createDataFrame(seg, "s long, x1 double, y1 double, x2 double, y2 double"), "s")
-    got = N.through_line(ends, spark.createDataFrame([(1,)], "seg long"), 1000.0).first()
-    assert got["segs"] == [1, 2, 4]
-    reach = {r["seg"]: r["remaining"] for r in N.corridor(ends, spark.createDataFrame([(1,)], "seg long"), 150.0).collect()}
-    assert set(reach) == {1, 2, 3, 4} and reach[3] == 150.0
-
-
-def test_chains_use_each_end_once(spark):
-    seg = [(1, 0.0, 0.0, 10.0, 0.0), (2, 11.0, 0.0, 20.0, 0.0), (3, 12.0, 0.5, 25.0, 0.5), (4, 21.0, 0.0, 30.0, 0.0), (9, 500.0, 0.0, 510.0, 0.0)]
-    got = {r["line"]: (r["chain"], r["position"]) for r in N.chains(spark.createDataFrame(seg, "s long, x1 double, y1 double, x2 double, y2 double"), "s", 3.0).collect()}
-    assert got == {1: (1, 0), 2: (1, 1), 4: (1, 2), 3: (3, 0), 9: (9, 0)}
-
-
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9)], "a long, b long")
     assert rows(N.components(e)) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
