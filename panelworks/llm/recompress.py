@@ -280,15 +280,20 @@ SPANS = "row long, start int, words int, src_row long, src_start int"
 
 
 def joined_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, [(place, src_row, src_place)]) to spans: consecutive windows whose sources are consecutive too are one."""
+    """(row, [(place, src_row, src_place)]) to spans: consecutive windows whose sources are consecutive too are one.
+
+    A window may come as known and under its name; one source is enough."""
     for batch in batches:
         lists = batch.column(1)
         if not batch.num_rows:
             continue
         of = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
         place, src, at = (lists.flatten().field(k).to_numpy() for k in range(3))
-        order = np.lexsort((place, of))
+        order = np.lexsort((at, src, place, of))
         of, place, src, at = of[order], place[order].astype(np.int64), src[order], at[order].astype(np.int64)
+        one = np.ones(len(of), bool)
+        one[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1])
+        of, place, src, at = of[one], place[one], src[one], at[one]
         new = np.ones(len(of), bool)
         new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1) | (src[1:] != src[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
@@ -340,8 +345,7 @@ def repeated_spans(texts: DataFrame, seed: int, bits: int) -> DataFrame:
     known = F.col("src_row").isNotNull()
     names = names.withColumn("_lo", least).where(known | (F.col("_lo.doc") < F.col("doc")))
     found = F.struct("place", F.coalesce("src_row", "_lo.row").alias("src_row"), F.coalesce("src_place", "_lo.place").alias("src_place"))
-    # a window may come as known and under its name; one source is enough
-    found = names.groupBy("row", "place").agg(F.min(found).alias("f")).groupBy("row").agg(F.collect_list("f").alias("found"))
+    found = names.groupBy("row").agg(F.collect_list(found).alias("found"))
     return saved(found.mapInArrow(joined_windows, SPANS), "spans")
 
 
