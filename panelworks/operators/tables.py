@@ -67,3 +67,40 @@ def order_windows(orders: DataFrame, key: str = "o_custkey", date: str = "o_orde
 
 def current_rows(df: DataFrame, valid_to: str = "valid_to") -> DataFrame:
     return df.where(F.col(valid_to) == OPEN)
+
+
+def group_apply(df: DataFrame, keys: list[str], order: list[str], function, schema: str) -> DataFrame:
+    """A Python function (pandas frame of one group, in order) for each group. For groups that are small by nature, like one
+    unit's history; larger ones belong into aggregates."""
+    return df.groupBy(*keys).applyInPandas(lambda g: function(g.sort_values(order)), schema)
+
+
+def trend(y: str):
+    """For ``group_apply``: the least-squares line of ``y`` over the group's order, as column ``trend``."""
+
+    def fit(g):
+        import numpy as np
+
+        k, v = np.arange(len(g), dtype=float), g[y].to_numpy(float)
+        spread = ((k - k.mean()) ** 2).sum()
+        slope = ((k - k.mean()) * (v - v.mean())).sum() / spread if spread else 0.0
+        out = g.assign(trend=v.mean() + slope * (k - k.mean()))
+        return out[[c for c in out.columns if c not in (y, "o_orderdate")]]
+
+    return fit
+
+
+@F.udtf(returnType="easting: long, northing: long")
+class tiles:  # noqa: N801
+    """Lower left corners of the grid cells of ``resolution`` metres that a box touches."""
+
+    def eval(self, x1: float, y1: float, x2: float, y2: float, resolution: int):
+        for i in range(int(x1 // resolution), int(x2 // resolution) + 1):
+            for j in range(int(y1 // resolution), int(y2 // resolution) + 1):
+                yield i * resolution, j * resolution
+
+
+def lateral(df: DataFrame, function, columns: list[str], constants: dict[str, int]) -> DataFrame:
+    """Every row of ``df`` with each row that the table function gives for it."""
+    args = [F.col(c).outer() for c in columns] + [F.lit(v) for v in constants.values()]
+    return df.lateralJoin(function(*args))

@@ -12,6 +12,7 @@ from panelworks.plans.registry import query
 from panelworks.session import table as t
 from panelworks.session import work_dir
 from panelworks.sources import readers as R
+from panelworks.sources import registers as G
 from panelworks.streaming import feeds
 
 LI = "l_orderkey, l_linenumber, l_partkey"
@@ -35,11 +36,11 @@ def s02(spark, d):
     return R.yearly_union(spark, f"{base}/orders_*").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s03_file_name_parts", "SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1, 2")
+@query("s03_file_name_parts", "SELECT CAST(year(o_orderdate) AS VARCHAR) AS year, o_orderstatus AS status, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1996, 1998) GROUP BY 1, 2")
 def s03(spark, d):
     base = new(spark, "named")
-    t(spark, d, "orders").select("o_orderkey", F.concat_ws("_", F.lit("T"), F.year("o_orderdate"), "o_orderstatus").alias("name")).write.partitionBy("name").parquet(base)
-    df = R.with_file_parts(spark.read.parquet(base), r"name=T_(\d{4})_(\w)", ["year", "status"])
+    t(spark, d, "orders").select("o_orderkey", F.concat_ws("_", F.lit("T"), F.year("o_orderdate"), "o_orderstatus").alias("name")).write.partitionBy("name").csv(base, header=True)
+    df = R.named_files(spark, base, "name=T_{year}_*/*.csv", r"name=T_(\d{4})_(\w)", ["year", "status"], "o_orderkey long", [1996, 1998])
     return df.groupBy("year", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -88,12 +89,19 @@ def s08(spark, d):
     return out.select("sheet", (F.col("row") - 10).alias("row"), "id", "segment")
 
 
-@query("s09_nested_register", "SELECT n_nationkey AS unit, CAST(count(*) FILTER (WHERE c_acctbal > 0) AS INTEGER) AS n_positive, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS kinds, bool_or(c_mktsegment = 'MACHINERY') AS has_machinery FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+@query("s09_nested_register", """SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN 'street ' || c_nationkey END AS street, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS easting, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS owner_number,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'gr' ELSE 'fsk,gr' END AS school_types, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 9 = 3 END AS ak4 FROM customer""")
 def s09(spark, d):
-    c = t(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(F.struct("c_mktsegment", "c_acctbal")).alias("members"))).alias("js"))
-    j = c.select(F.col("c_nationkey").alias("unit"), F.from_json("js", "members array<struct<c_mktsegment:string,c_acctbal:double>>").alias("r"))
-    kinds = F.array_sort(F.array_distinct("r.members.c_mktsegment"))
-    return j.select("unit", F.size(F.filter("r.members", lambda m: m["c_acctbal"] > 0)).alias("n_positive"), F.array_join(kinds, ",").alias("kinds"), F.array_contains(kinds, "MACHINERY").alias("has_machinery"))
+    k, js = F.col("c_custkey"), F.to_json
+    organizer = F.struct(F.lit("organizer").alias("type"), F.col("c_nationkey").cast("string").alias("organizationNumber"))
+    other = F.struct(F.lit("other").alias("type"), F.lit("0").alias("organizationNumber"))
+    included = F.when(k % 5 == 0, js(F.array(other))).when(k % 2 == 0, js(organizer)).otherwise(js(F.array(other, organizer)))
+    address = lambda kind, street: F.struct(F.lit(kind).alias("type"), street.alias("streetAddress"), F.struct(F.regexp_replace(F.col("c_acctbal").cast("string"), r"\.", ",").alias("coordinateSweRefE")).alias("geoCoordinates"))
+    box, visit = address("BOX", F.lit("box")), address("BESOKSADRESS", F.concat(F.lit("street "), F.col("c_nationkey")))
+    attributes = F.struct(F.col("c_name").alias("displayName"), F.when(k % 4 == 0, F.array(box)).otherwise(F.array(box, visit, box)).alias("addresses"), F.when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("gr"), F.lit("gr"))).otherwise(F.array(F.lit("gr"), F.lit("fsk"))).alias("schoolTypes"),
+                          F.when(k % 3 != 0, F.struct(F.struct(F.array((k % 9 + 1).cast("string")).alias("grades")).alias("gr"))).alias("schoolTypeProperties"))
+    text = F.concat(F.lit('{"included":'), included, F.lit(',"data":'), js(F.struct(k.cast("string").alias("schoolUnitCode"), attributes.alias("attributes"))), F.lit("}"))
+    return G.register_rows(t(spark, d, "customer").select(text.alias("value"))).select("code", "name", "street", "easting", "owner_number", "school_types", "ak4")
 
 
 @query("s10_cube_rows", "SELECT l_suppkey, l_returnflag AS flag_code, l_linestatus AS status_code, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3")
@@ -104,12 +112,15 @@ def s10(spark, d):
     return R.cube_rows(cubes, [("flag", flags), ("status", states)]).where("value is not null").drop("status")
 
 
-@query("s11_map_features", "SELECT l_orderkey AS osm_id, CAST(count(*) AS INTEGER) AS n_nodes FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
+@query("s11_map_features", """WITH w AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_linenumber > 1) AS m FROM lineitem GROUP BY 1) SELECT l_orderkey AS osm_id, CASE WHEN l_orderkey % 2 = 0 AND m >= 2 THEN 'noise_barrier' ELSE 'untyped_wall' END AS wall_type, CASE WHEN l_orderkey % 2 = 0 AND m >= 2 THEN 'wood' END AS material, CAST(CASE WHEN l_orderkey % 2 = 0 AND m >= 2 THEN m ELSE n END AS INTEGER) AS n_nodes FROM w WHERE n >= 2""")
 def s11(spark, d):
-    w = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.to_json(F.struct(F.first("l_orderkey").alias("id"), F.collect_list(F.struct(F.col("l_quantity").alias("lon"), F.col("l_tax").alias("lat"))).alias("geometry"))).alias("value"))
-    e = w.select(F.from_json("value", "id long, geometry array<struct<lon:double,lat:double>>").alias("e")).where(F.size("e.geometry") >= 2)
-    lines = e.select(F.col("e.id").alias("osm_id"), F.transform("e.geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("coords"))
-    return lines.select("osm_id", F.size("coords").alias("n_nodes"))
+    node = F.struct(F.col("l_quantity").alias("lon"), F.col("l_tax").alias("lat"))
+    li = t(spark, d, "lineitem")
+    way = lambda rows, tags: rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(node).alias("geometry")).select(F.struct(F.lit("way").alias("type"), "id", tags.alias("tags"), "geometry").alias("e"))
+    answer = lambda rows, kind: rows.select(F.lit(kind).alias("wall_type"), F.to_json(F.struct(F.array("e").alias("elements"))).alias("value"))
+    untyped = answer(way(li, F.create_map(F.lit("barrier"), F.lit("wall"))), "untyped_wall")
+    typed = answer(way(li.where("l_orderkey % 2 = 0 and l_linenumber > 1"), F.create_map(F.lit("material"), F.lit("wood"))), "noise_barrier")
+    return G.map_ways(untyped.unionByName(typed), ["noise_barrier", "untyped_wall"]).select("osm_id", "wall_type", "material", F.size("coords").alias("n_nodes"))
 
 
 @query("s12_feature_pages", "SELECT c_custkey % 300 AS code, min(c_custkey) AS k FROM customer GROUP BY 1")
@@ -118,12 +129,14 @@ def s12(spark, d):
     return R.features(pages, "features", "code")
 
 
-@query("s13_record_lists", "SELECT conv_id, string_agg(role, ' | ' ORDER BY turn) AS route, count(*) AS n FROM conversations GROUP BY 1")
+@query("s13_record_lists", """SELECT conv_id, string_agg(role, ' | ' ORDER BY turn) AS FromLocation, CASE WHEN count(*) > 2 THEN '["x"]' END AS Deviation FROM conversations GROUP BY 1""")
 def s13(spark, d):
-    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("turn", "role")).alias("items"))).alias("js"))
-    r = c.select("conv_id", F.from_json("js", "items array<struct<turn:long,role:string>>").alias("r"))
-    ordered = F.sort_array("r.items")
-    return r.select("conv_id", F.array_join(F.transform(ordered, lambda x: x["role"]), " | ").alias("route"), F.size("r.items").cast("long").alias("n"))
+    stop = F.struct(F.col("role").alias("LocationName"), F.col("turn").cast("int").alias("Order"))
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(stop).alias("stops"), F.count(F.lit(1)).alias("n"))
+    route = F.when(F.col("n") == 1, F.to_json(F.col("stops")[0])).otherwise(F.to_json("stops"))
+    item = F.concat(F.lit('{"conv_id":'), F.col("conv_id"), F.lit(',"FromLocation":'), route, F.lit(',"Deviation":'), F.when(F.col("n") > 2, '["x"]').otherwise("[]"), F.lit("}"))
+    answers = c.select(F.concat(F.lit('{"RESPONSE":{"RESULT":[{"TrainAnnouncement":['), item, F.lit("]}]}}")).alias("value"))
+    return G.record_lists(answers, "TrainAnnouncement", {"conv_id": "long"}, ["FromLocation"], ["Deviation"])
 
 
 @query("s14_torn_lines", "SELECT count(*) FILTER (WHERE c_custkey % 10 <> 0) AS good, count(*) FILTER (WHERE c_custkey % 10 = 0) AS torn FROM customer")
@@ -135,11 +148,12 @@ def s14(spark, d):
     return lines.agg(F.count_if(F.col("_bad").isNull() & F.col("c_custkey").isNotNull()).alias("good"), F.count_if(F.col("_bad").isNotNull()).alias("torn"))
 
 
-@query("s15_validity_union", "SELECT o_custkey, count(*) AS n, count(CASE WHEN o_totalprice < 400000 THEN 1 END) AS known FROM orders GROUP BY 1")
+@query("s15_validity_union", "SELECT o_custkey AS unit, count(*) AS n, count(CASE WHEN o_orderkey % 5 <> 0 THEN 1 END) AS known, sum(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END) AS total FROM orders GROUP BY 1")
 def s15(spark, d):
-    w = T.order_windows(t(spark, d, "orders"))
-    both = w.where("o_orderkey % 3 <> 0").unionByName(w.where("o_orderkey % 2 = 0")).unionByName(w.where("o_orderkey % 6 = 3")).dropDuplicates(["o_custkey", "o_orderkey", "valid_from", "valid_to"])
-    return both.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_totalprice") < 400000, 1)).alias("known"))
+    w = T.order_windows(t(spark, d, "orders")).select(F.col("o_custkey").alias("OBJECT"), F.col("o_orderkey").alias("ID"), "valid_from", "valid_to", F.when(F.col("o_orderkey") % 5 == 0, 999998).otherwise(F.col("o_orderkey")).alias("ADT"))
+    orders = [w.where(f"ID % {m} = {r}").withColumn("geometry", F.lit(f"line {m}")) for m, r in ((3, 0), (3, 1), (3, 2), (2, 0))]
+    out = G.dated_union(orders, {"OBJECT": "unit", "ID": "id", "valid_from": "valid_from", "valid_to": "valid_to", "ADT": "adt"}, "geometry", 999998, ["adt"])
+    return out.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count("adt").alias("known"), F.sum("adt").alias("total"))
 
 
 @query("s16_sink_report", "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_units, round(max(o_totalprice), 2) AS top FROM orders")
@@ -147,12 +161,10 @@ def s16(spark, d):
     return R.sink_with_report(t(spark, d, "orders"), new(spark, "sink"), {"n_rows": F.count(F.lit(1)), "n_units": F.count_distinct("o_custkey"), "top": F.round(F.max("o_totalprice"), 2)})
 
 
-@query("s17_csv_export", "SELECT c_custkey, CAST(c_acctbal > 0 AS INTEGER) AS positive, CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS nation FROM customer WHERE c_acctbal > 0 OR c_mktsegment = 'MACHINERY'")
+@query("s17_csv_export", "SELECT lpad(CAST(c_custkey AS VARCHAR), 13, '0') AS cell_id, CAST(c_custkey // 10000000 AS INTEGER) AS sweref_e, CAST(c_custkey % 10000000 AS INTEGER) AS sweref_n, CAST(c_acctbal > 0 AS INTEGER) AS positive, CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS machines, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_nationkey AS INTEGER) END AS year FROM customer WHERE c_acctbal > 0 OR c_mktsegment = 'MACHINERY'")
 def s17(spark, d):
-    path = new(spark, "export")
-    c = t(spark, d, "customer").where("c_acctbal > 0 OR c_mktsegment = 'MACHINERY'").select("c_custkey", (F.col("c_acctbal") > 0).cast("int").alias("positive"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey")).alias("nation"))
-    c.orderBy("c_custkey").write.csv(path, header=True, nullValue="")
-    return spark.read.csv(path, header=True, schema="c_custkey long, positive int, nation int", nullValue="")
+    c = t(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 13, "0").alias("cell_id"), (F.col("c_acctbal") > 0).alias("positive"), (F.col("c_mktsegment") == "MACHINERY").alias("machines"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey").cast("double")).alias("year"))
+    return G.flag_export(c, new(spark, "export"), "cell_id", ["positive", "machines"], ["year"])
 
 
 @query("s18_kind_stack", "SELECT s_suppkey, s_nationkey FROM supplier")
@@ -186,13 +198,17 @@ def v02(spark, d):
     return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean_delay", 6).alias("mean_delay"))
 
 
-@query("x03_group_apply", "SELECT o_custkey, round(sum(o_totalprice * w) / sum(w), 6) AS wmean FROM (SELECT *, 1 + o_orderkey % 3 AS w FROM orders) GROUP BY 1")
+@query("x03_group_apply", """WITH x AS (SELECT o_custkey, o_orderkey, o_totalprice AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders)
+  SELECT o_custkey, o_orderkey, round(avg(y) OVER w + coalesce(covar_pop(k, y) OVER w / nullif(var_pop(k) OVER w, 0), 0) * (k - avg(k) OVER w), 4) AS trend FROM x WINDOW w AS (PARTITION BY o_custkey)""")
 def x03(spark, d):
-    o = t(spark, d, "orders").withColumn("w", 1 + F.col("o_orderkey") % 3)
-    return o.groupBy("o_custkey").agg(F.round(A.weighted_mean(F.col("o_totalprice"), F.col("w")), 6).alias("wmean"))
+    """Each customer's straight trend over its orders, by a Python function for each group."""
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.col("o_totalprice").cast("double").alias("y"))
+    return T.group_apply(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], T.trend("y"), "o_custkey long, o_orderkey long, trend double").withColumn("trend", F.round("trend", 4))
 
 
-@query("x04_table_function", "SELECT p_partkey, CAST(unnest(range(p_size % 4, p_size % 4 + 3)) AS INTEGER) AS cell FROM part")
+@query("x04_table_function", "SELECT p_partkey, CAST(x * 2 AS BIGINT) AS easting, CAST(y * 2 AS BIGINT) AS northing FROM (SELECT p_partkey, unnest(range(p_size % 7 // 2, (p_size % 7 + 5) // 2 + 1)) AS x, p_size FROM part), (SELECT unnest(range(0, 12)) AS y) WHERE y BETWEEN p_size % 5 // 2 AND (p_size % 5 + 3) // 2")
 def x04(spark, d):
-    k = F.col("p_size") % 4
-    return t(spark, d, "part").select("p_partkey", F.explode(F.sequence(k, k + 2)).alias("cell"))
+    """The 2 m cells that a box touches, by a table function joined laterally."""
+    a, b = F.col("p_size") % 7, F.col("p_size") % 5
+    boxes = t(spark, d, "part").select("p_partkey", a.cast("double").alias("x1"), (a + 5).cast("double").alias("x2"), b.cast("double").alias("y1"), (b + 3).cast("double").alias("y2"))
+    return T.lateral(boxes, T.tiles, ["x1", "y1", "x2", "y2"], {"resolution": 2}).select("p_partkey", "easting", "northing")

@@ -20,11 +20,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where the setting is missing."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where the setting is missing, a folder of this machine
+    serves a local master only; on a cluster its executors could not see it, so that is an error."""
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_panelworks_dir", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="panelworks-")

@@ -27,14 +27,23 @@ def yearly_union(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(pattern).dropDuplicates()
 
 
+def named_files(spark: SparkSession, base: str, pattern: str, regex: str, names: list[str], schema: str, years: list[int] | None = None) -> DataFrame:
+    """CSV files under ``base`` with columns out of their names by the regex's groups. ``pattern`` is a glob with ``{year}`` in it;
+    with ``years`` only the files of those are listed and read."""
+    globs = [pattern.replace("{year}", "*" if y is None else str(y)) for y in (years or [None])]
+    return with_file_parts(spark.read.schema(schema).csv([f"{base}/{g}" for g in globs], header=True), regex, names)
+
+
 def with_file_parts(df: DataFrame, regex: str, names: list[str]) -> DataFrame:
     """Columns out of the file name by the regex's groups."""
     return df.withColumns({n: F.regexp_extract(F.col("_metadata.file_path"), regex, i + 1) for i, n in enumerate(names)})
 
 
-def split_by_year(spark: SparkSession, csv: str, out: str, schema: str, keep: Column, year: str) -> DataFrame:
-    """Filters a large CSV and writes a partition for each year: one scan, rows of a year to a few files."""
-    spark.read.csv(csv, schema=schema, header=True, nullValue="").where(keep).repartition(year).write.partitionBy(year).parquet(out)
+def split_by_year(spark: SparkSession, csv: str, out: str, schema: str, keep: Column, year: str, files: int = 16) -> DataFrame:
+    """Filters a large CSV and writes a partition for each year: one scan, and the rows of a year dealt to ``files`` tasks."""
+    rows = spark.read.csv(csv, schema=schema, header=True, nullValue="").where(keep)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("_salt")
+    rows.repartition(F.col(year), salt).write.partitionBy(year).parquet(out)
     return spark.read.parquet(out)
 
 
