@@ -54,6 +54,21 @@ def stitched(df: DataFrame, era: str, x: str, w: str, name: str, keep: list[str]
     return plain.unionByName(heavy).where(F.col("value").isNotNull())
 
 
+def local_intensity(own: DataFrame, routes: DataFrame, route: str, entity: str, value: str, year: str, mean: str, reference: int) -> DataFrame:
+    """(route, entity, year, intensity, scaled): an entity's own value over its route's mean in the reference year, and that ratio
+    times the route's mean of every year. A mean of zero or less gives no ratio."""
+    base = routes.where(F.col(year) == reference).select(route, F.col(mean).alias("_base"))
+    ratio = own.join(base, route).select(route, entity, F.when(F.col("_base") > 0, F.col(value) / F.col("_base")).alias("intensity"))
+    return ratio.join(routes.select(route, year, F.col(mean).alias("_m")), route).select(route, entity, year, "intensity", (F.col("intensity") * F.col("_m")).alias("scaled"))
+
+
+def run_report(df: DataFrame, unit: str, year: Column, tiers: dict[str, Column], matched: Column, more: dict[str, Column] | None = None) -> DataFrame:
+    """One row on a run: rows, distinct units, the range of years, units of each tier, matched rows and their share."""
+    n = F.count(F.lit(1))
+    return df.agg(n.alias("n_rows"), F.count_distinct(unit).alias("n_units"), F.min(year).alias("first"), F.max(year).alias("last"), *[F.count_distinct(F.when(q, F.col(unit))).alias(f"n_{name}") for name, q in tiers.items()],
+                  F.count(matched).alias("n_matched"), F.round(F.count(matched) / n, 6).alias("match_rate"), *[c.alias(k) for k, c in (more or {}).items()])
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the last in ``order``."""
     rest = [c for c in df.columns if c not in keys]

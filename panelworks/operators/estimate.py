@@ -44,6 +44,16 @@ def overall(cells: DataFrame, by: list[Column] | None = None) -> DataFrame:
     return g.agg((F.sum(F.col("att") * F.col("n_treated")) / F.sum("n_treated")).alias("att"), F.sum("n_treated").alias("n_treated"))
 
 
+def splits(panel: DataFrame, y: str, table: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(split, level, n_near, diff): mean of ``y`` near minus far, for every row (split, level, near, rows) of SQL conditions.
+
+    A row of the panel goes on once for each split that has it, and only with its value and side."""
+    parts = [F.when(F.expr(rows), F.struct(F.lit(k).alias("split"), F.lit(v).alias("level"), F.expr(near).alias("near"))) for k, v, near, rows in table]
+    long = panel.select(F.col(y).alias("_y"), F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("s"))
+    near = F.col("s.near")
+    return long.groupBy("s.split", "s.level").agg(F.count_if(near).alias("n_near"), (F.avg(F.when(near, F.col("_y"))) - F.avg(F.when(~near, F.col("_y")))).alias("diff"))
+
+
 def att_error(d: DataFrame, year: str, cluster: str) -> DataFrame:
     """(att, se, n_clusters): influence values of the overall effect summed inside clusters."""
     t, c = F.when(F.col("treated"), F.col("dy")), F.when(F.col("control") & ~F.col("treated"), F.col("dy"))

@@ -118,17 +118,23 @@ def a14(spark, d):
     return t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("busiest"))
 
 
-@query("a15_local_intensity", """WITH r AS (SELECT l_suppkey, avg(l_quantity) AS m FROM lineitem WHERE year(l_shipdate) = 1998 GROUP BY 1), e AS (SELECT l_suppkey, l_partkey, avg(l_quantity) AS v FROM lineitem WHERE year(l_shipdate) = 1998 GROUP BY 1, 2)
-  SELECT l_suppkey, l_partkey, CASE WHEN m > 0 THEN round(v / m, 9) END AS intensity FROM e JOIN r USING (l_suppkey)""")
+@query("a15_local_intensity", """WITH r AS (SELECT l_suppkey, year(l_shipdate) AS year, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2), e AS (SELECT l_suppkey, l_partkey, avg(l_quantity) AS v FROM lineitem WHERE year(l_shipdate) = 1998 GROUP BY 1, 2),
+  k AS (SELECT l_suppkey, l_partkey, CASE WHEN m > 0 THEN v / m END AS ratio FROM e JOIN r USING (l_suppkey) WHERE year = 1998) SELECT l_suppkey, l_partkey, CAST(r.year AS INTEGER) AS year, round(ratio, 9) AS intensity, round(ratio * m, 6) AS scaled FROM k JOIN r USING (l_suppkey)""")
 def a15(spark, d):
-    li = t(spark, d, "lineitem").where(F.year("l_shipdate") == 1998)
-    r = li.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("m"))
-    return li.groupBy("l_suppkey", "l_partkey").agg(F.avg("l_quantity").alias("v")).join(r, "l_suppkey").select("l_suppkey", "l_partkey", F.round(C.share(F.col("v"), F.col("m")), 9).alias("intensity"))
+    li = t(spark, d, "lineitem")
+    route = li.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.avg("l_quantity").alias("m"))
+    own = li.where(F.year("l_shipdate") == 1998).groupBy("l_suppkey", "l_partkey").agg(F.avg("l_quantity").alias("v"))
+    return A.local_intensity(own, route, "l_suppkey", "l_partkey", "v", "year", "m", 1998).withColumns({"intensity": F.round("intensity", 9), "scaled": F.round("scaled", 6)})
 
 
-@query("a16_run_report", """SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_units, CAST(min(year(o_orderdate)) AS INTEGER) AS first, CAST(max(year(o_orderdate)) AS INTEGER) AS last, count(*) FILTER (WHERE o_totalprice > 300000) AS n_strict FROM orders""")
+@query("a16_run_report", """SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_units, CAST(min(year(o_orderdate)) AS INTEGER) AS first, CAST(max(year(o_orderdate)) AS INTEGER) AS last, count(DISTINCT CASE WHEN o_totalprice > 100000 THEN o_custkey END) AS n_loose, count(DISTINCT CASE WHEN o_totalprice > 300000 THEN o_custkey END) AS n_strict,
+  count(DISTINCT CASE WHEN o_totalprice > 300000 AND o_orderpriority = '1-URGENT' THEN o_custkey END) AS n_strictest, count(c_custkey) AS n_matched, round(count(c_custkey) / count(*), 6) AS match_rate, count(*) FILTER (WHERE o_totalprice > 300000) AS rows_strict FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey""")
 def a16(spark, d):
-    return t(spark, d, "orders").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("n_units"), F.min(Y()).alias("first"), F.max(Y()).alias("last"), F.count_if(F.col("o_totalprice") > 300000).alias("n_strict"))
+    c = t(spark, d, "customer").where("c_acctbal > 0").select("c_custkey")
+    o = t(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
+    strict = F.col("o_totalprice") > 300000
+    tiers = {"loose": F.col("o_totalprice") > 100000, "strict": strict, "strictest": strict & (F.col("o_orderpriority") == "1-URGENT")}
+    return A.run_report(o, "o_custkey", Y(), tiers, F.col("c_custkey"), {"rows_strict": F.count_if(strict)})
 
 
 @query("a17_cross_tab", """SELECT CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) AS n FROM orders GROUP BY 1""")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelworks.operators import annotate as B
-from panelworks.operators import spatial as S
-from panelworks.plans.q_spatial import PT, lines, points
+from panelworks.operators import roads
+from panelworks.plans import q_network as R
+from panelworks.plans.q_spatial import BOTH, SIDE, lines, points
 from panelworks.plans.registry import query
+from panelworks.session import saved
 from panelworks.session import table as t
 
 ANS = """SELECT l_partkey AS task, l_suppkey % 4 AS reviewer, l_orderkey * 10 + l_linenumber AS tm, CASE WHEN l_linenumber <= 5 THEN 'aligned' ELSE 'skipped' END AS status, CASE WHEN l_linenumber <= 5 THEN l_quantity - 25 END AS lat_m, CASE WHEN l_tax > 0.07 THEN 1.0 END AS other, CASE WHEN l_returnflag <> 'N' THEN 'occluded' END AS reason FROM lineitem"""
@@ -28,9 +30,12 @@ def latest(spark, d):
 
 @query("b01_stratified_sample")
 def b01(spark, d):
-    p = t(spark, d, "part")
-    used = t(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
-    return B.per_stratum(p.join(used, "p_partkey", "left_anti"), "p_brand", "p_partkey", 5, 11).select("p_brand", "p_partkey")
+    """Targets, validation and practice out of all parts."""
+    k = F.col("p_partkey")
+    p = t(spark, d, "part").select(k.alias("record"), F.when(k % 2 == 0, "road").otherwise("rail").alias("kind"), F.element_at(F.array(*[F.lit(m) for m in ("osm_offset", "geometric_offset", "parallel_road")]), (k % 3 + 1).cast("int")).alias("method"), (k % 7 != 0).alias("known"),
+                                   (F.col("p_size") > 10).alias("long_enough"), (k % 2 == 0).alias("tagged"), (k % 11 == 0).alias("twin"), (k % 13 == 0).alias("paired"), "p_size")
+    before = t(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("record"), F.when(F.col("l_linenumber") == 1, "target").otherwise("validation").alias("group"))
+    return B.select_records(p, F.col("p_size") % 10 == 0, F.col("p_size") == 1, before, ["osm_offset", "geometric_offset", "parallel_road"], 5, 7, 11)
 
 
 @query("b02_priority_tiers", "SELECT l_partkey, CAST(min(CASE WHEN l_returnflag = 'R' AND l_quantity > 40 THEN 1 WHEN l_returnflag = 'R' THEN 2 WHEN l_quantity > 40 THEN 3 ELSE 4 END) AS INTEGER) AS tier, bool_or(l_linenumber = 1) AS dated FROM lineitem GROUP BY 1")
@@ -39,16 +44,29 @@ def b02(spark, d):
     return t(spark, d, "lineitem").groupBy("l_partkey").agg(F.min(F.when(r & q, 1).when(r, 2).when(q, 3).otherwise(4)).alias("tier"), F.bool_or(F.col("l_linenumber") == 1).alias("dated"))
 
 
-@query("b03_batches", """WITH s AS (SELECT c_nationkey AS site, c_nationkey % 3 AS priority, count(*) AS n FROM customer GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (ORDER BY priority, site) - n AS run, sum(n) OVER () AS t FROM s) SELECT site, n, CAST(least(floor(run * 4 / t), 3) AS BIGINT) AS part FROM r""")
+@query("b03_batches")
 def b03(spark, d):
-    s = t(spark, d, "customer").select(F.col("c_nationkey").alias("site"), (F.col("c_nationkey") % 3).alias("priority"))
-    return B.batches(s, "site", [F.col("priority"), F.col("site")], 4)
+    """Parts as tasks at the places of the points, sites of one supplier's size."""
+    p = points(spark, d).select(F.col("vec_id").alias("task"), F.floor(F.col("vec_id") / 4).alias("site"), (F.col("label") % 3).alias("class"), "x", "y")
+    return B.site_order(p, 4, 25.0)
 
 
-@query("b04_task_units", "SELECT l_suppkey AS chain, count(*) AS n_records, arg_max(l_orderkey * 10 + l_linenumber, (l_quantity, -(l_orderkey * 10 + l_linenumber), l_partkey)) AS longest, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY 1")
+def walls_of(spark, d):
+    """(chosen, chains, apart, lengths): pieces of walls out of the road segments."""
+    pieces = R.road_lines(spark, d, 0.05)
+    chains = saved(roads.chain_lines(pieces), "chains")
+    apart = roads.co_located(pieces, within_m=2.0)
+    lengths = pieces.select(F.col("line").alias("record"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("length_m"))
+    chosen = lengths.where("record % 3 = 0").select("record", F.when(F.col("record") % 12 == 0, "practice").when(F.col("record") % 6 == 0, "validation").otherwise("target").alias("group"))
+    return chosen, chains.select(F.col("line").alias("record"), "chain", "orient"), apart, lengths, pieces
+
+
+@query("b04_task_units")
 def b04(spark, d):
-    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("chain")).agg(F.count(F.lit(1)).alias("n_records"), F.max_by(k, F.struct(F.col("l_quantity"), -k, F.col("l_partkey"))).alias("longest"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    chosen, chains, apart, lengths, _ = walls_of(spark, d)
+    units = saved(B.task_units(chosen, chains, apart, lengths), "units")
+    records = lengths.withColumns({"material": F.when(F.col("record") % 5 != 0, F.concat(F.lit("m"), F.col("record") % 3)), "height": F.col("record") % 4 + 1})
+    return B.unit_metadata(units, records).withColumn("length_m", F.round("length_m", 3))
 
 
 @query("b05_categories", f"SELECT {CAT} AS category, count(*) AS n FROM ({ANS}) GROUP BY 1")
@@ -88,10 +106,12 @@ def b09(spark, d):
     return a.groupBy("reviewer").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("double")), 9).alias("right_side"), F.round(F.percentile(F.abs(F.col("lat_m") - (F.col("task") % 40 - 20)), 0.5), 6).alias("median_error"))
 
 
-@query("b10_manual_sign")
+@query("b10_manual_sign", f"SELECT vec_id AS record, CASE WHEN vec_id % 9 = 0 THEN 0 ELSE s END AS sign FROM (SELECT vec_id, {SIDE} AS s FROM {BOTH}) WHERE vec_id % 9 = 0 OR s <> 0 AND vec_id % 4 <> 0")
 def b10(spark, d):
-    p = points(spark, d).withColumn("line_id", F.floor(F.col("vec_id") / 5) * 5)
-    return p.join(lines(spark, d), "line_id").select("vec_id", "line_id", S.side().alias("sign"))
+    p = points(spark, d).withColumn("line_id", F.floor(F.col("vec_id") / 5) * 5).join(lines(spark, d), "line_id")
+    decision = F.when(F.col("vec_id") % 9 == 0, "both_sides").when(F.col("vec_id") % 4 == 0, "conflict").otherwise("side")
+    own = p.select(F.col("vec_id").alias("record"), F.lit(0).alias("seq"), "x1", "y1", "x2", "y2")
+    return B.manual_signs(p.select(F.col("vec_id").alias("record"), decision.alias("decision"), "x", "y"), own)
 
 
 @query("b11_import_guard", "SELECT l_suppkey AS batch, count(DISTINCT l_returnflag) AS n_reviewers, count(*) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)) AS n_unknown, count(*) >= 500 AS enough FROM lineitem GROUP BY 1")
@@ -108,6 +128,15 @@ def b12(spark, d):
     return B.validated(answers(spark, d), tasks, "task").groupBy(F.coalesce("reject_reason", F.lit("good")).alias("result")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b13_task_document", f"SELECT line_id, round((x1 + x2) / 2, 4) AS center_x, round((y1 + y2) / 2, 4) AS center_y, line_id % 20 = 0 AS double_code FROM (SELECT a.vec_id AS line_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ({PT}) a JOIN ({PT}) b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 5 = 0)")
+@query("b13_task_document")
 def b13(spark, d):
-    return lines(spark, d).select("line_id", F.round((F.col("x1") + F.col("x2")) / 2, 4).alias("center_x"), F.round((F.col("y1") + F.col("y2")) / 2, 4).alias("center_y"), (F.col("line_id") % 20 == 0).alias("double_code"))
+    """Each task's document with the number of its key rows."""
+    chosen, chains, apart, lengths, pieces = walls_of(spark, d)
+    units = saved(B.task_units(chosen, chains, apart, lengths), "units")
+    own = units.where("strand = 0").join(pieces.withColumnRenamed("line", "record"), "record")
+    drawn = saved(own.select("unit", F.col("record").cast("int").alias("seq"), "x1", "y1", "x2", "y2"), "drawn")
+    centers = drawn.groupBy("unit").agg(F.avg((F.col("x1") + F.col("x2")) / 2).alias("x"), F.avg((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    keys = saved(B.task_keys(units, drawn, centers, pieces.withColumnRenamed("line", "record"), "one", 5, 0.2), "keys")
+    records = lengths.withColumns({"material": F.when(F.col("record") % 5 != 0, F.concat(F.lit("m"), F.col("record") % 3)), "height": F.col("record") % 4 + 1})
+    n = keys.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_keys"), F.bool_or("double_code").alias("double_code"))
+    return B.task_document(keys, B.unit_metadata(units, records), drawn).join(n, "task_id")

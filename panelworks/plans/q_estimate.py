@@ -44,12 +44,23 @@ def e02(spark, d):
     return E.group_time(dy(spark, d), "year").withColumn("att", F.round("att", 6))
 
 
-@query("e03_overall_att", f"""SELECT 'overall' AS kind, NULL AS level, round(sum(att * n_treated) / sum(n_treated), 6) AS att, CAST(sum(n_treated) AS BIGINT) AS n_treated FROM {CELLS} UNION ALL SELECT 'event', year - cohort, round(sum(att * n_treated) / sum(n_treated), 6), CAST(sum(n_treated) AS BIGINT) FROM {CELLS} GROUP BY 2 UNION ALL SELECT 'cohort', cohort, round(sum(att * n_treated) / sum(n_treated), 6), CAST(sum(n_treated) AS BIGINT) FROM {CELLS} GROUP BY 2""")
+NEVER = CELLS.replace("control AND NOT treated", "f IS NULL").replace("FROM (SELECT b.o_custkey", "FROM (SELECT b.first AS f, b.o_custkey")
+SHARES = "round(sum(att * n_treated) / sum(n_treated), 6), CAST(sum(n_treated) AS BIGINT)"
+
+
+@query("e03_overall_att", f"""SELECT 'overall' AS kind, NULL AS level, round(sum(att * n_treated) / sum(n_treated), 6) AS att, CAST(sum(n_treated) AS BIGINT) AS n_treated FROM {CELLS} UNION ALL SELECT 'event', year - cohort, {SHARES} FROM {CELLS} GROUP BY 2 UNION ALL SELECT 'cohort', cohort, {SHARES} FROM {CELLS} GROUP BY 2
+  UNION ALL SELECT 'never overall', NULL, {SHARES} FROM {NEVER} UNION ALL SELECT 'never event', year - cohort, {SHARES} FROM {NEVER} GROUP BY 2""")
 def e03(spark, d):
-    cells = saved(E.group_time(dy(spark, d), "year"), "cells")
-    parts = [E.overall(cells).select(F.lit("overall").alias("kind"), F.lit(None).cast("int").alias("level"), "att", "n_treated"),
-             E.overall(cells, [(F.col("year") - F.col("cohort")).alias("level")]).select(F.lit("event").alias("kind"), "level", "att", "n_treated"), E.overall(cells, [F.col("cohort").alias("level")]).select(F.lit("cohort").alias("kind"), "level", "att", "n_treated")]
-    return reduce(lambda a, b: a.unionByName(b), parts).withColumn("att", F.round("att", 6))
+    changes = dy(spark, d)
+    never = E.changes(panel(spark, d).withColumn("f", F.col("first")), "o_custkey", "year", "y", "first", carry=["f"])
+    out = []
+    for name, cells in (("", E.group_time(changes, "year")), ("never ", E.group_time(never, "year", never_only=F.col("f").isNull()))):
+        cells = saved(cells, "cells")
+        out.append(E.overall(cells).select(F.lit(f"{name}overall").alias("kind"), F.lit(None).cast("int").alias("level"), "att", "n_treated"))
+        out.append(E.overall(cells, [(F.col("year") - F.col("cohort")).alias("level")]).select(F.lit(f"{name}event").alias("kind"), "level", "att", "n_treated"))
+        if not name:
+            out.append(E.overall(cells, [F.col("cohort").alias("level")]).select(F.lit("cohort").alias("kind"), "level", "att", "n_treated"))
+    return reduce(lambda a, b: a.unionByName(b), out).withColumn("att", F.round("att", 6))
 
 
 @query("e04_att_error", f"""WITH d AS {DY}, c AS (SELECT base, year, avg(dy) FILTER (WHERE treated) AS mt, avg(dy) FILTER (WHERE control AND NOT treated) AS mc, count(*) FILTER (WHERE treated) AS nt, count(*) FILTER (WHERE control AND NOT treated) AS nc FROM d GROUP BY 1, 2 HAVING nt > 0 AND nc > 0),
@@ -71,14 +82,30 @@ def balanced(spark, d):
     return p.join(full, "o_custkey")
 
 
-@query("e06_two_way_fixed_effects", f"""WITH p AS (SELECT *, CASE WHEN year >= first THEN 1.0::DOUBLE ELSE 0 END AS d FROM {PANEL} WHERE o_custkey IN (SELECT o_custkey FROM {PANEL} GROUP BY 1 HAVING count(*) = 7)),
-  r AS (SELECT y - avg(y) OVER (PARTITION BY o_custkey) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS y, d - avg(d) OVER (PARTITION BY o_custkey) - avg(d) OVER (PARTITION BY year) + avg(d) OVER () AS d FROM p) SELECT 'd' AS term, round(sum(d * y) / sum(d * d), 5) AS coef, count(*) AS n FROM r""")
+BALANCED = f"(SELECT p.*, CASE WHEN year >= first THEN 1.0::DOUBLE ELSE 0 END AS d, c_nationkey AS site, CASE WHEN c_acctbal > 5000 THEN 1.0::DOUBLE ELSE 0 END AS rich FROM {PANEL} p JOIN customer ON c_custkey = o_custkey WHERE o_custkey IN (SELECT o_custkey FROM {PANEL} GROUP BY 1 HAVING count(*) = 7))"
+
+
+def inside(*cols):
+    """SQL that takes unit and year means out of columns of a balanced panel."""
+    return ", ".join(f"{c} - avg({c}) OVER (PARTITION BY o_custkey) - avg({c}) OVER (PARTITION BY year) + avg({c}) OVER () AS {c}" for c in cols)
+
+
+@query("e06_two_way_fixed_effects", f"""WITH p AS {BALANCED}, q AS (SELECT *, d * rich AS dr, rich * (year - 1998) AS slope FROM p), r AS (SELECT {inside("y", "d", "dr", "slope")} FROM q),
+  m AS (SELECT sum(d * d) AS dd, sum(d * dr) AS de, sum(dr * dr) AS ee, sum(d * y) AS dy, sum(dr * y) AS ey, sum(slope * slope) AS ss, sum(d * slope) AS ds, sum(slope * y) AS sy, count(*) AS n FROM r)
+  SELECT 'plain' AS model, 'd' AS term, round(dy / dd, 5) AS coef, n FROM m UNION ALL SELECT 'interaction', 'd', round((ee * dy - de * ey) / (dd * ee - de * de), 5), n FROM m UNION ALL SELECT 'interaction', 'd_rich', round((dd * ey - de * dy) / (dd * ee - de * de), 5), n FROM m
+  UNION ALL SELECT 'slope by year', 'd', round((ss * dy - ds * sy) / (dd * ss - ds * ds), 5), n FROM m UNION ALL SELECT 'slope by year', 'rich_trend', round((dd * sy - ds * dy) / (dd * ss - ds * ds), 5), n FROM m""")
 def e06(spark, d):
-    rows, info = E.regression(balanced(spark, d), "y", ["d"], ["o_custkey", "year"], "o_custkey")
-    return small(spark, [{"term": r["term"], "coef": round(r["coef"], 5), "n": info["n"]} for r in rows])
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") > 5000).cast("double").alias("rich"))
+    p = saved(balanced(spark, d).join(c, "o_custkey").withColumns({"d_rich": F.col("d") * F.col("rich"), "rich_trend": F.col("rich") * (F.col("year") - 1998)}), "balanced")
+    out = []
+    for model, xs in (("plain", ["d"]), ("interaction", ["d", "d_rich"]), ("slope by year", ["d", "rich_trend"])):
+        rows, info = E.regression(p, "y", xs, ["o_custkey", "year"], "o_custkey")
+        out += [{"model": model, "term": r["term"], "coef": round(r["coef"], 5), "n": info["n"]} for r in rows]
+    return small(spark, out)
 
 
-@query("e07_clustered_covariance")
+@query("e07_clustered_covariance", f"""WITH p AS {BALANCED}, r AS (SELECT site, {inside("y", "d")} FROM p), b AS (SELECT sum(d * y) / sum(d * d) AS b, sum(d * d) AS dd, count(*) AS n FROM r), s AS (SELECT site, sum(r.d * (r.y - b.b * r.d)) AS s FROM r, b GROUP BY 1)
+  SELECT 'd' AS term, round(max(b), 5) AS coef, round(sqrt(sum(s * s) / pow(max(dd), 2) * (count(*) / (count(*) - 1))), 5) AS se, count(*) AS clusters FROM s, b""")
 def e07(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     rows, info = E.regression(balanced(spark, d).join(c, "o_custkey"), "y", ["d"], ["o_custkey", "year"], "c_nationkey")
@@ -129,11 +156,17 @@ def e11(spark, d):
     return cells.groupBy("dropped").agg(F.round(F.sum(att * F.col("nt")) / F.sum("nt"), 6).alias("att"))
 
 
-@query("e12_cutoff_sweep", " UNION ALL ".join(f"SELECT {c} AS cutoff, count(*) FILTER (WHERE c_acctbal <= {c}) AS n_near, round(avg(y) FILTER (WHERE c_acctbal <= {c}) - avg(y) FILTER (WHERE c_acctbal > {c}), 6) AS diff FROM {PANEL} JOIN customer ON c_custkey = o_custkey" for c in (0, 2000, 4000, 6000)))
+SPLITS = [("cutoff", str(c), f"c_acctbal <= {c}", "true") for c in (0, 2000, 4000, 6000)] + [("bin", f"{a}-{a + 2500}", f"c_acctbal > {a} AND c_acctbal <= {a + 2500}", f"c_acctbal > {a} AND c_acctbal <= {a + 2500} OR c_acctbal > 7500") for a in (0, 2500, 5000)] + [
+    ("type", k, "c_acctbal <= 4000", f"c_mktsegment = '{k}'") for k in ("AUTOMOBILE", "BUILDING", "MACHINERY")] + [("baseline", k, "c_acctbal <= 4000", f"{c} (base > 200)") for k, c in (("high", ""), ("low", "NOT"))]
+
+
+@query("e12_cutoff_sweep", f"WITH p AS (SELECT *, arg_min(y, year) OVER (PARTITION BY o_custkey) AS base FROM {PANEL} JOIN customer ON c_custkey = o_custkey) " + " UNION ALL ".join(f"SELECT '{k}' AS split, '{v}' AS level, count(*) FILTER (WHERE {near}) AS n_near, round(avg(y) FILTER (WHERE {near}) - avg(y) FILTER (WHERE NOT ({near})), 6) AS diff FROM p WHERE {rows}" for k, v, near, rows in SPLITS))
 def e12(spark, d):
-    p = panel(spark, d).join(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey").withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in (0, 2000, 4000, 6000)])))
-    near = F.col("c_acctbal") <= F.col("cutoff")
-    return p.groupBy("cutoff").agg(F.count_if(near).alias("n_near"), F.round(F.avg(F.when(near, F.col("y"))) - F.avg(F.when(~near, F.col("y"))), 6).alias("diff"))
+    """Near minus far by cutoff, by bin against the farthest, by type, and by the level at the start: one pass over the panel."""
+    p = panel(spark, d)
+    base = p.groupBy("o_custkey").agg(F.min_by("y", "year").alias("base"))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment")
+    return E.splits(p.join(base, "o_custkey").join(c, "o_custkey"), "y", SPLITS).withColumn("diff", F.round("diff", 6))
 
 
 @query("e13_within_site", f"""WITH x AS (SELECT c_nationkey AS site, c_acctbal <= 3000 AS near, year >= 1998 AS post, y FROM {PANEL} JOIN customer ON c_custkey = o_custkey), m AS (SELECT site, avg(y) FILTER (WHERE near AND post) - avg(y) FILTER (WHERE near AND NOT post) - avg(y) FILTER (WHERE NOT near AND post) + avg(y) FILTER (WHERE NOT near AND NOT post) AS dd, count(*) AS n FROM x GROUP BY 1 HAVING dd IS NOT NULL)
