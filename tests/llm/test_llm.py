@@ -615,7 +615,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
 
 def test_one_of_each_judges_rows(spark):
     base = " ".join(f"w{k}" for k in range(40))
-    near = base.replace("w20 ", "x ")
+    near = base.replace("w39", "x")
     other = " ".join(f"z{k}" for k in range(40))
     rows = [(1, base), (1, other), (2, near), (1, base), (3, other), (None, base), (None, "alone in the world of words"), (None, None), (4, None), (4, " "), (5, "t " * 20_000), (6, "t " * 30_000)]
     table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _gone", "2 as _n", "3 as _r", "4 as _a", "5 as _row", "6 as _c", "7 as v").repartition(3)
