@@ -80,12 +80,28 @@ def earliest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of the one row of ``right`` with equal keys; a null key meets a null key."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
+
+
 def holm(df: DataFrame, family: list[str], p: str, out: str) -> DataFrame:
-    """Holm's step-down adjustment inside a family of tests."""
-    order = Window.partitionBy(*family).orderBy(p, *[c for c in df.columns if c not in family and c != p])
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    step = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p))
-    return df.withColumn("_s", step).withColumn(out, F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    """Holm's step-down adjustment inside a family of tests. A null p stays null and isn't counted as a test.
+
+    Tests are laid in one order by range partitions; a family hands on from one to the next only how many tests came before
+    and the highest step so far, so no family is sorted by one task."""
+    rest = [c for c in df.columns if c not in family and c != p]
+    m = df.groupBy(*family).agg(F.count(p).alias("_m"))
+    order = [F.asc_nulls_last(p), *rest]
+    parts = saved(beside(df, m, family).repartitionByRange(*family, *order).withColumn("_p", F.spark_partition_id()), "tests")
+    inner, earlier = Window.partitionBy(*family, "_p").orderBy(*order), Window.partitionBy(*family).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy(*family, "_p").agg(F.count(F.lit(1)).alias("_n")).select(*family, "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.row_number().over(inner)
+    steps = saved(beside(parts, before, [*family, "_p"]).withColumn("_s", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), (F.col("_m") - rank + 1) * F.col(p)))), "steps")
+    peak = steps.groupBy(*family, "_p").agg(F.max("_s").alias("_top")).select(*family, "_p", F.max("_top").over(earlier).alias("_peak"))
+    high = F.greatest(F.max("_s").over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("_peak"))
+    return beside(steps, peak, [*family, "_p"]).select(*df.columns, F.when(F.col(p).isNotNull(), high).alias(out))
 
 
 def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
@@ -129,6 +145,26 @@ def mutual_best(pairs: DataFrame, a: str, b: str, score: str, tie: float = 1e-9)
     return top.select(*pairs.columns)
 
 
-def exact_cuts(df: DataFrame, x: str, at: list[float]) -> DataFrame:
-    """One row with the exact percentiles (linear interpolation)."""
-    return df.agg(F.percentile(x, F.array(*[F.lit(p) for p in at])).alias("cuts"))
+def exact_cuts(df: DataFrame, x: str, at: list[float], by: list[str] | None = None) -> DataFrame:
+    """([by,] cuts): the exact percentiles (linear interpolation) of the values that aren't null. Without any, a group
+    has no row, and the whole table null cuts.
+
+    Equal values are counted first and the counts added up in order by range partitions, so neither a group nor a
+    frequent value meets in one task; only the values next to a cut go on."""
+    by = by or []
+    counted = saved(df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "values")
+    ranked = saved(running_total(counted, [*[F.col(k) for k in by], F.col("_x")], F.col("_c"), "_at"), "ranked")
+    whole = ranked.groupBy(*by).agg(F.min("_at").alias("_first"), F.sum("_c").alias("_all"))
+    near = beside(ranked, whole, by) if by else ranked.crossJoin(F.broadcast(whole))  # without groups one row of totals
+    near = near.select(*by, "_x", (F.col("_at") - F.col("_first")).alias("_lo"), "_c", "_all")
+    holds = lambda k: (F.col("_lo") <= k) & (k < F.col("_lo") + F.col("_c"))
+    served = []
+    for i, p in enumerate(at):
+        pos = F.lit(float(p)) * (F.col("_all") - 1)
+        low, high = F.floor(pos), F.ceil(pos)
+        share = F.when(holds(low) & holds(high), 1.0).when(holds(low), high - pos).when(holds(high), pos - low)
+        served.append(F.struct(F.lit(i).alias("i"), (share * F.col("_x")).alias("v")))
+    hits = near.select(*by, F.explode(F.filter(F.array(*served), lambda e: e["v"].isNotNull())).alias("e"))
+    one = hits.groupBy(*by, "e.i").agg(F.sum("e.v").alias("v"))
+    cuts = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"])
+    return one.groupBy(*by).agg(F.when(F.count(F.lit(1)) > 0, cuts).alias("cuts"))

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.operators.aggregate import running_total
+from panelworks.operators.aggregate import permutation_rank, running_total
 from panelworks.session import saved
 
 
@@ -137,16 +137,10 @@ def wald(b: np.ndarray, v: np.ndarray) -> float:
 
 
 def permuted_first(units: DataFrame, unit: str, first: str, draws: int, seed: int) -> DataFrame:
-    """(draw, unit, first): the treatment years shuffled over the units in each draw, by hash order.
-
-    Draws are dealt one by one, so a draw's units are one group of narrow rows that spills if need be."""
-    from pyspark.sql import Window
-
+    """(draw, unit, first): the treatment years shuffled over the units in each draw, by hash order; ranks by range partitions."""
     order = [F.asc_nulls_last(first), F.col(unit)]
-    years = running_total(units.select(unit, first), order, F.lit(1), "_n").select((F.col("_n") + 1).alias("_r"), F.col(first).alias("_f"))
-    every = units.select(unit).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = Window.partitionBy("draw").orderBy(F.xxhash64(F.lit(seed), F.col("draw"), F.col(unit)), F.col(unit))
-    return every.withColumn("_r", F.row_number().over(order)).join(years, "_r").select("draw", unit, F.col("_f").alias(first))
+    years = running_total(units.select(unit, first), order, F.lit(1), "_n").select((F.col("_n") + 1).cast("int").alias("rank"), F.col(first).alias("_f"))
+    return permutation_rank(units, draws, seed, unit).join(years, "rank").select("draw", unit, F.col("_f").alias(first))
 
 
 #: Webb's six points.

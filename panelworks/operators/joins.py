@@ -90,10 +90,16 @@ def in_range(points: DataFrame, ranges: DataFrame, keys: list[str], pos: str, be
     return p.join(r, [*keys, "_c"]).where(F.col(pos).between(F.col(begin) - tolerance, F.col(end) + tolerance)).drop("_c")
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str) -> DataFrame:
-    """Pairs on one link whose ranges overlap, with ``overlap`` = min(ends) - max(starts) > 0."""
-    shared = F.least(le, re) - F.greatest(ls, rs)
-    return left.join(right, keys).withColumn("overlap", shared).where("overlap > 0")
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, step: float) -> DataFrame:
+    """Pairs on one link whose ranges overlap, with ``overlap`` = min(ends) - max(starts) > 0. A range without length or
+    with a null end overlaps nothing.
+
+    Both sides are dealt to cells of ``step`` (choose it near the usual length), so a link with very many ranges spreads over
+    many keys; a pair is taken in the first cell that both reach, once."""
+    first = lambda s: F.floor(F.col(s) / step)
+    cells = lambda df, s, e, name: df.where(F.col(s) < F.col(e)).withColumn("_c", F.explode(F.sequence(first(s), first(e)))).withColumn(name, first(s))
+    both = cells(left, ls, le, "_cl").join(cells(right, rs, re, "_cr"), [*keys, "_c"]).where(F.col("_c") == F.greatest("_cl", "_cr"))
+    return both.drop("_c", "_cl", "_cr").withColumn("overlap", F.least(le, re) - F.greatest(ls, rs)).where("overlap > 0")
 
 
 def remap_guarded(df: DataFrame, crosswalk: DataFrame, code: str, others: list[str]) -> DataFrame:

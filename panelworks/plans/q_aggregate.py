@@ -151,7 +151,8 @@ def a18(spark, d):
 @query("a19_distribution", """SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, min(o_totalprice) AS lo, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS med, round(quantile_cont(o_totalprice, 0.9), 4) AS q9 FROM orders GROUP BY 1""")
 def a19(spark, d):
     x, q = F.col("o_totalprice"), F.col("q")
-    g = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("lo"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("q"))
+    g = t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("lo"))
+    g = A.beside(g, A.exact_cuts(t(spark, d, "orders"), "o_totalprice", [0.25, 0.5, 0.9], ["o_orderpriority"]).withColumnRenamed("cuts", "q"), ["o_orderpriority"])
     return g.select("o_orderpriority", "n", "mean", "sd", "lo", F.round(q[0], 4).alias("q1"), F.round(q[1], 4).alias("med"), F.round(q[2], 4).alias("q9"))
 
 
@@ -266,7 +267,9 @@ def w07(spark, d):
 
 @query("w08_share_of_group", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 9) AS weight FROM lineitem")
 def w08(spark, d):
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_quantity") / F.sum("l_quantity").over(Window.partitionBy("l_orderkey")), 9).alias("weight"))
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    whole = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("whole"))
+    return li.join(whole, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_quantity") / F.col("whole"), 9).alias("weight"))
 
 
 @query("w09_dense_ids", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority, year(o_orderdate)) AS INTEGER) AS cell_id FROM orders")
@@ -291,9 +294,10 @@ def w11(spark, d):
 
 @query("w12_treatment_clock", f"""SELECT o_orderkey, coalesce(year(o_orderdate) >= g, false) AS post, coalesce(g <= min(year(o_orderdate)) OVER (PARTITION BY o_custkey), false) AS always FROM orders LEFT JOIN ({FT}) USING (o_custkey)""")
 def w12(spark, d):
-    o = t(spark, d, "orders").join(first_treat(spark, d), "o_custkey", "left")
-    first = F.min(Y()).over(Window.partitionBy("o_custkey"))
-    return o.select("o_orderkey", F.coalesce(Y() >= F.col("g"), F.lit(False)).alias("post"), F.coalesce(F.col("g") <= first, F.lit(False)).alias("always"))
+    o = t(spark, d, "orders")
+    first = o.groupBy("o_custkey").agg(F.min(Y()).alias("first"))
+    clock = first.join(first_treat(spark, d), "o_custkey", "left")
+    return o.join(clock, "o_custkey").select("o_orderkey", F.coalesce(Y() >= F.col("g"), F.lit(False)).alias("post"), F.coalesce(F.col("g") <= F.col("first"), F.lit(False)).alias("always"))
 
 
 @query("w13_permutation_rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelworks.operators import aggregate as A
 from panelworks.operators import annotate as B
 from panelworks.operators import roads
 from panelworks.plans import q_network as R
@@ -103,7 +104,9 @@ def b08(spark, d):
 def b09(spark, d):
     a = answers(spark, d).where("lat_m is not null")
     ok = F.signum("lat_m") == F.when(F.col("task") % 2 == 0, 1.0).otherwise(-1.0)
-    return a.groupBy("reviewer").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("double")), 9).alias("right_side"), F.round(F.percentile(F.abs(F.col("lat_m") - (F.col("task") % 40 - 20)), 0.5), 6).alias("median_error"))
+    median = A.exact_cuts(a.withColumn("off", F.abs(F.col("lat_m") - (F.col("task") % 40 - 20))), "off", [0.5], ["reviewer"])
+    share = a.groupBy("reviewer").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ok.cast("double")), 9).alias("right_side"))
+    return share.join(median, "reviewer").select("reviewer", "n", "right_side", F.round(F.col("cuts")[0], 6).alias("median_error"))
 
 
 @query("b10_manual_sign", f"SELECT vec_id AS record, CASE WHEN vec_id % 9 = 0 THEN 0 ELSE s END AS sign FROM (SELECT vec_id, {SIDE} AS s FROM {BOTH}) WHERE vec_id % 9 = 0 OR s <> 0 AND vec_id % 4 <> 0")

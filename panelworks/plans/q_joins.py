@@ -94,7 +94,7 @@ def ranges(spark, d):
   FROM part a JOIN (SELECT l_partkey, l_orderkey AS k, l_linenumber AS s, l_linenumber + l_quantity AS e FROM lineitem) ON l_partkey = p_partkey WHERE least(e, 20.0) - greatest(s, p_size) > 0 GROUP BY 1""")
 def j09(spark, d):
     links = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("b0"), F.lit(20.0).alias("b1"))
-    pairs = J.overlapping(links, ranges(spark, d), ["l_partkey"], "b0", "b1", "s", "e")
+    pairs = J.overlapping(links, ranges(spark, d), ["l_partkey"], "b0", "b1", "s", "e", 16.0)
     return pairs.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_covered"), F.max("overlap").alias("overlap"), F.min_by("l_orderkey", F.struct(-F.col("overlap"), F.col("l_orderkey"))).alias("primary_row"))
 
 
@@ -102,7 +102,7 @@ def j09(spark, d):
   WHERE least(e, p_size + 3.0) - greatest(s, p_size) > 0""")
 def j10(spark, d):
     links = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("b0"), (F.col("p_size") + 3.0).alias("b1"))
-    return J.overlapping(links, ranges(spark, d), ["l_partkey"], "b0", "b1", "s", "e").select("l_partkey", "l_orderkey", "s", "e", "overlap")
+    return J.overlapping(links, ranges(spark, d), ["l_partkey"], "b0", "b1", "s", "e", 16.0).select("l_partkey", "l_orderkey", "s", "e", "overlap")
 
 
 @query("j11_opposite_labels", """WITH r AS (SELECT DISTINCT l_partkey, l_orderkey, l_returnflag AS side, CAST(l_linenumber AS DOUBLE) AS s, l_linenumber + l_quantity AS e FROM lineitem WHERE l_returnflag IN ('A', 'R')),
@@ -113,7 +113,7 @@ def j11(spark, d):
     r = t(spark, d, "lineitem").select("l_partkey", "l_orderkey", F.col("l_returnflag").alias("side"), F.col("l_linenumber").cast("double").alias("s"), (F.col("l_linenumber") + F.col("l_quantity")).alias("e")).distinct()
     a = r.where("side = 'A'").select("l_partkey", F.col("l_orderkey").alias("x"), F.col("s").alias("s1"), F.col("e").alias("e1"))
     b = r.where("side = 'R'").select("l_partkey", F.col("l_orderkey").alias("y"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    both = J.overlapping(a, b, ["l_partkey"], "s1", "e1", "s2", "e2").where(F.col("overlap") >= 0.5 * F.least(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2")))
+    both = J.overlapping(a, b, ["l_partkey"], "s1", "e1", "s2", "e2", 16.0).where(F.col("overlap") >= 0.5 * F.least(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2")))
     return both.select("l_partkey", F.explode(F.array("x", "y")).alias("l_orderkey")).distinct()
 
 

@@ -187,3 +187,90 @@ def test_asof_backward_over_blocks_and_nulls(spark, monkeypatch):
         monkeypatch.setattr(J, "BLOCK_ROWS", rows_at_once)
         got = J.asof_backward(spark.createDataFrame(left, "i int, k string, at int"), spark.createDataFrame(windows, "k string, f int, u int, v double"), ["k"], "at", "f", "u", ["v"])
         assert {r["i"]: r["v"] for r in got.collect()} == want
+
+
+def test_exact_cuts_match_numpy_with_a_hot_value_and_a_null_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data = [(g, float(v)) for g in ("a", None) for v in [*rng.normal(size=40), *[0.25] * 30]] + [("b", 7.0), ("c", None)]
+    df, at = spark.createDataFrame(data, "g string, x double"), [0.0, 0.1, 0.5, 0.73, 1.0]
+    want = {g: np.percentile([x for h, x in data if h == g], [100 * p for p in at]) for g in ("a", None, "b")}
+    got = {r["g"]: r["cuts"] for r in A.exact_cuts(df, "x", at, ["g"]).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(list(want[g]), abs=1e-12) for g in want)
+    assert A.exact_cuts(df, "x", at).first()["cuts"] == pytest.approx(list(np.percentile([x for _, x in data if x is not None], [100 * p for p in at])), abs=1e-12)
+    assert A.exact_cuts(df.where("g = 'c'"), "x", at).first()["cuts"] is None
+
+
+def test_holm_over_range_partitions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = [(f, i, float(p)) for f, n in (("x", 60), (None, 7)) for i, p in enumerate(rng.uniform(size=n) ** 4)] + [("x", 99, None)]
+    want = {}
+    for f in ("x", None):
+        own, high = sorted((p, i) for g, i, p in data if g == f and p is not None), 0.0
+        for k, (p, i) in enumerate(own):
+            high = max(high, min(1.0, (len(own) - k) * p))
+            want[f, i] = high
+    got = {(r["f"], r["i"]): r["adj"] for r in A.holm(spark.createDataFrame(data, "f string, i int, p double").repartition(3), ["f"], "p", "adj").collect()}
+    assert got.pop(("x", 99)) is None and got == pytest.approx(want)
+
+
+def test_overlaps_match_all_pairs_at_any_step(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    a, b = ([(int(k), i, float(s), float(s + n)) for i, (k, s, n) in enumerate(zip(rng.integers(0, 2, 40), rng.integers(-20, 60, 40), rng.integers(0, 25, 40), strict=True))] for _ in range(2))
+    want = sorted((k, i, j, min(e, f) - max(s, r)) for k, i, s, e in a for h, j, r, f in b if k == h and min(e, f) - max(s, r) > 0 and e > s and f > r)
+    left, right = spark.createDataFrame([*a, (0, 90, None, 5.0)], "k int, i int, s1 double, e1 double"), spark.createDataFrame(b, "k int, j int, s2 double, e2 double")
+    for step in (3.0, 500.0):
+        assert sorted(tuple(r) for r in J.overlapping(left, right, ["k"], "s1", "e1", "s2", "e2", step).select("k", "i", "j", "overlap").collect()) == want
+
+
+def test_best_matches_see_every_name(spark):
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from panelworks.operators import lineage as L
+
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcd "), 8))
+    lost, register = [(i, word(), i % 2) for i in range(20)] + [(50, None, 0)], [(i, word(), i % 2) for i in range(30)]
+    want = []
+    for o, a, area in lost:
+        sims = [(SequenceMatcher(None, a, b).ratio(), n) for n, b, k in register if k == area] if a is not None else []
+        top = max((s for s, _ in sims), default=0.0)
+        if top >= 0.5:
+            best = [n for s, n in sims if s >= top - 1e-9]
+            want.append((o, min(best), round(top, 9), len(best) > 1, sum(s >= 0.8 for s, _ in sims)))
+    got = L.best_matches(spark.createDataFrame(lost, "old int, name string, area int"), spark.createDataFrame(register, "new int, name string, area int"), "area").collect()
+    assert sorted((r["old"], r["new"], round(r["name_sim"], 9), r["tie"], r["n_close"]) for r in got) == want
+
+
+def test_doubly_robust_matches_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=60)
+    treated = rng.uniform(size=60) < 1 / (1 + np.exp(-x))
+    dy = 0.7 * x + 2.0 * treated + rng.normal(size=60) * 0.1
+    z = (x - x.mean()) / x.std(ddof=1)
+    design, ab = np.column_stack([np.ones(60), z]), np.zeros(2)
+    for _ in range(40):  # logit by Newton's steps
+        p = 1 / (1 + np.exp(-design @ ab))
+        ab += np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]), design.T @ (treated - p))
+    c, w = design[~treated], np.exp(design[~treated] @ ab)
+    line = np.linalg.solve(c.T @ (c * w[:, None]), c.T @ (w * dy[~treated]))
+    want = (dy[treated] - design[treated] @ line).mean()
+    d = spark.createDataFrame([(1, 2, float(v), bool(t), float(k)) for v, t, k in zip(dy, treated, x, strict=True)], "base int, year int, dy double, treated boolean, x double")
+    got = E.doubly_robust(d, "year", "x").first()
+    assert got["att"] == pytest.approx(want, abs=1e-6) and got["n_treated"] == treated.sum() and abs(want - 2.0) < 0.2
+
+
+def test_wild_bootstrap_is_exact_for_its_draws(spark):
+    s = spark.createDataFrame([(i, v) for i, v in enumerate([1.0, 2.0, 1.5, -0.5, 0.7, 1.1])], "g int, s double")
+    got = E.wild_bootstrap(s, "g", "s", 499, 3).first()
+    assert got["t_stat"] == pytest.approx(5.8 / math.sqrt(1 + 4 + 2.25 + 0.25 + 0.49 + 1.21)) and got["draws"] == 499
+    assert 0.03 < got["p_value"] < 0.2 and E.wild_bootstrap(s.repartition(3), "g", "s", 499, 3).first()["p_value"] == got["p_value"]
