@@ -274,3 +274,19 @@ def test_wild_bootstrap_is_exact_for_its_draws(spark):
     got = E.wild_bootstrap(s, "g", "s", 499, 3).first()
     assert got["t_stat"] == pytest.approx(5.8 / math.sqrt(1 + 4 + 2.25 + 0.25 + 0.49 + 1.21)) and got["draws"] == 499
     assert 0.03 < got["p_value"] < 0.2 and E.wild_bootstrap(s.repartition(3), "g", "s", 499, 3).first()["p_value"] == got["p_value"]
+
+
+def test_weighted_regression_error_and_joint_test_match_dummies(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    data = [(u, y, u // 2, float(rng.normal() + 0.2 * u), float(u < 6 and y >= 3), float((u + y) % 3 == 0), float(rng.integers(1, 5))) for u in range(12) for y in range(6) if (u + y) % 5]
+    r, info = E.regression(spark.createDataFrame(data, "u int, year int, g int, y double, d double, e double, w double"), "y", ["d", "e"], ["u", "year"], "g", "w")
+    v, n = np.array(data), len(data)
+    x = np.column_stack([v[:, 4], v[:, 5], v[:, :1] == np.arange(12), v[:, 1:2] == np.arange(6)])
+    w, inverse = v[:, 6], np.linalg.pinv(x.T @ (x * v[:, 6:7]))
+    b = inverse @ x.T @ (w * v[:, 3])
+    scores = np.array([(x * (w * (v[:, 3] - x @ b))[:, None])[v[:, 2] == g].sum(axis=0) for g in range(6)])
+    cov = (inverse @ scores.T @ scores @ inverse * 6 / 5 * (n - 1) / (n - 2))[:2, :2]
+    assert [k["coef"] for k in r] == pytest.approx(list(b[:2]), abs=1e-6) and [k["se"] for k in r] == pytest.approx(list(np.sqrt(np.diag(cov))), abs=1e-6)
+    assert E.wald(info["b"], info["V"]) == pytest.approx(b[:2] @ np.linalg.inv(cov) @ b[:2], rel=1e-5) and info["clusters"] == 6 and info["n"] == n
