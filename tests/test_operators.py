@@ -290,3 +290,32 @@ def test_weighted_regression_error_and_joint_test_match_dummies(spark):
     cov = (inverse @ scores.T @ scores @ inverse * 6 / 5 * (n - 1) / (n - 2))[:2, :2]
     assert [k["coef"] for k in r] == pytest.approx(list(b[:2]), abs=1e-6) and [k["se"] for k in r] == pytest.approx(list(np.sqrt(np.diag(cov))), abs=1e-6)
     assert E.wald(info["b"], info["V"]) == pytest.approx(b[:2] @ np.linalg.inv(cov) @ b[:2], rel=1e-5) and info["clusters"] == 6 and info["n"] == n
+
+
+def test_lineage_links_need_one_place_one_best_and_shared_grades(spark):
+    from panelworks.operators import lineage as L
+
+    units = [(1, "Sånnaskolan M", True, [7, 8], "p"), (2, "Sånnaskolan LM", False, [8, 9], "p"), (3, "Hagaskolan", False, [8], "p"),
+             (4, "Bergskolan", True, [1, 2], "q"), (5, "Bergskolan", False, [7, 8], "q"), (6, "Lundskolan enhet 1", True, [1], "r"), (7, "Lundskolan enhet 2", False, [1], "r"),
+             (8, "Ekskolan", True, None, "s"), (9, "Ekskolan", False, [3], "s"), (10, "Alskolan", True, [1], "t"), (11, "Alskolan", False, [1], "t"), (12, "Alskolan", False, [1], "t"),
+             (13, "Holmskolan", True, [1], None), (14, "Holmskolan", False, [1], None)]
+    df = spark.createDataFrame(units, "code int, name string, retired boolean, grades array<int>, place string")
+    assert rows(L.lineage_links(df, ["place"])) == [(1, 2, 1.0), (8, 9, 1.0)]  # q: disjoint grades, r: numbered siblings, t: a tie
+
+
+def test_similarity_and_its_bound(spark):
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from panelworks.functions.text import similarity, similarity_bound
+
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("abå\U0001f600 "), rng.integers(0, 9)))
+    data = [(word(), word()) for _ in range(120)] + [("abcd", "bcde"), ("", ""), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(data, "a string, b string").select("a", "b", similarity("a", "b").alias("s"), similarity_bound(F.col("a"), F.col("b")).alias("most"))
+    for a, b, s, most in df.collect():
+        if a is None or b is None:
+            assert s is None
+        else:
+            assert s == SequenceMatcher(None, a, b).ratio() <= most + 1e-12
