@@ -7,63 +7,86 @@ terms that both use, on each one's counts, and on what is left, all of which has
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from panelworks.llm import textops as T
 from panelworks.llm.common import new_path, saved
 
-#: Letters a-z and every character beyond ASCII, as UTF-8 bytes.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: Bytes between terms: ASCII other than letters. Every byte of a character beyond ASCII is part of a term.
+APART = np.array([c < 0x80 and not chr(c).isalpha() for c in range(256)])
 MIN_DOCS, TOP = 10, 10
 #: CountVectorizer's limit as high as it goes, so that it drops nothing.
 ALL_TERMS = 2**31 - 1
 #: A vocabulary lives on the driver and in every task while its documents are counted; languages with more terms are counted a slice of terms at a time.
-SLICE_TERMS = 1 << 20
+SLICE_TERMS = 1 << 21
 #: In every vocabulary, as fitting an empty one is an error; no text has it as a term.
 BLANK = " "
 
 
+LISTS = "lang string, source string, n_terms long, terms array<string>, counts array<int>"
+
+
 def term_lists(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, terms): the terms of each whole text in order, A-Z as a-z; null reads as ''."""
+    """``LISTS``: the distinct terms of each whole text, A-Z as a-z, and how often each occurs; null reads as ''."""
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [[x.decode() for x in TERM.findall(t.as_buffer().to_pybytes().lower())] for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.string()))], names=["lang", "source", "terms"])
+        for batch in batches:
+            for b in T.blocks(batch.column(2), lower=True, apart=APART):
+                at = np.concatenate([[0], np.cumsum(b.ends - b.starts)]).astype(np.int32)
+                every = pa.StringArray.from_buffers(len(b.starts), pa.py_buffer(at), pa.py_buffer(b.data[~APART[b.data]]))
+                own = [every[x:y].value_counts() for x, y in zip(b.edges[:-1].tolist(), b.edges[1:].tolist(), strict=True)]
+                edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), pa.int32())
+                terms, counts = (pa.concat_arrays([x.field(k) for x in own]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[b.first:b.last], batch.column(1)[b.first:b.last], pa.array(np.diff(b.edges)), pa.ListArray.from_arrays(edges, terms), pa.ListArray.from_arrays(edges, counts.cast(pa.int32()))],
+                                                 names=["lang", "source", "n_terms", "terms", "counts"])
 
     own = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    return own.mapInArrow(found, "lang string, source string, terms array<string>")
+    return own.mapInArrow(found, LISTS)
 
 
 def sliced(lists: DataFrame, slices: int) -> DataFrame:
-    """(source, slice, terms): every list cut into the terms of each slice; no list is gathered anywhere."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-        for b in batches:
-            for source, terms in zip(b.column(0), b.column(1), strict=True):
-                own: dict[int, list[str]] = {}
-                for t in terms.as_py():
-                    own.setdefault(zlib.crc32(t.encode()) % slices, []).append(t)
-                yield pa.RecordBatch.from_arrays([pa.array([source.as_py()] * len(own), pa.string()), pa.array(list(own), pa.int32()), pa.array(list(own.values()), pa.list_(pa.string()))], names=["source", "slice", "terms"])
-
-    return lists.select("source", "terms").mapInArrow(cut, "source string, slice int, terms array<string>")
+    """(source, terms, counts, slice): every list cut into the terms of each slice, in JVM columns; no list is gathered anywhere."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    pairs = F.filter(F.arrays_zip("terms", "counts"), lambda x: F.pmod(F.xxhash64(x["terms"]), F.lit(slices)) == F.col("slice"))
+    cut = lists.select("source", "terms", "counts", each).withColumn("own", pairs).where(F.size("own") > 0)
+    return cut.select("source", F.col("own.terms").alias("terms"), F.col("own.counts").alias("counts"), "slice")
 
 
 def group_sums(lists: DataFrame, min_docs: int) -> DataFrame:
-    """(source, term, n): the documents' sparse vectors of kept terms, added up by source."""
+    """(source, term, n): the documents' sparse vectors of kept terms, added up by source.
+
+    The vocabulary is fitted on each document's distinct terms, which decide alone in how many documents a term is. A document's vector
+    is the places of its terms in the vocabulary and its counts of them; a task adds up the vectors of a batch before they are shuffled."""
     spark = lists.sparkSession
     blanks = spark.range(min_docs).select(F.array(F.lit(BLANK)).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=ALL_TERMS).fit(lists.select("terms").unionByName(blanks))
-    vectors = model.transform(lists).select("source", F.unwrap_udt("vector").alias("v"))
-    entries = vectors.select("source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
-    sums = entries.groupBy("source", F.col("e.indices").alias("at")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
-    words = spark.createDataFrame(pa.table({"at": pa.array(range(len(model.vocabulary)), pa.int32()), "term": pa.array(model.vocabulary, pa.string())}))
-    return sums.join(words, "at").where(F.col("term") != BLANK).select("source", "term", "n")
+    words = pa.array(model.vocabulary, pa.string())
+    sent = spark.sparkContext.broadcast(words)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sources, lists = b.column(0).dictionary_encode(), b.column(1)
+            at = pc.index_in(lists.flatten(), value_set=known)
+            kept = at.is_valid().to_numpy(zero_copy_only=False)
+            of = np.repeat(sources.indices.to_numpy(), np.diff(lists.offsets.to_numpy()))[kept].astype(np.int64)
+            cell, inverse = np.unique(of * len(known) + at.drop_null().to_numpy(), return_inverse=True)
+            n = np.zeros(len(cell), np.int64)
+            np.add.at(n, inverse, b.column(2).flatten().to_numpy()[kept])
+            yield pa.RecordBatch.from_arrays([sources.dictionary.take(pa.array(cell // len(known))), pa.array((cell % len(known)).astype(np.int32)), pa.array(n)], names=["source", "at", "n"])
+
+    sums = lists.select("source", "terms", "counts").mapInArrow(add, "source string, at int, n long").groupBy("source", "at").agg(F.sum("n").alias("n"))
+    names = spark.createDataFrame(pa.table({"at": pa.array(range(len(words)), pa.int32()), "term": words}))
+    return sums.join(names, "at").where(F.col("term") != BLANK).select("source", "term", "n")
 
 
 def counted(docs: DataFrame, text: str, lang: str, source: str, min_docs: int, slice_terms: int) -> tuple[DataFrame, DataFrame]:
@@ -71,8 +94,8 @@ def counted(docs: DataFrame, text: str, lang: str, source: str, min_docs: int, s
     spark = docs.sparkSession
     folder, out = new_path(spark, "terms"), new_path(spark, "term-counts")
     term_lists(docs, text, lang, source).withColumn("folder", F.sha1(F.col("lang").cast("binary"))).write.partitionBy("folder").parquet(folder)
-    lists = spark.read.schema("lang string, source string, terms array<string>, folder string").parquet(folder)
-    groups = saved(lists.groupBy("lang", "source").agg(F.max("folder").alias("folder"), F.sum(F.size("terms")).alias("n_terms")), "groups")
+    lists = spark.read.schema(LISTS + ", folder string").parquet(folder)
+    groups = saved(lists.groupBy("lang", "source").agg(F.max("folder").alias("folder"), F.sum("n_terms").alias("n_terms")), "groups")
     sizes = groups.groupBy("lang", "folder").agg(F.sum("n_terms").alias("n_terms")).collect()  # a row for each language
     large = [x["folder"] for x in sizes if x["n_terms"] > min_docs * slice_terms]  # a kept term occurs min_docs times, so any other has few enough
     distinct = {x["folder"]: x["n"] for x in lists.where(F.col("folder").isin(large)).select("folder", F.explode("terms").alias("t")).groupBy("folder").agg(F.approx_count_distinct("t", 0.02).alias("n")).collect()} if large else {}
@@ -85,7 +108,7 @@ def counted(docs: DataFrame, text: str, lang: str, source: str, min_docs: int, s
         if slices > 1:
             path = new_path(spark, "term-slices")
             sliced(own, slices).write.partitionBy("slice").parquet(path)
-            cut = spark.read.schema("source string, terms array<string>, slice int").parquet(path)
+            cut = spark.read.schema("source string, terms array<string>, counts array<int>, slice int").parquet(path)
             parts = [cut.where(F.col("slice") == k) for k in range(slices)]
         for part in parts:
             group_sums(part, min_docs).select(F.lit(x["lang"]).alias("lang"), "source", "term", "n").write.mode("append").parquet(out)

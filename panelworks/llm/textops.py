@@ -84,12 +84,12 @@ def raw_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tupl
         at = to
 
 
-def blocks(texts: pa.Array, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of whole texts; null is empty; ``lower`` turns A-Z to a-z."""
+def blocks(texts: pa.Array, lower: bool = False, block_bytes: int = BLOCK_BYTES, apart: np.ndarray = _IS_SPACE) -> Iterator[Block]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of whole texts; null is empty; ``lower`` turns A-Z to a-z. ``apart``: the bytes between words, where others."""
     for first, last, data, bounds in raw_blocks(texts, block_bytes):
         if lower:
             data = _LOWER[data]
-        word = ~_IS_SPACE[data]
+        word = ~apart[data]
         n = len(data)
         cut = np.zeros(n + 1, bool)
         cut[bounds] = True
