@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.llm import textops as T
@@ -161,15 +161,16 @@ def signed(x: int) -> int:
 
 def keyed(fps: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """(fp, part, key, own): the bits of each part, and every way to flip as many of them as its threshold allows (not own)."""
-    arrays = []
-    for k, (own, t) in enumerate(parts):
+    def keys_of(k: int, own: list[int], t: int) -> Column:
         mask = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in own))))
         flips = [signed(sum(1 << b for b in x)) for m in range(1, t + 1) for x in combinations(own, m)]
         keys = F.array(F.struct(F.lit(k).alias("part"), mask.alias("key"), F.lit(True).alias("own")))
-        if flips:
-            probes = F.transform(F.array(*[F.lit(x) for x in flips]), lambda x, mask=mask, k=k: F.struct(F.lit(k).alias("part"), mask.bitwiseXOR(x).alias("key"), F.lit(False).alias("own")))
-            keys = F.concat(keys, probes)
-        arrays.append(keys)
+        if not flips:
+            return keys
+        each = F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.struct(F.lit(k).alias("part"), mask.bitwiseXOR(x).alias("key"), F.lit(False).alias("own")))
+        return F.concat(keys, each)
+
+    arrays = [keys_of(k, own, t) for k, (own, t) in enumerate(parts)]
     return fps.select("fp", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("k")).select("fp", "k.part", "k.key", "k.own")
 
 

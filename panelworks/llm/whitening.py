@@ -172,7 +172,9 @@ def principal(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     k = min(k, n)
     if not k:
         return np.zeros(0), np.zeros((n, 0))
-    scale = np.abs(v).max() or 1.0
+    scale = np.abs(v).max()
+    if not scale:
+        return np.zeros(k), np.eye(n, k)
     d, e, mirrors = tridiagonal(v / scale)
     values = leading(d, e, k)
     out = directions(d, e, values)
