@@ -23,6 +23,10 @@ from panelworks.llm import textops as T
 SAMPLE_ROWS, SAMPLE_BYTES = 64, 32768
 #: Texts are cut into pieces of this many bytes that step side by side; where a piece would have started in another state it is done again.
 PIECE = 256
+#: Rounds of redoing pieces side by side, before those still wrong are walked through one after another.
+PASSES = 4
+#: Bytes of one text that are parsed at a time.
+SEGMENT = 1 << 22
 ONE = np.int32(1)
 #: What a parser reads: A-Z as a-z, and all ASCII other than letters as one symbol. Every other byte is a symbol of its own.
 SYMBOL = T._LOWER.copy()
@@ -128,29 +132,31 @@ def run(state: np.ndarray, codes: np.ndarray, table: np.ndarray) -> tuple[np.nda
     return states, ends
 
 
-def phrases(data: np.ndarray, bounds: np.ndarray, parsers: list[Parser]) -> np.ndarray:
-    """(texts, languages) numbers of phrases.
+def ended(data: np.ndarray, bounds: np.ndarray, parsers: list[Parser], began_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, languages) numbers of phrases that end in each text, and the states that are left; ``began_in``: the states at the start.
 
     All pieces of a block step through an automaton side by side, each as if a phrase began with it. A piece whose
-    predecessor left another state steps again from that one until both ways meet, which takes a phrase or two;
-    what it leaves itself may then be new, and so on until nothing changes: the phrases of the whole text."""
+    predecessor left another state steps again from that one until both ways meet, mostly after a phrase or two. Where
+    they don't meet (a text of one repeated word, a table of numbers) what a piece leaves is new again and again; so after
+    ``PASSES`` rounds the pieces still wrong are walked through in order, each once, and alike pieces that start alike are walked once."""
     n = np.diff(bounds)
     pieces = -(-n // PIECE)
     of = np.repeat(np.arange(len(n)), pieces)
-    out = np.zeros((len(n), len(parsers)), np.int64)
+    out, state_of = np.zeros((len(n), len(parsers)), np.int64), began_in.copy()
     if not len(of):
-        return out
+        return out, state_of
     number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     place = (bounds[of] + number * PIECE)[None, :] + np.arange(PIECE)[:, None]
     outside = place >= bounds[of + 1][None, :]
     raw = data[np.minimum(place, len(data) - 1)]
+    del place
     for k, p in enumerate(parsers):
         codes = p.column[raw]
         codes[outside] = p.over
-        states, ends = run(np.zeros(len(of), np.int32), codes, p.table)
-        began = np.zeros(len(of), np.int32)
-        while True:
-            want = np.where(number > 0, np.concatenate([[0], states[-1, :-1]]), 0).astype(np.int32)
+        began = np.where(number == 0, began_in[of, k], 0).astype(np.int32)
+        states, ends = run(began, codes, p.table)
+        for _ in range(PASSES):
+            want = np.where(number > 0, np.concatenate([[0], states[-1, :-1]]), began).astype(np.int32)
             lanes = np.flatnonzero(want != began)
             if not len(lanes):
                 break
@@ -164,8 +170,43 @@ def phrases(data: np.ndarray, bounds: np.ndarray, parsers: list[Parser]) -> np.n
                 lanes, state = lanes[apart], state[apart]
                 if not len(lanes):
                     break
-        out[:, k] = np.bincount(of, ends.sum(0), minlength=len(n)).astype(np.int64) + (n > 0)
-    return out
+        count, last = ends.sum(0), states[-1].copy()
+        want = np.where(number > 0, np.concatenate([[0], last[:-1]]), began)
+        step, walked = memoryview(p.table), {}
+        for i in np.flatnonzero(want != began).tolist():
+            while i < len(of) and number[i] and last[i - 1] != began[i]:
+                began[i] = state = int(last[i - 1])
+                column = codes[:, i]
+                key = state, column.tobytes()
+                if key not in walked:
+                    found = 0
+                    for c in column.tolist():
+                        got = step[state + c]
+                        state = got >> 1
+                        found += got & 1
+                    walked[key] = state, found
+                last[i], count[i] = walked[key]
+                i += 1
+        out[:, k] = np.bincount(of, count, minlength=len(n)).astype(np.int64)
+        final = np.flatnonzero(number == np.repeat(pieces, pieces) - 1)
+        state_of[of[final], k] = last[final]
+    return out, state_of
+
+
+def phrases(data: np.ndarray, bounds: np.ndarray, parsers: list[Parser]) -> np.ndarray:
+    """(texts, languages) numbers of phrases of whole texts. A long text is parsed a segment at a time, each from the state that the one before it left."""
+    n = np.diff(bounds)
+    out = np.zeros((len(n), len(parsers)), np.int64)
+    short = n.max(initial=0) <= SEGMENT
+    for first, last in [(0, len(n))] if short else [(k, k + 1) for k in range(len(n))]:
+        state = np.zeros((last - first, len(parsers)), np.int32)
+        if last - first != 1:
+            out[first:last] = ended(data, bounds[first:last + 1], parsers, state)[0]
+            continue
+        for at in range(int(bounds[first]), int(bounds[last]), SEGMENT):
+            got, state = ended(data, np.array([at, min(at + SEGMENT, int(bounds[last]))]), parsers, state)
+            out[first] += got[0]
+    return out + (n > 0)[:, None]
 
 
 def predictor(model):
@@ -200,7 +241,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     Learns from rows that are not held out and have a text and a language. A text that is null or has no letter
     is ``und`` with score 0, and so is any if nothing could be learnt. Ties go to the first language in order.
-    Repeated rows are judged alike. Very long texts are parsed whole, in one pass of phrases. The key may have any
+    Repeated rows are judged alike. Very long texts are parsed whole, in one pass of phrases; time follows the bytes, whatever they are. The key may have any
     type; other columns are ignored, so none can clash. An empty table gives an empty result."""
     held = F.coalesce(F.expr(held_out.format(key=key)), F.lit(False))
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), held.alias("held_out"))
