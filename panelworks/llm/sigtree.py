@@ -467,8 +467,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     Extra columns may have any names. An empty table stays empty."""
     ids = [F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), F.col(text)).alias("_b")]
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), *ids)
-    classes = jaccard_components(docs.select(ids[0], F.col(text).alias("text")), "_a", "text", shingle, num, den).where("n_links > 0")
-    classes = saved(classes.select("_a", F.col("component_id").alias("_c")).distinct(), "classes")
+    # copies of a text are one text from here on, so that they never meet in a tree
+    texts = docs.select(F.col(key).alias("_key"), *ids, F.col(text).alias("text"))
+    copied = saved(texts.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_least")).where("_n > 1").drop("_n"), "copied")
+    copied = F.broadcast(copied) if copied.count() <= SENT_ROWS else copied
+    one = texts.join(copied, ["_a", "_b"]).where(F.col("_key").eqNullSafe(F.col("_least"))).select("_a", "_b", "text").dropDuplicates(["_a", "_b"])
+    distinct = texts.join(copied, ["_a", "_b"], "left_anti").select("_a", "_b", "text").unionByName(one)
+    found = saved(jaccard_components(distinct.select("_a", "text"), "_a", "text", shingle, num, den), "distinct-texts")
+    linked = found.where("n_links > 0").unionByName(found.where("n_links = 0 and n_shingles > 0").join(copied.select("_a"), "_a", "left_semi"))
+    classes = saved(linked.select("_a", F.col("component_id").alias("_c")).distinct(), "classes")
     send = F.broadcast if classes.count() <= SENT_ROWS else lambda x: x
     own = F.struct(F.col("_key").isNull().alias("null"), F.col("_key").alias("key"), F.col("_a").alias("a"), F.col("_b").alias("b"))
     linked = rows.drop("_row").join(send(classes), "_a").groupBy("_key", "_a", "_b", "_c").agg(F.count(F.lit(1)).alias("_n"))

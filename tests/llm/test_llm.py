@@ -613,6 +613,22 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert leaks and got == sorted(set(left) - leaks)
 
 
+def test_copies_of_a_text_never_meet(spark, monkeypatch):
+    """Of 3,000 copies and a near copy one row stays, and the join sees each text once; blank copies all stay."""
+    rnd, seen, join = random.Random(4), [], sigtree.jaccard_components
+    words = [f"w{rnd.randrange(500)}" for _ in range(120)]
+    near = " ".join([*words[:60], "other", *words[61:]])
+    rows = [(i, " ".join(words), None, None, 0) for i in range(10, 3000)] + [(None, " ".join(words), None, None, 0)] * 10 + [(5, near, None, None, 0), (6, near, None, None, 0), (6, near, None, None, 0)] + [(7000 + i, " ", None, None, 0) for i in range(4)] + [(8000, "alone with a few words", None, None, 0)]
+
+    def spy(docs, *more):
+        seen.append(docs.groupBy().count().first()[0])
+        return join(docs, *more)
+
+    monkeypatch.setattr(sigtree, "jaccard_components", spy)
+    kept = sigtree.one_of_each(spark.createDataFrame(rows, DOCS).repartition(6), shingle=5, num=80, den=100).collect()
+    assert seen == [4] and sorted(r["doc_id"] for r in kept) == [5, 7000, 7001, 7002, 7003, 8000]
+
+
 def test_one_of_each_judges_rows(spark):
     base = " ".join(f"w{k}" for k in range(40))
     near = base.replace("w39", "x")
@@ -721,6 +737,38 @@ def test_parser_counts_longest_matches():
             assert g == want
 
 
+def test_parsing_takes_time_by_bytes_alone():
+    """Text whose phrases never fall into step: as many phrases as byte by byte, in seconds for 10 MB, segments or not."""
+    import time
+
+    rnd = random.Random(3)
+    numbers = b"".join(b"%d %d.%d\n" % (rnd.randrange(10**6), rnd.randrange(99), rnd.randrange(10)) for _ in range(9000))
+    parsers = [langid.parser(x) for x in (b"ab cd, 12 " * 700 + b"q", numbers[:7000] + b" und so weiter", b"the " * 3 + b"x" * 500 + b"1" * 77)]
+
+    def slow(text, p):
+        state, found = 0, 0
+        for c in p.column[np.frombuffer(text, np.uint8)].tolist():
+            got = int(p.table[state + c])
+            state, found = got >> 1, found + (got & 1)
+        return found + (len(text) > 0)
+
+    texts = [numbers[:70_000], b"1 " * 40_000, b"x" * 30_001, b"", b"ab cd, " * 5000]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    want = [[slow(t, p) for p in parsers] for t in texts]
+    assert langid.phrases(data, bounds, parsers).tolist() == want
+    for segment in (1000, 65_536):
+        whole, langid.SEGMENT = langid.SEGMENT, segment
+        try:
+            assert langid.phrases(data, bounds, parsers).tolist() == want
+        finally:
+            langid.SEGMENT = whole
+    for long in (numbers * (10**7 // len(numbers)), b"xy1 " * 2_500_000, b"0" * 10**7):
+        began = time.time()
+        langid.phrases(np.frombuffer(long, np.uint8), np.array([0, len(long)]), parsers)
+        assert time.time() - began < 60
+
+
 def test_language_matches_brute_force(spark):
     rnd = random.Random(12)
     v = {"en": ["the", "thing", "with", "that", "and"], "de": ["der", "und", "nicht", "für", "sch"], "ру": ["это", "не", "так", "что"]}
