@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from panelworks.functions import columns as C
+from panelworks.operators import geometry as G
 from panelworks.operators import protection as P
 from panelworks.operators import roads as R
 from panelworks.operators import spatial as S
@@ -235,7 +236,7 @@ SMALL = f"(SELECT line_id, x1 * 0.2 AS x1, y1 * 0.2 AS y1, x2 * 0.2 AS x2, y2 *
 
 @query("g24_co_located", f"""WITH l AS (SELECT *, {LEN} AS len FROM {SMALL}), q AS (SELECT line_id AS b, len, ceil(len) AS n, unnest(range(0, CAST(ceil(len) AS BIGINT))) AS i, x1 AS a1, y1 AS b1, x2 AS a2, y2 AS b2 FROM l WHERE len >= 1),
   p AS (SELECT b, len AS blen, len / n AS piece, a1 + (a2 - a1) * (i + 0.5) / n AS x, b1 + (b2 - b1) * (i + 0.5) / n AS y FROM q)
-  SELECT s.line_id AS a, b FROM p JOIN l s ON s.line_id < b AND s.len >= 1 AND {DIST} <= 5 GROUP BY 1, 2, s.len, blen HAVING sum(piece) >= 0.5 * least(s.len, blen)""")
+  SELECT s.line_id AS a, b FROM p JOIN l s ON s.line_id < b AND s.len >= 1 AND {DIST} <= 5 GROUP BY 1, 2, s.len, blen HAVING sum(piece) >= 0.5 * (1 - 1e-9) * least(s.len, blen)""")
 def g24(spark, d):
     return R.co_located(pieces(spark, d, 0.2), within_m=5.0, step=1.0)
 
@@ -328,3 +329,96 @@ def g25(spark, d):
 def g28(spark, d):
     c = points(spark, d).select(F.col("vec_id").alias("center"), "x", "y")
     return S.within(c, lines(spark, d), 20.0, "center", "line_id").where("center <> line_id").select("center", "line_id")
+
+
+TEN = f"(SELECT vec_id // 10 AS line_id, vec_id AS seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ({PT}) WINDOW w AS (PARTITION BY vec_id // 10 ORDER BY vec_id) QUALIFY x2 IS NOT NULL)"
+
+
+def tens(spark, d):
+    """Lines of ten consecutive points."""
+    p = points(spark, d)
+    nxt = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return p.where("vec_id % 10 <> 9").join(nxt, "vec_id").select(F.floor(F.col("vec_id") / 10).alias("line_id"), F.col("vec_id").alias("seq"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+
+
+@query("g28_clipped_context", f"""WITH s AS (SELECT vec_id AS center, line_id, seq, x, y, x1, y1, x2, y2, x2 - x1 AS dx, y2 - y1 AS dy, pow(x2 - x1, 2) + pow(y2 - y1, 2) AS a, (x1 - x) * (x2 - x1) + (y1 - y) * (y2 - y1) AS b, pow(x1 - x, 2) + pow(y1 - y, 2) - 625 AS c FROM ({PT}) p, {TEN} l WHERE line_id <> vec_id // 10),
+  r AS (SELECT *, greatest(0.0::DOUBLE, (-b - sqrt(b * b - a * c)) / a) AS lo, least(1.0::DOUBLE, (-b + sqrt(b * b - a * c)) / a) AS hi FROM s WHERE a > 0 AND b * b - a * c > 0), i AS (SELECT *, CASE WHEN lo < 1e-12 THEN 0 ELSE lo END AS l, CASE WHEN hi > 1 - 1e-12 THEN 1 ELSE hi END AS h FROM r WHERE lo < hi),
+  n AS (SELECT *, CASE WHEN l = 0 AND lag(h) OVER w = 1 AND lag(seq) OVER w = seq - 1 THEN 0 ELSE 1 END AS new FROM i WINDOW w AS (PARTITION BY center, line_id ORDER BY seq))
+  SELECT center, line_id, CAST(sum(new) OVER (PARTITION BY center, line_id ORDER BY seq) - 1 AS INTEGER) AS part, seq, round(x1 + dx * l, 4) AS x1, round(y1 + dy * l, 4) AS y1, round(x1 + dx * h, 4) AS x2, round(y1 + dy * h, 4) AS y2 FROM n""")
+def g28_clipped(spark, d):
+    """Every other line within 25 m of a point, clipped to that circle."""
+    c = points(spark, d).select(F.col("vec_id").alias("center"), "x", "y")
+    inside = G.clipped(tens(spark, d), c, 25.0, "line_id", "center").where("line_id <> floor(center / 10)")
+    return inside.select("center", "line_id", "part", "seq", *[F.round(x, 4).alias(x) for x in G.XY])
+
+
+A3087 = G.Albers()
+CONE = A3087.cone()
+AUTH = f"({1 - G.GRS80.e2!r}::DOUBLE * (sin(radians(lat)) / (1 - {G.GRS80.e2!r}::DOUBLE * pow(sin(radians(lat)), 2)) + atanh({G.GRS80.e!r}::DOUBLE * sin(radians(lat))) / {G.GRS80.e!r}::DOUBLE))"
+RHO = f"({A3087.on.a / CONE[0]!r}::DOUBLE * sqrt({CONE[1]!r}::DOUBLE - {CONE[0]!r}::DOUBLE * {AUTH}))"
+
+
+@query("g29_albers_and_back", f"""WITH p AS (SELECT vec_id, -83.0 + x / 200 AS lon, 28.0 + y / 200 AS lat FROM ({PT})) SELECT vec_id, round(400000.0 + {RHO} * sin({CONE[0]!r}::DOUBLE * radians(lon + 84.0)), 3) AS x, round({CONE[2]!r}::DOUBLE - {RHO} * cos({CONE[0]!r}::DOUBLE * radians(lon + 84.0)), 3) AS y, 0.0::DOUBLE AS albers_mm, 0.0::DOUBLE AS mercator_mm FROM p""")
+def g29_back(spark, d):
+    """Degrees to the equal-area plane; and what is lost on the way back from it and from the transverse Mercator plane, in millimetres."""
+    lon, lat = F.lit(-83.0) + F.col("x") / 200, F.lit(28.0) + F.col("y") / 200
+    p = points(spark, d).select("vec_id", lon.alias("lon"), lat.alias("lat"))
+    x, y = A3087.forward(F.col("lon"), F.col("lat"))
+    e, n = S.transverse_mercator(F.col("lon"), F.col("lat"), -81.0)
+    p = p.withColumns({"x": x, "y": y, "e": e, "n": n})
+    lost = lambda back: F.round(F.greatest(F.abs(back[0] - F.col("lon")), F.abs(back[1] - F.col("lat"))) * 111_320_000, 0) + 0.0
+    return p.select("vec_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), lost(A3087.inverse(F.col("x"), F.col("y"))).alias("albers_mm"), lost(G.transverse_mercator_inverse(F.col("e"), F.col("n"), -81.0)).alias("mercator_mm"))
+
+
+MULTI = f"""(SELECT line, part, CASE WHEN turn THEN -seq ELSE seq END AS seq, CASE WHEN turn THEN bx ELSE ax END + off AS x1, CASE WHEN turn THEN by_ ELSE ay END AS y1, CASE WHEN turn THEN ax ELSE bx END + off AS x2, CASE WHEN turn THEN ay ELSE by_ END AS y2 FROM (
+  SELECT a.vec_id // 20 AS line, (a.vec_id % 20) // 5 AS part, a.vec_id AS seq, (a.vec_id // 20 + (a.vec_id % 20) // 5) % 3 = 0 AS turn, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, CASE WHEN (a.vec_id // 20) % 5 = 0 AND (a.vec_id % 20) // 5 = 2 THEN 1.0 ELSE 0.0 END AS off
+  FROM ({PT}) a JOIN ({PT}) b ON b.vec_id = CASE WHEN a.vec_id % 20 = 19 AND (a.vec_id // 20) % 7 = 1 THEN a.vec_id - 19 ELSE a.vec_id + 1 END))"""
+
+
+def multi_lines(spark, d):
+    """Lines of four parts that follow each other, every third part digitised backwards; every fifth line has a gap, every seventh is a ring."""
+    p = points(spark, d)
+    line, part = F.floor(F.col("vec_id") / 20), F.floor(F.col("vec_id") % 20 / 5)
+    nxt = F.when((F.col("vec_id") % 20 == 19) & (line % 7 == 1), F.col("vec_id") - 19).otherwise(F.col("vec_id") + 1)
+    other = p.select(F.col("vec_id").alias("nxt"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    s = p.withColumn("nxt", nxt).join(other, "nxt").select(line.alias("line"), part.alias("part"), F.col("vec_id").alias("seq"), ((line + part) % 3 == 0).alias("turn"), F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by", F.when((line % 5 == 0) & (part == 2), 1.0).otherwise(0.0).alias("off"))
+    turned = lambda a, b: F.when(F.col("turn"), F.col(b)).otherwise(F.col(a))
+    return s.select("line", "part", turned("seq", "seq") * F.when(F.col("turn"), -1).otherwise(1).alias("seq"), (turned("ax", "bx") + F.col("off")).alias("x1"), turned("ay", "by").alias("y1"), (turned("bx", "ax") + F.col("off")).alias("x2"), turned("by", "ay").alias("y2")).toDF("line", "part", "seq", *G.XY)
+
+
+@query("g25_merged_parts", f"""WITH RECURSIVE p AS (SELECT line, part, sum({LEN}) AS len, arg_min(x1, seq) AS ax, arg_min(y1, seq) AS ay, arg_max(x2, seq) AS bx, arg_max(y2, seq) AS by_ FROM {MULTI} GROUP BY 1, 2),
+  e AS (SELECT line, part, ax AS x, ay AS y FROM p UNION ALL SELECT line, part, bx, by_ FROM p), c AS (SELECT line, max(met) AS most, count(*) FILTER (WHERE met = 1) AS loose FROM (SELECT line, x, y, count(*) AS met FROM e GROUP BY ALL) GROUP BY 1), n AS (SELECT line, count(*) AS n_parts, min(part) AS least FROM p GROUP BY 1),
+  w AS (SELECT line, part, [part] AS used, [0] AS ways, len AS ahead, len AS total, ax AS x0, ay AS y0, bx AS x1, by_ AS y1 FROM p UNION ALL SELECT line, part, [part], [1], 0.0, len, bx, by_, ax, ay FROM p
+    UNION ALL SELECT w.line, p.part, list_append(used, p.part), list_append(ways, CASE WHEN p.ax = w.x1 AND p.ay = w.y1 THEN 0 ELSE 1 END), ahead + CASE WHEN p.ax = w.x1 AND p.ay = w.y1 THEN len ELSE 0 END, total + len, x0, y0, CASE WHEN p.ax = w.x1 AND p.ay = w.y1 THEN bx ELSE ax END, CASE WHEN p.ax = w.x1 AND p.ay = w.y1 THEN by_ ELSE ay END
+      FROM w JOIN p ON p.line = w.line AND NOT list_contains(used, p.part) AND (p.ax = w.x1 AND p.ay = w.y1 OR p.bx = w.x1 AND p.by_ = w.y1)),
+  f AS (SELECT w.*, n_parts FROM w JOIN n USING (line) JOIN c USING (line) WHERE len(used) = n_parts AND most <= 2 AND (loose = 2 OR loose = 0 AND used[1] = least) QUALIFY row_number() OVER (PARTITION BY line ORDER BY CASE WHEN abs(2 * ahead - total) <= 1e-9 * total THEN 0 ELSE total - 2 * ahead END, ways[list_position(used, least)]) = 1)
+  SELECT line, true AS merged, array_to_string([used[k] || CASE WHEN ways[k] = 1 THEN '-' ELSE '+' END FOR k IN range(1, len(used) + 1)], ',') AS parts, round(total, 3) AS length_m, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1 FROM f
+  UNION ALL SELECT line, false, part || '+', round(len, 3), round(ax, 4), round(ay, 4), round(bx, 4), round(by_, 4) FROM p WHERE line NOT IN (SELECT line FROM f) QUALIFY row_number() OVER (PARTITION BY line ORDER BY len DESC, part) = 1""")
+def g25_merged(spark, d):
+    s = saved(multi_lines(spark, d), "multi-lines")
+    how = saved(G.merged_parts(s, "line", "part"), "merged")
+    name = F.concat(F.col("part").cast("string"), F.when(F.col("turned"), "-").otherwise("+"))
+    names = how.groupBy("line", "merged").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("place", name.alias("n")))), lambda x: x["n"])).alias("parts"))
+    flat = G.flattened(s, "line", "part")
+    n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    ends = flat.groupBy("line").agg(F.round(F.sum(n), 3).alias("length_m"), *[F.round(F.min_by(c, "seq"), 4).alias(o) for c, o in (("x1", "x0"), ("y1", "y0"))], *[F.round(F.max_by(c, "seq"), 4).alias(o) for c, o in (("x2", "x1"), ("y2", "y1"))])
+    return names.join(ends, "line")
+
+
+ASIDE = PAIRS_OF.replace("@IDS", f"i, j, {BEYOND} AS past").replace("@POINTS", GRID.replace("i * 6 + 3.0::DOUBLE", "i * 6 + 4.3::DOUBLE").replace("j * 6 + 3.0::DOUBLE", "j * 6 + 2.1::DOUBLE"))
+
+
+@query("g23_zone_classes", f"""WITH z AS MATERIALIZED (SELECT DISTINCT line_id, i, j FROM {ON_GRID} WHERE {PROT}), q AS MATERIALIZED (SELECT q.line_id, q.i, q.j, x, y, past, coalesce({PROT}, false) = (z.i IS NOT NULL) AS same FROM {ASIDE} q LEFT JOIN z ON z.line_id = q.line_id AND z.i = q.i AND z.j = q.j),
+  s AS (SELECT line_id, i, j, di, dj, (i + greatest(di, 0)) * 6.0 AS x1, (j + greatest(dj, 0)) * 6.0 AS y1, (i + CASE WHEN di = 0 THEN 1 ELSE greatest(di, 0) END) * 6.0 AS x2, (j + CASE WHEN dj = 0 THEN 1 ELSE greatest(dj, 0) END) * 6.0 AS y2 FROM z, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) v(di, dj)),
+  o AS (SELECT s.* FROM s LEFT JOIN z ON z.line_id = s.line_id AND z.i = s.i + di AND z.j = s.j + dj WHERE z.i IS NULL),
+  n AS (SELECT q.line_id, q.i, q.j, bool_or(pow(x - least(greatest(x, x1), x2), 2) + pow(y - least(greatest(y, y1), y2), 2) <= 4) AS edge FROM q JOIN o ON o.line_id = q.line_id AND abs(o.i - q.i) <= 1 AND abs(o.j - q.j) <= 1 WHERE NOT same GROUP BY ALL)
+  SELECT line_id, count(*) AS points, count(*) FILTER (WHERE same) AS agree, count(*) FILTER (WHERE NOT same AND coalesce(edge, false)) AS within_edge, count(*) FILTER (WHERE NOT same AND NOT coalesce(edge, false) AND past) AS past_end, count(*) FILTER (WHERE NOT same AND NOT coalesce(edge, false) AND NOT past) AS other FROM q LEFT JOIN n USING (line_id, i, j) GROUP BY 1""")
+def g23_classes(spark, d):
+    """The protected zone of each barrier as cells against the point test of points elsewhere in the same cells."""
+    zone = pairs(spark, d, zone_points(spark, d)).where("protected").select("line_id", F.col("vec_id").alias("cell"))
+    place = zone_points(spark, d).select(F.col("vec_id").alias("cell"), F.floor(F.col("x") / 6).alias("i"), F.floor(F.col("y") / 6).alias("j"))
+    aside = saved(zone_points(spark, d, 1.3, -0.9), "aside")
+    refs = lines(spark, d).select("line_id", F.lit(0).alias("seq"), *G.XY)
+    past = P.positions(aside, refs, BAND, "vec_id", "line_id").select("vec_id", "line_id", F.col("beyond_end").alias("past_end"))
+    tested = pairs(spark, d, aside).join(aside, "vec_id").join(past, ["vec_id", "line_id"]).withColumnRenamed("protected", "inside")
+    return G.zone_agreement(tested, zone.join(place, "cell"), "vec_id", "line_id", 6.0, 2.0)
