@@ -90,16 +90,23 @@ def inside(*cols):
     return ", ".join(f"{c} - avg({c}) OVER (PARTITION BY o_custkey) - avg({c}) OVER (PARTITION BY year) + avg({c}) OVER () AS {c}" for c in cols)
 
 
+def inside_rich(*cols):
+    """The same with each year's slope of ``rich`` taken out as well: it is 0 or 1 and a unit's own, so these are means by year and kind."""
+    return ", ".join(f"{c} - avg({c}) OVER (PARTITION BY o_custkey) - avg({c}) OVER (PARTITION BY year, rich) + avg({c}) OVER (PARTITION BY rich) AS {c}" for c in cols)
+
+
 @query("e06_two_way_fixed_effects", f"""WITH p AS {BALANCED}, q AS (SELECT *, d * rich AS dr, rich * (year - 1998) AS slope FROM p), r AS (SELECT {inside("y", "d", "dr", "slope")} FROM q),
   m AS (SELECT sum(d * d) AS dd, sum(d * dr) AS de, sum(dr * dr) AS ee, sum(d * y) AS dy, sum(dr * y) AS ey, sum(slope * slope) AS ss, sum(d * slope) AS ds, sum(slope * y) AS sy, count(*) AS n FROM r)
   SELECT 'plain' AS model, 'd' AS term, round(dy / dd, 5) AS coef, n FROM m UNION ALL SELECT 'interaction', 'd', round((ee * dy - de * ey) / (dd * ee - de * de), 5), n FROM m UNION ALL SELECT 'interaction', 'd_rich', round((dd * ey - de * dy) / (dd * ee - de * de), 5), n FROM m
+  UNION ALL SELECT 'absorbed slopes', 'd', (SELECT round(sum(d * y) / sum(d * d), 5) FROM (SELECT {inside_rich("y", "d")} FROM q)), n FROM m
   UNION ALL SELECT 'slope by year', 'd', round((ss * dy - ds * sy) / (dd * ss - ds * ds), 5), n FROM m UNION ALL SELECT 'slope by year', 'rich_trend', round((dd * sy - ds * dy) / (dd * ss - ds * ds), 5), n FROM m""")
 def e06(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") > 5000).cast("double").alias("rich"))
     p = saved(balanced(spark, d).join(c, "o_custkey").withColumns({"d_rich": F.col("d") * F.col("rich"), "rich_trend": F.col("rich") * (F.col("year") - 1998)}), "balanced")
     out = []
-    for model, xs in (("plain", ["d"]), ("interaction", ["d", "d_rich"]), ("slope by year", ["d", "rich_trend"])):
-        rows, info = E.regression(p, "y", xs, ["o_custkey", "year"], "o_custkey")
+    found = E.models(p, "y", {"plain": ["d"], "interaction": ["d", "d_rich"], "slope by year": ["d", "rich_trend"]}, ["o_custkey", "year"], "o_custkey")
+    found |= E.models(p, "y", {"absorbed slopes": ["d"]}, ["o_custkey", "year"], "o_custkey", slopes=[("year", "rich")])
+    for model, (rows, info) in found.items():
         out += [{"model": model, "term": r["term"], "coef": round(r["coef"], 5), "n": info["n"]} for r in rows]
     return small(spark, out)
 
@@ -125,13 +132,10 @@ def e08(spark, d):
 
 @query("e09_randomization_inference")
 def e09(spark, d):
-    p = saved(panel(spark, d), "panel")
-    units = p.select("o_custkey", "first").distinct()
-    drawn = E.permuted_first(units, "o_custkey", "first", 19, 5).unionByName(units.withColumn("draw", F.lit(0)))
-    ch = E.changes(p.drop("first").join(drawn, "o_custkey"), "o_custkey", "year", "y", "first", keys=["draw"])
-    att = saved(E.overall(E.group_time(ch, "year", ["draw"]), [F.col("draw")]), "draws")
+    att = saved(E.randomized_effects(panel(spark, d), "o_custkey", "year", "y", "first", 1999, 5), "draws")
     own = att.where("draw = 0").select(F.abs("att").alias("own"))
-    return att.where("draw > 0").crossJoin(F.broadcast(own)).groupBy(F.round("own", 6).alias("abs_att")).agg(((F.count_if(F.abs("att") >= F.col("own")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    at_least = F.count_if(F.abs("att") >= F.col("own") * (1 - 1e-9))
+    return att.where("draw > 0").crossJoin(F.broadcast(own)).groupBy(F.round("own", 6).alias("abs_att")).agg(((at_least + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("draws"))
 
 
 @query("e10_wild_bootstrap")
@@ -139,7 +143,7 @@ def e10(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     p = E.demeaned(balanced(spark, d).join(c, "o_custkey").select("o_custkey", "year", "c_nationkey", "y", "d"), ["y", "d"], ["o_custkey", "year"])
     scores = p.groupBy("c_nationkey").agg(F.sum(F.col("d") * F.col("y")).alias("s"))
-    return E.wild_bootstrap(scores, "c_nationkey", "s", 999, 3).select(F.round("t_stat", 6).alias("t_stat"), "p_value", "draws")
+    return E.wild_bootstrap(scores, "c_nationkey", "s", 9999, 3).select(F.round("t_stat", 6).alias("t_stat"), "p_value", "draws")
 
 
 @query("e11_leave_one_out", f"""WITH x AS (SELECT p.*, c_nationkey // 5 AS part FROM {PANEL} p JOIN customer ON c_custkey = o_custkey), d AS (SELECT k.part AS dropped, b.o_custkey, a.year AS base, b.year, b.y - a.y AS dy, coalesce(b.first = a.year + 1, false) AS treated, b.first IS NULL OR b.first > b.year AS control FROM (SELECT DISTINCT part FROM x) k JOIN x a ON a.part <> k.part JOIN x b ON a.o_custkey = b.o_custkey AND b.year > a.year),
@@ -169,6 +173,44 @@ def e12(spark, d):
     return E.splits(p.join(base, "o_custkey").join(c, "o_custkey"), "y", SPLITS).withColumn("diff", F.round("diff", 6))
 
 
+CUTOFFS = (1000, 3000, 5000, 7000)
+
+
+def _cutoff_sql(m):
+    return f"""SELECT CAST({m} AS INTEGER) AS cutoff, n_near, round((ff * ny - nf * fy) / det, 5) AS near, round((nn * fy - nf * ny) / det, 5) AS far, round(sqrt(v11), 5) AS near_se, round(sqrt(v22), 5) AS far_se, round(((ff * ny - nf * fy) / det - (nn * fy - nf * ny) / det) ** 2 / (v11 + v22 - 2 * v12), 4) AS equal FROM (
+  SELECT *, c * (ff * ff * s11 - 2 * ff * nf * s12 + nf * nf * s22) / det ** 2 AS v11, c * (nf * nf * s11 - 2 * nn * nf * s12 + nn * nn * s22) / det ** 2 AS v22, c * (-ff * nf * s11 + (ff * nn + nf * nf) * s12 - nf * nn * s22) / det ** 2 AS v12 FROM (
+    SELECT any_value(nn) AS nn, any_value(nf) AS nf, any_value(ff) AS ff, any_value(ny) AS ny, any_value(fy) AS fy, any_value(n_near) AS n_near, any_value(nn * ff - nf * nf) AS det, count(*) / (count(*) - 1.0) * any_value((n - 1.0) / (n - 2.0)) AS c, sum(s1 * s1) AS s11, sum(s1 * s2) AS s12, sum(s2 * s2) AS s22 FROM (
+      SELECT o_custkey, any_value(nn) AS nn, any_value(nf) AS nf, any_value(ff) AS ff, any_value(ny) AS ny, any_value(fy) AS fy, any_value(n) AS n, any_value(n_near) AS n_near,
+        sum(near * (y - near * (ff * ny - nf * fy) / (nn * ff - nf * nf) - far * (nn * fy - nf * ny) / (nn * ff - nf * nf))) AS s1, sum(far * (y - near * (ff * ny - nf * fy) / (nn * ff - nf * nf) - far * (nn * fy - nf * ny) / (nn * ff - nf * nf))) AS s2
+      FROM r{m}, (SELECT sum(near * near) AS nn, sum(near * far) AS nf, sum(far * far) AS ff, sum(near * y) AS ny, sum(far * y) AS fy, count(*) AS n FROM r{m}), (SELECT count(DISTINCT o_custkey) AS n_near FROM q WHERE first IS NOT NULL AND c_acctbal <= {m}) GROUP BY o_custkey)))"""
+
+
+@query("e12_cutoff_models", f"WITH q AS (SELECT b.*, c_acctbal FROM {BALANCED} b JOIN customer ON c_custkey = o_custkey), " + ", ".join(
+    f"r{m} AS (SELECT o_custkey, {inside('y', 'near', 'far')} FROM (SELECT o_custkey, year, y, CASE WHEN c_acctbal <= {m} THEN d ELSE 0 END AS near, CASE WHEN c_acctbal <= {m} THEN 0 ELSE d END AS far FROM q))" for m in CUTOFFS) + " " + " UNION ALL ".join(_cutoff_sql(m) for m in CUTOFFS))
+def e12_models(spark, d):
+    """The effect near and far at every cutoff, clustered by unit, and the test that both are equal: one absorption for all cutoffs."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    p = balanced(spark, d).join(c, "o_custkey")
+    p = saved(p.withColumns({f"{k}{m}": F.when((F.col("c_acctbal") <= m) == (k == "near"), F.col("d")).otherwise(0.0) for m in CUTOFFS for k in ("near", "far")}), "cutoffs")
+    counts = p.where("first is not null").agg(*[F.count_distinct(F.when(F.col("c_acctbal") <= m, F.col("o_custkey"))) for m in CUTOFFS]).first()
+    found = E.models(p, "y", {str(m): [f"near{m}", f"far{m}"] for m in CUTOFFS}, ["o_custkey", "year"], "o_custkey")
+    out = []
+    for m, n in zip(CUTOFFS, counts, strict=True):
+        rows, info = found[str(m)]
+        out.append((m, n, *[round(r["coef"], 5) for r in rows], *[round(r["se"], 5) for r in rows], round(E.equal_terms(info["b"], info["V"]), 4)))
+    return spark.createDataFrame(out, "cutoff int, n_near long, near double, far double, near_se double, far_se double, equal double")
+
+
+@query("e12_cutoff_effects", " UNION ALL ".join(f"""SELECT CAST({m} AS INTEGER) AS cutoff, round(sum(att * nt) / sum(nt), 6) AS att, CAST(sum(nt) AS BIGINT) AS n_treated FROM (SELECT base, year, avg(dy) FILTER (WHERE treated) - avg(dy) FILTER (WHERE control AND NOT treated) AS att, count(*) FILTER (WHERE treated) AS nt
+  FROM {DY.replace("(SELECT b.o_custkey", "(SELECT b.first AS f, b.o_custkey")} JOIN customer ON c_custkey = o_custkey WHERE f IS NULL OR c_acctbal <= {m} GROUP BY ALL HAVING nt > 0 AND count(*) FILTER (WHERE control AND NOT treated) > 0)""" for m in CUTOFFS))
+def e12_effects(spark, d):
+    """The group-time effect of the treated up to each cutoff against all never and not yet treated: a unit goes on once for each cutoff that has it."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    p = panel(spark, d).join(c, "o_custkey").withColumn("cutoff", F.explode(F.array(*[F.lit(m) for m in CUTOFFS]))).where("first is null or c_acctbal <= cutoff")
+    cells = E.group_time(E.changes(p, "o_custkey", "year", "y", "first", keys=["cutoff"]), "year", ["cutoff"])
+    return E.overall(cells, [F.col("cutoff")]).select("cutoff", F.round("att", 6).alias("att"), "n_treated")
+
+
 @query("e13_within_site", f"""WITH x AS (SELECT c_nationkey AS site, c_acctbal <= 3000 AS near, year >= 1998 AS post, y FROM {PANEL} JOIN customer ON c_custkey = o_custkey), m AS (SELECT site, avg(y) FILTER (WHERE near AND post) - avg(y) FILTER (WHERE near AND NOT post) - avg(y) FILTER (WHERE NOT near AND post) + avg(y) FILTER (WHERE NOT near AND NOT post) AS dd, count(*) AS n FROM x GROUP BY 1 HAVING dd IS NOT NULL)
   SELECT round(sum(dd * n) / sum(n), 6) AS dd, round(sum(dd * n) FILTER (WHERE site % 2 = 0) / sum(n) FILTER (WHERE site % 2 = 0) - sum(dd * n) FILTER (WHERE site % 2 = 1) / sum(n) FILTER (WHERE site % 2 = 1), 6) AS ddd, count(*) AS n_sites FROM m""")
 def e13(spark, d):

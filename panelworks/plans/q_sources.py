@@ -182,10 +182,9 @@ def v01(spark, d):
     e = t(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
     e.repartition(3).write.parquet(base)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(base)
-    q = stream.writeStream.foreachBatch(feeds.keep_latest(spark, ["user_id", "event_type"], "ts", out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress), default=0)
-    return spark.read.schema(e.schema).parquet(f"{out}/v{last}").select("user_id", "event_type", "event_id")
+    feeds.logged(stream, ["user_id", "event_type"], "ts", out)
+    log = spark.read.schema(f"{e.schema.simpleString()[7:-1]}, batch long".replace(":", " ")).parquet(out)
+    return feeds.current(log, ["user_id", "event_type"]).select("user_id", "event_type", "event_id")
 
 
 @query("v02_delay_feed", """WITH e AS (SELECT ts, value FROM events), w AS (SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean_delay FROM e GROUP BY 1) SELECT start, n, mean_delay FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR""")
