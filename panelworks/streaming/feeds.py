@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,14 +18,28 @@ def tumbling_delay(events: DataFrame, ts: str, delay: str, width: str = "1 hour"
     return e.groupBy(F.window(ts, width)).agg(F.count(F.lit(1)).alias("n"), F.avg(delay).alias("mean_delay")).select(F.col("window.start").alias("start"), "n", "mean_delay")
 
 
-def keep_latest(spark: SparkSession, keys: list[str], order: str, table: str):
-    """A foreachBatch function that keeps the latest row of each key in versioned folders under ``table``.
+def latest_rows(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The latest row of each key as it changes, for update mode: Spark's state store holds one row for each key.
 
-    The state is one row for each key. A batch that is run again reads the version before it, so repeats change nothing."""
+    Of rows of one time that with the greatest other columns counts. For very many keys set the RocksDB state store, which keeps them on disk."""
+    rest = [c for c in stream.columns if c not in keys]
+    return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("r")).select(*keys, "r.*").select(*stream.columns)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        rest = [c for c in batch.columns if c not in keys]
-        both = batch if batch_id == 0 else spark.read.schema(batch.schema).parquet(f"{table}/v{batch_id - 1}").unionByName(batch)
-        both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("r")).select(*keys, "r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{table}/v{batch_id}")
 
-    return upsert
+def logged(stream: DataFrame, keys: list[str], order: str, table: str):
+    """Runs ``latest_rows`` over what is there: a batch appends the keys that it changed, as ``table``/batch=<id>, and nothing else.
+
+    State and offsets lie in ``table``-checkpoint, so a stopped or failed run goes on where it was; a batch that is run again writes its own folder again."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    q = latest_rows(stream, keys, order).writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{table}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def current(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest row of each key from the log of ``logged`` (with its ``batch`` column): that of the last batch that changed the key."""
+    rest = [c for c in log.columns if c not in (*keys, "batch")]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
