@@ -472,8 +472,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     copied = saved(texts.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_least")).where("_n > 1").drop("_n"), "copied")
     copied = F.broadcast(copied) if copied.count() <= SENT_ROWS else copied
     one = texts.join(copied, ["_a", "_b"]).where(F.col("_key").eqNullSafe(F.col("_least"))).select("_a", "_b", "text").dropDuplicates(["_a", "_b"])
-    distinct = texts.join(copied, ["_a", "_b"], "left_anti").select("_a", "_b", "text").unionByName(one)
-    found = saved(jaccard_components(distinct.select("_a", "text"), "_a", "text", shingle, num, den), "distinct-texts")
+    distinct = saved(texts.join(copied, ["_a", "_b"], "left_anti").select("_a", "text").unionByName(one.select("_a", "text")), "distinct-texts")
+    found = saved(jaccard_components(distinct, "_a", "text", shingle, num, den), "found")
     linked = found.where("n_links > 0").unionByName(found.where("n_links = 0 and n_shingles > 0").join(copied.select("_a"), "_a", "left_semi"))
     classes = saved(linked.select("_a", F.col("component_id").alias("_c")).distinct(), "classes")
     send = F.broadcast if classes.count() <= SENT_ROWS else lambda x: x
