@@ -79,19 +79,31 @@ def norm_place(name: Column, aliases: dict[str, str] | None = None) -> Column:
     return decode(plain, aliases, keep_unknown=True) if aliases else plain
 
 
-#: What special schools are called before and after a reform of terms.
-SPECIAL_TERMS = (r"grundsärskol\w*", r"gymnasiesärskol\w*", r"anpassad\s+grundskol\w*", r"anpassad\s+gymnasieskol\w*", r"särskol\w*")
+#: How terms for special schools begin, word by word, before and after a reform of terms; and words that announce grades.
+SPECIAL_TERMS = (("grundsärskol",), ("gymnasiesärskol",), ("anpassad", "grundskol"), ("anpassad", "gymnasieskol"), ("särskol",))
+GRADE_WORDS = ("f", "ak", "åk", "arskurs", "årskurs")
 
 
-def norm_entity(name: Column, vocabulary: tuple[str, ...] = SPECIAL_TERMS) -> Column:
+def norm_entity(name: Column, vocabulary: tuple[tuple[str, ...], ...] = SPECIAL_TERMS) -> Column:
     """Lower case, without grade ranges, numbered units, the vocabulary, digits, punctuation and words of one to three of h, l, m.
 
-    So names that differ in these only are equal; a unit that is named rather than numbered stays."""
-    grades = r"(?U)\b(f|ak|åk|arskurs|årskurs)?\s*\d+\s*[-–]\s*\d+\b"
-    x = F.lower(name)
-    for pattern in [grades, r"(?U)\benhet\s*\d+\b", *[rf"(?U)\b{v}\b" for v in vocabulary], r"\d+", r"(?U)[^\w\s]", r"(?U)\b[hlm]{1,3}\b"]:
-        x = F.regexp_replace(x, pattern, " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    So names that differ in these only are equal; a unit that is named rather than numbered stays. A name is cut into words once, and words go
+    by their class and by the word next to them."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"\s*[-–]\s*", "-"), r"(?U)[^\w\s-]", " ")), r"\s+")
+    span, number = r"^\d+-\d+$", r"^\d+$"
+
+    def dropped(w: Column, i: Column) -> Column:
+        near = lambda k: F.coalesce(F.get(words, i + k), F.lit(""))
+        grades = w.rlike(span) | F.regexp_replace(w, f"^({'|'.join(GRADE_WORDS)})", "").rlike(span) | w.isin(*GRADE_WORDS) & near(1).rlike(span)
+        gone = grades | (w == "enhet") & near(1).rlike(number)
+        for term in vocabulary:
+            for k in range(len(term)):
+                at = [near(j - k).startswith(x) if j == len(term) - 1 else near(j - k) == x for j, x in enumerate(term)]
+                gone = gone | reduce(lambda x, y: x & y, at)
+        return gone
+
+    left = F.split(F.regexp_replace(F.array_join(F.filter(words, lambda w, i: ~dropped(w, i)), " "), r"[\d-]+", " "), r"\s+")
+    return F.array_join(F.filter(left, lambda w: (w != "") & ~w.rlike("^[hlm]{1,3}$")), " ")
 
 
 def numbered_twins(a: Column, b: Column) -> Column:

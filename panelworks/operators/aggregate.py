@@ -80,6 +80,32 @@ def earliest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+def current_or_latest(df: DataFrame, keys: list[str], current: Column, order: list[Column]) -> DataFrame:
+    """One row of each key: of its rows that are ``current`` the last in ``order``, else the last of all. A null ``current`` is false."""
+    marked = df.withColumn("_now", F.coalesce(current, F.lit(False)))
+    return latest(marked, keys, [F.col("_now"), *order]).drop("_now")
+
+
+def gap_to_previous(df: DataFrame, key: str, start: str, end: str, out: str) -> DataFrame:
+    """``df`` with the distance from the end of the key's previous range to the start of this one; negative where they overlap, null for the first."""
+    before = Window.partitionBy(key).orderBy(start, end)
+    return df.withColumn(out, F.col(start) - F.lag(end).over(before))
+
+
+def yearly_changes(df: DataFrame, unit: list[str], year: str, value: str, out: str) -> DataFrame:
+    """(unit, year, change): the change of ``value`` from the year before; years without a year before have no row."""
+    before = df.select(*unit, (F.col(year) + 1).alias(year), F.col(value).alias("_before"))
+    return df.join(before, [*unit, year]).select(*unit, year, (F.col(value) - F.col("_before")).alias(out))
+
+
+def quantile_group(x: Column, cuts: Column, n: int) -> Column:
+    """1 to ``n`` by the ``n`` - 1 cut points; values on a cut belong below it, so ties are never split. Null stays null."""
+    out = F.when(x <= cuts[0], 1)
+    for k in range(1, n - 1):
+        out = out.when(x <= cuts[k], k + 1)
+    return out.when(x.isNotNull(), n)
+
+
 def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``left`` with the columns of the one row of ``right`` with equal keys; a null key meets a null key."""
     named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})

@@ -145,6 +145,32 @@ def label_side(label: Column, weak: float = 0.3) -> Column:
     return F.when(F.abs(dot) < weak, 0).otherwise(F.signum(dot).cast("int"))
 
 
+def side_check(geometric: Column, label: Column, text: Column) -> tuple[Column, Column, Column]:
+    """(method, sign, check) from the side that geometry shows and the one that a compass label points to (0: neither).
+
+    Geometry wins. Where it shows a side, the label 'agrees', 'disagrees', or is 'undecided' if it is there but points along the line; else there is no check."""
+    seen, told = F.coalesce(geometric, F.lit(0)), F.coalesce(label, F.lit(0))
+    method = F.when(seen != 0, "geometric_offset").when(told != 0, "label").otherwise("unknown")
+    written = F.coalesce(F.trim(text) != "", F.lit(False))
+    check = F.when((seen != 0) & (told != 0), F.when(seen == told, "agrees").otherwise("disagrees")).when((seen != 0) & written, "undecided")
+    return method, F.when(seen != 0, seen).otherwise(told), check
+
+
+def flagged(cells: DataFrame, table: DataFrame, cell: str, flags: list[str]) -> DataFrame:
+    """``cells`` with the flags of a table of cells, which has a row only for cells with any; all others get 0."""
+    return cells.join(table.select(cell, *flags), cell, "left").na.fill(0, flags)
+
+
+def without_duplicates(lines: DataFrame, line: str, status: str, first: str) -> DataFrame:
+    """(line, status): lines that stay when equal geometries are dropped, the points compared in order.
+
+    Of equal lines of status ``first`` the smallest stays; a line of another status goes if one of ``first`` equals it. ``lines``: segments with the status on each."""
+    shape = lines.groupBy(line, status).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x1", "y1", "x2", "y2"))), lambda s: s.dropFields("seq")).alias("shape"))
+    own = shape.where(F.col(status) == first).groupBy("shape").agg(F.min(line).alias(line)).withColumn(status, F.lit(first))
+    rest = shape.where(F.col(status) != first).join(own.select("shape"), "shape", "left_anti")
+    return own.select(line, status).unionByName(rest.select(line, status))
+
+
 def transverse_mercator(lon: Column, lat: Column, central: float, scale: float = 0.9996, east: float = 500000.0) -> tuple[Column, Column]:
     """Degrees to metres on the GRS80 ellipsoid by the Krueger series to n^3 (about a millimetre inside a zone)."""
     f = 1 / 298.257222101

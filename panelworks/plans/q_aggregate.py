@@ -348,6 +348,49 @@ def u04(spark, d):
     return p.groupBy("g").agg(F.min_by(F.struct("k", "status"), F.struct("status", "k")).alias("r")).select("g", "r.*")
 
 
+@query("w05_current_else_latest", "SELECT l_partkey, l_orderkey, l_linenumber, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_returnflag = 'N' DESC, l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) = 1")
+def w05_current(spark, d):
+    """The row of the open window ('N') of each part, else its most recent one."""
+    li = t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    return A.current_or_latest(li, ["l_partkey"], F.col("l_returnflag") == "N", [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber")]).select("l_partkey", "l_orderkey", "l_linenumber", "l_returnflag")
+
+
+RANGES = "SELECT l_orderkey AS link, l_linenumber * 10.0::DOUBLE AS start, l_linenumber * 10.0::DOUBLE + l_quantity / 5 AS stop FROM lineitem"
+
+
+@query("w07_gap_to_previous_end", f"SELECT link, start, round(start - lag(stop) OVER (PARTITION BY link ORDER BY start, stop), 6) AS gap FROM ({RANGES})")
+def w07_gap(spark, d):
+    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("link"), (F.col("l_linenumber") * 10.0).alias("start"), (F.col("l_linenumber") * 10.0 + F.col("l_quantity") / 5).alias("stop"))
+    return A.gap_to_previous(li, "link", "start", "stop", "gap").select("link", "start", F.round("gap", 6).alias("gap"))
+
+
+UNIT_YEARS = "SELECT o_custkey, year(o_orderdate) AS year, avg(o_totalprice) AS y FROM orders GROUP BY 1, 2"
+
+
+@query("w07_change_quantiles", f"SELECT c_mktsegment, count(*) AS n, [round(q, 4) FOR q IN quantile_cont(b.y - a.y, [0.05, 0.25, 0.5, 0.75, 0.95])] AS cuts FROM ({UNIT_YEARS}) a JOIN ({UNIT_YEARS}) b ON a.o_custkey = b.o_custkey AND b.year = a.year + 1 JOIN customer ON c_custkey = a.o_custkey GROUP BY 1")
+def w07_quantiles(spark, d):
+    """Year-to-year changes of the units of each segment: number and quantiles."""
+    u = t(spark, d, "orders").groupBy("o_custkey", Y().alias("year")).agg(F.avg("o_totalprice").alias("y"))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    ch = A.yearly_changes(u, ["o_custkey"], "year", "y", "change").join(c, "o_custkey")
+    cuts = A.exact_cuts(ch, "change", [0.05, 0.25, 0.5, 0.75, 0.95], ["c_mktsegment"])
+    return ch.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")).join(cuts, "c_mktsegment").select("c_mktsegment", "n", F.transform("cuts", lambda q: F.round(q, 4)).alias("cuts"))
+
+
+@query("w10_quantile_means", f"""WITH u AS (SELECT c_custkey, c_acctbal AS x, y, g IS NOT NULL AS treated FROM customer JOIN (SELECT o_custkey AS c_custkey, avg(o_totalprice) AS y FROM orders GROUP BY 1) USING (c_custkey) LEFT JOIN (SELECT o_custkey AS c_custkey, g FROM ({FT})) USING (c_custkey)),
+  c AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS q, quantile_cont(x, 0.5) FILTER (WHERE treated) AS m FROM u), l AS (SELECT *, CASE WHEN x <= q[1] THEN 1 WHEN x <= q[2] THEN 2 WHEN x <= q[3] THEN 3 WHEN x <= q[4] THEN 4 ELSE 5 END AS k FROM u, c)
+  SELECT 'quintile' AS split, CAST(k AS INTEGER) AS level, count(*) AS n, round(avg(y), 4) AS mean FROM l GROUP BY 2 UNION ALL SELECT 'treated above median', CAST(x > m AS INTEGER), count(*), round(avg(y), 4) FROM l WHERE treated GROUP BY 2""")
+def w10_means(spark, d):
+    """Mean outcome by quintile of the balance, and of the treated below and above their own median."""
+    y = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("y"))
+    u = t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("x")).join(y, "c_custkey").join(first_treat(spark, d).withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "left")
+    cuts, middle = A.exact_cuts(u, "x", [0.2, 0.4, 0.6, 0.8]), A.exact_cuts(u.where("g is not null"), "x", [0.5]).select(F.col("cuts").alias("m"))
+    both = u.crossJoin(F.broadcast(cuts)).crossJoin(F.broadcast(middle))  # one row each
+    row = lambda name, level: F.struct(F.lit(name).alias("split"), level.cast("int").alias("level"))
+    levels = F.array(row("quintile", A.quantile_group(F.col("x"), F.col("cuts"), 5)), F.when(F.col("g").isNotNull(), row("treated above median", F.col("x") > F.col("m")[0])))
+    return both.select("y", F.inline(F.filter(levels, lambda s: s.isNotNull()))).groupBy("split", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("mean"))
+
+
 @query("panel_mini", """WITH u AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) AS y, count(*) AS n FROM orders GROUP BY 1, 2), f AS (SELECT o_custkey, CAST(min(year(o_orderdate)) AS INTEGER) AS first FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000 GROUP BY 1),
   s AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS release, count(*) AS traffic FROM lineitem WHERE year(l_shipdate) % 2 = 0 GROUP BY 1, 2)
   SELECT u.o_custkey, u.year, round(y, 4) AS outcome, n AS weight, c_mktsegment, n_name, r_name, traffic, first AS first_treat_year, u.year - first AS event_time, first IS NOT NULL AS ever_treated

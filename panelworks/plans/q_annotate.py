@@ -9,7 +9,7 @@ from panelworks.operators import annotate as B
 from panelworks.operators import roads
 from panelworks.plans import q_network as R
 from panelworks.plans.q_spatial import BOTH, SIDE, lines, points
-from panelworks.plans.registry import query
+from panelworks.plans.registry import ORACLES, query
 from panelworks.session import saved
 from panelworks.session import table as t
 
@@ -143,3 +143,38 @@ def b13(spark, d):
     records = lengths.withColumns({"material": F.when(F.col("record") % 5 != 0, F.concat(F.lit("m"), F.col("record") % 3)), "height": F.col("record") % 4 + 1})
     n = keys.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_keys"), F.bool_or("double_code").alias("double_code"))
     return B.task_document(keys, B.unit_metadata(units, records), drawn).join(n, "task_id")
+
+
+@query("b07_validation_report", f"""WITH c AS ({ORACLES["b06_consensus"]}), u AS (SELECT task, bool_or(other IS NOT NULL) AS streetview, bool_or(reason IS NOT NULL) AS satellite FROM ({ANS}) GROUP BY 1),
+  r AS (SELECT p_brand AS method, decision, CASE category WHEN 'left' THEN 1 WHEN 'right' THEN -1 END AS m, CASE WHEN p_size % 2 = 0 THEN 1 ELSE -1 END AS s, c.task // 4 AS wall, streetview, satellite FROM c JOIN part ON p_partkey = c.task JOIN u ON u.task = c.task),
+  a AS (SELECT *, unnest(list_filter(['all', CASE WHEN streetview THEN 'streetview' END, CASE WHEN satellite THEN 'satellite' END], lambda x: x IS NOT NULL)) AS aid, decision = 'side' AND m IS NOT NULL AS sided FROM r),
+  g AS (SELECT method, aid, count(*) AS n, count(*) FILTER (WHERE sided) AS n_sided, count(DISTINCT wall) FILTER (WHERE sided) AS n_walls, count(*) FILTER (WHERE sided AND m = s) AS agree, nullif(count(*) FILTER (WHERE sided), 0) AS k FROM a GROUP BY 1, 2)
+  SELECT method, aid, n, n_sided, n_walls, agree, round(agree / k, 3) AS share, round((agree / k + 1.96 * 1.96 / (2 * k)) / (1 + 1.96 * 1.96 / k) - 1.96 * sqrt(agree / k * (1 - agree / k) / k + 1.96 * 1.96 / (4.0 * k * k)) / (1 + 1.96 * 1.96 / k), 3) AS low,
+  round((agree / k + 1.96 * 1.96 / (2 * k)) / (1 + 1.96 * 1.96 / k) + 1.96 * sqrt(agree / k * (1 - agree / k) / k + 1.96 * 1.96 / (4.0 * k * k)) / (1 + 1.96 * 1.96 / k), 3) AS high FROM g""")
+def b07_report(spark, d):
+    """Consensus sides against the automatic sides of each method, in all and by aid."""
+    a = answers(spark, d).withColumn("reviewer", F.col("reviewer").cast("string"))
+    used = a.groupBy("task").agg(F.bool_or(F.col("other").isNotNull()).alias("streetview"), F.bool_or(F.col("reason").isNotNull()).alias("satellite"))
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("task"), F.col("p_brand").alias("method"), F.when(F.col("p_size") % 2 == 0, 1).otherwise(-1).alias("barrier_sign"))
+    c = B.consensus(a, "task", "3").select("task", "decision", F.when(F.col("category") == "left", 1).when(F.col("category") == "right", -1).alias("manual_sign"))
+    return B.validation_report(c.join(p, "task").join(used, "task").withColumn("task", F.floor(F.col("task") / 4)), ["streetview", "satellite"])
+
+
+@query("b08_double_coding", f"""WITH p AS (SELECT x.category AS a, y.category AS b, abs(nullif(x.lat_m, 1e9) - nullif(y.lat_m, 1e9)) AS off FROM {LAST} x JOIN {LAST} y ON x.task = y.task AND x.reviewer < y.reviewer), n AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) AS po, quantile_cont(off, 0.5) FILTER (WHERE a = b AND a IN ('left', 'right')) AS mid FROM p),
+  e AS (SELECT sum(u.c * v.c) AS s FROM (SELECT a, count(*)::DOUBLE AS c FROM p GROUP BY 1) u JOIN (SELECT b, count(*)::DOUBLE AS c FROM p GROUP BY 1) v ON u.a = v.b) SELECT n, round(po, 3) AS share_same, round((po - s / (n * n)) / (1 - s / (n * n)), 3) AS kappa, round(mid, 2) AS median_diff FROM n, e""")
+def b08_report(spark, d):
+    return B.double_coding(latest(spark, d).select("task", "reviewer", "category", "lat_m"))
+
+
+FILES = "SELECT l_suppkey AS file, CASE WHEN l_suppkey % 7 = 0 THEN l_linenumber % 2 ELSE 0 END AS batch, CASE WHEN l_suppkey % 5 = 0 THEN l_returnflag ELSE 'A' END AS reviewer, l_partkey AS task FROM lineitem"
+
+
+@query("b11_import_verdicts", f"""WITH f AS ({FILES}), g AS (SELECT file, count(*) AS n_records, count(DISTINCT batch) AS n_batches, count(DISTINCT reviewer) AS n_reviewers, count(DISTINCT task) FILTER (WHERE task NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 97 <> 5)) AS n_unknown FROM f GROUP BY 1)
+  SELECT *, CASE WHEN n_batches > 1 THEN 'batches' WHEN n_reviewers > 1 THEN 'reviewers' WHEN n_unknown > 0 THEN 'unknown tasks' WHEN file % 4 = 0 THEN 'fewer than stored' ELSE 'accepted' END AS verdict FROM g""")
+def b11_verdicts(spark, d):
+    """Answer files against the known tasks and against what is stored: every fourth file has lost a row."""
+    n = F.col("l_suppkey")
+    f = t(spark, d, "lineitem").select(n.alias("file"), F.when(n % 7 == 0, F.col("l_linenumber") % 2).otherwise(0).alias("batch"), F.when(n % 5 == 0, F.col("l_returnflag")).otherwise("A").alias("reviewer"), F.col("l_partkey").alias("task"))
+    tasks = t(spark, d, "part").where("p_partkey % 97 <> 5").select(F.col("p_partkey").alias("task"), F.explode(F.array(F.lit(0), F.lit(1))).alias("batch"))
+    stored = f.groupBy("file").agg((F.count(F.lit(1)) + F.when(F.col("file") % 4 == 0, 1).otherwise(-1)).alias("n"))
+    return B.import_verdicts(f, tasks, stored)

@@ -422,3 +422,51 @@ def g23_classes(spark, d):
     past = P.positions(aside, refs, BAND, "vec_id", "line_id").select("vec_id", "line_id", F.col("beyond_end").alias("past_end"))
     tested = pairs(spark, d, aside).join(aside, "vec_id").join(past, ["vec_id", "line_id"]).withColumnRenamed("protected", "inside")
     return G.zone_agreement(tested, zone.join(place, "cell"), "vec_id", "line_id", 6.0, 2.0)
+
+
+@query("g13_cell_flags", f"""WITH c AS (SELECT vec_id, CAST(floor((x + 5000) / 100) * 100 AS BIGINT) AS e, CAST(floor((y + 5000) / 100) * 100 AS BIGINT) AS n FROM ({PT})),
+  f AS (SELECT CAST(floor((x1 + 5000) / 100) * 100 AS BIGINT) AS e, CAST(floor((y1 + 5000) / 100) * 100 AS BIGINT) AS n, max(CASE WHEN line_id % 10 = 0 THEN 1 ELSE 0 END) AS protected, count(*) AS n_lines FROM ({SG}) WHERE line_id % 3 = 0 GROUP BY 1, 2)
+  SELECT vec_id, lpad(CAST(c.e AS VARCHAR), 6, '0') || lpad(CAST(c.n AS VARCHAR), 7, '0') AS cell_id, CAST(coalesce(protected, 0) AS INTEGER) AS protected, coalesce(n_lines, 0) AS n_lines FROM c LEFT JOIN f ON f.e = c.e AND f.n = c.n""")
+def g13_flags(spark, d):
+    """Points with the treatment of their cell; cells that the table lacks are untreated."""
+    at = lambda c: (F.floor((F.col(c) + 5000) / 100) * 100).cast("long")
+    table = lines(spark, d).where("line_id % 3 = 0").groupBy(S.cell_id(at("x1"), at("y1")).alias("cell_id")).agg(F.max(F.when(F.col("line_id") % 10 == 0, 1).otherwise(0)).alias("protected"), F.count(F.lit(1)).alias("n_lines"))
+    return S.flagged(points(spark, d).select("vec_id", S.cell_id(at("x"), at("y")).alias("cell_id")), table, "cell_id", ["protected", "n_lines"])
+
+
+@query("g15_label_check", f"""WITH l AS (SELECT vec_id, {LEN} AS len, x1, y1, x2, y2, ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) / {LEN} AS off, vec_id % 6 AS k, CASE vec_id % 6 WHEN 1 THEN 1.0 WHEN 3 THEN -1.0 ELSE 0.0 END AS e, CASE vec_id % 6 WHEN 0 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END AS n FROM {BOTH}),
+  s AS (SELECT *, CASE WHEN abs(off) >= 10 THEN CAST(sign(off) AS INTEGER) ELSE 0 END AS seen, CASE WHEN k > 3 OR abs((e * -(y2 - y1) + n * (x2 - x1)) / len) < 0.3 THEN 0 ELSE CAST(sign(e * -(y2 - y1) + n * (x2 - x1)) AS INTEGER) END AS told FROM l)
+  SELECT vec_id, CASE WHEN seen <> 0 THEN 'geometric_offset' WHEN told <> 0 THEN 'label' ELSE 'unknown' END AS method, CASE WHEN seen <> 0 THEN seen ELSE told END AS sign, CASE WHEN seen <> 0 AND told <> 0 THEN CASE WHEN seen = told THEN 'agrees' ELSE 'disagrees' END WHEN seen <> 0 AND k <> 5 THEN 'undecided' END AS "check" FROM s""")
+def g15_check(spark, d):
+    """The side of each point's line by its offset (10 m at least) and by a compass label, and whether the two agree; some labels are unreadable, some blank."""
+    label = F.element_at(F.array(*[F.lit(x) for x in ("N", "E", "S", "W", "both", " ")]), (F.col("vec_id") % 6 + 1).cast("int"))
+    own = own_line(spark, d).withColumn("label", label)
+    tx, ty = S.tangent()
+    off = (F.col("y") - F.col("y1")) * tx - (F.col("x") - F.col("x1")) * ty
+    seen = F.when(F.abs(off) >= 10, F.signum(off).cast("int")).otherwise(0)
+    method, sign, check = S.side_check(seen, S.label_side(F.col("label")), F.col("label"))
+    return own.select("vec_id", method.alias("method"), sign.alias("sign"), check.alias("check"))
+
+
+@query("g26_midpoint_rates", f"""WITH m AS (SELECT line_id, (x1 + x2) / 2 + 0.37::DOUBLE AS x, (y1 + y2) / 2 - 0.21::DOUBLE AS y, {LEN} AS len FROM ({SG})), a AS (SELECT line_id, len, min(area_id) AS area_id FROM m LEFT JOIN {TRI} t ON {INSIDE} GROUP BY 1, 2)
+  SELECT area_id // 5 AS parent, count(*) AS n, round(sum(len), 3) AS length_m, round(count(*) FILTER (WHERE line_id % 3 = 0) / count(*), 6) AS built_share, round(1000 * count(*) / sum(len), 6) AS per_km FROM a GROUP BY 1""")
+def g26_rates(spark, d):
+    """Lines by the area that holds their midpoint (moved off the areas' sides), dissolved to the parent area, with rates; midpoints outside all areas are one group (null)."""
+    s = lines(spark, d).withColumn("seq", F.lit(0))
+    whole = areas(spark, d).groupBy("area_id").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("area_id")  # the last points may be no triangle
+    middle = P.point_at(s, "line_id", 0.5).select("line_id", (F.col("x") + 0.37).alias("x"), (F.col("y") - 0.21).alias("y"))
+    inside = S.in_polygon(middle, areas(spark, d).join(whole, "area_id"), "line_id", "area_id", 50.0)
+    n = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    own = s.select("line_id", n.alias("len")).join(inside, "line_id")
+    g = own.groupBy(F.floor(F.col("area_id") / 5).alias("parent"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("len"), 3).alias("length_m"), F.round(F.count_if(F.col("line_id") % 3 == 0) / F.count(F.lit(1)), 6).alias("built_share"), F.round(1000 * F.count(F.lit(1)) / F.sum("len"), 6).alias("per_km"))
+
+
+@query("u04_geometry_duplicates", f"""WITH s AS (SELECT vec_id AS line, floor(x / 150) AS x1, floor(y / 150) AS y1, floor(x / 150) + label % 2 AS x2, floor(y / 150) + 1 AS y2, CASE WHEN vec_id % 3 = 0 THEN 'proposed' ELSE 'built' END AS status FROM ({PT})),
+  b AS (SELECT min(line) AS line, x1, y1, x2, y2 FROM s WHERE status = 'built' GROUP BY ALL) SELECT line, 'built' AS status FROM b UNION ALL SELECT line, status FROM s WHERE status = 'proposed' AND NOT EXISTS (SELECT 1 FROM b WHERE b.x1 = s.x1 AND b.y1 = s.y1 AND b.x2 = s.x2 AND b.y2 = s.y2)""")
+def u04_geometry(spark, d):
+    at = lambda c: F.floor(F.col(c) / 150).cast("double")
+    p = points(spark, d)
+    first = p.select(F.col("vec_id").alias("line"), F.when(F.col("vec_id") % 3 == 0, "proposed").otherwise("built").alias("status"), at("x").alias("x1"), at("y").alias("y1"), (at("x") + F.col("label") % 2).alias("x2"), (at("y") + 1).alias("y2"))
+    halves = [first.select("line", "status", F.lit(k).alias("seq"), *[(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * f).alias(o) for c, f, o in (("x", k / 2, "x1"), ("y", k / 2, "y1"), ("x", k / 2 + 0.5, "x2"), ("y", k / 2 + 0.5, "y2"))]) for k in (0, 1)]
+    return S.without_duplicates(halves[0].unionByName(halves[1]), "line", "status", "built")
