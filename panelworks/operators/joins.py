@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from panelworks.session import saved
+
 
 #: Rows of one key that are put in order together; a longer history is cut into blocks of time.
 BLOCK_ROWS = 100_000
@@ -45,7 +47,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, v
     A window serves until the next one of its key starts, so a left row's window starts in the last block of times that
     holds a start at or before it. Both sides are laid in one order for each (key, block), and what a block hands on to the
     next ones is the last start before it, a row for each block: a key with a long history is cut into blocks of
-    BLOCK_ROWS rows and never sorted by one task."""
+    BLOCK_ROWS rows and never sorted by one task. Rows of each key are counted first; a key with up to BLOCK_ROWS is one block,
+    so where no key has more, both sides move once."""
     usable = F.lit(True)
     for k in [*keys, at]:
         usable = usable & F.col(k).isNotNull()
@@ -55,16 +58,22 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, v
     l = left.where(usable).select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), own.alias("_row"), F.lit(None).cast(w).alias("_w"))
     r = right.where(F.col(valid_from).isNotNull()).select(*keys, F.col(valid_from).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), window.alias("_w"))
     both = r.dropna(subset=keys).unionByName(l)
-    size = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where(F.col("_n") > BLOCK_ROWS)
-    number = lambda c: F.col(c).cast("double") if dict(both.dtypes)["_t"] not in ("date", "timestamp") else F.unix_seconds(F.col(c).cast("timestamp")).cast("double")
-    place = F.floor((number("_t") - number("_lo")) / F.greatest(number("_hi") - number("_lo"), F.lit(1e-9)) * F.ceil(F.col("_n") / BLOCK_ROWS))
-    both = both.join(size, keys, "left").withColumn("_block", F.coalesce(place, F.lit(0))).drop("_n", "_lo", "_hi")
     order = [F.col("_t"), F.col("_side"), *[F.col(f"_w.{c}") for c in (valid_to, *values)]]
-    last = both.where("_side = 0").groupBy(*keys, "_block").agg(F.max_by("_w", F.struct(F.col("_t"), *[F.col(f"_w.{c}") for c in (valid_to, *values)])).alias("_in"))
-    blocks = both.select(*keys, "_block").distinct().join(last, [*keys, "_block"], "left")
-    blocks = blocks.withColumn("_in", F.last("_in", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
-    inner = F.last("_w", ignorenulls=True).over(Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("_last", inner).where("_side = 1").join(blocks, [*keys, "_block"]).withColumn("_last", F.coalesce("_last", "_in"))
+    inner = lambda by: F.last("_w", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    size = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).where(F.col("_n") > BLOCK_ROWS)
+    size = saved(size, "long-histories")
+    if size.isEmpty():
+        found = both.withColumn("_last", inner(keys)).where("_side = 1")
+    else:
+        short = both.join(size, keys, "left_anti").withColumn("_last", inner(keys)).where("_side = 1")
+        number = lambda c: F.col(c).cast("double") if dict(both.dtypes)["_t"] not in ("date", "timestamp") else F.unix_seconds(F.col(c).cast("timestamp")).cast("double")
+        place = F.floor((number("_t") - number("_lo")) / F.greatest(number("_hi") - number("_lo"), F.lit(1e-9)) * F.ceil(F.col("_n") / BLOCK_ROWS))
+        cut = both.join(size, keys).withColumn("_block", F.coalesce(place, F.lit(0))).drop("_n", "_lo", "_hi")
+        last = cut.where("_side = 0").groupBy(*keys, "_block").agg(F.max_by("_w", F.struct(F.col("_t"), *[F.col(f"_w.{c}") for c in (valid_to, *values)])).alias("_in"))
+        blocks = cut.select(*keys, "_block").distinct().join(last, [*keys, "_block"], "left")
+        blocks = blocks.withColumn("_in", F.last("_in", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
+        long = cut.withColumn("_last", inner([*keys, "_block"])).where("_side = 1").join(blocks, [*keys, "_block"]).withColumn("_last", F.coalesce("_last", "_in"))
+        found = short.unionByName(long.select(*short.columns))
     live = F.col("_t") < F.col(f"_last.{valid_to}")
     none = left.where(~usable).select(*left.columns, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
     return found.select("_row.*", *[F.when(live, F.col(f"_last.{v}")).alias(v) for v in values]).unionByName(none)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.operators import spatial as S
 from panelworks.session import saved
 
 
@@ -45,14 +44,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             return stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct())
         last = mark
     raise RuntimeError("components did not settle")
-
-
-def side_votes(stubs: DataFrame, decided: DataFrame, group: str, reach: float) -> DataFrame:
-    """(stub, sign, n_votes): a stub's side from decided records of its group within ``reach``, if they all agree, else null.
-
-    ``stubs``: (stub, group, x, y), ``decided``: (sibling, group, sign, x, y). Pairs come from a grid join, so a group as large
-    as the table costs no more than its near pairs."""
-    at = decided.select("sibling", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = S.within(stubs, at, reach, "stub", "sibling").join(stubs.select("stub", F.col(group).alias("_g")), "stub").join(decided.select("sibling", F.col(group).alias("_h"), "sign"), "sibling").where("_g = _h")
-    v = near.groupBy("stub").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi"), F.count(F.lit(1)).alias("n_votes"))
-    return v.select("stub", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("sign"), "n_votes")
