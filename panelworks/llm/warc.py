@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -25,8 +26,11 @@ from panelworks.llm.common import new_path, saved
 #: Raw payload bytes of a shard (one task writes it), and compressed bytes at which its file rolls.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
 CELL = 1024
+#: Rows without a key are dealt to so many cells by their payload. Bytes of rows that a Python worker gets at a time (a row more at most).
+NULL_CELLS, BATCH_BYTES = 4096, 8 << 20
 SENT_ROWS = 1_000_000
 DATE = "1970-01-01T00:00:00Z"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -84,11 +88,18 @@ class _Files:
         try:
             self.fs.move(self.temp, f"{self.dir}/{name}")
         except OSError:
-            if self.fs.get_file_info(f"{self.dir}/{name}").size != self.size:
+            if self.digest_of(f"{self.dir}/{name}") != self.sha.hexdigest():
                 raise
             self.fs.delete_file(self.temp)
         return {"file": name, "shard": self.shard, "records": self.n, "bytes": self.size, "sha256": self.sha.hexdigest()}
 
+    def digest_of(self, path: str, chunk: int = 1 << 20) -> str:
+        sha = hashlib.sha256()
+        with self.fs.open_input_stream(path, compression=None) as stream:
+            while data := stream.read(chunk):
+                sha.update(data)
+        return sha.hexdigest()
+
 
 MANIFEST = "file string, shard long, records long, bytes long, sha256 string"
 
@@ -129,6 +140,17 @@ def writer(base: str, roll: int):
     return write
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of about ``most`` bytes for what runs inside."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def ranges(pages: DataFrame, key: str, size: str, shard_bytes: int) -> DataFrame:
     """(cell, shard): cells of CELL keys dealt to shards in key order by running bytes. Exact, so reruns agree."""
     cells = pages.groupBy("cell").agg(F.sum(F.col(size) + 512).alias("b")).withColumn("_up", F.floor(F.col("cell") / CELL))
@@ -145,9 +167,13 @@ def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "ur
 
     Of rows with equal payloads of at least ``revisit_bytes`` bytes, that with the largest key is the response and the
     others are revisits of it; of rows that share that key too, the first stays and the rest revisit it. A null html
-    is an empty payload; a null url has no target; a null key counts as smaller than any other. Keys are longs."""
+    is an empty payload; a null url has no target; a null key counts as smaller than any other. Keys are longs.
+    Rows without a key are spread by payload, so only equal payloads of theirs meet in a task. Payloads reach Python in
+    batches of about BATCH_BYTES, so a task holds few of them whatever their size. Other columns are ignored, so none
+    can clash; an empty table gives an empty manifest."""
     own = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    own = own.withColumn("cell", F.floor(F.coalesce("page_id", F.lit(0)) / CELL).cast("long"))
+    unkeyed = F.lit(-(1 << 54)) - F.pmod(F.xxhash64("html"), F.lit(NULL_CELLS))
+    own = own.withColumn("cell", F.when(F.col("page_id").isNull(), unkeyed).otherwise(F.shiftright("page_id", 10)))
     narrow = saved(own.select("page_id", "cell", F.octet_length("html").cast("long").alias("n"), F.sha1(F.col("html").cast("binary")).alias("sha1")), "digests")
     groups = narrow.where(F.col("n") >= revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("to"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     groups = saved(groups.drop("rows"), "payloads")
@@ -160,7 +186,8 @@ def write_warc(pages: DataFrame, base: str, key: str = "page_id", url: str = "ur
     fs, where = pafs.FileSystem.from_uri(base)
     fs.create_dir(where, recursive=True)
     manifest = rows.mapInArrow(writer(base, roll_bytes), MANIFEST)
-    manifest.write.parquet(f"{base}/manifest")
+    with small_batches(pages.sparkSession, BATCH_BYTES):
+        manifest.write.parquet(f"{base}/manifest")
     return pages.sparkSession.read.parquet(f"{base}/manifest")
 
 

@@ -486,6 +486,48 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(none).count() == 0
 
 
+def test_warc_of_many_rows_without_a_key_and_of_large_payloads(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("cast(null as long) as page_id", "concat('u', id) as url", "concat('<p>', id % 15000) as html")
+    base = f"file://{tmp_path}/unkeyed"
+    manifest = warc.write_warc(rows, base, shard_bytes=1 << 20).collect()
+    assert len({r["shard"] for r in manifest}) > 5 and sum(r["records"] for r in manifest) == 20_000
+    got = warc.read_warc(spark, base)
+    assert got.where("record_type = 'response'").count() == got.select("payload_digest").distinct().count() == 15_000
+    large = spark.range(40).selectExpr("id as page_id", "'u' as url", "repeat(concat('é', id % 30), 1000000) as html").repartition(1)
+    sizes = large.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    with warc.small_batches(spark, warc.BATCH_BYTES):
+        assert max(r["n"] for r in sizes.collect()) < 2 * warc.BATCH_BYTES  # 40 rows of 3 to 4 MB come in several batches
+    before = spark.conf.get(warc.BATCH_SETTING)
+    out = warc.round_trip(large).collect()
+    assert spark.conf.get(warc.BATCH_SETTING) == before
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out) == sorted(
+        (i, 1_000_000 * (2 + len(str(i % 30))), "revisit" if i < 10 else "response", i + 30 if i < 10 else None) for i in range(40))
+
+
+def test_warc_damage_is_an_error(spark, tmp_path):
+    files = warc._Files(f"file://{tmp_path}", 0, 1 << 20)
+    (tmp_path / "x").write_bytes(b"abc" * 999)
+    assert files.digest_of(f"{tmp_path}/x") == hashlib.sha256(b"abc" * 999).hexdigest()
+    base = f"file://{tmp_path}/w"
+    warc.write_warc(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string"), base)
+    name = next((tmp_path / "w").glob("*.gz"))
+    name.write_bytes(name.read_bytes()[:-9])
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.read_warc(spark, base).collect()
+
+
+def test_bloom_false_positives_are_removed_by_the_join(spark):
+    """With one bit for each entry nearly everything passes the filter; the exact join still lists what is listed."""
+    listed = spark.range(3000).selectExpr("concat('h', id, '.net/x') as e")
+    rows = spark.range(2000, 9000).selectExpr("id", "concat('h', id, '.net/x') as e")
+    through = {}
+    for size in (1, 16):
+        probe, _ = urlfilter.passed(rows, "e", listed, size)
+        through[size] = probe.where("_may").count() - 1000
+        assert urlfilter.match_listed(rows, "e", listed, size).where("listed").selectExpr("min(id)", "max(id)", "count(*)").first()[:] == (2000, 2999, 1000)
+    assert 0 <= through[16] < 200 < 1000 < through[1]
+
+
 # --- 8 n-gram Jaccard join
 
 
