@@ -8,8 +8,8 @@ determine it; a symbol whose support lies inside a repeated window is there in e
 Every Spark round takes one level. Its tasks parse the texts to that level, and each window that is still in the running
 picks the symbol of lowest rank in it; a shared table of the names so picked tells which are in several documents, and
 only windows whose symbol is shared go on. At the last level, where supports outgrow the window, the window itself is
-the symbol. The words of every repeat are then compared with those of its source; should two unlike windows have got one
-name, everything is done again with other names.
+the symbol. The words of every repeat are then compared with those of its source. Should unlike windows have got one name,
+only the windows of such names are judged again, by their words themselves.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ WIDTH = 13
 LEVELS = 2
 #: Names that a task holds before it merges and sends them.
 HELD = 1 << 21
-#: Bits of a window's name, for each attempt (the last one stays).
-NAME_BITS = (64,)
-#: Up to this many rows of hits are sent to every task, else both sides are shuffled.
+#: Bits of a window's name. How many decides only how many windows are judged again by their words.
+NAME_BITS = 64
+#: Up to this many rows are sent to every task; beyond it both sides are shuffled, or names are sent a slice at a time.
 SENT_ROWS = 200_000
 
 
@@ -212,7 +212,11 @@ class Held:
 NAMES = "name long, doc long, row long, place int, src_row long, src_place int"
 
 
-def namer(level: int, seed: int, bits: int = 64):
+def window_names(window: np.ndarray, bits: int) -> np.ndarray:
+    return T.mix(window, 60) & T.U((1 << bits) - 1)
+
+
+def namer(level: int, bits: int = 64):
     """The map function of a round: (row, doc, text[, places shared in the round before]) to ``NAMES`` of this level.
 
     The last level's names are those of windows."""
@@ -222,13 +226,12 @@ def namer(level: int, seed: int, bits: int = 64):
         for batch in batches:
             row, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for b in T.blocks(batch.column(2)):
-                h = b.word_hashes() if not seed else T.slice_hashes(T.mix(np.arange(256, dtype=T.U), seed)[b.data], b.starts, b.ends)
-                live = None
+                h, live = b.word_hashes(), None
                 if level > 1:
                     before = parsed(h, b, level - 1)
                     live = _marked(batch.column(3), b)[before.place_of_window()]
                 if level > LEVELS:
-                    place, key = before.places[live], T.mix(before.window[live], 60 + seed) & T.U((1 << bits) - 1)
+                    place, key = before.places[live], window_names(before.window[live], bits)
                 else:
                     place, key = parsed(h, b, level, live=live).names()
                 if len(place):
@@ -317,13 +320,13 @@ def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["row", "start", "words", "said"])
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` with a unique ``row``, written once in buckets by it: what later comes by row is brought to the texts, which stay."""
+def dealt(rows: DataFrame) -> tuple[DataFrame, str]:
+    """(``rows`` with a unique ``row``, the name of their table), written once in buckets by it: what later comes by row is brought to the texts, which stay."""
     spark = rows.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"panelworks_texts_{uuid.uuid4().hex[:12]}"
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     numbered.repartition(n, "row").write.bucketBy(n, "row").option("path", new_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def shared_places(names: DataFrame) -> DataFrame:
@@ -334,13 +337,13 @@ def shared_places(names: DataFrame) -> DataFrame:
     return saved(both.groupBy("row").agg(F.collect_set("place").alias("places")), "shared")
 
 
-def repeated_spans(texts: DataFrame, seed: int, bits: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, bits: int) -> DataFrame:
     """``SPANS``: runs of windows that a document with a smaller doc has as well, each with a place where it has them."""
     rows = texts.select("row", "doc", "text")
-    shared = shared_places(rows.mapInArrow(namer(1, seed), NAMES))
+    shared = shared_places(rows.mapInArrow(namer(1), NAMES))
     for level in range(2, LEVELS + 1):
-        shared = shared_places(rows.join(shared.hint("shuffle_hash"), "row").select("row", "doc", "text", "places").mapInArrow(namer(level, seed), NAMES))
-    names = rows.join(shared.hint("shuffle_hash"), "row").select("row", "doc", "text", "places").mapInArrow(namer(LEVELS + 1, seed, bits), NAMES)
+        shared = shared_places(rows.join(shared.hint("shuffle_hash"), "row").select("row", "doc", "text", "places").mapInArrow(namer(level), NAMES))
+    names = rows.join(shared.hint("shuffle_hash"), "row").select("row", "doc", "text", "places").mapInArrow(namer(LEVELS + 1, bits), NAMES)
     least = F.min(F.when(F.col("src_row").isNull(), F.struct("doc", "row", "place"))).over(Window.partitionBy("name"))
     known = F.col("src_row").isNotNull()
     names = names.withColumn("_lo", least).where(known | (F.col("_lo.doc") < F.col("doc")))
@@ -349,15 +352,69 @@ def repeated_spans(texts: DataFrame, seed: int, bits: int) -> DataFrame:
     return saved(found.mapInArrow(joined_windows, SPANS), "spans")
 
 
-def unlike(texts: DataFrame, spans: DataFrame) -> int:
-    """How many spans have other words than their sources. Each side's words are read where the texts lie."""
+def compared(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """(row, start, words, like): whether a span has the words of its source. Each side's words are read where the texts lie."""
     ask = spans.select("row", "start", "words").unionByName(spans.select(F.col("src_row").alias("row"), F.col("src_start").alias("start"), "words")).distinct()
     ask = ask.groupBy("row").agg(F.collect_list(F.struct("start", "words")).alias("asked"))
     said = texts.select("row", "text").join(ask.hint("shuffle_hash"), "row").select("row", "text", "asked").mapInArrow(read_words, "row long, start int, words int, said binary")
     said = saved(said, "words")
     own = spans.join(said.withColumnRenamed("said", "mine"), ["row", "start", "words"])
     theirs = said.select(F.col("row").alias("src_row"), F.col("start").alias("src_start"), "words", F.col("said").alias("theirs"))
-    return own.join(theirs, ["src_row", "src_start", "words"]).where("mine <> theirs").count()
+    return saved(own.join(theirs, ["src_row", "src_start", "words"]).select("row", "start", "words", (F.col("mine") == F.col("theirs")).alias("like")), "compared")
+
+
+def names_in(bits: int):
+    """The map function (text, [(start, words)]) to the names of the windows in these spans."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(1)
+            for b in T.blocks(batch.column(0)):
+                h = b.word_hashes()
+                for k in range(b.first, b.last):
+                    start, n = (np.asarray(asked[k].values.field(i), np.int64) for i in range(2))
+                    n = n - WIDTH + 1
+                    place = np.repeat(b.edges[k - b.first] + start - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(T.as_long(np.unique(window_names(T.slice_hashes(h, place, place + WIDTH), bits))))], names=["name"])
+
+    return name
+
+
+def spoken(names: np.ndarray, bits: int):
+    """The map function (row, doc, text) to (said, doc, row, start): the words of all windows that have one of ``names`` (sorted)."""
+
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for b in T.blocks(batch.column(2)):
+                place, window = T.windows(b.word_hashes(), b.edges, WIDTH)
+                key = T.as_long(window_names(window, bits))
+                place = place[names[np.minimum(np.searchsorted(names, key), len(names) - 1)] == key]
+                for at in (place[i:i + 4096] for i in range(0, len(place), 4096)):
+                    text, of = b.data, b.of[at]
+                    said = [b" ".join([text[x:y].tobytes() for x, y in zip(b.starts[p:p + WIDTH].tolist(), b.ends[p:p + WIDTH].tolist())]) for p in at.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), pa.array(doc[b.first + of]), pa.array(row[b.first + of]), pa.array((at - b.edges[of]).astype(np.int32))], names=["said", "doc", "row", "start"])
+
+    return say
+
+
+def spans_by_words(texts: DataFrame, wrong: DataFrame, bits: int) -> DataFrame:
+    """(row, start, words) of the windows that share a name with one of the spans ``wrong`` and are repeats by their words.
+
+    Every window of such a name takes part, so no source is missed. Names go to the tasks in slices of about ``SENT_ROWS``; with 64
+    bits there are none of them below some billions of windows. A window's words are grouped with partial sums, however frequent it is."""
+    asked = wrong.groupBy("row").agg(F.collect_list(F.struct("start", "words")).alias("asked"))
+    names = saved(texts.select("row", "text").join(asked.hint("shuffle_hash"), "row").select("text", "asked").mapInArrow(names_in(bits), "name long").distinct(), "names")
+    slices, out = -(-names.count() // SENT_ROWS), wrong.limit(0)
+    for k in range(slices):
+        own = names.where(F.pmod(F.xxhash64("name"), F.lit(slices)) == k).toArrow().column(0).to_numpy()
+        if not len(own):
+            continue
+        said = saved(texts.select("row", "doc", "text").mapInArrow(spoken(np.sort(own), bits), "said binary, doc long, row long, start int"), "said")
+        least = saved(said.groupBy("said").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "least")
+        found = said.join(F.broadcast(least) if least.count() <= SENT_ROWS else least, "said").where("least < doc")
+        out = out.unionByName(found.select("row", "start", F.lit(WIDTH).alias("words")))
+    return out
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,21 +425,27 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     than 13 words and null texts lose nothing. Rows of equal keys don't count as smaller than each other, and each is
     judged by its own text; a row with a null key loses nothing and takes nothing. Copies of whole texts (by 128 bits of
     hashes) are found first and are cut whole; all their windows are in the smallest of them. All other repeats are
-    compared word by word. Very long texts are parsed whole, 2 MB of texts at a time; other columns are ignored, so
+    compared word by word. The result is a written table. Very long texts are parsed whole, 2 MB of texts at a time; other columns are ignored, so
     none can clash; an empty table gives an empty result."""
     own = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = dealt(own.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text")}))
+    own, table = dealt(own.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), "text")}))
+    try:
+        return saved(_cut_texts(own), "cut").withColumnRenamed("doc_id", key)
+    finally:
+        docs.sparkSession.sql(f"drop table if exists {table}")
+
+
+def _cut_texts(own: DataFrame) -> DataFrame:
+    """``RESULT`` for dealt texts (row, doc, text, _a, _b)."""
     narrow = own.where("doc is not null").select("row", "doc", "_a", "_b")
     copies = saved(narrow.groupBy("_a", "_b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "copies")
     whole = saved(narrow.join(F.broadcast(copies) if copies.count() <= SENT_ROWS else copies, ["_a", "_b"]).where("least < doc").select("row"), "whole")
     left = own.where("doc is not null").join(whole.hint("shuffle_hash"), "row", "left_anti")
-    for seed in range(8):
-        spans = repeated_spans(left, seed, NAME_BITS[min(seed, len(NAME_BITS) - 1)])
-        if not unlike(own, spans):
-            break
-    else:
-        raise RuntimeError("unlike windows keep getting one name")
-    cuts = spans.groupBy("row").agg(F.collect_list(F.struct("start", "words")).alias("cuts"))
+    spans = compared(own, repeated_spans(left, NAME_BITS))
+    good, wrong = (spans.where(x).select("row", "start", "words") for x in ("`like`", "not `like`"))
+    if not wrong.isEmpty():
+        good = good.unionByName(spans_by_words(left, wrong, NAME_BITS))
+    cuts = good.groupBy("row").agg(F.collect_list(F.struct("start", "words")).alias("cuts"))
     joined = own.select("row", "doc", "text").join(whole.withColumn("whole", F.lit(True)).hint("shuffle_hash"), "row", "left").join(cuts.hint("shuffle_hash"), "row", "left")
     joined = joined.select(F.col("doc").alias("doc_id"), "text", F.coalesce("whole", F.lit(False)).alias("whole"), "cuts")
-    return joined.mapInArrow(cut, RESULT).withColumnRenamed("doc_id", key)
+    return joined.mapInArrow(cut, RESULT)

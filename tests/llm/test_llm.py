@@ -426,11 +426,13 @@ def test_dedup_compares_words_and_rows_of_one_key(spark, monkeypatch):
     rows += [(10 + k, " ".join(rnd.choices(["p", "q"], k=60))) for k in range(12)]
     table = [(i, t, None, None, 0) for i, t in rows]
     docs = spark.createDataFrame(table, DOCS).selectExpr("*", "1 as row", "2 as place", "3 as whole", "4 as doc").repartition(4)
-    for held, bits in ((1 << 21, (64,)), (60, (5, 64))):
+    for held, sent, bits in ((1 << 21, 200_000, 64), (60, 200_000, 0), (60, 7, 5)):  # unlike windows of one name: none, all, some
         monkeypatch.setattr(recompress, "HELD", held)
+        monkeypatch.setattr(recompress, "SENT_ROWS", sent)
         monkeypatch.setattr(recompress, "NAME_BITS", bits)
         got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompress.dedup(docs).collect()), key=str)
         assert got == cut_brute(table)
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith("panelworks_texts")]
 
 
 def test_dedup_of_nothing(spark):
