@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from panelworks.functions.columns import norm_entity, numbered_twins
 from panelworks.functions.text import similarity, similarity_bound
@@ -11,9 +14,72 @@ from panelworks.operators.aggregate import mutual_best
 from panelworks.session import saved
 
 
+#: Up to this many counts of grams are sent to every task, else they are shuffled.
+SENT_GRAMS = 500_000
+#: A key with more pairs of names than this is matched through the index, any other by a plain join.
+DIRECT_PAIRS = 1 << 20
+#: Thresholds of ``best_matches``: only names without a match at one go on to the next.
+STEPS = (0.8, 0.65)
+
+
+def _grams(name: Column, size: int) -> Column:
+    """Runs of ``size`` letters with the number of the occurrence, so that equal ones count as often as they come; "" if there is none."""
+    n = F.length(name) - size + 1
+    runs = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(name, i, F.lit(size)))).otherwise(F.array(F.lit("")))
+    return F.transform(runs, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def _sharing(names: DataFrame, keys: list[str], least: float, size: int) -> DataFrame:
+    """(keys, _a, _b): names of side 0 and 1 that share one of their rarest grams, as many as leave room for too few common ones.
+
+    The letters that two names of T letters match lie in at most 1 + (T - 2 * matched) runs, so a ratio of ``least`` needs
+    T * (1.5 * least - 1) - 1 common pairs of letters, or T * least / 2 common letters, and a partner is never shorter than
+    least / (2 - least) of a name. Both sides keep all but that many grams, less one, by one order: rarest first."""
+    n = F.length("_s")
+    total = n + F.ceil(n * (least / (2 - least)) - 1e-9)
+    common = F.greatest(F.ceil((total * (1.5 * least - 1) - 1 if size == 2 else total * (least / 2)) - 1e-9), F.lit(1))
+    grams = names.select(*keys, "_side", "_s", n.alias("_n"), _grams(F.col("_s"), size).alias("_g"), common.alias("_common"))
+    grams = grams.select(*keys, "_side", "_s", "_n", (F.size("_g") - F.col("_common") + 1).alias("_keep"), F.explode("_g").alias("_g"))
+    counts = saved(grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_count")), "grams")
+    ranked = grams.join(F.broadcast(counts) if counts.count() <= SENT_GRAMS else counts, "_g")
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_side", "_s").orderBy("_count", "_g")))
+    rare = saved(ranked.where("_rank <= _keep").select(*keys, "_side", "_g", "_s", "_n"), "rare")
+    left, right = (rare.where(F.col("_side") == k).select(*keys, "_g", F.col("_s").alias(f"_{x}"), F.col("_n").alias(f"_n{x}")) for k, x in enumerate("ab"))
+    near = 2 * F.least("_na", "_nb") >= least * (F.col("_na") + F.col("_nb")) - 1e-9
+    return left.join(right, [*keys, "_g"]).where(near).select(*keys, "_a", "_b").distinct()
+
+
+def candidates(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float) -> DataFrame:
+    """(keys, a, b): distinct pairs of names of one key, among them all whose ``similarity`` reaches ``least`` (above 0).
+
+    Keys of few pairs are joined. For the others there is an inverted index: names meet under their rare pairs of letters, for lower thresholds and for short names under their rare letters,
+    never all with all of a key; then all their pairs of letters are counted. A key with very many names spreads over its grams. Null keys and names meet nothing, empty names meet
+    empty ones. Numbering the grams of a name takes the square of its length, which is meant for names, not for texts."""
+    side = lambda df, c, k: df.select(*keys, F.col(c).alias("_s"), F.lit(k).alias("_side")).na.drop().distinct()
+    names = saved(side(left, a, 0).unionByName(side(right, b, 1)), "names")
+    own = lambda df, k, c: df.where(F.col("_side") == k).select(*keys, F.col("_s").alias(c))
+    large = saved(names.groupBy(*keys).agg(F.count_if(F.col("_side") == 0).alias("_l"), F.count_if(F.col("_side") == 1).alias("_r")).where(F.col("_l") * F.col("_r") > DIRECT_PAIRS).select(*keys), "large")
+    if large.isEmpty():
+        return own(names, 0, a).join(own(names, 1, b), keys)
+    rest = names.join(large, keys, "left_anti")
+    direct, names = own(rest, 0, a).join(own(rest, 1, b), keys), names.join(large, keys, "left_semi")
+    if least <= 0.75:
+        pairs = _sharing(names, keys, least, 1)
+    else:
+        short = 0  # the longest name that may reach the threshold without a common pair of letters
+        while (short + 1 + math.ceil((short + 1) * least / (2 - least) - 1e-9)) * (1.5 * least - 1) - 1 <= 1e-9:
+            short += 1
+        partner = math.floor(short * (2 - least) / least + 1e-9)
+        pairs = _sharing(names.where(F.length("_s") > short), keys, least, 2).unionByName(_sharing(names.where(F.length("_s") <= partner), keys, least, 1)).distinct()
+    if least > 2 / 3:
+        common = F.size(F.array_intersect(_grams(F.col("_a"), 2), _grams(F.col("_b"), 2)))
+        pairs = pairs.where(common >= (F.length("_a") + F.length("_b")) * (1.5 * least - 1) - 1 - 1e-9)
+    return direct.unionByName(pairs.withColumnsRenamed({"_a": a, "_b": b}))
+
+
 def scored(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float) -> DataFrame:
-    """Pairs of one key with ``name_sim`` >= ``least``. Pairs that cannot reach it are dropped before Python sees them."""
-    near = left.join(right, keys).where(similarity_bound(F.col(a), F.col(b)) >= least)
+    """(keys, a, b, name_sim): distinct pairs of names of one key with ``name_sim`` >= ``least``. What cannot reach it is dropped before Python sees it."""
+    near = candidates(left, right, keys, a, b, least).where(similarity_bound(F.col(a), F.col(b)) >= least)
     return near.withColumn("name_sim", similarity(a, b)).where(F.col("name_sim") >= least)
 
 
@@ -24,7 +90,8 @@ def lineage_links(units: DataFrame, place: list[str], least: float = 0.8) -> Dat
     not two units whose grades are known and disjoint. A pair below ``least`` cannot be the best of a link, so it isn't scored."""
     u = units.where(F.expr(" and ".join(f"{p} is not null" for p in place))).withColumn("norm", norm_entity(F.col("name")))
     part = lambda retired, tag: u.where(F.col("retired") == retired).select(*place, *[F.col(c).alias(f"{tag}_{c}") for c in ("code", "name", "norm", "grades")])
-    pairs = saved(scored(part(True, "old"), part(False, "new"), place, "old_norm", "new_norm", least), "lineage")
+    old, new = part(True, "old"), part(False, "new")
+    pairs = saved(old.join(scored(old, new, place, "old_norm", "new_norm", least), [*place, "old_norm"]).join(new, [*place, "new_norm"]), "lineage")
     links = mutual_best(pairs, "old_code", "new_code", "name_sim")
     apart = F.coalesce(~F.arrays_overlap("old_grades", "new_grades") & (F.size("old_grades") >= 0), F.lit(False))
     return links.where(~numbered_twins(F.col("old_name"), F.col("new_name")) & ~apart).select("old_code", "new_code", "name_sim")
@@ -32,13 +99,24 @@ def lineage_links(units: DataFrame, place: list[str], least: float = 0.8) -> Dat
 
 def best_matches(lost: DataFrame, register: DataFrame, area: str, least: float = 0.5) -> DataFrame:
     """(old, new, name_sim, tie, n_close): the best name of the same area for each lost code, whether another is as good, and
-    how many reach 0.8. ``lost``: (old, name, area), ``register``: (new, name, area); names below ``least`` don't count."""
-    r = register.withColumnRenamed("name", "_name")
-    pairs = saved(scored(lost, r, [area], "name", "_name", least), "matches")
-    top = pairs.groupBy("old").agg(F.max("name_sim").alias("_top"))
-    g = pairs.join(top, "old").groupBy("old").agg(F.min(F.when(F.col("name_sim") >= F.col("_top") - 1e-9, F.col("new"))).alias("new"), F.max("_top").alias("name_sim"),
-                                                  (F.count_if(F.col("name_sim") >= F.col("_top") - 1e-9) > 1).alias("tie"), F.count_if(F.col("name_sim") >= 0.8).alias("n_close"))
-    return g.select("old", "new", "name_sim", "tie", "n_close")
+    how many reach 0.8. ``lost``: (old, name, area), ``register``: (new, name, area); names below ``least`` don't count.
+
+    Each distinct name is matched once, at ``STEPS`` and then at ``least``: what has a match at one step is done."""
+    r = saved(register.groupBy(area, F.col("name").alias("_name")).agg(F.min("new").alias("_new"), F.count(F.lit(1)).alias("_n")), "register")
+    rest, found = saved(lost.select(area, "name").na.drop().distinct(), "lost"), None
+    for step in [*[x for x in STEPS if x > least], least]:
+        pairs = saved(scored(rest, r, [area], "name", "_name", step), "matches").join(r, [area, "_name"])
+        top = F.max("name_sim").over(Window.partitionBy(area, "name"))
+        best, close = F.col("name_sim") >= F.col("_top") - 1e-9, F.col("name_sim") >= 0.8
+        g = pairs.withColumn("_top", top).groupBy(area, "name").agg(
+            F.min(F.when(best, F.col("_new"))).alias("new"), F.max("name_sim").alias("name_sim"),
+            (F.sum(F.when(best, F.col("_n"))) > 1).alias("tie"), F.coalesce(F.sum(F.when(close, F.col("_n"))), F.lit(0)).alias("n_close"))
+        g = saved(g, "best")
+        found = g if found is None else found.unionByName(g)
+        rest = saved(rest.join(g, [area, "name"], "left_anti"), "lost")
+        if rest.isEmpty():
+            break
+    return lost.join(found, [area, "name"]).select("old", "new", "name_sim", "tie", "n_close")
 
 
 def places(x: Column, y: Column) -> list[Column]:

@@ -249,6 +249,29 @@ def test_best_matches_see_every_name(spark):
     assert sorted((r["old"], r["new"], round(r["name_sim"], 9), r["tie"], r["n_close"]) for r in got) == want
 
 
+def test_name_candidates_lose_no_pair_and_leave_most_out(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from panelworks.operators import lineage as L
+
+    rng = np.random.default_rng(11)
+    word = lambda n, s: "".join(rng.choice(list(s), rng.integers(0, n)))
+    base = [word(16, "abcdefghijklmnopqrst") for _ in range(50)]
+    edit = lambda w: "".join(c for c in w if rng.random() > 0.12) + word(3, "xyz")
+    a = [(1, w) for w in base] + [(2, word(6, "ab\U0001f600")) for _ in range(40)] + [(1, None), (None, "abc"), (1, ""), (2, "aaaaaaaa")]
+    b = [(1, edit(w)) for w in base] + [(2, word(6, "ab\U0001f600")) for _ in range(40)] + [(1, None), (None, "abc"), (1, ""), (2, "aaaaaa"), (2, "")]
+    left, right = spark.createDataFrame(a, "k int, a string"), spark.createDataFrame(b, "k int, b string")
+    for least, direct in ((0.5, 0), (0.7, 1 << 20), (0.7, 0), (0.8, 0), (0.8, 2000), (0.95, 0)):
+        monkeypatch.setattr(L, "DIRECT_PAIRS", direct)
+        want = {(k, x, y) for k, x in a for m, y in b if k is not None and k == m and x is not None and y is not None and SequenceMatcher(None, x, y).ratio() >= least}
+        assert sorted((r["k"], r["a"], r["b"]) for r in L.scored(left, right, ["k"], "a", "b", least).collect()) == sorted(want)
+    names = [f"{x}{y}skolan" for x in ("Berg", "Lund", "Ek", "Sjö", "Kvarn", "Norr", "Vallby", "Ås") for y in ("a", "mo", "torp", "hults", "vik", "backs", "gårds", "dals", "fors", "by")]
+    t = spark.createDataFrame([(1, x) for x in names], "k int, a string")
+    assert L.candidates(t, t.withColumnRenamed("a", "b"), ["k"], "a", "b", 0.95).count() < len(names) ** 2 / 20
+
+
 def test_doubly_robust_matches_numpy(spark):
     import numpy as np
 
