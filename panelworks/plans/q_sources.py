@@ -150,9 +150,11 @@ def s14(spark, d):
 
 @query("s15_validity_union", "SELECT o_custkey AS unit, count(*) AS n, count(CASE WHEN o_orderkey % 5 <> 0 THEN 1 END) AS known, sum(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END) AS total FROM orders GROUP BY 1")
 def s15(spark, d):
-    w = T.order_windows(t(spark, d, "orders")).select(F.col("o_custkey").alias("OBJECT"), F.col("o_orderkey").alias("ID"), "valid_from", "valid_to", F.when(F.col("o_orderkey") % 5 == 0, 999998).otherwise(F.col("o_orderkey")).alias("ADT"))
+    """Order windows in four overlapping layers as one. A placeholder stands for unknown values, so it is none that an order key takes."""
+    unknown = -999998
+    w = T.order_windows(t(spark, d, "orders")).select(F.col("o_custkey").alias("OBJECT"), F.col("o_orderkey").alias("ID"), "valid_from", "valid_to", F.when(F.col("o_orderkey") % 5 == 0, unknown).otherwise(F.col("o_orderkey")).alias("ADT"))
     orders = [w.where(f"ID % {m} = {r}").withColumn("geometry", F.lit(f"line {m}")) for m, r in ((3, 0), (3, 1), (3, 2), (2, 0))]
-    out = G.dated_union(orders, {"OBJECT": "unit", "ID": "id", "valid_from": "valid_from", "valid_to": "valid_to", "ADT": "adt"}, "geometry", 999998, ["adt"])
+    out = G.dated_union(orders, {"OBJECT": "unit", "ID": "id", "valid_from": "valid_from", "valid_to": "valid_to", "ADT": "adt"}, "geometry", unknown, ["adt"])
     return out.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count("adt").alias("known"), F.sum("adt").alias("total"))
 
 
