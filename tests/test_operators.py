@@ -342,3 +342,25 @@ def test_similarity_and_its_bound(spark):
             assert s is None
         else:
             assert s == SequenceMatcher(None, a, b).ratio() <= most + 1e-12
+
+
+def test_many_groups_share_a_call(spark):
+    from panelworks.operators import tables as T
+
+    rows = [(k, i, "", float((k * 7 + i * i) % 11)) for k in range(300) for i in range(1 + k % 4)] + [(None, i, "", 2.0 * i) for i in range(3)]
+    calls = spark.sparkContext.accumulator(0)
+    fit = T.trend("y")
+
+    def counted(g):
+        calls.add(1)
+        return fit(g)
+
+    df = spark.createDataFrame(rows, "k long, o long, o_orderdate string, y double")
+    got = {(r["k"], r["o"]): r["trend"] for r in T.group_apply(df, ["k"], ["o_orderdate", "o"], counted, "k long, o long, trend double").collect()}
+    assert len(got) == len(rows) and calls.value <= 3
+    for k in {r[0] for r in rows}:
+        y = [v for g, _, _, v in rows if g == k]
+        mean, mid = sum(y) / len(y), (len(y) - 1) / 2
+        spread = sum((i - mid) ** 2 for i in range(len(y)))
+        slope = sum((i - mid) * (v - mean) for i, v in enumerate(y)) / spread if spread else 0.0
+        assert [got[k, i] for i in range(len(y))] == [pytest.approx(mean + slope * (i - mid)) for i in range(len(y))]
