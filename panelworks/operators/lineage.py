@@ -18,8 +18,10 @@ from panelworks.session import saved
 SENT_GRAMS = 500_000
 #: A key with more pairs of names than this is matched through the index, any other by a plain join.
 DIRECT_PAIRS = 1 << 20
-#: Thresholds of ``best_matches``: only names without a match at one go on to the next.
-STEPS = (0.8, 0.65)
+#: So many lost and registered names of an area meet in one block of ``closest``, and names of more letters are not bounded by their order.
+BLOCK, BOUNDED = (1024, 16384), 512
+#: Names from here on are close.
+CLOSE = 0.8
 
 
 def _grams(name: Column, size: int) -> Column:
@@ -97,25 +99,132 @@ def lineage_links(units: DataFrame, place: list[str], least: float = 0.8) -> Dat
     return links.where(~numbered_twins(F.col("old_name"), F.col("new_name")) & ~apart).select("old_code", "new_code", "name_sim")
 
 
+def _common(names: list[str], others: list[str]):
+    """For each eight of ``names`` their numbers and a table of how many letters each has in common with each of ``others`` (in order), at most 64 at a time.
+
+    One bit for each letter of a name says where a longest common run of letters in order ends; a letter of the other name moves it by an addition.
+    ``others`` are sorted, and what several begin with is worked out once."""
+    import numpy as np
+
+    codes = np.zeros((len(others), max(map(len, others), default=0)), np.uint32)  # 0 stands after the end
+    for row, name in zip(codes, others):
+        row[: len(name)] = np.frombuffer(name.encode("utf-32-le", "surrogatepass"), np.uint32) + 1
+    letters, codes = np.unique(codes, return_inverse=True)
+    codes, place = codes.reshape(len(others), -1), {int(c): k for k, c in enumerate(letters) if c}
+    changed = codes[1:] != codes[:-1]
+    first = np.concatenate([[-1], np.where(changed.any(1), changed.argmax(1), codes.shape[1])]) if codes.shape[1] else np.zeros(len(others))
+    levels, ids = [], np.zeros(len(others), np.int64)
+    for j in range(codes.shape[1]):
+        new = first <= j
+        at = np.flatnonzero(new)
+        levels.append((ids[at], codes[at, j]))
+        ids = np.cumsum(new) - 1
+    for begin in range(0, len(names), 8):
+        part = names[begin : begin + 8]
+        total = np.zeros((len(part), len(others)), np.int64)
+        for cut in range(0, max(map(len, part)), 64):
+            masks = np.zeros((len(part), len(letters)), np.uint64)
+            for row, name in zip(masks, part):
+                for p, c in enumerate(name[cut : cut + 64]):
+                    if (k := place.get(ord(c) + 1)) is not None:
+                        row[k] |= np.uint64(1 << p)
+            bits = np.full((len(part), 1), np.uint64(0xFFFFFFFFFFFFFFFF))
+            for parent, letter in levels:
+                if len(parent) != bits.shape[1]:
+                    bits = bits[:, parent]
+                here = bits & masks[:, letter]
+                bits = (bits + here) | (bits - here)
+            total += np.bitwise_count(~bits)[:, ids]
+        yield begin, total
+
+
+def _best_of(names: list[str], others: list[str], least: float) -> list[tuple[str, str, float]]:
+    """(name, other, ratio): for each name the others of the best ratio, and all from ``CLOSE`` on, if they reach ``least``.
+
+    The letters that the ratio matches stand in one order in both names, so what both have in one order at most bounds it; pairs are compared
+    from the highest bound down to the best ratio found."""
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    others = sorted(others)
+    short = [x for x in others if len(x) <= BOUNDED]
+    long = [x for x in others if len(x) > BOUNDED]
+    others = short + long
+    size = np.array([len(x) for x in others], np.int64)
+    found = []
+
+    def judge(name: str, common) -> None:
+        total = len(name) + size
+        bound = np.where(total > 0, 2.0 * np.minimum(common, np.minimum(size, len(name))) / np.maximum(total, 1), 1.0)
+        near = np.flatnonzero(bound >= least)
+        best, hits = least, []
+        for k in near[np.argsort(-bound[near], kind="stable")]:
+            if bound[k] < CLOSE and bound[k] < best - 1e-9:
+                break
+            ratio = SequenceMatcher(None, name, others[k]).ratio()
+            if ratio >= least:
+                best = max(best, ratio)
+                hits.append((name, others[k], ratio))
+        found.extend(h for h in hits if h[2] >= CLOSE or h[2] >= best - 1e-9)
+
+    unbounded = np.full(len(long), BOUNDED * 1_000_000, np.int64)
+    tame = [x for x in names if len(x) <= BOUNDED]
+    if short:
+        for begin, common in _common(tame, short):
+            for name, row in zip(tame[begin : begin + len(common)], common):
+                judge(name, np.concatenate([row, unbounded]))
+    else:
+        for name in tame:
+            judge(name, unbounded)
+    for name in names:
+        if len(name) > BOUNDED:
+            judge(name, np.full(len(others), len(name), np.int64))
+    return found
+
+
+def _closest(batches, area: str, least: float):
+    """``_best_of`` for Arrow batches (area, _l: names, _r: names of the register)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        rows, left, right, ratio = [], [], [], []
+        for k in range(batch.num_rows):
+            for name, other, value in _best_of(batch.column("_l")[k].as_py(), batch.column("_r")[k].as_py(), least):
+                rows.append(k)
+                left.append(name)
+                right.append(other)
+                ratio.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column(area).take(pa.array(rows, pa.int32())), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(ratio, pa.float64())], [area, "name", "_name", "name_sim"])
+
+
+def closest(lost: DataFrame, register: DataFrame, area: str, least: float) -> DataFrame:
+    """(area, name, _name, name_sim): for each name of ``lost`` (area, name) the best of ``register`` (area, _name) in each block of it, and all from ``CLOSE`` on.
+
+    The names of an area are dealt into blocks and every block of one side meets every one of the other, so a large area spreads over tasks, and no pair of names is a row."""
+
+    def blocks(df: DataFrame, name: str, most: int, tag: str) -> DataFrame:
+        df = df.select(area, name).na.drop().distinct()
+        n = df.groupBy(area).agg(F.ceil(F.count(F.lit(1)) / most).alias("_of"))
+        return df.join(n, area).withColumn(f"_b{tag}", F.pmod(F.xxhash64(name), F.col("_of"))).groupBy(area, f"_b{tag}").agg(F.collect_list(name).alias(f"_{tag}"))
+
+    both = blocks(lost, "name", BLOCK[0], "l").join(blocks(register, "_name", BLOCK[1], "r"), area)
+    both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), area, "_bl", "_br").select(area, "_l", "_r")
+    return both.mapInArrow(lambda batches: _closest(batches, area, least), both.select(area, F.lit("").alias("name"), F.lit("").alias("_name"), F.lit(0.0).alias("name_sim")).schema)
+
+
 def best_matches(lost: DataFrame, register: DataFrame, area: str, least: float = 0.5) -> DataFrame:
     """(old, new, name_sim, tie, n_close): the best name of the same area for each lost code, whether another is as good, and
     how many reach 0.8. ``lost``: (old, name, area), ``register``: (new, name, area); names below ``least`` don't count.
 
-    Each distinct name is matched once, at ``STEPS`` and then at ``least``: what has a match at one step is done."""
+    Each distinct name is matched once."""
     r = saved(register.groupBy(area, F.col("name").alias("_name")).agg(F.min("new").alias("_new"), F.count(F.lit(1)).alias("_n")), "register")
-    rest, found = saved(lost.select(area, "name").na.drop().distinct(), "lost"), None
-    for step in [*[x for x in STEPS if x > least], least]:
-        pairs = saved(scored(rest, r, [area], "name", "_name", step), "matches").join(r, [area, "_name"])
-        top = F.max("name_sim").over(Window.partitionBy(area, "name"))
-        best, close = F.col("name_sim") >= F.col("_top") - 1e-9, F.col("name_sim") >= 0.8
-        g = pairs.withColumn("_top", top).groupBy(area, "name").agg(
-            F.min(F.when(best, F.col("_new"))).alias("new"), F.max("name_sim").alias("name_sim"),
-            (F.sum(F.when(best, F.col("_n"))) > 1).alias("tie"), F.coalesce(F.sum(F.when(close, F.col("_n"))), F.lit(0)).alias("n_close"))
-        g = saved(g, "best")
-        found = g if found is None else found.unionByName(g)
-        rest = saved(rest.join(g, [area, "name"], "left_anti"), "lost")
-        if rest.isEmpty():
-            break
+    pairs = saved(closest(lost, r, area, least), "matches").join(r, [area, "_name"])
+    top = F.max("name_sim").over(Window.partitionBy(area, "name"))
+    best, close = F.col("name_sim") >= F.col("_top") - 1e-9, F.col("name_sim") >= CLOSE
+    found = pairs.withColumn("_top", top).groupBy(area, "name").agg(
+        F.min(F.when(best, F.col("_new"))).alias("new"), F.max("name_sim").alias("name_sim"),
+        (F.sum(F.when(best, F.col("_n"))) > 1).alias("tie"), F.coalesce(F.sum(F.when(close, F.col("_n"))), F.lit(0)).alias("n_close"))
     return lost.join(found, [area, "name"]).select("old", "new", "name_sim", "tie", "n_close")
 
 
