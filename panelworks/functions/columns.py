@@ -92,8 +92,8 @@ def norm_entity(name: Column, vocabulary: tuple[tuple[str, ...], ...] = SPECIAL_
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"\s*[-–]\s*", "-"), r"(?U)[^\w\s-]", " ")), r"\s+")
     span, number = r"^\d+-\d+$", r"^\d+$"
 
-    def dropped(w: Column, i: Column) -> Column:
-        near = lambda k: F.coalesce(F.get(words, i + k), F.lit(""))
+    def dropped(all_words: Column, w: Column, i: Column) -> Column:
+        near = lambda k: F.coalesce(F.get(all_words, i + k), F.lit(""))
         grades = w.rlike(span) | F.regexp_replace(w, f"^({'|'.join(GRADE_WORDS)})", "").rlike(span) | w.isin(*GRADE_WORDS) & near(1).rlike(span)
         gone = grades | (w == "enhet") & near(1).rlike(number)
         for term in vocabulary:
@@ -102,7 +102,9 @@ def norm_entity(name: Column, vocabulary: tuple[tuple[str, ...], ...] = SPECIAL_
                 gone = gone | reduce(lambda x, y: x & y, at)
         return gone
 
-    left = F.split(F.regexp_replace(F.array_join(F.filter(words, lambda w, i: ~dropped(w, i)), " "), r"[\d-]+", " "), r"\s+")
+    # the words are bound to a variable: as an expression they would be cut again at every look at a neighbour
+    kept = F.transform(F.array(words), lambda ws: F.filter(ws, lambda w, i: ~dropped(ws, w, i)))
+    left = F.split(F.regexp_replace(F.array_join(F.get(kept, F.lit(0)), " "), r"[\d-]+", " "), r"\s+")
     return F.array_join(F.filter(left, lambda w: (w != "") & ~w.rlike("^[hlm]{1,3}$")), " ")
 
 
