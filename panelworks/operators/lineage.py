@@ -82,6 +82,7 @@ def candidates(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: st
 def scored(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, least: float) -> DataFrame:
     """(keys, a, b, name_sim): distinct pairs of names of one key with ``name_sim`` >= ``least``. What cannot reach it is dropped before Python sees it."""
     near = candidates(left, right, keys, a, b, least).where(similarity_bound(F.col(a), F.col(b)) >= least)
+    near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, a, b)  # few bytes, but much to do for each
     return near.withColumn("name_sim", similarity(a, b)).where(F.col("name_sim") >= least)
 
 
@@ -90,7 +91,9 @@ def lineage_links(units: DataFrame, place: list[str], least: float = 0.8) -> Dat
 
     ``units``: (code, name, retired, grades, place columns). Mutual best by normalised name, no ties; not numbered siblings, and
     not two units whose grades are known and disjoint. A pair below ``least`` cannot be the best of a link, so it isn't scored."""
-    u = units.where(F.expr(" and ".join(f"{p} is not null" for p in place))).withColumn("norm", norm_entity(F.col("name")))
+    known = units.where(F.expr(" and ".join(f"{p} is not null" for p in place)))
+    known = known.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place)
+    u = saved(known.withColumn("norm", norm_entity(F.col("name"))), "units")
     part = lambda retired, tag: u.where(F.col("retired") == retired).select(*place, *[F.col(c).alias(f"{tag}_{c}") for c in ("code", "name", "norm", "grades")])
     old, new = part(True, "old"), part(False, "new")
     pairs = saved(old.join(scored(old, new, place, "old_norm", "new_norm", least), [*place, "old_norm"]).join(new, [*place, "new_norm"]), "lineage")
